@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, ngram_join
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op7_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
