@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join
+from . import exact_dedup, langid, mixing, ngram_join
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
+    "op5_language_id": langid.query,
     "op7_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
