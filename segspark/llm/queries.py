@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, ngram_join, substring_dedup, suffix_dedup
+from . import embed_dedup, exact_dedup, langid, mixing, ngram_join, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op5_language_id": langid.query,
+    "op6_warc": warc.query,
     "op7_mixing": mixing.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_embed_dedup": embed_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
     "op1_ngram_join": ngram_join.ORACLE,
     "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_embed_dedup": embed_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
