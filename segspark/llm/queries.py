@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, substring_dedup, suffix_dedup, warc
+from . import embed_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, pieces, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_suffix_dedup": suffix_dedup.query,
+    "op3_sentencepiece": pieces.query,
     "op4_license_scan": license_scan.query,
     "op5_language_id": langid.query,
     "op6_warc": warc.query,
