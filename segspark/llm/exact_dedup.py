@@ -115,10 +115,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of identical rows one stays."""
     kept = exact_groups(docs, id_col, text_col, chunk_bytes).where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("copies").alias("__copies"))
+    kept = Scratch(docs.sparkSession, "exact-kept").save(kept, "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = docs.join(kept.hint("shuffle_hash"), same(F.col(id_col), F.col("__id")) & (F.sha2(text, 256) == F.col("__sha")))
-    once = hit.where("__copies = 1").select(*docs.columns)
-    more = hit.where("__copies > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    match = same(F.col(id_col), F.col("__id")) & (F.sha2(text, 256) == F.col("__sha"))
+    once = docs.join(kept.where("__copies = 1").hint("shuffle_hash"), match, "left_semi")
+    repeated = kept.where("__copies > 1")
+    if repeated.isEmpty():  # saves a pass over the texts, no more
+        return once
+    more = docs.join(repeated.hint("shuffle_hash"), match).dropDuplicates(["__id", "__sha"]).select(*docs.columns)
     return once.unionByName(more)
 
 

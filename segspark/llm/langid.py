@@ -139,46 +139,57 @@ def profiles(labelled: DataFrame, top: int = PROFILE) -> list[tuple[str, np.ndar
     return [(lang, np.array([g for _, g in sorted(x)], np.int64).view(U)) for lang, x in sorted(found.items())]
 
 
+class Scorer:
+    """The model as arrays: ``texts -> (languages, scores)``."""
+
+    def __init__(self, model: list[tuple[str, np.ndarray]], top: int):
+        self.top, self.names = top, [n for n, _ in model]
+        grams = np.concatenate([g for _, g in model]) if model else np.zeros(0, U)
+        self.vocabulary = np.unique(grams)
+        self.ranks = np.full((len(model), len(self.vocabulary) + 1), top, np.int32)
+        for k, (_, g) in enumerate(model):
+            self.ranks[k, np.searchsorted(self.vocabulary, g)] = np.arange(len(g))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        texts, top, vocabulary = lowered(texts), self.top, self.vocabulary
+        best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for i, j in parts(texts) if self.names else []:
+            doc, gram, rank = ranked(*ngrams(texts[i:j]), top)
+            if not len(doc):
+                continue
+            head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            at = np.minimum(np.searchsorted(vocabulary, gram), len(vocabulary) - 1)
+            at = np.where(vocabulary[at] == gram, at, len(vocabulary))
+            away = np.stack([np.add.reduceat(np.where(r[at] >= top, top, np.abs(r[at] - rank)), head) for r in self.ranks])
+            most = np.diff(np.append(head, len(doc))) * top
+            for d, p, s in zip(doc[head], away.argmin(0), 1 - away.min(0) / most, strict=True):
+                best[i + d], score[i + d] = self.names[p], s
+        return best, score
+
+
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], top: int = PROFILE) -> DataFrame:
     """``docs (id, held_out, text)`` to ``id, held_out, lang_pred, score``.
 
     ``score`` is 1 less the distance as a share of the greatest possible one.  A text without a letter,
     or null, is ``und`` with score 0, as is every text when nothing was learned.
     """
-    kind = dict(docs.dtypes)["id"]
-    names = [n for n, _ in model]
-    grams = np.concatenate([g for _, g in model]) if model else np.zeros(0, U)
-    lang = np.repeat(np.arange(len(model)), [len(g) for _, g in model]) if model else np.zeros(0, np.int64)
-    place = np.concatenate([np.arange(len(g)) for _, g in model]) if model else np.zeros(0, np.int64)
-    vocabulary = np.unique(grams)
-    ranks = np.full((len(model), len(vocabulary) + 1), top, np.int32)
-    if model:
-        ranks[lang, np.searchsorted(vocabulary, grams)] = place
-    sent = docs.sparkSession.sparkContext.broadcast((names, vocabulary, ranks))  # top rows a language
+    sent = docs.sparkSession.sparkContext.broadcast(Scorer(model, top))  # top rows a language
 
     def make():
-        names, vocabulary, ranks = sent.value
-
         def step(batch: pa.RecordBatch):
-            texts = lowered(batch.column("text").to_pylist())
-            best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i, j in parts(texts) if names else []:
-                doc, gram, rank = ranked(*ngrams(texts[i:j]), top)
-                if not len(doc):
-                    continue
-                head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                at = np.searchsorted(vocabulary, gram)
-                at = np.where((at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == gram), at, len(vocabulary))
-                away = np.stack([np.add.reduceat(np.where(r[at] >= top, top, np.abs(r[at] - rank)), head) for r in ranks])
-                most = np.diff(np.append(head, len(doc))) * top
-                pick = away.argmin(0)
-                for d, p, s in zip(doc[head], pick, 1 - away.min(0) / most, strict=True):
-                    best[i + d], score[i + d] = names[p], s
+            best, score = sent.value(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(best), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
         return step
 
-    return arrow_map(docs.select("id", "held_out", "text"), make, f"id {kind}, held_out boolean, lang_pred string, score double")
+    return arrow_map(docs.select("id", "held_out", "text"), make, f"id {dict(docs.dtypes)['id']}, held_out boolean, lang_pred string, score double")
+
+
+def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, top: int) -> tuple[DataFrame, list[tuple[str, np.ndarray]]]:
+    """Rows ``id, held_out, text`` and the model that the rows not held out give."""
+    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return rows.drop("lang"), profiles(rows.where("not held_out and text is not null and lang is not null"), top)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = PROFILE) -> DataFrame:
@@ -188,9 +199,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     labels left out; a null id is never held out and is learned from.  Label, id and extra columns are no
     inputs of a prediction; equal texts get equal predictions.  An empty table gives no rows.
     """
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = profiles(rows.where("not held_out and text is not null and lang is not null"), top)
+    rows, model = learned(docs, id_col, text_col, lang_col, top)
     return predict(rows, model, top).withColumnRenamed("id", "doc_id")
 
 
@@ -203,8 +212,18 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Rejected: no letter at all, or a profile that is out of place almost everywhere in every language.
     """
-    ok = identify(docs, id_col, text_col, lang_col, top).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ok.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    _, model = learned(docs, id_col, text_col, lang_col, top)
+    sent = docs.sparkSession.sparkContext.broadcast(Scorer(model, top))  # top rows a language
+    place = docs.columns.index(text_col)
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            best, score = sent.value(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([b != UNKNOWN and s >= least for b, s in zip(best, score.tolist(), strict=True)]))
+
+        return step
+
+    return arrow_map(docs, make, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
