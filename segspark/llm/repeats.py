@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from . import sketch
 from .common import Scratch, arrow_map
 from .ngram_join import groups
-from .textkit import NOT_SPACE, U, buffers, rolling, slices, words
+from .textkit import NOT_SPACE, U, buffers, mix, rolling, slices, words
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Words, and entries, that a task gathers before it settles and sends them.
 BATCH = 1 << 20
 KEY_ROWS = 1 << 16
@@ -51,7 +51,7 @@ class Rule:
 
 def bucket_bits(docs: DataFrame) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(24, max(3, np.ceil(np.log2(max(1, min(size, 1 << 60) / BUCKET_BYTES))))))
+    return int(min(24, max(5, np.ceil(np.log2(max(1, min(size, 1 << 60) / BUCKET_BYTES))))))
 
 
 def positions(first: np.ndarray, span: int) -> np.ndarray:
@@ -159,8 +159,33 @@ def _key_rows(k: np.ndarray, p: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(k[heads[a:b]], pa.int64()), packed], ["key", "at"])
 
 
-def kept_anchors(rows: DataFrame) -> DataFrame:
-    """``key, at``: the anchors of each document that occur elsewhere, sorting each bucket and keeping equal neighbours."""
+PACKS = "bucket int, k binary, p binary"
+
+
+def _packs(k: np.ndarray, p: np.ndarray, bits: int):
+    """Keys and positions as packed arrays, a row per bucket of keys."""
+    h = mix(k.view(U))
+    order = np.argsort(h, kind="stable")
+    cut = _cuts(h[order], bits)
+    k, p = k[order], p[order]
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    for a in range(0, len(some), 64):
+        now = some[a : a + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in now], pa.binary()) for x in (k, p))], ["bucket", "k", "p"])
+
+
+def by_key(packs: DataFrame) -> DataFrame:
+    """``key, at``: one row per document, from the packed rows of all buckets."""
+
+    def run(batches):
+        for t in groups(batches, ("bucket",)):
+            yield from _key_rows(_joined(t.column("k"), np.int64), _joined(t.column("p"), np.int32))
+
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, at binary")
+
+
+def kept_anchors(rows: DataFrame, bits: int) -> DataFrame:
+    """Packed anchors that occur elsewhere, sorting each bucket and keeping equal neighbours."""
 
     def run(batches):
         for t in groups(batches, ("bucket",)):
@@ -168,16 +193,16 @@ def kept_anchors(rows: DataFrame) -> DataFrame:
             hit = _in_sorted(_joined(t.column("mh"), np.uint32), twice)
             k = np.concatenate((_joined(t.column("mk"), np.int64)[hit], _joined(t.column("hk"), np.int64)))
             p = np.concatenate((_joined(t.column("mp"), np.int32)[hit], _joined(t.column("hp"), np.int32)))
-            yield from _key_rows(k, p)
+            yield from _packs(k, p, bits)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, at binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKS)
 
 
 STRETCHES = "bucket int, h1 binary, h2 binary, k binary, p binary, m1 binary, m2 binary, hk binary, hp binary"
 
 
 def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """Packed full-length stretches around the kept anchors of ``(key, text, ats)``."""
+    """Packed full-length stretches around the kept anchors of ``(key, text, at)``."""
 
     def make():
         parts: list[tuple] = []
@@ -209,7 +234,7 @@ def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
-            keys, ats = batch.column("key").to_numpy(), batch.column("ats").to_pylist()
+            keys, ats = batch.column("key").to_numpy(), batch.column("at").to_pylist()
             for i, j in slices(offsets):
                 w = words(data, offsets, i, j, NOT_SPACE, False)
                 r1, r2 = rolling(w.hashes(1), rule.length, 3), rolling(w.hashes(2), rule.length, 4)
@@ -217,7 +242,7 @@ def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
                     first, n = int(w.first[d - i]), int(w.first[d - i + 1] - w.first[d - i])
                     if n < rule.length:
                         continue
-                    marks = np.concatenate([np.frombuffer(x, np.int32) for x in ats[d]])
+                    marks = np.frombuffer(ats[d], np.int32)
                     delta = np.zeros(n + 2, np.int32)
                     np.add.at(delta, np.maximum(marks - (rule.length - rule.anchor), 0), 1)
                     np.add.at(delta, np.minimum(marks, n) + 1, -1)
@@ -234,11 +259,11 @@ def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
         step.finish = finish
         return step
 
-    return arrow_map(bodies.select("key", "text", "ats"), make, STRETCHES)
+    return arrow_map(bodies.select("key", "text", "at"), make, STRETCHES)
 
 
-def repeated_stretches(rows: DataFrame) -> DataFrame:
-    """``key, at``: where a stretch of full length starts whose words also start elsewhere."""
+def repeated_stretches(rows: DataFrame, bits: int) -> DataFrame:
+    """Packed places where a stretch of full length starts whose words also start elsewhere."""
 
     def run(batches):
         for t in groups(batches, ("bucket",)):
@@ -254,9 +279,9 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
             hit[:-1] |= alike
             hit = order[hit]
             hit = hit[hit < len(h1)]
-            yield from _key_rows(np.concatenate((k[hit], _joined(t.column("hk"), np.int64))), np.concatenate((p[hit], _joined(t.column("hp"), np.int32))))
+            yield from _packs(np.concatenate((k[hit], _joined(t.column("hk"), np.int64))), np.concatenate((p[hit], _joined(t.column("hp"), np.int32))), bits)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, at binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKS)
 
 
 def split(docs: DataFrame, wanted) -> DataFrame:
@@ -283,18 +308,17 @@ def split(docs: DataFrame, wanted) -> DataFrame:
 
 
 def cleaned(found: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
-    """Rows ``(id, text, ats)`` without the words of the stretches that start at ``ats``."""
+    """Rows ``(id, text, at)`` without the words of the stretches that start at ``at``."""
 
     def make():
         def step(batch: pa.RecordBatch):
             n, gone, sha, spans, kept = [], [], [], [], []
-            for raw, ats in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ats").to_pylist(), strict=True):
+            for raw, at in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("at").to_pylist(), strict=True):
                 ws = raw.split()
                 delta = np.zeros(len(ws) + 1, np.int64)
-                for at in ats or []:
-                    at = np.frombuffer(at, np.int32)
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + rule.length, -1)
+                at = np.frombuffer(at or b"", np.int32)
+                np.add.at(delta, at, 1)
+                np.add.at(delta, at + rule.length, -1)
                 cover = np.cumsum(delta[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], cover.astype(np.int8), [0]))))
                 body = b" ".join(x for x, c in zip(ws, cover.tolist(), strict=True) if not c) if cover.any() else b" ".join(ws)
@@ -322,14 +346,12 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str, wit
     bits = bucket_bits(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-    hits = scratch.save(kept_anchors(anchor_rows(rows, rule, bits)), "anchors")
+    hits = scratch.save(by_key(kept_anchors(anchor_rows(rows, rule, bits), bits)), "anchors")
     wanted = np.ones(sketch.CELLS, bool) if with_text else sketch.key_filter(hits, "key")
     staged = scratch.save(split(rows, spark.sparkContext.broadcast(wanted)), "staged")  # 1 MB
-    per_key = hits.groupBy("key").agg(F.collect_list("at").alias("ats"))  # at most a document's anchors
     maybe = staged.where("text is not null").select("id", "key", "text")
-    found = repeated_stretches(stretch_rows(maybe.join(per_key.hint("shuffle_hash"), "key"), rule, bits))
-    per_key = found.groupBy("key").agg(F.collect_list("at").alias("ats"))
-    rest = cleaned(maybe.join(per_key.hint("shuffle_hash"), "key", "left").select("id", "text", "ats"), rule, with_text)
+    found = repeated_stretches(stretch_rows(maybe.join(hits.hint("shuffle_hash"), "key"), rule, bits), bits)
+    rest = cleaned(maybe.join(by_key(found).hint("shuffle_hash"), "key", "left").select("id", "text", "at"), rule, with_text)
     rest = scratch.save(rest, "rest")
     scratch.drop("anchors")
     none = F.array().cast("array<long>")
