@@ -12,6 +12,11 @@ def as_doubles(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside lambdas, where nothing is shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def constant(values: Sequence[float]) -> Column:
     """A literal vector."""
     return F.array(*(F.lit(float(x)) for x in values))
@@ -39,28 +44,26 @@ def scaled(v: Column, by: Column) -> Column:
 
 def l2_norm(v: Column) -> Column:
     """Unit length; an all-zero vector gives nulls (division by zero is undefined)."""
-    return F.transform(v, lambda x: F.try_divide(x, norm(v)))
+    return let(v, lambda u: let(norm(u), lambda n: F.transform(u, lambda x: F.try_divide(x, n))))
 
 
 def matvec(rows: Sequence[Sequence[float]], v: Column) -> Column:
     """A literal matrix, given by rows, times a vector."""
-    return F.array(*(dot(constant(r), v) for r in rows))
+    return let(v, lambda u: F.array(*(dot(constant(r), u) for r in rows)))
 
 
 def logsumexp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+    return let(v, lambda u: let(F.array_max(u), lambda top: top + F.log(total(F.transform(u, lambda x: F.exp(x - top))))))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    raised = let(v, lambda u: let(F.array_max(u), lambda top: F.transform(u, lambda x: F.exp(x - top))))
+    return let(raised, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def argmax(v: Column) -> Column:
     """Index from 0 of the greatest element, the first of equals."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return let(v, lambda u: F.array_position(u, F.array_max(u)) - 1).cast("int")
 
 
 def nth_best(v: Column, n: int) -> Column:

@@ -41,13 +41,13 @@ def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np
     nfft = 2 ** math.ceil(math.log2(size))
     kind = dict(signal.dtypes)["rec"]
     frames = framing(signal.select("rec", "n", "x"), size, size - overlap)
-    frames = frames.groupBy("rec", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("xs"))
+    frames = frames.groupBy("rec", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("samples"))
 
     def features(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf.xs.to_list()).astype(float)
+            x = np.stack(pdf.samples.to_list()).astype(float)
             if zero_mean:
                 x = x - x.mean(1, keepdims=True)
             e = np.log((x * x).sum(1)) if energy and raw_energy else None

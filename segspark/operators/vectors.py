@@ -58,8 +58,8 @@ def plda_project(v: Column, plda: Plda, dims: int) -> Column:
 def plda_length_norm(v: Column, psi: Sequence[float]) -> Column:
     """Scaled so that its energy under the total variances ``psi + 1`` is the dimension."""
     inverse = A.constant([1.0 / (p + 1.0) for p in psi])
-    energy = A.dot(F.transform(v, lambda x: x * x), inverse)
-    return A.scaled(v, F.sqrt(F.lit(float(len(psi))) / energy))
+    energy = lambda u: A.dot(F.transform(u, lambda x: x * x), inverse)
+    return A.let(v, lambda u: A.let(F.sqrt(F.lit(float(len(psi))) / energy(u)), lambda k: A.scaled(u, k)))
 
 
 def pairs(df: DataFrame, rec: str = "rec", idx: str = "idx", vector: str = "v", upper: bool = False) -> DataFrame:

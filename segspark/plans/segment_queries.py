@@ -9,18 +9,25 @@ from segspark.sources import text as X
 
 from . import tables as T
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 
+def registry():
+    """Empty registries and a decorator that files a query under its name, with its oracle if it has one."""
+    queries: dict = {}
+    oracles: dict = {}
 
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
+    def query(oracle: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if oracle:
+                oracles[f.__name__] = oracle
+            return f
 
-    return add
+        return add
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 
 def _merged(spark, sf_dir, label="label"):
