@@ -1,0 +1,289 @@
+"""Signals, features, models, readers, whole plans and streaming."""
+
+import io
+import json
+import struct
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from segspark.functions import arrays as A
+from segspark.operators import embedding, fbank, models, vectors
+from segspark.operators import kernels as K
+from segspark.operators import sequence as Q
+from segspark.plans import diarize as D
+from segspark.sources import kaldi, wav
+from segspark.sources import models as M
+from segspark.streaming import events as ST
+
+
+def table(spark, x, rec="r"):
+    return spark.createDataFrame([(rec, i, float(v)) for i, v in enumerate(x)], "rec string, n long, x double")
+
+
+@pytest.mark.parametrize("n,window,shift", [(20, 5, 2), (4, 5, 1), (5, 5, 3), (17, 4, 4)])
+def test_framing(spark, n, window, shift):
+    x = np.arange(n) ** 2.0
+    got = {}
+    for r in Q.framing(table(spark, x), window, shift).collect():
+        got.setdefault(r.frame, {})[r.k] = r.x
+    want = [x[i : i + window] for i in range(0, n - window + 1, shift)]
+    assert len(got) == len(want) and all([got[f][k] for k in range(window)] == list(w) for f, w in enumerate(want))
+
+
+@pytest.mark.parametrize("n", [10, 3])
+def test_mirror_pad(spark, n):
+    x = np.arange(1.0, n + 1)
+    got = [r.x for r in Q.mirror_pad(table(spark, x), 4, 5).orderBy("n").collect()]
+    assert got == [*x[:4][::-1], *x, *x[-5:][::-1]]
+
+
+@pytest.mark.parametrize("n", [12, 3])
+@pytest.mark.parametrize("variance", [False, True])
+def test_floating_norm(spark, n, variance):
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    df = spark.createDataFrame([("r", t, d, float(x[t, d])) for t in range(n) for d in (0, 1)], "rec string, frame long, d int, x double")
+    got = np.zeros_like(x)
+    for r in Q.floating_norm(df, 3, 2, variance).collect():
+        got[r.frame, r.d] = r.x
+
+    def windows(v):
+        size = min(n, 6)
+        return np.array([v[(s := max(min(t - 3, n - size), 0)) : s + size].mean(0) for t in range(n)])
+
+    want = x - windows(x)
+    want = want / np.sqrt(windows(want**2)) if variance else want
+    assert np.allclose(got, want) and np.allclose(D.floating_mean(x, 3, 2, variance), want)
+
+
+def test_filterbank_variants(spark):
+    whole = Q.mel_filterbank(spark, 64, 8000, 5, 200.0, 3700.0, htk_bug=False).count()
+    assert Q.mel_filterbank(spark, 64, 8000, 5, 200.0, 3700.0).count() <= whole
+    linear = Q.mel_filterbank(spark, 64, 8000, 5, 0.0, None, warp=lambda f: f * 1.0, unwarp=lambda f: f * 1.0)
+    assert linear.where("w < 0 or w > 1").count() == 0
+
+
+def test_log_filterbank_options(spark):
+    x = np.random.default_rng(0).normal(size=100) * 1000
+    bank = np.abs(np.random.default_rng(1).normal(size=(9, 3)))
+    plain = fbank.log_filterbank(table(spark, x), np.hamming(16), 8, bank)
+    frame = plain.where("frame = 2").first().feat
+    f = x[16:32]
+    f = (f - 0.97 * np.r_[f[0], f[:-1]]) * np.hamming(16)
+    assert np.allclose(frame, np.log(np.maximum(1, np.abs(np.fft.rfft(f, 16)) ** 2 @ bank)))
+    more = fbank.log_filterbank(table(spark, x), np.ones(16), 8, bank, power=1, zero_mean=True, energy="first", raw_energy=False).first()
+    assert len(more.feat) == 4 and more.feat[0] <= 1
+    assert len(fbank.log_filterbank(table(spark, x), np.ones(16), 8, bank, energy="last", normalise_energy=False).first().feat) == 4
+
+
+def test_dither_is_seeded(spark):
+    d = table(spark, np.zeros(50))
+    a, b = ([r.x for r in fbank.dither(d).orderBy("n").collect()] for _ in range(2))
+    assert a == b and max(map(abs, a)) <= 8 and len(set(a)) > 40
+    assert a == (8 * (np.random.RandomState(3).rand(50) * 2 - 1)).tolist()
+
+
+def test_array_functions(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
+    got = [r.u for r in df.select(A.l2_norm(F.col("v")).alias("u")).collect()]
+    assert got[0] == [0.6, 0.8] and got[1] == [None, None]
+    s = spark.createDataFrame([([1.0, 3.0, 3.0, 2.0],)], "v array<double>").select(A.argmax(F.col("v")).alias("a"), A.nth_best(F.col("v"), 2).alias("b"), A.softmax(F.col("v")).alias("s"), A.logsumexp(F.col("v")).alias("l")).first()
+    e = np.exp([1, 3, 3, 2])
+    assert (s.a, s.b) == (1, 2) and np.allclose(s.s, e / e.sum()) and np.isclose(s.l, np.log(e.sum()))
+
+
+def test_cosine_blocks(spark):
+    x = np.random.default_rng(0).normal(size=(23, 5))
+    df = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(x)], "rec string, idx long, xvec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.i, r.j): r.s for r in vectors.cosine_pairs(df, block=5).collect()}
+    assert len(got) == 23 * 23 and all(np.isclose(s, u[i] @ u[j]) for (i, j), s in got.items())
+
+
+def test_plda_model():
+    p = vectors.Plda([0, 0], [[1, 0], [0, 2]], [1.0, 3.0]).diagonalised()
+    assert p.psi == [3.0, 1.0] and p.tr == [[0, 2], [1, 0]]
+
+
+def test_transform(spark):
+    t = vectors.Transform([0.1, 0.2], [[1.0, 0.5], [0.0, 1.0]], [0.3, 0.1])
+    x = np.array([1.0, 2.0])
+    y = x - t.mean1
+    y = np.array(t.lda).T @ (y / np.linalg.norm(y)) - t.mean2
+    got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(vectors.transform_vectors(F.col("v"), t).alias("u")).first().u
+    assert np.allclose(got, y / np.linalg.norm(y))
+
+
+def test_clusters_and_vb(spark):
+    r = np.random.default_rng(1)
+    mean = r.normal(size=(3, 8)) * 3
+    ref = np.repeat([0, 1, 2], 12)
+    x = mean[ref] + r.normal(size=(36, 8)) * 0.3
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)] + [("one", 0, x[0].tolist())], "rec string, idx long, xvec array<double>")
+    got = models.cluster(df, -0.015, calibrated=True)
+    a = [q.label for q in got.where("rec = 'a'").orderBy("idx").collect()]
+    assert len({(p, q) for p, q in zip(a, ref, strict=True)}) == 3 and got.where("rec = 'one'").first().label == 0
+    soft = models.vb_cluster(got.join(df.withColumnRenamed("xvec", "v"), ["rec", "idx"]), [2.0] * 8)
+    assert soft.where("rec = 'one'").first().second is None
+    assert soft.where("rec = 'a' and second = label").count() == 0
+    free = models.vb_cluster(df.withColumnRenamed("xvec", "v"), [2.0] * 8, seed=1, speakers=4)
+    assert free.count() == 37
+
+
+def plda_bytes(mu, tr, psi):
+    out = io.BytesIO()
+    out.write(b"\0B<Plda> ")
+    vec = lambda v: out.write(b"DV \4" + struct.pack("<i", len(v)) + np.asarray(v, "<f8").tobytes())
+    vec(mu)
+    out.write(b"FM \4" + struct.pack("<i", len(tr)) + b"\4" + struct.pack("<i", len(tr[0])) + np.asarray(tr, "<f4").tobytes())
+    vec(psi)
+    out.write(b"</Plda> ")
+    return out.getvalue()
+
+
+def test_plda_reader(tmp_path):
+    mu, tr, psi = [1.0, 2.0], [[1.0, 0.5], [0.0, 2.0]], [3.0, 0.25]
+    text = b"<Plda>  [ 1 2 ]\n [\n  1 0.5 \n  0 2 ]\n [ 3 0.25 ]\n</Plda> "
+    path = tmp_path / "plda"
+    path.write_bytes(plda_bytes(mu, tr, psi))
+    for source in (plda_bytes(mu, tr, psi), io.BytesIO(text), str(path)):
+        got = kaldi.read_plda(source)
+        assert all(np.allclose(a, b) for a, b in zip(got, (mu, tr, psi), strict=True))
+    with pytest.raises(kaldi.FormatError):
+        kaldi.read_plda(b"\0B<Other ")
+    with pytest.raises(kaldi.FormatError):
+        kaldi.read_plda(plda_bytes(mu, tr, psi)[:-12])
+
+
+def test_matrices():
+    i4 = lambda x: b"\4" + struct.pack("<i", x)
+    sparse = b"SM " + i4(2) + b"SV " + i4(4) + i4(2) + i4(0) + b"\4" + struct.pack("<f", 1.5) + i4(3) + b"\4" + struct.pack("<f", 2.5) + b"SV " + i4(3) + i4(0)
+    assert kaldi.read_matrix(io.BytesIO(sparse)).tolist() == [[1.5, 0, 0, 2.5], [0, 0, 0, 0]]
+    two = b"CM2 " + struct.pack("<ffii", 0.0, 65535.0, 1, 2) + struct.pack("<HH", 3, 70)
+    assert kaldi.read_matrix(io.BytesIO(two)).tolist() == [[3, 70]]
+    three = b"CM3 " + struct.pack("<ffii", 0.0, 255.0, 2, 1) + bytes([7, 9])
+    assert kaldi.read_matrix(io.BytesIO(three)).tolist() == [[7], [9]]
+    one = b"CM " + struct.pack("<ffii", 0.0, 65535.0, 3, 1) + struct.pack("<HHHH", 0, 64, 192, 255) + bytes([32, 128, 255])
+    assert kaldi.read_matrix(io.BytesIO(one)).ravel().tolist() == [32, 128, 255]
+    with pytest.raises(kaldi.FormatError):
+        kaldi.read_matrix(io.BytesIO(b"XX "))
+    body = b"key \0BFM \4" + struct.pack("<i", 1) + b"\4" + struct.pack("<i", 2) + np.array([1, 2], "<f4").tobytes()
+    assert kaldi.matrix_at(b"junk" + body, "key", 8).tolist() == [[1, 2]]
+    with pytest.raises(kaldi.FormatError):
+        kaldi.matrix_at(b"junk" + body, "kez", 8)
+
+
+def test_archive(spark, tmp_path):
+    (tmp_path / "x.ark").write_bytes(kaldi.archive_bytes([("m_0000-1-2", np.array([1, 2], np.float32)), ("m_0001-1-2", np.array([3.0, 4.5]))]) + b"n_0000-1-2  [ 5 6 ]\n")
+    got = kaldi.read_archive(spark, str(tmp_path / "x.ark")).orderBy("idx").collect()
+    assert [(r.rec, r.key, r.xvec) for r in got] == [("m", "m_0000-1-2", [1, 2]), ("m", "m_0001-1-2", [3, 4.5]), ("n", "n_0000-1-2", [5, 6])]
+    packed = kaldi.archives(kaldi.read_archive(spark, str(tmp_path / "x.ark"))).where("rec = 'm'").first().content
+    assert [k for k, _ in kaldi.vectors_in(io.BytesIO(bytes(packed)))] == ["m_0000-1-2", "m_0001-1-2"]
+
+
+def wav_file(path, x, rate=16000):
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.asarray(x) * 32767).astype("<i2").tobytes())
+
+
+def test_models_registry(tmp_path):
+    with pytest.raises(KeyError):
+        M.load("absent")
+    import zipfile
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("w.bin", b"weights")
+    raw = raw.getvalue()
+    assert M.assemble({"b": raw[40:], "a": raw[:40]}) == {"w.bin": b"weights"}
+
+
+def test_end_to_end(spark, tmp_path):
+    """Two tones in turn: audio to windows, embeddings, clusters and speaker lines."""
+    t = np.arange(16000 * 12) / 16000
+    x = np.where((t // 3).astype(int) % 2 == 0, np.sin(2 * np.pi * 300 * t), np.sin(2 * np.pi * 2500 * t)) * 0.5
+    wav_file(tmp_path / "m.wav", x)
+    (tmp_path / "m.lab").write_text("0.0 12.0 sp\n")
+    from segspark.sources import text as X
+
+    audio, vad = wav.read_wav(spark, str(tmp_path / "*.wav")), X.read_vad(spark, str(tmp_path / "*.lab"))
+    rows = D.extract(audio, vad)
+    want = __import__("segspark.operators.segments", fromlist=["x"]).embedding_windows(vad).count()
+    got = rows.collect()
+    assert len(got) == want and all(len(r.xvec) == 16 for r in got)
+    dim = 16
+    t = vectors.Transform([0.0] * dim, np.eye(dim).tolist(), [0.0] * dim)
+    p = vectors.Plda([0.0] * dim, np.eye(dim).tolist(), [1.0] * dim)
+    for init in ("AHC", "AHC+VB", "random_3"):
+        labels = D.diarize(rows, t, p, D.Settings(init=init, lda_dim=8, fb=1.0))
+        assert labels.count() == want
+    D.write_results(labels, rows.select("rec", "key", "start", "end"), str(tmp_path / "rttm"), True)
+    lines = X.read_rttm(spark, str(tmp_path / "rttm")).collect()
+    assert lines and np.isclose(sum(r.dur for r in lines), 12.0, atol=0.05)
+    with pytest.raises(ValueError):
+        D.Settings(loop=1.2)
+    with pytest.raises(ValueError):
+        D.Settings(init="other")
+
+
+def test_command_line(spark, tmp_path):
+    from segspark.__main__ import main, parser
+
+    r = np.random.default_rng(0)
+    wav_file(tmp_path / "m.wav", r.normal(size=16000 * 5) * 0.1)
+    (tmp_path / "m.lab").write_text("0.0 5.0 sp\n")
+    (tmp_path / "list").write_text("m\n")
+    main(["extract", "--in-file-list", f"{tmp_path}/list", "--in-lab-dir", str(tmp_path), "--in-wav-dir", str(tmp_path), "--out-ark-fn", f"{tmp_path}/ark", "--out-seg-fn", f"{tmp_path}/seg"])
+    content = spark.read.parquet(f"{tmp_path}/ark").first().content
+    (tmp_path / "x.ark").write_bytes(bytes(content))
+    (tmp_path / "plda").write_bytes(plda_bytes([0.0] * 16, np.eye(16).tolist(), [1.0] * 16))
+    (tmp_path / "t.json").write_text(json.dumps({"mean1": [0.0] * 16, "mean2": [0.0] * 16, "lda": np.eye(16).tolist()}))
+    main(["cluster", "--out-rttm-dir", f"{tmp_path}/rttm", "--xvec-ark-file", f"{tmp_path}/x.ark", "--segments-file", f"{tmp_path}/seg", "--xvec-transform", f"{tmp_path}/t.json", "--plda-file", f"{tmp_path}/plda", "--lda-dim", "8", "--output-2nd", "no"])
+    assert spark.read.text(f"{tmp_path}/rttm").count() > 0
+    with pytest.raises(SystemExit):
+        parser().parse_args(["cluster", "--output-2nd", "maybe"])
+
+
+def test_onnx_backend_is_registered():
+    assert {"pooling", "onnx", "torch"} <= M.REGISTRY.keys()
+
+
+def test_embeddings_with_nan_are_dropped(spark):
+    feats = spark.createDataFrame([("r", 0, i, [float("nan") if i == 3 else 1.0 * i, 2.0]) for i in range(6)], "rec string, segnum int, frame long, feat array<double>")
+    w = spark.createDataFrame([("r", 0, 0, 3, "a"), ("r", 0, 2, 5, "b")], "rec string, segnum int, first long, last long, key string")
+    assert [r.key for r in embedding.embed_windows(feats, w).collect()] == ["a"]
+
+
+def streamed(spark, tmp_path, df, build, name):
+    path = str(tmp_path / name)
+    df.write.parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    q = build(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.sql(f"SELECT * FROM {name}")
+
+
+def test_streaming_windows(spark, tmp_path):
+    rows = [(i, f"2024-01-01 {h:02d}:{m:02d}:00", 1, "a") for i, (h, m) in enumerate([(0, 1), (0, 5), (1, 1), (3, 0), (9, 0)])]
+    df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string").selectExpr("event_id", "to_timestamp_ntz(t) AS ts", "user_id", "event_type")
+    counts = streamed(spark, tmp_path, df, lambda s: ST.window_counts(ST.timed(s)), "w1")
+    assert sorted(r.n for r in counts.collect()) == [1, 1, 2]
+    got = streamed(spark, tmp_path, df, lambda s: ST.sessions(ST.timed(s), "1 hour"), "w2")
+    assert sorted(r.n for r in got.collect()) == [1, 3]
+    slide = streamed(spark, tmp_path, df, lambda s: ST.window_counts(ST.timed(s), "1 hour", "30 minutes"), "w3")
+    assert slide.count() >= 3
+
+
+def test_online_hmm(spark, tmp_path):
+    r = np.random.default_rng(0)
+    ll = r.normal(size=(12, 3))
+    tr, ip = np.eye(3) * 0.8 + 0.2 / 3, np.ones(3) / 3
+    df = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(ll)], "rec string, idx long, ll array<double>")
+    got = streamed(spark, tmp_path, df, lambda s: ST.online_hmm(s, tr.tolist(), ip.tolist()), "hmm").orderBy("idx").collect()
+    _, total, fw, _ = K.forward_backward(ll, tr, ip)
+    assert [q.state for q in got] == fw.argmax(1).tolist() and np.isclose(got[-1].evidence, total)
