@@ -34,6 +34,8 @@ BUCKET_BYTES = 4 << 20
 #: Words, and entries, that a task gathers before it settles and sends them.
 BATCH = 1 << 20
 KEY_ROWS = 1 << 16
+#: Sizes beyond this are the planner's way to say that it has none.
+UNKNOWN_BYTES = 1 << 55
 
 
 @dataclass(frozen=True)
@@ -50,8 +52,11 @@ class Rule:
 
 
 def bucket_bits(docs: DataFrame) -> int:
+    """How many bits number the buckets, from the planner's size; a size nobody knows gets a middling number."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(24, max(5, np.ceil(np.log2(max(1, min(size, 1 << 60) / BUCKET_BYTES))))))
+    if size > UNKNOWN_BYTES:
+        return 10
+    return int(max(5, np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
 
 
 def positions(first: np.ndarray, span: int) -> np.ndarray:
@@ -60,9 +65,19 @@ def positions(first: np.ndarray, span: int) -> np.ndarray:
     return np.repeat(first[:-1], room) + (np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room))
 
 
-def _cuts(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
-    edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
+def _cuts(bits: int, *sorted_hashes: np.ndarray):
+    """The buckets that occur, and for each array where each of them begins and ends."""
+    own = [(h >> U(64 - bits)).astype(np.int64) for h in sorted_hashes]
+    some = np.unique(np.concatenate(own))
+    return some.tolist(), [list(zip(np.searchsorted(x, some, "left").tolist(), np.searchsorted(x, some, "right").tolist(), strict=True)) for x in own]
+
+
+def _batches(some: list[int], columns, names: list[str]):
+    """Rows ``bucket, packed arrays`` of ``(array, cuts)`` columns, 64 buckets at a time."""
+    for a in range(0, len(some), 64):
+        now = range(a, min(a + 64, len(some)))
+        packed = [pa.array([x[c[i][0] : c[i][1]].tobytes() for i in now], pa.binary()) for x, c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 64], pa.int32()), *packed], ["bucket", *names])
 
 
 def _rest(h: np.ndarray, bits: int) -> np.ndarray:
@@ -105,13 +120,9 @@ def anchor_rows(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
             order = np.argsort(h, kind="stable")
             h, k, at = h[order], k[order], at[order]
             known = _in_sorted(h, twice)
-            out = [_cuts(p, bits), _cuts(h[~known], bits), _cuts(h[known], bits)]
-            pr, hr = _rest(p, bits), _rest(h[~known], bits)
-            cols = [(pr, out[0]), (hr, out[1]), (k[~known], out[1]), (at[~known], out[1]), (k[known], out[2]), (at[known], out[2])]
-            some = [b for b in range(1 << bits) if any(c[b + 1] > c[b] for c in out)]
-            for a in range(0, len(some), 64):
-                now = some[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), *(pa.array([x[c[b] : c[b + 1]].tobytes() for b in now], pa.binary()) for x, c in cols)], ["bucket", "probes", "mh", "mk", "mp", "hk", "hp"])
+            some, (cp, ch, ck) = _cuts(bits, p, h[~known], h[known])
+            columns = [(_rest(p, bits), cp), (_rest(h[~known], bits), ch), (k[~known], ch), (at[~known], ch), (k[known], ck), (at[known], ck)]
+            yield from _batches(some, columns, ["probes", "mh", "mk", "mp", "hk", "hp"])
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
@@ -166,12 +177,8 @@ def _packs(k: np.ndarray, p: np.ndarray, bits: int):
     """Keys and positions as packed arrays, a row per bucket of keys."""
     h = mix(k.view(U))
     order = np.argsort(h, kind="stable")
-    cut = _cuts(h[order], bits)
-    k, p = k[order], p[order]
-    some = np.flatnonzero(np.diff(cut)).tolist()
-    for a in range(0, len(some), 64):
-        now = some[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in now], pa.binary()) for x in (k, p))], ["bucket", "k", "p"])
+    some, (cut,) = _cuts(bits, h[order])
+    yield from _batches(some, [(k[order], cut), (p[order], cut)], ["k", "p"])
 
 
 def by_key(packs: DataFrame) -> DataFrame:
@@ -221,16 +228,13 @@ def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
             head = multi.copy()
             head[1:] &= ~alike
             one = ~multi
-            # a document's known stretches need not travel by hash: they ride with any bucket
-            cuts = [_cuts(h1[one], bits), _cuts(h1[head], bits), _cuts(h1[multi], bits)]
-            cols = [(h1[one], cuts[0]), (h2[one], cuts[0]), (k[one], cuts[0]), (p[one], cuts[0]), (h1[head], cuts[1]), (h2[head], cuts[1])]
-            some = [b for b in range(1 << bits) if any(c[b + 1] > c[b] for c in cuts)]
+            some, (c1, cm) = _cuts(bits, h1[one], h1[head])
+            # what is known need not travel by hash: it rides with one of the buckets
             kk, pp = k[multi], p[multi]
-            carrier = some[int(k[0]) % len(some)]
-            for a in range(0, len(some), 64):
-                now = some[a : a + 64]
-                known = [(kk.tobytes(), pp.tobytes()) if b == carrier else (b"", b"") for b in now]
-                yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), *(pa.array([x[c[b] : c[b + 1]].tobytes() for b in now], pa.binary()) for x, c in cols), pa.array([x[0] for x in known], pa.binary()), pa.array([x[1] for x in known], pa.binary())], ["bucket", "h1", "h2", "k", "p", "m1", "m2", "hk", "hp"])
+            carrier = int(k[0]) % len(some)
+            ride = [(0, len(kk)) if i == carrier else (0, 0) for i in range(len(some))]
+            columns = [(h1[one], c1), (h2[one], c1), (k[one], c1), (p[one], c1), (h1[head], cm), (h2[head], cm), (kk, ride), (pp, ride)]
+            yield from _batches(some, columns, ["h1", "h2", "k", "p", "m1", "m2", "hk", "hp"])
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
