@@ -76,6 +76,18 @@ def same(a: Column | str, b: Column | str) -> Column:
     return a.eqNullSafe(b)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like ``stems`` that ``df`` does not have, whatever its columns are called."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ordered_pairs(edges: DataFrame) -> DataFrame:
     a, b = F.least("a", "b"), F.greatest("a", "b")
     return edges.select(a.alias("a"), b.alias("b")).where("a < b").distinct()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, same
+from .common import Scratch, arrow_map, same, unused
 from .textkit import buffers
 
 #: Two prime moduli below 2**31 and a base for each.
@@ -114,15 +114,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of identical rows one stays."""
-    kept = exact_groups(docs, id_col, text_col, chunk_bytes).where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("copies").alias("__copies"))
+    i, sha, copies = unused(docs, "kept_id", "kept_sha", "kept_copies")
+    kept = exact_groups(docs, id_col, text_col, chunk_bytes).where("kept").select(F.col("id").alias(i), F.col("sha").alias(sha), F.col("copies").alias(copies))
     kept = Scratch(docs.sparkSession, "exact-kept").save(kept, "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    match = same(F.col(id_col), F.col("__id")) & (F.sha2(text, 256) == F.col("__sha"))
-    once = docs.join(kept.where("__copies = 1").hint("shuffle_hash"), match, "left_semi")
-    repeated = kept.where("__copies > 1")
+    match = same(F.col(id_col), F.col(i)) & (F.sha2(text, 256) == F.col(sha))
+    once = docs.join(kept.where(F.col(copies) == 1).hint("shuffle_hash"), match, "left_semi")
+    repeated = kept.where(F.col(copies) > 1)
     if repeated.isEmpty():  # saves a pass over the texts, no more
         return once
-    more = docs.join(repeated.hint("shuffle_hash"), match).dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    more = docs.join(repeated.hint("shuffle_hash"), match).dropDuplicates([i, sha]).select(*docs.columns)
     return once.unionByName(more)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 #: Offsets and expected copies are multiples of ``1 / GRAIN``.
 GRAIN = 1 << 28
@@ -84,9 +84,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows that share an id must be alike."""
-    plan = mix(docs, id_col, **kw).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    hit = docs.join(plan.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return hit.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    i, copies, nth = unused(docs, "mix_id", "mix_copies", "mix_nth")
+    plan = mix(docs, id_col, **kw).where("copies > 0").groupBy(F.col("doc_id").alias(i)).agg(F.max("copies").alias(copies))
+    hit = docs.join(plan.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(i)))
+    return hit.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(nth)).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Scratch, arrow_map, components, same
+from .common import Scratch, arrow_map, components, same, unused
 from .textkit import NOT_SPACE, U, buffers, mix, rolling, slices, words
 
 SHINGLE = 5
@@ -395,8 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component, with their columns."""
-    kept = near_duplicates(docs, id_col, text_col, k).where(same("doc_id", "component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), same(F.col(id_col), F.col("__id")), "left_semi")
+    (i,) = unused(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, k).where(same("doc_id", "component_id")).select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), same(F.col(id_col), F.col(i)), "left_semi")
 
 
 ORACLE = r"""
