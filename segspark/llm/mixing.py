@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 #: Documents of one source and size that one task ranks.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 10
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: int = 0) -> DataFrame:
@@ -105,7 +105,8 @@ t AS (SELECT nil, src, source_size, least(cap, coalesce(f.level * w, cap)) AS ta
              ('0x' || md5('0:' || nil || src)[1:7])::BIGINT AS shift
       FROM l, f),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size * 268435456)::BIGINT, 805306368) ELSE 0 END AS step FROM t),
-n AS (SELECT d.*, (row_number() OVER (PARTITION BY nil, src ORDER BY size, doc_id NULLS FIRST) - 1)::HUGEINT AS rank FROM d),
+n AS (SELECT *, (row_number() OVER (PARTITION BY nil, src ORDER BY size, coalesce(doc_id, 0) % cells, doc_id NULLS FIRST) - 1)::HUGEINT AS rank
+      FROM (SELECT *, ceil(count(*) OVER (PARTITION BY nil, src, size) / 1024.0)::BIGINT AS cells FROM d)),
 k AS (SELECT n.doc_id, n.size, u.source_size, u.target,
              ((rank + 1) * step + shift) // 268435456 - (rank * step + shift) // 268435456 AS copies
       FROM n JOIN u USING (nil, src))
