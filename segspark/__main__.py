@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segspark.operators.vectors import Plda, Transform
 from segspark.plans import diarize as D
+from segspark.ship import ensure
 from segspark.sources import kaldi, models, text, wav
 
 
@@ -64,6 +65,7 @@ def cluster(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("segspark").getOrCreate()
+    ensure(spark)
     {"extract": extract, "cluster": cluster}[a.command](spark, a)
 
 
