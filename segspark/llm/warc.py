@@ -16,10 +16,12 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import Scratch, arrow_map, same
 
 CRLF = "\r\n"
@@ -66,7 +68,7 @@ def response_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
 
 def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    records.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    records.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(data: bytes):
@@ -86,15 +88,17 @@ def parse(data: bytes):
         at = end + 4
 
 
-READ = "page_id long, url string, kind string, digest string, octets long, refers long, payload string"
-FIELDS = ("page_id", "url", "kind", "digest", "octets", "refers", "payload")
+READ = "page_id long, url string, kind string, digest string, octets long, refers long, payload string, mark long"
+FIELDS = ("page_id", "url", "kind", "digest", "octets", "refers", "payload", "mark")
 ROWS = 512
 
 
-def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
+def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bool = True) -> DataFrame:
     """Records of the archives under ``path``, each payload checked against its stated digest.
 
-    ``octets`` is the full payload's size, also for a revisit.
+    ``octets`` is the full payload's size, also for a revisit; ``mark`` is the digest's first 64 bits.
+    With a broadcast ``shared`` (which cells hold a mark) only records in those cells are read, or, if not
+    ``among``, only the others.
     """
 
     def number(urn: str | None):
@@ -103,6 +107,7 @@ def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch):
+            wanted = shared.value if shared else None
             for raw in batch.column("content"):
                 data = zlib.decompress(raw.as_buffer(), 31)
                 rows: list[tuple] = []
@@ -110,16 +115,19 @@ def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
                     body = data[start:end]
                     digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     revisit = head["WARC-Type"] == "revisit"
+                    mark = int.from_bytes(base64.b32decode(digest)[:8], "big", signed=True)
+                    if wanted is not None and wanted[sketch.cells(np.array([mark], np.int64).view(np.uint64))[0]] != among:
+                        continue
                     if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                         raise ValueError(f"payload of {head.get('WARC-Record-ID')} does not have its digest")
-                    rows.append((number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", end - start)), number(head.get("WARC-Refers-To")), body.decode("utf-8") if payloads else None))
+                    rows.append((number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", end - start)), number(head.get("WARC-Refers-To")), body.decode("utf-8") if payloads else None, mark))
                     if len(rows) == ROWS:
                         yield batch_of(rows)
                         rows = []
                 if rows:
                     yield batch_of(rows)
 
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(FIELDS))
@@ -143,10 +151,8 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out.select("page_id", "octets", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"))
 
 
-def deduplicated_records(records: DataFrame, decided: DataFrame) -> DataFrame:
-    """Records of the deduplicated archives: payloads of responses, fresh headers for all."""
-    body = records.select(F.col("page_id").alias("pid"), F.col("digest").alias("sum"), "url", "payload")
-    both = body.join(decided.hint("shuffle_hash"), same("pid", "page_id") & (F.col("sum") == F.col("digest")))
+def final_records(rows: DataFrame) -> DataFrame:
+    """Records of ``page_id, url, payload, octets, digest, kind, refers``: payloads of responses, fresh headers for all."""
     revisit = F.col("kind") == "revisit"
     head = _header([
         ("WARC-Type", F.col("kind")),
@@ -160,7 +166,21 @@ def deduplicated_records(records: DataFrame, decided: DataFrame) -> DataFrame:
         ("Content-Type", F.when(~revisit, F.lit("text/html; charset=utf-8"))),
         ("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("octets").cast("string"))),
     ])
-    return both.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
+    return rows.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
+
+
+def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarray) -> DataFrame:
+    """Records of the deduplicated archives from those under ``path``.
+
+    Payloads whose digest nobody shares are responses as they come; only the others meet their decision
+    in a join.  ``shared`` has 1 MB whatever the input, and an entry too many costs a row in the join.
+    """
+    cells = spark.sparkContext.broadcast(shared)
+    kept = ["page_id", "url", "payload", "octets", "digest", "kind", "refers"]
+    alone = read_archive(spark, path, True, cells, False).select(*kept)
+    body = read_archive(spark, path, True, cells).select(F.col("page_id").alias("pid"), F.col("digest").alias("sum"), "url", "payload")
+    both = body.join(decided.hint("shuffle_hash"), same("pid", "page_id") & (F.col("sum") == F.col("digest")))
+    return final_records(alone.unionByName(both.select(*kept)))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0) -> tuple[DataFrame, str]:
@@ -173,11 +193,11 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write_archive(response_records(pages, id_col, url_col, body_col), scratch.path("raw"))
-    headers = scratch.save(read_archive(spark, scratch.path("raw"), False).select("page_id", "octets", "digest"), "headers")
-    decided = scratch.save(resolve(headers), "decided")
+    headers = scratch.save(read_archive(spark, scratch.path("raw"), False).select("page_id", "octets", "digest", "mark"), "headers")
+    decided = scratch.save(resolve(headers, least_bytes), "decided")
     once = decided.dropDuplicates(["page_id", "digest"])
-    records = read_archive(spark, scratch.path("raw"))
-    write_archive(deduplicated_records(records, once), scratch.path("dedup"))
+    twice = headers.groupBy("digest").agg(F.first("mark").alias("mark"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    write_archive(deduplicated_records(spark, scratch.path("raw"), once, sketch.key_filter(twice, "mark")), scratch.path("dedup"))
     return decided, scratch.path("dedup")
 
 
