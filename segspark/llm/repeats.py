@@ -72,6 +72,12 @@ def _cuts(bits: int, *sorted_hashes: np.ndarray):
     return some.tolist(), [list(zip(np.searchsorted(x, some, "left").tolist(), np.searchsorted(x, some, "right").tolist(), strict=True)) for x in own]
 
 
+def _ride(size: int, buckets: int) -> list[tuple[int, int]]:
+    """Equal parts: what is settled need not travel by hash and rides with all buckets."""
+    at = np.linspace(0, size, buckets + 1).astype(int).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def _batches(some: list[int], columns, names: list[str]):
     """Rows ``bucket, packed arrays`` of ``(array, cuts)`` columns, 64 buckets at a time."""
     for a in range(0, len(some), 64):
@@ -120,7 +126,8 @@ def anchor_rows(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
             order = np.argsort(h, kind="stable")
             h, k, at = h[order], k[order], at[order]
             known = _in_sorted(h, twice)
-            some, (cp, ch, ck) = _cuts(bits, p, h[~known], h[known])
+            some, (cp, ch) = _cuts(bits, p, h[~known])
+            ck = _ride(int(known.sum()), len(some))
             columns = [(_rest(p, bits), cp), (_rest(h[~known], bits), ch), (k[~known], ch), (at[~known], ch), (k[known], ck), (at[known], ck)]
             yield from _batches(some, columns, ["probes", "mh", "mk", "mp", "hk", "hp"])
 
@@ -134,6 +141,7 @@ def anchor_rows(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
                     continue
                 grams = rolling(w.hashes(), rule.anchor)
                 look, mark = rule.pick(grams, w.first, rule)
+                grams = mix(grams)  # what is picked may favour small hashes; buckets should not
                 probes.append(grams[look])
                 text = np.searchsorted(w.first, mark, "right") - 1
                 mh.append(grams[mark])
@@ -229,10 +237,8 @@ def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
             head[1:] &= ~alike
             one = ~multi
             some, (c1, cm) = _cuts(bits, h1[one], h1[head])
-            # what is known need not travel by hash: it rides with one of the buckets
             kk, pp = k[multi], p[multi]
-            carrier = int(k[0]) % len(some)
-            ride = [(0, len(kk)) if i == carrier else (0, 0) for i in range(len(some))]
+            ride = _ride(len(kk), len(some))
             columns = [(h1[one], c1), (h2[one], c1), (k[one], c1), (p[one], c1), (h1[head], cm), (h2[head], cm), (kk, ride), (pp, ride)]
             yield from _batches(some, columns, ["h1", "h2", "k", "p", "m1", "m2", "hk", "hp"])
 
