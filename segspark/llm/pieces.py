@@ -60,6 +60,8 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         self.score = np.array(scores)
+        # ranks of scores, the greater the better; the last entry, index -1, is for no union
+        self.rank = np.append(np.unique(self.score, return_inverse=True)[1], -1).astype(np.int32)
         self.pairs = dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
         raw = [b""] * len(pieces)
         for p, i in normal.items():
@@ -127,54 +129,57 @@ def merge_one(v: Vocabulary, chars: np.ndarray, key: int, rate: float) -> list[i
 
 
 def merge_many(v: Vocabulary, ids: np.ndarray, size: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Segments as rows of ``ids`` (-1 beyond ``size``): final ids and sizes, one merge a row and round."""
+    """Segments as rows of ``ids`` (-1 beyond ``size``): final ids and sizes, one merge a row and round.
+
+    Rows that are done leave the working arrays, so a round costs what is still to do.
+    """
     n, width = ids.shape
-    ids, size = ids.copy(), size.copy()
-    start = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
-    start = np.minimum(start, size[:, None].astype(np.int16))
+    done_ids, done_size = ids.copy(), size.copy()
+    if width == 1 or not n:
+        return done_ids, done_size
+    column = np.arange(width)
 
     def offers(rows, cols):
         a, b = ids[rows, cols], ids[rows, np.minimum(cols + 1, width - 1)]
         m = v.merge(a, np.where(cols + 1 < size[rows], b, -1))
-        far = start[rows, np.minimum(cols + 2, width)]
-        m[skipped(key[rows], start[rows, cols], far, rate)] = -1
+        m[skipped(key[rows], start[rows, cols], start[rows, np.minimum(cols + 2, width)], rate)] = -1
         return m
 
-    if width == 1:
-        return ids, size
-    rows, cols = np.nonzero(np.arange(width - 1) < (size - 1)[:, None])
+    def close_gap(x, after):
+        x[:, :-1] = np.where(after, x[:, 1:], x[:, :-1])
+
+    # working arrays: ids, bounds of the pieces, and each pair's union with the rank of its score
+    where, ids, size = np.arange(n), ids.copy(), size.copy()
+    start = np.minimum(np.tile(np.arange(width + 1, dtype=np.int16), (n, 1)), size[:, None].astype(np.int16))
+    rows, cols = np.nonzero(column[:-1] < (size - 1)[:, None])
     union = np.full((n, width), -1, np.int32)
     union[rows, cols] = offers(rows, cols)
-    worth = np.append(v.score, -np.inf)
-    value = worth[union]
-    live = np.flatnonzero((union >= 0).any(1))
-    column = np.arange(width)
-    while len(live):
-        best = value[live].argmax(1)
-        m = union[live, best]
-        # close the gap after the merged piece
-        after = column > best[:, None]
-        source = np.minimum(column + after, width - 1)
-        for x, fill in ((ids, -1), (union, -1)):
-            moved = np.take_along_axis(x[live], source, 1)
-            moved[:, -1] = fill
-            x[live] = moved
-        moved = np.take_along_axis(value[live], source, 1)
-        moved[:, -1] = -np.inf
-        value[live] = moved
-        wide = np.arange(width + 1)
-        x = start[live]
-        start[live] = np.take_along_axis(x, np.minimum(wide + (wide > best[:, None]), width), 1)
-        ids[live, best] = m
-        size[live] -= 1
-        union[live, best] = offers(live, best)
-        value[live, best] = worth[union[live, best]]
-        before = best > 0
-        r, c = live[before], best[before] - 1
+    value = v.rank[union]
+    while len(where):
+        best = value.argmax(1)
+        alive = value[np.arange(len(where)), best] >= 0
+        if not alive.all():
+            gone = ~alive
+            done_ids[where[gone]], done_size[where[gone]] = ids[gone], size[gone]
+            where, ids, size, key, start, union, value, best = (x[alive] for x in (where, ids, size, key, start, union, value, best))
+            if not len(where):
+                break
+        row = np.arange(len(where))
+        merged = union[row, best]
+        after = column[:-1] > best[:, None]
+        for x, fill in ((ids, -1), (union, -1), (value, -1)):
+            close_gap(x, after)
+            x[:, -1] = fill
+        close_gap(start, column > best[:, None])
+        ids[row, best] = merged
+        size -= 1
+        union[row, best] = offers(row, best)
+        value[row, best] = v.rank[union[row, best]]
+        r = row[best > 0]
+        c = best[best > 0] - 1
         union[r, c] = offers(r, c)
-        value[r, c] = worth[union[r, c]]
-        live = live[(value[live] > -np.inf).any(1)]
-    return ids, size
+        value[r, c] = v.rank[union[r, c]]
+    return done_ids, done_size
 
 
 def utf8_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,6 +304,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         v = load(model)
 
         def step(batch: pa.RecordBatch):
+            # documents of one variant together: more of their segments are alike
+            batch = batch.take(pa.array(np.argsort(batch.column("variant").to_numpy(), kind="stable")))
             texts = batch.column("text").to_pylist()
             own = batch.column("variant").to_numpy()
             for i, j in _slices(texts):
