@@ -339,13 +339,16 @@ def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: np.nda
     """Edges ``a, b`` between set ids: a spanning forest of all links between different sets."""
     spark = docs.sparkSession
     posts = postings(docs, spark.sparkContext.broadcast(counts), k)  # 4 MB, whatever the input
+    # a set whose copies several tasks read counts once; else its own copies would make buckets, all of one gid
+    posts = posts.groupBy("h", "sid").agg(F.first("n").alias("n"))
     bucket = Window.partitionBy("h")
-    posts = posts.select("h", "sid", "n").withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
+    posts = posts.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
     posts = posts.withColumn("gid", F.xxhash64("size", F.bit_xor(F.xxhash64("sid")).over(bucket), F.bit_xor(F.xxhash64("sid", F.lit(7))).over(bucket)))
-    posts = scratch.save(posts.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.max("size").alias("size")), "posts")
-    # blocks of a large bucket meet pairwise
-    blocks = F.ceil(F.col("size") / BUCKET_DOCS).cast("int")
-    meets = posts.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("own", F.pmod("sid", blocks))
+    posts = scratch.save(posts.groupBy("gid", "sid").agg(F.first("n").alias("n")), "posts")
+    # blocks of a large bucket, by the members it has, meet pairwise
+    large = posts.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    meets = posts.join(large, "gid", "left").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("own", F.pmod("sid", blocks))
     meets = meets.select("gid", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     maps = sets.select("sid", "n", "bits")
     tiles = meets.join(maps, "sid").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")

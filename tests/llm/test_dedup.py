@@ -93,6 +93,34 @@ def test_near_tiles(spark, monkeypatch, budget):
     assert ngram_join.keep_one(docs).count() == len({r.component_id for r in got})
 
 
+def test_near_copies_read_by_several_tasks(spark, monkeypatch):
+    """A set is one member of its buckets however many tasks read it: unrelated texts never share one."""
+    import random
+
+    kept = {}
+    save = Scratch.save
+
+    def spy(self, df, name):
+        out = save(self, df, name)
+        if name == "posts":
+            kept["rows"] = [(r.gid, r.sid) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    r = random.Random(8)
+    texts = [cases.prose(r, 40, 10**6) for _ in range(30)]
+    near = texts[0].split()
+    near[20] = "other"
+    half = [spark.createDataFrame([(i + 100 * k, t) for i, t in enumerate([*texts, " ".join(near)])], "doc_id long, text string").coalesce(1) for k in range(3)]
+    table = [(i + 100 * k, t) for k in range(3) for i, t in enumerate([*texts, " ".join(near)])]
+    got = ngram_join.near_duplicates(half[0].union(half[1]).union(half[2])).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == near_truth(table)
+    members = defaultdict(set)
+    for gid, sid in kept["rows"]:
+        members[gid].add(sid)
+    assert members and len(set.union(*members.values())) == 2 and max(map(len, members.values())) == 2
+
+
 def covered(table, length):
     where = defaultdict(list)
     docs = [(r[1] or "").encode().split() for r in table]
