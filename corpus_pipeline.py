@@ -7,7 +7,7 @@ the last return the columns of ``documents``.
 * ``exact_dedup`` keeps the row with the largest id of equal texts.
 * ``ngram_join`` keeps the document with the least id of each near-duplicate component.
 * ``mixing`` repeats each document as often as the mix to target weights takes it.
-* ``sentencepiece`` gives ids: ``doc_id, n_tokens, ids, lossless``.
+* ``sentencepiece`` gives ids: ``doc_id, n_tokens, ids, lossless``; copies of a document are cut each on its own.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    return pieces.encode(docs, variants=None, copies=True)
 
 
 STAGES = [

@@ -2,10 +2,12 @@
 
 Merge-type (BPE) segmentation of whole texts over a given vocabulary.  The agenda of a segment holds
 every pair of neighbouring pieces whose union is a piece; the best-scored, then leftmost, is merged
-next.  With dropout, a candidate merge is skipped when a hash keyed by seed, variant, segment and the
-candidate's extent falls below the rate: segmentations vary with seed and variant, reruns agree.
+next.  With dropout, a candidate merge is skipped when a hash keyed by seed, document, the segment's
+place in the text and the candidate's extent falls below the rate: every occurrence is cut on its own,
+reruns agree.
 
-All distinct segments of a batch are merged side by side with numpy, one merge of each per round.  No
+Segments of a batch that are equal and skip the same candidates come out alike, so each such kind is
+merged once: all kinds side by side with numpy, one merge of each per round.  No
 piece reaches across a segment's ends (a space after a non-space starts one, and a character without a
 piece is one), so segments are independent.
 
@@ -20,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -29,8 +31,13 @@ from .textkit import U, mix, powers
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Segmentations of the same word in one run; a document has the one that its id's hash names.
+#: Segmentations of the same word in one run of ``encode`` unless it is told to cut every occurrence on its own
+#: (``variants=None``, as the query and the pipeline do); a document has the one that its id's hash names.
 VARIANTS = 4
+#: Hashes of what may begin a piece, and of what may be one, are marked in tables of so many bits.
+MARK_BITS = 22
+#: Candidates whose skips are drawn at once.
+DRAWS = 1 << 20
 #: Characters handled at once; a longer text is handled alone, whole.
 SLICE_CHARS = 1 << 20
 #: Segments up to these lengths are merged together; longer ones one by one.
@@ -38,6 +45,10 @@ WIDTHS = (4, 8, 12, 16, 24, 32)
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def marks(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> U(64 - MARK_BITS)).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces, scores, the table of merges, and bytes of each id."""
 
@@ -63,6 +74,17 @@ class Vocabulary:
         # ranks of scores, the greater the better; the last entry, index -1, is for no union
         self.rank = np.append(np.unique(self.score, return_inverse=True)[1], -1).astype(np.int32)
         self.pairs = dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
+        # marks of the hashes of all unions and of their beginnings, by character ids
+        unions = [p for p in (pieces[i] for i in set(merged)) if (self.char_id[[ord(c) for c in p]] >= 0).all()]
+        size = np.array([len(p) for p in unions], int)
+        self.longest = int(size.max(initial=1))
+        self.begins, self.unions = np.zeros(1 << MARK_BITS, bool), np.zeros(1 << MARK_BITS, bool)
+        own = np.array([[ord(c) for c in p.ljust(self.longest)] for p in unions], int).reshape(len(unions), self.longest)
+        h = np.zeros(len(unions), U)
+        for n in range(self.longest):
+            h = h * U(BASE) + (self.char_id[own[:, n]].astype(np.int64) + 2).astype(U)
+            self.begins[marks(h[size > n])] = True
+            self.unions[marks(h[size == n + 1])] = True
         raw = [b""] * len(pieces)
         for p, i in normal.items():
             raw[i] = p.replace(SPACE, " ").encode()
@@ -97,6 +119,47 @@ def skipped(key: np.ndarray, start: np.ndarray, end: np.ndarray, rate: float) ->
     return h < U(min(int(rate * 2.0**64), (1 << 64) - 1))
 
 
+def extents(v: Vocabulary, chars: np.ndarray, src: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, start and end of every extent that a merge may offer (and, rarely, of one that none does)."""
+    owner = np.repeat(np.arange(len(src)), size)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    h = (chars[src[owner] + start] + 2).astype(U)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for n in range(2, v.longest + 1):
+        live = (start + n <= size[owner]) & v.begins[marks(h)]
+        owner, start, h = owner[live], start[live], h[live]
+        if not len(owner):
+            break
+        h = h * U(BASE) + (chars[src[owner] + start + n - 1] + 2).astype(U)
+        found = v.unions[marks(h)]
+        out.append((owner[found], start[found], start[found] + n))
+    owner, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], start[order], end[order]
+
+
+def kinds(v: Vocabulary, chars: np.ndarray, src: np.ndarray, size: np.ndarray, content: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    """A hash per segment of its content and of the candidates that its key skips: equal ones merge alike."""
+    _, first, back = np.unique(content, return_index=True, return_inverse=True)
+    owner, start, end = extents(v, chars, src[first], size[first])
+    begin = np.searchsorted(owner, np.arange(len(first) + 1))
+    n = np.diff(begin)[back]
+    out = content.copy()
+    upto = np.concatenate(([0], np.cumsum(n)))
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + DRAWS, "right")) - 1)
+        who = np.repeat(np.arange(a, b), n[a:b])
+        at = np.repeat(begin[back[a:b]] - (upto[a:b] - upto[a]), n[a:b]) + np.arange(len(who))
+        drop = np.flatnonzero(skipped(key[who], start[at], end[at], rate))
+        who, at = who[drop], at[drop]
+        if len(who):
+            edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+            out[who[edge]] += np.add.reduceat(mix(start[at].astype(U) << U(32) | end[at].astype(U)), edge)
+        a = b
+    return mix(out)
+
+
 def merge_one(v: Vocabulary, chars: np.ndarray, key: int, rate: float) -> list[int]:
     """One segment by a heap: the agenda as such."""
     ids, size = chars.tolist(), len(chars)
@@ -195,8 +258,11 @@ def utf8_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def encode_texts(v: Vocabulary, texts: list[str], variants: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+def encode_texts(v: Vocabulary, texts: list[str], variants: np.ndarray, rate: float, seed: int, placed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and where each text's begin (and the end).
+
+    Skips are keyed by a text's entry of ``variants`` and a segment's content or, if ``placed``, its place.
+    """
     code = np.frombuffer("".join(SPACE + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.array([len(t) + 1 if t else 0 for t in texts])
     begin = np.cumsum(sizes) - sizes
@@ -219,12 +285,17 @@ def encode_texts(v: Vocabulary, texts: list[str], variants: np.ndarray, rate: fl
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(code)))
     doc = np.searchsorted(begin[full], at, "right") - 1
-    # key of each segment: content, length, variant and seed
+    # key of each segment: content and length, or place, with variant and seed
     inner = np.arange(len(code)) - np.repeat(at, size)
     h = np.add.reduceat((chars + 2).astype(U) * powers(BASE, int(size.max()))[inner], at)
-    h = mix(mix(h + size.astype(U)) + variants[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
+    content = mix(h + size.astype(U))
+    place = mix((at - begin[full][doc]).astype(U)) if placed else content
+    key = mix(place + variants[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
     odd = lost[at]
-    key, first, back = np.unique(h[~odd], return_index=True, return_inverse=True)
+    key, content = key[~odd], content[~odd]
+    kind = key if not placed else content if rate <= 0 else kinds(v, chars, at[~odd], size[~odd], content, key, rate)
+    _, first, back = np.unique(kind, return_index=True, return_inverse=True)
+    key = key[first]
     src, length = at[~odd][first], size[~odd][first]
     counts = np.zeros(len(key), np.int64)
     pieces: list[np.ndarray] = []
@@ -291,25 +362,35 @@ def _slices(texts: list[str]):
         i = j
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = 0, variants: int | None = VARIANTS, copies: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids, lossless``, a row per row of ``docs``; ``lossless``: decoding gave the text back.
 
-    Null and empty texts have no ids.  A row's variant follows from its id (null: 0), so equal texts may
-    be cut differently, repeated rows are cut alike, and so is every rerun.  Extra columns are ignored; an
-    empty table gives no rows.  ``model`` must be readable on every executor.
+    Null and empty texts have no ids.  Without ``variants``, every occurrence of a word is cut on its own,
+    by the row's id (null: its text) and the place in the text; with it, a word has at most so many
+    segmentations, and the row's id names one.  Repeated rows are cut alike, unless ``copies`` numbers the
+    rows that share id and text, and so is every rerun.  Extra columns are ignored; an empty table gives
+    no rows.  ``model`` must be readable on every executor.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(variants)).cast("long").alias("variant"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if copies and variants is not None:
+        raise ValueError("copies are told apart only without variants")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("") if variants is not None else F.col("text")))
+    if copies:
+        alike = Window.partitionBy("id", F.xxhash64("text")).orderBy(F.lit(0))
+        rows = rows.withColumn("copy", F.row_number().over(alike))
+        name = F.xxhash64(name, F.col("copy"))
+    rows = rows.select("id", (name if variants is None else F.pmod(name, F.lit(variants)).cast("long")).alias("variant"), "text")
 
     def make():
         v = load(model)
 
         def step(batch: pa.RecordBatch):
-            # documents of one variant together: more of their segments are alike
-            batch = batch.take(pa.array(np.argsort(batch.column("variant").to_numpy(), kind="stable")))
+            if variants is not None:  # documents of one variant together: more of their segments are alike
+                batch = batch.take(pa.array(np.argsort(batch.column("variant").to_numpy(), kind="stable")))
             texts = batch.column("text").to_pylist()
             own = batch.column("variant").to_numpy()
             for i, j in _slices(texts):
-                ids, offsets = encode_texts(v, texts[i:j], own[i:j], dropout, seed)
+                ids, offsets = encode_texts(v, texts[i:j], own[i:j], dropout, seed, variants is None)
                 data, bounds = decode_ids(v, ids, offsets)
                 data = data.tobytes()
                 same = [data[a:b] == t.encode() for a, b, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts[i:j], strict=True)]
@@ -341,4 +422,4 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), variants=None)

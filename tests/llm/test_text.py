@@ -240,6 +240,27 @@ def test_pieces_are_lossless_and_varied(spark):
     assert pieces.encode(many.where("doc_id < 0")).count() == 0 and pieces.encode(cases.frame(spark)).where("not lossless").count() == 0
 
 
+def test_every_occurrence_is_cut_on_its_own(spark, monkeypatch):
+    """Copies, places and documents vary; sharing equal kinds gives what each segment alone gives."""
+    import corpus_pipeline
+
+    text = "international tokenisation varies between documents considerably " * 20 + "ab" * 40
+    docs = spark.createDataFrame([(i // 3, text) for i in range(60)], "doc_id long, text string")
+    cuts = [tuple(r.ids) for r in corpus_pipeline.tokenise(spark, docs, "").collect()]
+    assert len(set(cuts)) == len(cuts) == 60
+    assert sorted(cuts) == sorted(tuple(r.ids) for r in corpus_pipeline.tokenise(spark, docs.repartition(7), "").collect())
+    v = pieces.load(pieces.MODEL)
+    texts, own = [text, text, "x ▁ 日本 again again", ""], np.array([5, -6, 7, 8])
+    words = [w for w in text.split() if w == "considerably"]
+    ids, at = pieces.encode_texts(v, texts, own, 0.3, 1, True)
+    piece = [bytes(v.raw[a : a + n]) for a, n in zip(v.raw_at, v.raw_size, strict=True)]
+    ways = set(re.findall(rb"(?:(?<=\|)|^)( \|?c\|?o\|?n\|?s\|?i\|?d\|?e\|?r\|?a\|?b\|?l\|?y)(?=\||$)", b"|".join(piece[i] for i in ids[: at[1]])))
+    assert len(words) == 20 and len(ways) > 4
+    monkeypatch.setattr(pieces, "kinds", lambda v, chars, src, size, content, key, rate: key)
+    plain = pieces.encode_texts(v, texts, own, 0.3, 1, True)
+    assert ids.tolist() == plain[0].tolist() and at.tolist() == plain[1].tolist()
+
+
 HTML = ["<p>a</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "x\r\n\r\n\r\n\r\ny", "é日本", "<p>a</p>", "z" * 300000, "\r\n\r\n"]
 
 
