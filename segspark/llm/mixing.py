@@ -47,17 +47,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed:
     return per.select("nil", "src", "source_size", "target", step.alias("step"), shift.alias("shift"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken``, a row per row of ``docs``.
-
-    Null text has size 0; null source is a source of its own, last; null ids come first among equals;
-    identical rows are interchangeable.  An empty table gives no rows, and a table of empty texts
-    takes nothing.  Ranking is two-level: counts per (source, size, cell) give each cell its start, and
-    only a cell of about ``cell_rows`` documents is ordered by one task, however large the source.
-    """
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, prints: list[str], weights, limit: int, seed: int, cell_rows: int) -> DataFrame:
+    """``id, print, nil, src, size, source_size, target, copies``, a row per row; ``print`` hashes the columns ``prints``."""
     scratch = Scratch(docs.sparkSession, "mixing")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("nil"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.xxhash64(*prints).alias("print"), F.when(F.col(id_col).isNull(), text).alias("spread"), F.col(source_col).isNull().alias("nil"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    # a hash of the id deals documents evenly whatever its type or pattern; without one the text does
+    name = F.coalesce(F.col("id").cast("string"), F.col("spread"))
+    sizes = sizes.withColumn("deal", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")).drop("spread")
     sizes = scratch.save(sizes, "sizes")
     targets = source_targets(sizes, weights, limit, seed)
     # number of documents of each source and size, where they start, and how many cells they need
@@ -65,28 +62,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = Window.partitionBy("nil", "src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0).cast("long"))).withColumn("cells", F.ceil(F.col("n") / cell_rows).cast("long"))
     steps = scratch.save(steps.join(targets, ["nil", "src"]), "steps")
-    cell = F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.col("cells"))
-    rows = sizes.join(steps.select("nil", "src", "size", "cells"), ["nil", "src", "size"]).select("nil", "src", "size", "id", cell.alias("cell"))
+    rows = sizes.join(steps.select("nil", "src", "size", "cells"), ["nil", "src", "size"]).select("nil", "src", "size", "id", "print", F.pmod("deal", "cells").alias("cell"))
     key = ["nil", "src", "size", "cell"]
     cells = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("in_cell"))
     upto = Window.partitionBy("nil", "src", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("in_cell").over(upto), F.lit(0).cast("long")))
     cells = cells.join(steps, ["nil", "src", "size"]).select(*key, (F.col("start") + F.col("ahead")).alias("ahead"), "source_size", "target", "step", "shift")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id", "print")))
     rows = rows.join(cells, key)
     # (rank before this one) * step + shift, modulo GRAIN, without overflow
     rank = F.col("ahead") + F.col("nth") - 1
     part = F.pmod(F.pmod("step", F.lit(GRAIN)) * F.pmod(rank, F.lit(GRAIN)) + F.col("shift"), F.lit(GRAIN))
-    copies = F.floor((part + F.col("step")) / GRAIN)
-    out = rows.withColumn("copies", copies)
+    return rows.withColumn("copies", F.floor((part + F.col("step")) / GRAIN))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken``, a row per row of ``docs``.
+
+    Null text has size 0; null source is a source of its own, last; null ids come first among equals; ids
+    may have any type.  Rows with equal id, source and size stand in the order of a hash of the text;
+    identical rows are interchangeable.  An empty table gives no rows, and a table of empty texts takes
+    nothing.  Ranking is two-level: counts per (source, size, cell) give each cell its start, and only a
+    cell of about ``cell_rows`` documents, dealt by a hash of the id, is ordered by one task, however
+    large the source.
+    """
+    out = _planned(docs, id_col, text_col, source_col, [text_col], weights, limit, seed, cell_rows)
     return out.select(F.col("id").alias("doc_id"), F.when(~F.col("nil"), F.col("src")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; rows that share an id must be alike."""
-    i, copies, nth = unused(docs, "mix_id", "mix_copies", "mix_nth")
-    plan = mix(docs, id_col, **kw).where("copies > 0").groupBy(F.col("doc_id").alias(i)).agg(F.max("copies").alias(copies))
-    hit = docs.join(plan.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(i)))
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, limit: int = LIMIT, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it.
+
+    Rows are told apart by id and a hash of all their columns (maps aside), so rows that share an id, or
+    have none, are taken each for itself; of identical rows one stands for all, with their copies summed.
+    """
+    i, hashed, n_rows, copies, nth = unused(docs, "mix_id", "mix_print", "mix_rows", "mix_copies", "mix_nth")
+    prints = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    plan = _planned(docs, id_col, text_col, source_col, prints, weights, limit, seed, cell_rows)
+    plan = plan.groupBy(F.col("id").alias(i), F.col("print").alias(hashed)).agg(F.count(F.lit(1)).alias(n_rows), F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    plan = Scratch(docs.sparkSession, "mixed").save(plan, "plan")
+    match = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(*prints) == F.col(hashed))
+    hit = docs.join(plan.where(F.col(n_rows) == 1).hint("shuffle_hash"), match)
+    repeated = plan.where(F.col(n_rows) > 1)
+    if not repeated.isEmpty():  # saves a pass over the texts, no more
+        hit = hit.unionByName(docs.join(repeated.hint("shuffle_hash"), match).dropDuplicates([i, hashed]))
     return hit.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(nth)).select(*docs.columns)
 
 
@@ -105,7 +124,7 @@ t AS (SELECT nil, src, source_size, least(cap, coalesce(f.level * w, cap)) AS ta
              ('0x' || md5('0:' || nil || src)[1:7])::BIGINT AS shift
       FROM l, f),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size * 268435456)::BIGINT, 805306368) ELSE 0 END AS step FROM t),
-n AS (SELECT *, (row_number() OVER (PARTITION BY nil, src ORDER BY size, coalesce(doc_id, 0) % cells, doc_id NULLS FIRST) - 1)::HUGEINT AS rank
+n AS (SELECT *, (row_number() OVER (PARTITION BY nil, src ORDER BY size, ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % cells, doc_id) - 1)::HUGEINT AS rank
       FROM (SELECT *, ceil(count(*) OVER (PARTITION BY nil, src, size) / 1024.0)::BIGINT AS cells FROM d)),
 k AS (SELECT n.doc_id, n.size, u.source_size, u.target,
              ((rank + 1) * step + shift) // 268435456 - (rank * step + shift) // 268435456 AS copies

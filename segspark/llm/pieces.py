@@ -31,9 +31,6 @@ from .textkit import U, mix, powers
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Segmentations of the same word in one run of ``encode`` unless it is told to cut every occurrence on its own
-#: (``variants=None``, as the query and the pipeline do); a document has the one that its id's hash names.
-VARIANTS = 4
 #: Hashes of what may begin a piece, and of what may be one, are marked in tables of so many bits.
 MARK_BITS = 22
 #: Candidates whose skips are drawn at once.
@@ -258,10 +255,10 @@ def utf8_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def encode_texts(v: Vocabulary, texts: list[str], variants: np.ndarray, rate: float, seed: int, placed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(v: Vocabulary, texts: list[str], own: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and where each text's begin (and the end).
 
-    Skips are keyed by a text's entry of ``variants`` and a segment's content or, if ``placed``, its place.
+    Skips are keyed by the seed, a text's entry of ``own`` and a segment's place in the text.
     """
     code = np.frombuffer("".join(SPACE + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.array([len(t) + 1 if t else 0 for t in texts])
@@ -285,15 +282,15 @@ def encode_texts(v: Vocabulary, texts: list[str], variants: np.ndarray, rate: fl
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(code)))
     doc = np.searchsorted(begin[full], at, "right") - 1
-    # key of each segment: content and length, or place, with variant and seed
+    # key of each segment: document, place and seed
     inner = np.arange(len(code)) - np.repeat(at, size)
     h = np.add.reduceat((chars + 2).astype(U) * powers(BASE, int(size.max()))[inner], at)
     content = mix(h + size.astype(U))
-    place = mix((at - begin[full][doc]).astype(U)) if placed else content
-    key = mix(place + variants[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
+    place = mix((at - begin[full][doc]).astype(U))
+    key = mix(place + own[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
     odd = lost[at]
     key, content = key[~odd], content[~odd]
-    kind = key if not placed else content if rate <= 0 else kinds(v, chars, at[~odd], size[~odd], content, key, rate)
+    kind = content if rate <= 0 else kinds(v, chars, at[~odd], size[~odd], content, key, rate)
     _, first, back = np.unique(kind, return_index=True, return_inverse=True)
     key = key[first]
     src, length = at[~odd][first], size[~odd][first]
@@ -362,35 +359,30 @@ def _slices(texts: list[str]):
         i = j
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = 0, variants: int | None = VARIANTS, copies: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = 0, copies: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids, lossless``, a row per row of ``docs``; ``lossless``: decoding gave the text back.
 
-    Null and empty texts have no ids.  Without ``variants``, every occurrence of a word is cut on its own,
-    by the row's id (null: its text) and the place in the text; with it, a word has at most so many
-    segmentations, and the row's id names one.  Repeated rows are cut alike, unless ``copies`` numbers the
-    rows that share id and text, and so is every rerun.  Extra columns are ignored; an empty table gives
-    no rows.  ``model`` must be readable on every executor.
+    Null and empty texts have no ids.  Every occurrence of a word is cut on its own, by the seed, the row's
+    id (null: its text) and the place in the text.  Repeated rows are cut alike, unless ``copies`` numbers
+    the rows that share id and text, and so is every rerun.  Extra columns are ignored; an empty table
+    gives no rows.  ``model`` must be readable on every executor.
     """
-    if copies and variants is not None:
-        raise ValueError("copies are told apart only without variants")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    name = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("") if variants is not None else F.col("text")))
+    name = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.col("text")))
     if copies:
         alike = Window.partitionBy("id", F.xxhash64("text")).orderBy(F.lit(0))
         rows = rows.withColumn("copy", F.row_number().over(alike))
         name = F.xxhash64(name, F.col("copy"))
-    rows = rows.select("id", (name if variants is None else F.pmod(name, F.lit(variants)).cast("long")).alias("variant"), "text")
+    rows = rows.select("id", name.alias("own"), "text")
 
     def make():
         v = load(model)
 
         def step(batch: pa.RecordBatch):
-            if variants is not None:  # documents of one variant together: more of their segments are alike
-                batch = batch.take(pa.array(np.argsort(batch.column("variant").to_numpy(), kind="stable")))
             texts = batch.column("text").to_pylist()
-            own = batch.column("variant").to_numpy()
+            own = batch.column("own").to_numpy()
             for i, j in _slices(texts):
-                ids, offsets = encode_texts(v, texts[i:j], own[i:j], dropout, seed, variants is None)
+                ids, offsets = encode_texts(v, texts[i:j], own[i:j], dropout, seed)
                 data, bounds = decode_ids(v, ids, offsets)
                 data = data.tobytes()
                 same = [data[a:b] == t.encode() for a, b, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts[i:j], strict=True)]
@@ -422,4 +414,4 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), variants=None)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
