@@ -10,8 +10,9 @@ component is one tile, or, when large, tiles of size-band blocks; within a tile
 sorted shingle arrays decide, and a spanning forest of true links leaves it.  No list of pairs within a
 group is ever emitted, and nothing is capped.
 
-Equal shingle sets are one node throughout, so copies cost nothing.  Shingles and sets are compared by
-64-bit hashes.
+Equal shingle sets are one node throughout, so copies cost nothing.  A set is known by two 64-bit
+hashes: the first names it, and names that two different sets share are made anew from both.  Shingles
+are compared by 64-bit hashes, within a pair of sets.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SHINGLE = 5
 #: Threshold as a fraction: ``DEN * intersection >= NUM * union``.
 NUM, DEN = 75, 100
 #: Documents of a bucket, and shingles of a component, that one tile block holds.
-BUCKET_DOCS = 1 << 17
+BUCKET_DOCS = 1 << 11
 TILE_SHINGLES = 1 << 21
+#: Up to so many documents, by the counts of all shingles, a shingle's sets are counted by one task; beyond, by many.
+HOT_DOCS = 1 << 14
 MAX_BITS = 1 << 15
 FLUSH_ROWS = 1 << 16
 
@@ -51,8 +54,12 @@ def shingle_sets(data, offsets, i, j, k=SHINGLE):
             yield np.zeros(0, U)
 
 
-def set_id(s: np.ndarray) -> int:
-    return int(mix(np.array([np.add.reduce(mix(s + U(0x51))) + U(len(s))], U)).view(np.int64)[0])
+def set_id(s: np.ndarray, salt: int = 0x51) -> int:
+    return int(mix(np.array([np.add.reduce(mix(s + U(salt))) + U(len(s))], U)).view(np.int64)[0])
+
+
+def second_id(s: np.ndarray) -> int:
+    return set_id(s, 0x9E3779B97F4A7C15)
 
 
 def needed(n, m):
@@ -75,7 +82,7 @@ def bitmap(s: np.ndarray, bits: int) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``id, sid, n, bits`` per row of ``(id, text)``, and rows ``slice, blob`` of shingle counts."""
+    """``id, print, sid, sid2, n, bits`` per row of ``(id, print, text)``, and rows ``slice, blob`` of shingle counts."""
     kind = dict(docs.dtypes)["id"]
 
     def make():
@@ -83,19 +90,19 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
-            ids = batch.column("id")
             for i, j in slices(offsets):
                 sets = list(shingle_sets(data, offsets, i, j, k))
                 np.add.at(counts, sketch.cells(np.concatenate(sets)), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, bitmap_bits(len(s))) if len(s) else None for s in sets], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())],
-                    ["id", "sid", "n", "bits", "slice", "blob"],
+                    [batch.column("id").slice(i, j - i), batch.column("print").slice(i, j - i), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([second_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, bitmap_bits(len(s))) if len(s) else None for s in sets], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())],
+                    ["id", "print", "sid", "sid2", "n", "bits", "slice", "blob"],
                 )
 
         def finish():
             i, blobs = sketch.rows_of(counts)
             m = len(i)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids_type[0]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(i, pa.int32()), pa.array(blobs, pa.binary())], ["id", "sid", "n", "bits", "slice", "blob"])
+            none = [pa.nulls(m, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids_type[0]), *none, pa.nulls(m, pa.binary()), pa.array(i, pa.int32()), pa.array(blobs, pa.binary())], ["id", "print", "sid", "sid2", "n", "bits", "slice", "blob"])
 
         ids_type = [pa.int64()]
 
@@ -106,65 +113,71 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         typed.finish = finish
         return typed
 
-    return arrow_map(docs, make, f"id {kind}, sid long, n long, bits binary, slice int, blob binary")
+    return arrow_map(docs, make, f"id {kind}, print long, sid long, sid2 long, n long, bits binary, slice int, blob binary")
 
 
-def postings(docs: DataFrame, counts, k: int = SHINGLE) -> DataFrame:
-    """``h, sid, n`` for every prefix shingle of every distinct set that a task sees."""
+def postings(docs: DataFrame, counts, k: int = SHINGLE, both: bool = False) -> DataFrame:
+    """``h, sid[, sid2], n, hot`` for every prefix shingle of every distinct set that a task sees."""
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         rank = counts.value
+        names = ["h", "sid", *(["sid2"] if both else []), "n", "hot"]
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(offsets):
-                hs, sids, ns = [], [], []
+                hs, sids, seconds, ns = [], [], [], []
                 for s in shingle_sets(data, offsets, i, j, k):
-                    if not len(s) or (sid := set_id(s)) in seen:
+                    if not len(s) or (own := (set_id(s), second_id(s))) in seen:
                         continue
-                    seen.add(sid)
+                    seen.add(own)
                     p = prefix_length(len(s))
                     key = (np.minimum(rank[sketch.cells(s)], 0xFFFFFF).astype(U) << U(40)) | (s >> U(24))
                     hs.append(s[np.argsort(key, kind="stable")[:p]])
-                    sids.append(sid)
+                    sids.append(own[0])
+                    seconds.append(own[1])
                     ns.append(len(s))
                 if hs:
                     reps = [len(x) for x in hs]
-                    h = np.concatenate(hs).view(np.int64)
-                    sid, n = np.repeat(np.array(sids, np.int64), reps), np.repeat(np.array(ns, np.int64), reps)
+                    h = np.concatenate(hs)
+                    columns = [h.view(np.int64), *(np.repeat(np.array(x, np.int64), reps) for x in ((sids, seconds, ns) if both else (sids, ns))), rank[sketch.cells(h)] > HOT_DOCS]
                     for a in range(0, len(h), FLUSH_ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + FLUSH_ROWS]) for x in (h, sid, n)], ["h", "sid", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + FLUSH_ROWS]) for x in columns], names)
 
         return step
 
-    return arrow_map(docs.select("text"), make, "h long, sid long, n long")
+    return arrow_map(docs.select("text"), make, f"h long, sid long, {'sid2 long, ' if both else ''}n long, hot boolean")
 
 
 def shingle_arrays(docs: DataFrame, wanted, k: int = SHINGLE) -> DataFrame:
-    """``sid, arr`` of the sets that may be wanted, once per task."""
+    """``sid, sid2, arr`` of the sets that may be wanted, once per task."""
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         cells_wanted = wanted.value
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(offsets):
-                sids, arrs = [], []
+                sids, seconds, arrs = [], [], []
                 for s in shingle_sets(data, offsets, i, j, k):
                     if not len(s):
                         continue
                     sid = set_id(s)
-                    if sid not in seen and cells_wanted[sketch.cells(np.array([sid], np.int64).view(U))[0]]:
-                        seen.add(sid)
+                    if not cells_wanted[sketch.cells(np.array([sid], np.int64).view(U))[0]]:
+                        continue
+                    sid2 = second_id(s)
+                    if (sid, sid2) not in seen:
+                        seen.add((sid, sid2))
                         sids.append(sid)
+                        seconds.append(sid2)
                         arrs.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(arrs, pa.binary())], ["sid", "arr"])
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(seconds, pa.int64()), pa.array(arrs, pa.binary())], ["sid", "sid2", "arr"])
 
         return step
 
-    return arrow_map(docs.select("text"), make, "sid long, arr binary")
+    return arrow_map(docs.select("text"), make, "sid long, sid2 long, arr binary")
 
 
 # ---------------------------------------------------------------- tiles
@@ -335,43 +348,101 @@ def _true_each(sid, arr):
         yield from true_links(list(once), [np.frombuffer(x, U) for x in once.values()])
 
 
-def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: np.ndarray, k: int = SHINGLE) -> DataFrame:
+def _dealt(own: str, blocks: str, band: str):
+    """Tiles of a member: one for all, or, of several blocks, those in which it meets each block of its and the next bands."""
+    one = F.array(F.struct(F.lit(0).alias("band"), F.lit(0).alias("step"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    own, band = F.col(own), F.col(band)
+    many = F.flatten(F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda t: F.array(
+        F.struct(band.alias("band"), F.lit(0).alias("step"), F.least(own, t).alias("i"), F.greatest(own, t).alias("j")),
+        F.struct(band.alias("band"), F.lit(1).alias("step"), own.alias("i"), t.alias("j")),
+        F.struct((band - 1).alias("band"), F.lit(1).alias("step"), t.alias("i"), own.alias("j")),
+    )))
+    return F.explode(F.when(F.col(blocks) == 1, one).otherwise(many))
+
+
+def _banded(df: DataFrame, name: str) -> DataFrame:
+    """With the size band (sets further than one band apart never link) and the member's own block."""
+    return df.withColumn("size_band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")).withColumn("own", F.pmod(F.xxhash64(name), "blocks").cast("int"))
+
+
+def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: np.ndarray, named, split_names: bool, k: int = SHINGLE) -> DataFrame:
     """Edges ``a, b`` between set ids: a spanning forest of all links between different sets."""
     spark = docs.sparkSession
-    posts = postings(docs, spark.sparkContext.broadcast(counts), k)  # 4 MB, whatever the input
+    posts = named(postings(docs, spark.sparkContext.broadcast(counts), k, split_names))  # 4 MB, whatever the input
     # a set whose copies several tasks read counts once; else its own copies would make buckets, all of one gid
-    posts = posts.groupBy("h", "sid").agg(F.first("n").alias("n"))
-    bucket = Window.partitionBy("h")
-    posts = posts.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
-    posts = posts.withColumn("gid", F.xxhash64("size", F.bit_xor(F.xxhash64("sid")).over(bucket), F.bit_xor(F.xxhash64("sid", F.lit(7))).over(bucket)))
-    posts = scratch.save(posts.groupBy("gid", "sid").agg(F.first("n").alias("n")), "posts")
-    # blocks of a large bucket, by the members it has, meet pairwise
+    posts = posts.groupBy("h", "sid").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
+    members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("sid")), F.bit_xor(F.xxhash64("sid", F.lit(7))))
+    whole = Window.partitionBy("h")
+    cool = posts.where("not hot").select("sid", "n", *(m.over(whole).alias(x) for m, x in zip(members, ("size", "x", "y"), strict=True)))
+    # a shingle that very many sets share: its members are combined before the shuffle, and its rows meet
+    # the result in plain exchanges, which are split at run time
+    hot = posts.where("hot")
+    hot = hot.join(hot.groupBy("h").agg(*(m.alias(x) for m, x in zip(members, ("size", "x", "y"), strict=True))), "h").select("sid", "n", "size", "x", "y")
+    posts = cool.unionByName(hot).where("size > 1").groupBy(F.xxhash64("size", "x", "y").alias("gid"), "sid").agg(F.first("n").alias("n"))
+    posts = scratch.save(posts, "posts")
+    # a large bucket, by the members it has, is dealt in blocks of its size bands, which meet pairwise
     large = posts.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("int").alias("blocks")).where("blocks > 1")
-    blocks = F.coalesce("blocks", F.lit(1))
-    meets = posts.join(large, "gid", "left").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("own", F.pmod("sid", blocks))
-    meets = meets.select("gid", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    maps = sets.select("sid", "n", "bits")
-    tiles = meets.join(maps, "sid").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    maybe = tiles.mapInArrow(_edge_stream(("gid", "i", "j"), _bound_each, ("sid", "n", "bits")), "a long, b long")
+    meets = _banded(posts.join(large, "gid", "left").fillna(1, ["blocks"]), "sid")
+    meets = meets.select("gid", "sid", _dealt("own", "blocks", "size_band").alias("t")).select("gid", "sid", "t.*")
+    key = ("gid", "band", "step", "i", "j")
+    tiles = meets.join(sets.select("sid", "n", "bits"), "sid").repartition(*key).sortWithinPartitions(*key)
+    maybe = tiles.mapInArrow(_edge_stream(key, _bound_each, ("sid", "n", "bits")), "a long, b long")
     groups_ = scratch.save(components(scratch, maybe, "maybe"), "groups")
     scratch.drop("posts")
     # exact tiles of each candidate component
-    wanted = spark.sparkContext.broadcast(sketch.key_filter(groups_, "node"))  # 1 MB
+    wanted = spark.sparkContext.broadcast(_wanted(groups_, sets, split_names))  # 1 MB
     sized = groups_.join(sets.select(F.col("sid").alias("node"), "n"), "node")
     heavy = sized.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("blocks"))
-    sized = sized.join(heavy, "root").withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")).withColumn("own", F.pmod("node", "blocks").cast("int"))
-    one = F.array(F.struct(F.lit(0).alias("band"), F.lit(0).alias("step"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    many = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.array(
-        F.struct(F.col("band").alias("band"), F.lit(0).alias("step"), F.least("own", t).alias("i"), F.greatest("own", t).alias("j")),
-        F.struct(F.col("band").alias("band"), F.lit(1).alias("step"), F.col("own").alias("i"), t.alias("j")),
-        F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("step"), t.alias("i"), F.col("own").alias("j")),
-    )))
-    placed = sized.select(F.col("node").alias("sid"), "root", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)).alias("t")).select("sid", "root", "t.*")
+    placed = _banded(sized.join(heavy, "root"), "node").select(F.col("node").alias("sid"), "root", _dealt("own", "blocks", "size_band").alias("t")).select("sid", "root", "t.*")
     key = ("root", "band", "step", "i", "j")
-    tiles = shingle_arrays(docs, wanted, k).join(placed, "sid").repartition(*key).sortWithinPartitions(*key)
+    arrays = named(shingle_arrays(docs, wanted, k)).select("sid", "arr")
+    tiles = arrays.join(placed, "sid").repartition(*key).sortWithinPartitions(*key)
     return tiles.mapInArrow(_edge_stream(key, _true_each, ("sid", "arr")), "a long, b long")
 
 
+def _wanted(groups_: DataFrame, sets: DataFrame, split_names: bool) -> np.ndarray:
+    """Filter of the first hashes of the sets that have candidates."""
+    if not split_names:
+        return sketch.key_filter(groups_, "node")
+    return sketch.key_filter(groups_.join(sets.select(F.col("sid").alias("node"), "hashed"), "node").select("hashed"), "hashed")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Per row ``id, print, sid, n``, and per set ``sid, root, least``: ``least`` is the first row of the class.
+
+    ``print`` is a hash of the text.  The first row of a class has the least id, null ids last, then the
+    least set and print.  ``sid`` is null for an empty set.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
+    signed = scratch.save(signatures(docs, k), "signed")
+    counts = sketch.merged(signed.where("slice is not null"))
+    rows = signed.where("slice is null").select("id", "print", "sid", "sid2", "n", "bits")
+    full = rows.where("n > 0")
+    # names that different sets share: rare at any size, and then made anew from both hashes
+    shared = scratch.save(full.groupBy("sid").agg(F.min("sid2").alias("lo"), F.max("sid2").alias("hi")).where("lo <> hi").select(F.col("sid").alias("shared")), "shared")
+    split_names = not shared.isEmpty()
+
+    def named(df: DataFrame) -> DataFrame:
+        if not split_names:
+            return df
+        hit = df.join(shared, F.col("sid") == F.col("shared"), "left")
+        return hit.withColumn("sid", F.when(F.col("shared").isNull(), F.col("sid")).otherwise(F.xxhash64("sid", "sid2"))).drop("shared")
+
+    if split_names:
+        full = named(full.withColumn("hashed", F.col("sid")))
+    else:
+        full = full.withColumn("hashed", F.col("sid"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nil"), F.col("id"), F.col("print")))
+    sets = scratch.save(full.groupBy("sid").agg(F.first("hashed").alias("hashed"), F.first("n").alias("n"), F.first("bits").alias("bits"), first.alias("least")), "sets")
+    links = set_links(docs, scratch, sets, counts, named, split_names, k)
+    roots = scratch.save(components(scratch, links, "links"), "roots")
+    # the first row of every component, then of every set
+    of_set = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    of_root = of_set.groupBy("root").agg(F.min(F.struct("least.nil", "least.id", "sid", "least.print")).alias("least"))
+    of_set = scratch.save(of_set.drop("least").join(of_root, "root"), "classes")
+    return named(rows).select("id", "print", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")), of_set
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id``, a row per row of ``docs``.
 
@@ -379,28 +450,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one shingle.  Repeated rows and ties share the least id of their component; null ids are ignored in
     that minimum.  Extra columns are ignored; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "ngram")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(signatures(docs, k), "signed")
-    counts = sketch.merged(signed.where("slice is not null"))
-    rows = signed.where("slice is null").select("id", "sid", "n", "bits")
-    sets = scratch.save(rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("least")), "sets")
-    links = set_links(docs, scratch, sets, counts, k)
-    roots = scratch.save(components(scratch, links, "links"), "roots")
-    # the least document id of every component, then of every set
-    of_set = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    of_root = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = scratch.save(of_set.join(of_root, "root").select("sid", "component_id"), "classes")
+    rows, of_set = classes(docs, id_col, text_col, k, Scratch(docs.sparkSession, "ngram"))
     # one set may hold a third of all rows: plain exchanges on both sides, split at run time
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set, "sid", "left")
+    out = rows.join(of_set.select("sid", F.col("least.id").alias("component_id")), "sid", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, with their columns."""
-    (i,) = unused(docs, "kept_id")
-    kept = near_duplicates(docs, id_col, text_col, k).where(same("doc_id", "component_id")).select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(kept.hint("shuffle_hash"), same(F.col(id_col), F.col(i)), "left_semi")
+    """One row of ``docs`` per near-duplicate component, with its columns.
+
+    The row of least id stays, null ids last; of several with that id, the one of least set and text hash;
+    of rows alike in id and text, any one.  Rows without words are linked with nothing and all stay.
+    """
+    i, hashed, copies = unused(docs, "kept_id", "kept_print", "kept_copies")
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    rows, of_set = classes(docs, id_col, text_col, k, scratch)
+    kept = of_set.groupBy("root").agg(F.first("least").alias("least")).select(F.col("least.id").alias(i), F.col("least.print").alias(hashed))
+    # how many rows are alike in id and text
+    alike = rows.where("n > 0").join(kept.hint("shuffle_hash"), same("id", i) & (F.col("print") == F.col(hashed)), "left_semi")
+    kept = scratch.save(alike.groupBy(F.col("id").alias(i), F.col("print").alias(hashed)).agg(F.count(F.lit(1)).alias(copies)), "kept")
+    match = same(F.col(id_col), F.col(i)) & (F.xxhash64(F.col(text_col)) == F.col(hashed))
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = docs.where(~wordless).join(kept.where(F.col(copies) == 1).hint("shuffle_hash"), match, "left_semi").unionByName(docs.where(wordless))
+    repeated = kept.where(F.col(copies) > 1)
+    if repeated.isEmpty():  # saves a pass over the texts, no more
+        return out
+    return out.unionByName(docs.join(repeated.hint("shuffle_hash"), match).dropDuplicates([i, hashed]).select(*docs.columns))
 
 
 ORACLE = r"""

@@ -121,6 +121,41 @@ def test_near_copies_read_by_several_tasks(spark, monkeypatch):
     assert members and len(set.union(*members.values())) == 2 and max(map(len, members.values())) == 2
 
 
+def kept_truth(table):
+    """Texts that stay: one row a component, rows without words all."""
+    comp = {}
+    sets = [shingles(r[1]) for r in table]
+    links = [(a, b) for a, b in itertools.combinations(range(len(table)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = cases.components(range(len(table)), links)
+    return len({c for i, c in comp.items() if sets[i]}) + sum(not s for s in sets), comp, sets
+
+
+def test_near_keep_one_of_shared_ids(spark):
+    """Rows that share an id, or have none, in one component or several: one row of each stays."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    table = [(1, a), (1, b), (1, a + "x"), (2, b + "y"), (None, c), (None, c + "z"), (None, c), (5, c + "q"), (7, None), (7, ""), (None, "lone row without an id here"), (None, "lone row without an id here")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    n, comp, sets = kept_truth(table)
+    assert len(kept) == n == 6
+    roots = Counter(next(comp[i] for i, t in enumerate(table) if t == k) for k in kept if k[1])
+    assert set(roots.values()) == {1} and (5, c + "q") in kept and Counter(k[0] for k in kept)[7] == 2
+
+
+def test_near_names_that_collide(spark, monkeypatch):
+    """Set names from a tiny range: sets that share one are told apart by the second hash."""
+    plain = ngram_join.set_id
+    monkeypatch.setattr(ngram_join, "set_id", lambda s, salt=0x51: plain(s, salt) % 7 if salt == 0x51 else plain(s, salt))
+    got = ngram_join.near_duplicates(cases.frame(spark)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_truth(cases.rows())
+
+
+def test_near_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_DOCS", 3)
+    got = ngram_join.near_duplicates(cases.frame(spark)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_truth(cases.rows())
+
+
 def covered(table, length):
     where = defaultdict(list)
     docs = [(r[1] or "").encode().split() for r in table]
