@@ -16,26 +16,24 @@ holds about ``BUCKET_BYTES`` worth of text.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
 from .common import Scratch, arrow_map
 from .ngram_join import groups
+from .passages import cut, split
 from .textkit import NOT_SPACE, U, buffers, mix, rolling, slices, words
 
 BUCKET_BYTES = 4 << 20
 #: Words, and entries, that a task gathers before it settles and sends them.
 BATCH = 1 << 20
 KEY_ROWS = 1 << 16
-#: Sizes beyond this are the planner's way to say that it has none.
-UNKNOWN_BYTES = 1 << 55
 
 
 @dataclass(frozen=True)
@@ -51,20 +49,12 @@ class Rule:
     pick: Callable
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """How many bits number the buckets, from the planner's size; a size nobody knows gets a middling number."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > UNKNOWN_BYTES:
-        return 10
+def bucket_bits(docs: DataFrame, text: Column) -> int:
+    """How many bits number the buckets, from the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return int(max(5, np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
 
 
-def positions(first: np.ndarray, span: int) -> np.ndarray:
-    """All positions at which ``span`` words stay within one text."""
-    room = np.maximum(np.diff(first) - span + 1, 0)
-    return np.repeat(first[:-1], room) + (np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room))
-
-
 def _cuts(bits: int, *sorted_hashes: np.ndarray):
     """The buckets that occur, and for each array where each of them begins and ends."""
     own = [(h >> U(64 - bits)).astype(np.int64) for h in sorted_hashes]
@@ -83,7 +73,7 @@ def _batches(some: list[int], columns, names: list[str]):
     for a in range(0, len(some), 64):
         now = range(a, min(a + 64, len(some)))
         packed = [pa.array([x[c[i][0] : c[i][1]].tobytes() for i in now], pa.binary()) for x, c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 64], pa.int32()), *packed], ["bucket", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 64], pa.int64()), *packed], ["bucket", *names])
 
 
 def _rest(h: np.ndarray, bits: int) -> np.ndarray:
@@ -103,7 +93,7 @@ def _twice(sorted_values: np.ndarray) -> np.ndarray:
     return np.unique(sorted_values[1:][sorted_values[1:] == sorted_values[:-1]])
 
 
-ANCHORS = "bucket int, probes binary, mh binary, mk binary, mp binary, hk binary, hp binary"
+ANCHORS = "bucket long, probes binary, mh binary, mk binary, mp binary, hk binary, hp binary"
 
 
 def anchor_rows(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
@@ -178,7 +168,7 @@ def _key_rows(k: np.ndarray, p: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(k[heads[a:b]], pa.int64()), packed], ["key", "at"])
 
 
-PACKS = "bucket int, k binary, p binary"
+PACKS = "bucket long, k binary, p binary"
 
 
 def _packs(k: np.ndarray, p: np.ndarray, bits: int):
@@ -213,7 +203,7 @@ def kept_anchors(rows: DataFrame, bits: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKS)
 
 
-STRETCHES = "bucket int, h1 binary, h2 binary, k binary, p binary, m1 binary, m2 binary, hk binary, hp binary"
+STRETCHES = "bucket long, h1 binary, h2 binary, k binary, p binary, m1 binary, m2 binary, hk binary, hp binary"
 
 
 def stretch_rows(bodies: DataFrame, rule: Rule, bits: int) -> DataFrame:
@@ -294,49 +284,16 @@ def repeated_stretches(rows: DataFrame, bits: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKS)
 
 
-def split(docs: DataFrame, wanted) -> DataFrame:
-    """Documents without a kept anchor are done: ``n_words, sha``; the others keep their text."""
-
-    def make():
-        cells = wanted.value
-
-        def step(batch: pa.RecordBatch):
-            keys = batch.column("key").to_numpy()
-            maybe = cells[sketch.cells(keys.view(U))] if len(keys) else np.zeros(0, bool)
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            n, sha, text = [], [], []
-            for r, m in zip(raw, maybe, strict=True):
-                ws = None if m else r.split()
-                n.append(None if m else len(ws))
-                sha.append(None if m else hashlib.sha256(b" ".join(ws)).hexdigest())
-                text.append(r if m else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string())], ["id", "key", "n_words", "sha", "text"])
-
-        return step
-
-    return arrow_map(docs, make, f"id {dict(docs.dtypes)['id']}, key long, n_words long, sha string, text string")
-
-
 def cleaned(found: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     """Rows ``(id, text, at)`` without the words of the stretches that start at ``at``."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            n, gone, sha, spans, kept = [], [], [], [], []
+            rows = []
             for raw, at in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("at").to_pylist(), strict=True):
-                ws = raw.split()
-                delta = np.zeros(len(ws) + 1, np.int64)
                 at = np.frombuffer(at or b"", np.int32)
-                np.add.at(delta, at, 1)
-                np.add.at(delta, at + rule.length, -1)
-                cover = np.cumsum(delta[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], cover.astype(np.int8), [0]))))
-                body = b" ".join(x for x, c in zip(ws, cover.tolist(), strict=True) if not c) if cover.any() else b" ".join(ws)
-                n.append(len(ws))
-                gone.append(int(cover.sum()))
-                sha.append(hashlib.sha256(body).hexdigest())
-                spans.append(edge.tolist())
-                kept.append(body if with_text else None)
+                rows.append(cut(raw, at, at + rule.length, with_text))
+            n, gone, sha, spans, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "sha", "spans", "kept"])
 
         return step
@@ -353,8 +310,8 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str, wit
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, tag)
-    bits = bucket_bits(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    bits = bucket_bits(docs, text)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     hits = scratch.save(by_key(kept_anchors(anchor_rows(rows, rule, bits), bits)), "anchors")
     wanted = np.ones(sketch.CELLS, bool) if with_text else sketch.key_filter(hits, "key")

@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Rule, positions, without_repeats
+from .repeats import Rule, without_repeats
+from .textkit import positions
 
 WINDOW = 35
 

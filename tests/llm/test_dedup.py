@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from segspark.llm import embed_dedup, exact_dedup, ngram_join, repeats, substring_dedup, suffix_dedup
 from segspark.llm.common import Scratch, components
@@ -170,12 +171,58 @@ def covered(table, length):
     return sorted((str(table[d][0]), len(ws), len(gone[d]), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone[d])).hexdigest()) for d, ws in enumerate(docs))
 
 
-@pytest.mark.parametrize("make,length", [(substring_dedup.substring_dedup, 35), (suffix_dedup.suffix_dedup, 50)])
+def removed(rows):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows)
+
+
 @pytest.mark.parametrize("batch", [1 << 20, 500])
-def test_passages(spark, monkeypatch, make, length, batch):
+def test_substrings(spark, monkeypatch, batch):
     monkeypatch.setattr(repeats, "BATCH", batch)
-    got = make(cases.frame(spark)).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == covered(cases.rows(), length)
+    assert removed(substring_dedup.substring_dedup(cases.frame(spark)).collect()) == covered(cases.rows(), 35)
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_suffixes(spark, monkeypatch, chunk):
+    """Whole partitions compared at once, and three suffixes at a time."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    assert removed(suffix_dedup.suffix_dedup(cases.frame(spark)).collect()) == covered(cases.rows(), 50)
+
+
+def test_suffixes_of_periodic_texts(spark):
+    """Long periods, one of them with a fault, and the same passage behind many different beginnings."""
+    import random
+
+    r = random.Random(4)
+    passage = cases.prose(r, 70, 10**6)
+    texts = ["tick tock " * 300, "tick " * 200, "tick tock " * 60 + "fault " + "tick tock " * 60, " ".join(f"p{i % 37}" for i in range(400)), " ".join(f"p{i % 37}" for i in range(5, 250))]
+    texts += [f"{cases.prose(r, r.randrange(40), 9)} {passage} {cases.prose(r, r.randrange(40), 9)}" for _ in range(30)]
+    texts += [passage + " " + " ".join(passage.split()[k:]) for k in range(0, 40, 7)] + ["w" * 5000 + " " + passage + " " + "é" * 3000, "w" * 5000 + " " + passage + " " + "é" * 3000 + " end"]
+    table = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (None, passage)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    assert removed(suffix_dedup.suffix_dedup(docs).collect()) == covered(table, 50)
+    assert removed(substring_dedup.substring_dedup(docs).collect()) == covered(table, 35)
+
+
+def test_shared_words():
+    import pyarrow as pa
+
+    texts = [b"a b c ", b"a b cd ", b"a b cd e ", b"", b"", b"x ", b"x ", b"y "]
+    assert suffix_dedup.shared_words(pa.array(texts, pa.binary())).tolist() == [2, 3, 0, 0, 0, 1, 0]
+
+
+def test_buckets_of_any_number(monkeypatch):
+    """Bucket numbers beyond 32 bits pass through the packed rows."""
+    h = np.array([1 << 63, (1 << 63) + 5, (1 << 64) - 1], np.uint64)
+    some, (cut,) = repeats._cuts(34, h)
+    rows = [b for batch in repeats._batches(some, [(h, cut)], ["x"]) for b in batch.column("bucket").to_pylist()]
+    assert rows == [1 << 33, (1 << 34) - 1]
+
+
+def test_size_comes_from_the_texts(spark):
+    """A plan whose size the planner does not know has as many buckets as its texts ask for."""
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('word ', 40) AS text")
+    joined = docs.join(docs.select("doc_id").withColumnRenamed("doc_id", "k"), F.col("doc_id") < F.col("k")).where("k = doc_id + 1").select("doc_id", "text")
+    assert repeats.bucket_bits(joined, F.col("text")) == repeats.bucket_bits(docs, F.col("text")) == 5
 
 
 @pytest.mark.parametrize("seed", range(3))
