@@ -1,9 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is 64 consecutive words, one every 32 words, so any notice of up to 33 words lies whole in some
-block.  A template is found in a block that contains at least the threshold share of its distinct
-words.  The words of all templates are ordered by how often they occur in the whole corpus, rarest
-first; then
+Templates fall into classes by length.  A class has blocks of ``2 * step`` words, one every ``step``
+words, where ``step`` is at least the longest of its templates: a notice of up to ``step`` words lies whole
+in some block, however long the template.  A template is found in a block that contains at least the
+threshold share of its distinct words.  The words of all templates are ordered by how often they occur
+in the whole corpus, rarest first; then
 
 * prefix: such a block contains one of the template's first ``n - need + 1`` words;
 * length: it has at least ``need`` words;
@@ -14,31 +15,39 @@ Only blocks that pass are compared, so the scan finds every block that meets the
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
+from .license_texts import NOTICES
 from .textkit import ALNUM, U, buffers, slices, words
 
-BLOCK, STEP = 64, 32
+#: Least step of the blocks; longer classes double it.
+STEP = 32
 THRESHOLD = 0.9
 #: Phrases that the scan always looks for, with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices of public licenses, as words.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def plain_words(text: str) -> list[str]:
+    """Words of a text, A-Z in lower case."""
+    return WORD.findall(text.translate({c: c + 32 for c in range(0x41, 0x5B)}))
+
+
+TEMPLATES = tuple((label, " ".join(plain_words(text))) for label, text in NOTICES)
+
+
+def step_of(text: str) -> int:
+    """The step of a template's class."""
+    step = STEP
+    while step < len(plain_words(text)):
+        step *= 2
+    return step
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -97,10 +106,10 @@ def frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> np.ndarray
 
 
 class Templates:
-    """Templates as vocabulary numbers, rarest word first, and their prefix index."""
+    """The templates of one class as vocabulary numbers, rarest word first, and their prefix index."""
 
-    def __init__(self, templates, vocab: np.ndarray, counts: np.ndarray, threshold: float):
-        self.labels = [x for x, _ in templates]
+    def __init__(self, templates, step: int, vocab: np.ndarray, counts: np.ndarray, threshold: float):
+        self.labels, self.step, self.block = [x for x, _ in templates], step, 2 * step
         rank = np.lexsort((np.arange(len(vocab)), counts)).argsort()
         self.words, self.need = [], []
         self.index: dict[int, list[tuple[int, int]]] = {}
@@ -116,52 +125,57 @@ class Templates:
         self.prefix[list(self.index)] = True
 
     def join(self, at: np.ndarray, code: np.ndarray, n: int) -> dict[int, tuple[float, list[int]]]:
-        """Templates found among a text's ``n`` words, given its vocabulary words: best share and blocks."""
+        """Templates found among a text's ``n`` words, given its vocabulary words: best share and first words of blocks."""
         found: dict[int, tuple[float, list[int]]] = {}
-        seen: set[tuple[int, int]] = set()
-        last = max(0, -(-(n - STEP) // STEP) - 1)
-        for p, c in zip(at[self.prefix[code]].tolist(), code[self.prefix[code]].tolist(), strict=True):
-            for block in {max(0, p // STEP - 1), min(p // STEP, last)}:
-                start = block * STEP
-                size = min(n - start, BLOCK)
-                if not start <= p < start + size:
-                    continue
-                held = None
-                for t, place in self.index[c]:
-                    need, total = self.need[t], len(self.words[t])
-                    if (block, t) in seen or size < need or total - place < need:
-                        continue
-                    if held is None:
-                        lo, hi = np.searchsorted(at, (start, start + size))
-                        held = set(code[lo:hi].tolist())
-                    # judged once, from its first word that the block contains
-                    if any(w in held for w in self.words[t][:place]):
-                        continue
-                    seen.add((block, t))
-                    share = sum(w in held for w in self.words[t])
-                    if share >= need:
-                        best, blocks = found.get(t, (0.0, []))
-                        found[t] = (max(best, share / total), [*blocks, block])
+        last = max(0, -(-(n - self.step) // self.step) - 1)
+        near = self.prefix[code]
+        # which blocks hold which words of the index, once each
+        p, c = at[near] // self.step, code[near]
+        pairs = np.unique(np.stack((np.concatenate((np.maximum(p - 1, 0), np.minimum(p, last))), np.concatenate((c, c)))), axis=1)
+        edges = np.flatnonzero(np.diff(pairs[0], prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            start = int(pairs[0, lo]) * self.step
+            size = min(n - start, self.block)
+            open_ = {t for c in pairs[1, lo:hi].tolist() for t, place in self.index[c] if size >= self.need[t] and len(self.words[t]) - place >= self.need[t]}
+            if not open_:
+                continue
+            a, b = np.searchsorted(at, (start, start + size))
+            held = set(code[a:b].tolist())
+            for t in open_:
+                share = len(held.intersection(self.words[t]))
+                if share >= self.need[t]:
+                    best, blocks = found.get(t, (0.0, []))
+                    found[t] = (max(best, share / len(self.words[t])), [*blocks, start])
         return found
 
 
+def by_class(templates) -> list[tuple[int, list]]:
+    """Step and templates of every class."""
+    out: dict[int, list] = {}
+    for label, text in templates:
+        out.setdefault(step_of(text), []).append((label, text))
+    return sorted(out.items())
+
+
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<long>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``, a row per row of ``docs``.
 
-    ``blocks`` are the numbers of the blocks in which a template was found.  ``score`` is 1 where a phrase
-    stands, else the best share of a found template, else 0.  Null, empty and wordless texts have no
+    ``blocks`` are the first words of the blocks in which a template was found.  ``score`` is 1 where a
+    phrase stands, else the best share of a found template, else 0.  Null, empty and wordless texts have no
     labels: empty strings, score 0, null places.  Repeated rows get equal rows; extra columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows.  A template without words raises.
     """
+    if any(not plain_words(text) for _, text in templates):
+        raise ValueError("a template has no words")
     vocab = vocabulary(templates)
     counts = frequencies(docs, text_col, vocab)
     spelled = [(word_hashes(p), label) for p, label in phrases]
 
     def make():
-        find, join = Finder(vocab), Templates(templates, vocab, counts, threshold)
+        find, joins = Finder(vocab), [Templates(own, step, vocab, counts, threshold) for step, own in by_class(templates)]
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
@@ -181,15 +195,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                         base.setdefault(d, []).append((p, label))
                 at, code = find(h)
                 cut = np.searchsorted(at, first)
-                busy = set((np.searchsorted(first, at[join.prefix[code]], "right") - 1).tolist())
+                busy = [set((np.searchsorted(first, at[x.prefix[code]], "right") - 1).tolist()) for x in joins]
                 rows = []
                 for d in range(j - i):
-                    got = join.join(at[cut[d] : cut[d + 1]] - first[d], code[cut[d] : cut[d + 1]], n[d]) if d in busy else {}
+                    got = {(k, t): f for k, x in enumerate(joins) if d in busy[k] for t, f in x.join(at[cut[d] : cut[d + 1]] - first[d], code[cut[d] : cut[d + 1]], n[d]).items()}
                     own = base.get(d, [])
                     names = {x for _, x in own}
                     places = [p for p, _ in own]
                     share = 1.0 if own else max((s for s, _ in got.values()), default=0.0)
-                    rows.append((n[d], len(own), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(names | {join.labels[t] for t in got})), share, sorted({b for _, bs in got.values() for b in bs})))
+                    rows.append((n[d], len(own), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(names | {joins[k].labels[t] for k, t in got})), share, sorted({b for _, bs in got.values() for b in bs})))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), *cols], ["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
@@ -211,12 +225,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translat
 b AS (SELECT r, doc_id, ws, """
     + ", ".join(f"{_phrase_sql(p)} AS p{i}" for i, (p, _) in enumerate(PHRASES))
     + r""" FROM d),
-k AS (SELECT r, list_distinct(ws[s + 1:s + 64]) AS ws FROM (SELECT r, ws, unnest(range(0, greatest(1, len(ws) - 32), 32)) AS s FROM d)),
 t AS (SELECT unnest(["""
-    + ", ".join(f"{{'label': {x!r}, 'ws': {sorted(set(t.split()))!r}}}" for x, t in TEMPLATES)
+    + ", ".join(f"{{'label': {x!r}, 'step': {step_of(t)}, 'ws': {sorted(set(t.split()))!r}}}" for x, t in TEMPLATES)
     + r"""]) AS t),
-m AS (SELECT r, t.label AS label, max(len(list_intersect(k.ws, t.ws)) / len(t.ws)::DOUBLE) AS share FROM k, t
-      WHERE len(list_intersect(k.ws, t.ws)) >= ceil(0.9 * len(t.ws) - 1e-9) GROUP BY r, t.label),
+c AS (SELECT DISTINCT t.step AS step FROM t),
+k AS (SELECT r, step, list_distinct(ws[s + 1:s + 2 * step]) AS ws FROM (SELECT r, ws, step, unnest(range(0, greatest(1, len(ws) - step), step)) AS s FROM d, c)),
+m AS (SELECT r, t.label AS label, max(len(list_intersect(k.ws, t.ws)) / len(t.ws)::DOUBLE) AS share FROM k JOIN t ON t.step = k.step
+      WHERE len(k.ws) >= ceil(0.9 * len(t.ws) - 1e-9) AND len(list_intersect(k.ws, t.ws)) >= ceil(0.9 * len(t.ws) - 1e-9) GROUP BY r, t.label),
 g AS (SELECT r, list(label) AS ls, max(share) AS share FROM m GROUP BY r),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, list_concat(p0, list_concat(p1, p2)) AS ps,
         list_filter(["""
