@@ -6,7 +6,9 @@ digest answers for the others, and deduplicated archives are written in which th
 records with fresh headers and no payload.
 
 Archives are text files whose line separator is the blank line that ends a record, so Spark's own
-writer puts them in any store it can reach; they are gzip-compressed as a whole.
+writer and reader move them in any store they can reach; they are gzip-compressed as a whole.  Reading is
+a stream: the pieces between blank lines are joined again until a record has the length its header states,
+so a task holds one record, however large the archive.
 """
 
 from __future__ import annotations
@@ -14,20 +16,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.ship import ensure
+
 from . import sketch
-from .common import Scratch, arrow_map, same
+from .common import Scratch, same
 
 CRLF = "\r\n"
+END = b"\r\n\r\n"
+#: Pages carry no time of capture.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file, so that a file is read whole by one task.
+HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "
+#: Records in one archive file: so many share a task when they are read.
 FILE_RECORDS = 2000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -44,53 +51,76 @@ def _header(lines: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *rows, F.lit(CRLF))
 
 
-def _urn(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+def _urn(page: Column, digest: Column, stage: str) -> Column:
+    """A record's name: page, payload and, as every archive has records of its own, the archive's stage."""
+    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), digest, F.lit(f":{stage}>"))
 
 
 def _clean(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7F]+", "")
 
 
+def _block(body: Column) -> Column:
+    """What a response record holds: an HTTP response with the payload."""
+    return F.concat(F.lit(HTTP), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body)
+
+
 def response_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """One column ``value``: a response record per row, without the blank line that ends it."""
     body = F.coalesce(F.col(body_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), _clean(F.col(url_col)).alias("url"), digest32(F.sha1(body)).alias("digest"), _block(body).alias("block"))
     head = _header([
         ("WARC-Type", F.lit("response")),
-        ("WARC-Record-ID", _urn(F.col(id_col))),
+        ("WARC-Record-ID", _urn(F.col("page_id"), F.col("digest"), "captured")),
         ("WARC-Date", F.lit(DATE)),
-        ("WARC-Target-URI", _clean(F.col(url_col))),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest32(F.sha1(body)))),
-        ("Content-Type", F.lit("text/html; charset=utf-8")),
-        ("Content-Length", F.octet_length(body).cast("string")),
+        ("WARC-Target-URI", F.col("url")),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        ("Content-Type", F.lit("application/http; msgtype=response")),
+        ("Content-Length", F.octet_length("block").cast("string")),
     ])
-    return pages.select(F.concat(head, body).alias("value"))
+    return rows.select(F.concat(head, "block").alias("value"))
 
 
 def write_archive(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
     records.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse(data: bytes):
-    """``(headers, start, end)`` of each record; payloads are taken by length, whatever they hold."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {lines[0][:40]!r}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        start = stop + 4
-        end = start + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end with a blank line")
-        yield head, start, end
-        at = end + 4
-
-
-READ = "page_id long, url string, kind string, digest string, octets long, refers long, payload string, mark long"
-FIELDS = ("page_id", "url", "kind", "digest", "octets", "refers", "payload", "mark")
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """``(headers, block)`` of each record of archives that come as what stands between their blank lines.
+
+    Blocks are taken by length, whatever they hold; a record that does not begin or end as it should raises.
+    """
+    data, at, head, need = bytearray(), 0, None, 0
+    for piece in pieces:
+        data += piece
+        data += END
+        while True:
+            if head is None:
+                stop = data.find(END, at)
+                if stop < 0:
+                    break
+                lines = data[at:stop].decode("utf-8").split(CRLF)
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no record here: {lines[0][:40]!r}")
+                head = dict(line.split(": ", 1) for line in lines[1:])
+                at, need = stop + 4, int(head["Content-Length"])
+            if len(data) - at < need + 4:
+                break
+            if data[at + need : at + need + 4] != END:
+                raise ValueError(f"{head.get('WARC-Record-ID')} does not end with a blank line")
+            yield head, bytes(data[at : at + need])
+            at, head = at + need + 4, None
+        if at > 1 << 16 or at == len(data):
+            del data[:at]
+            at = 0
+    if head is not None or at < len(data):
+        raise ValueError("an archive ends within a record")
+
+
+READ = "page_id long, url string, kind string, digest string, octets long, refers long, refers_url string, payload string, mark long"
+FIELDS = tuple(x.split()[0] for x in READ.split(", "))
 ROWS = 512
+ROW_BYTES = 8 << 20
 
 
 def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bool = True) -> DataFrame:
@@ -102,71 +132,76 @@ def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bo
     """
 
     def number(urn: str | None):
-        m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+        m = re.match(r"<urn:page:(-?\d+)[:>]", urn or "")
         return int(m[1]) if m else None
 
-    def make():
-        def step(batch: pa.RecordBatch):
-            wanted = shared.value if shared else None
-            for raw in batch.column("content"):
-                data = zlib.decompress(raw.as_buffer(), 31)
-                rows: list[tuple] = []
-                for head, start, end in parse(data):
-                    body = data[start:end]
-                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                    revisit = head["WARC-Type"] == "revisit"
-                    mark = int.from_bytes(base64.b32decode(digest)[:8], "big", signed=True)
-                    if wanted is not None and wanted[sketch.cells(np.array([mark], np.int64).view(np.uint64))[0]] != among:
-                        continue
-                    if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                        raise ValueError(f"payload of {head.get('WARC-Record-ID')} does not have its digest")
-                    rows.append((number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", end - start)), number(head.get("WARC-Refers-To")), body.decode("utf-8") if payloads else None, mark))
-                    if len(rows) == ROWS:
-                        yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
-
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(FIELDS))
-
-        return step
-
-    return arrow_map(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"), make, READ)
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(FIELDS))
+
+    def run(batches):
+        wanted = shared.value if shared else None
+        pieces = (x.as_py() for batch in batches for x in batch.column("value").cast(pa.binary()))
+        rows: list[tuple] = []
+        held = 0
+        for head, block in parse(pieces):
+            digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+            revisit = head["WARC-Type"] == "revisit"
+            mark = int.from_bytes(base64.b32decode(digest)[:8], "big", signed=True)
+            if wanted is not None and wanted[sketch.cells(np.array([mark], np.int64).view(np.uint64))[0]] != among:
+                continue
+            body = block if revisit else block[block.index(END) + 4 :]
+            if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                raise ValueError(f"payload of {head.get('WARC-Record-ID')} does not have its digest")
+            rows.append((number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", len(body))), number(head.get("WARC-Refers-To")), head.get("WARC-Refers-To-Target-URI"), body.decode("utf-8") if payloads else None, mark))
+            held += len(body) if payloads else 0
+            if len(rows) == ROWS or held > ROW_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    ensure(spark)
+    # a compressed file is never split, so every record is whole within a task
+    pieces = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").schema("value string").text(path)
+    return pieces.mapInArrow(run, READ)
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, octets, digest, kind, refers`` from ``page_id, octets, digest``.
+    """``page_id, octets, digest, kind, refers, refers_url`` from ``page_id, url, octets, digest``.
 
     Of records with equal payloads of at least ``least_bytes``, the one with the least id is the
     response.  Only headers move; minima are combined before the shuffle, and the join sides are plain
     exchanges, so a digest that a third of all records share is split at run time.
     """
-    firsts = headers.where(F.col("octets") >= least_bytes).groupBy("digest", "octets").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = Scratch(headers.sparkSession, "warc-firsts").save(firsts.where("n > 1").drop("n"), "firsts")
+    firsts = headers.where(F.col("octets") >= least_bytes).groupBy("digest", "octets").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.where("n > 1").select("digest", "octets", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    firsts = Scratch(headers.sparkSession, "warc-firsts").save(firsts, "firsts")
     out = headers.join(firsts, ["digest", "octets"], "left")
     again = F.col("first").isNotNull() & ~same("first", "page_id")
-    return out.select("page_id", "octets", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"))
+    return out.select("page_id", "octets", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def final_records(rows: DataFrame) -> DataFrame:
-    """Records of ``page_id, url, payload, octets, digest, kind, refers``: payloads of responses, fresh headers for all."""
+    """Records of ``page_id, url, payload, octets, digest, kind, refers, refers_url``: payloads of responses, fresh headers for all."""
     revisit = F.col("kind") == "revisit"
+    rows = rows.withColumn("block", F.when(revisit, F.lit("")).otherwise(_block(F.col("payload"))))
     head = _header([
         ("WARC-Type", F.col("kind")),
-        ("WARC-Record-ID", _urn(F.col("page_id"))),
+        ("WARC-Record-ID", _urn(F.col("page_id"), F.col("digest"), "resolved")),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Target-URI", F.col("url")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("WARC-Refers-To", F.when(revisit, _urn(F.col("refers")))),
+        ("WARC-Refers-To", F.when(revisit, _urn(F.col("refers"), F.col("digest"), "resolved"))),
+        ("WARC-Refers-To-Target-URI", F.when(revisit, F.col("refers_url"))),
+        ("WARC-Refers-To-Date", F.when(revisit, F.lit(DATE))),
         ("X-Payload-Length", F.when(revisit, F.col("octets").cast("string"))),
-        ("Content-Type", F.when(~revisit, F.lit("text/html; charset=utf-8"))),
-        ("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("octets").cast("string"))),
+        ("Content-Type", F.when(~revisit, F.lit("application/http; msgtype=response"))),
+        ("Content-Length", F.octet_length("block").cast("string")),
     ])
-    return rows.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
+    return rows.select(F.concat(head, "block").alias("value"))
 
 
 def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarray) -> DataFrame:
@@ -176,7 +211,7 @@ def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarra
     in a join.  ``shared`` has 1 MB whatever the input, and an entry too many costs a row in the join.
     """
     cells = spark.sparkContext.broadcast(shared)
-    kept = ["page_id", "url", "payload", "octets", "digest", "kind", "refers"]
+    kept = ["page_id", "url", "payload", "octets", "digest", "kind", "refers", "refers_url"]
     alone = read_archive(spark, path, True, cells, False).select(*kept)
     body = read_archive(spark, path, True, cells).select(F.col("page_id").alias("pid"), F.col("digest").alias("sum"), "url", "payload")
     both = body.join(decided.hint("shuffle_hash"), same("pid", "page_id") & (F.col("sum") == F.col("digest")))
@@ -193,7 +228,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write_archive(response_records(pages, id_col, url_col, body_col), scratch.path("raw"))
-    headers = scratch.save(read_archive(spark, scratch.path("raw"), False).select("page_id", "octets", "digest", "mark"), "headers")
+    headers = scratch.save(read_archive(spark, scratch.path("raw"), False).select("page_id", "url", "octets", "digest", "mark"), "headers")
     decided = scratch.save(resolve(headers, least_bytes), "decided")
     once = decided.dropDuplicates(["page_id", "digest"])
     twice = headers.groupBy("digest").agg(F.first("mark").alias("mark"), F.count(F.lit(1)).alias("n")).where("n > 1")

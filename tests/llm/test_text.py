@@ -117,14 +117,18 @@ LICENSED = [
 ]
 
 
-def scan_slow(t):
+def scan_slow(t, templates=license_scan.TEMPLATES):
+    """All blocks of every template's class against the template's set of words."""
     ws = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", cases.lower(t))
     base = [(i, label) for p, label in license_scan.PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
     found, share = {x for _, x in base}, 0.0
-    for s in range(0, max(1, len(ws) - license_scan.STEP), license_scan.STEP):
-        block = set(ws[s : s + license_scan.BLOCK])
-        for label, text in license_scan.TEMPLATES:
-            own = set(text.split())
+    for label, text in templates:
+        own = set(text.split())
+        step = 32
+        while step < len(text.split()):
+            step *= 2
+        for s in range(0, max(1, len(ws) - step), step):
+            block = set(ws[s : s + 2 * step])
             if len(own & block) >= license_scan.need_of(len(own), license_scan.THRESHOLD):
                 found.add(label)
                 share = max(share, len(own & block) / len(own))
@@ -144,6 +148,33 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.where("doc_id < 0")).count() == 0
 
 
+def test_license_texts_of_any_length(spark):
+    """Whole public texts with a few words changed, behind prose of all lengths, and a template of 100 words."""
+    import random
+
+    from segspark.llm import license_texts
+
+    r, texts, want = random.Random(3), [], []
+    for label, text in (("mit", license_texts.MIT), ("bsd", license_texts.BSD_3), ("apache-2", license_texts.APACHE_2), ("isc", license_texts.ISC)):
+        for ahead in (0, 1, 31, 33, 200, 1023, 1900):
+            ws = text.split()
+            for _ in range(len(ws) // 60):
+                ws[r.randrange(len(ws))] = "altered"
+            texts.append(cases.prose(r, ahead, 900) + " " + " ".join(ws) + " " + cases.prose(r, r.randrange(300), 900))
+            want.append(label)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan(docs).collect()
+    for q in rows:
+        assert want[q.doc_id] in q.labels.split(",") and q.score >= 0.9, (want[q.doc_id], q.labels)
+        assert q.labels == scan_slow(texts[q.doc_id])[5]
+    own = (("long", " ".join(f"term{i}" for i in range(100))),)
+    docs = spark.createDataFrame([(i, "filler " * i + own[0][1] + " filler" * 50) for i in range(0, 200, 17)], "doc_id long, text string")
+    got = license_scan.scan(docs, templates=own)
+    assert {(q.labels, q.score) for q in got.collect()} == {("long", 1.0)}
+    with pytest.raises(ValueError):
+        license_scan.scan(docs, templates=(("none", "..."),))
+
+
 def test_mixing(spark):
     got = mixing.mix(cases.frame(spark)).collect()
     table = cases.rows()
@@ -362,7 +393,7 @@ def test_pieces_match_slow(rate):
         assert ids[at[i] : at[i + 1]].tolist() == slow_pieces(proc, t, int(own[i]), rate, table), t
 
 
-HTML = ["<p>a</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "x\r\n\r\n\r\n\r\ny", "é日本", "<p>a</p>", "z" * 300000, "\r\n\r\n"]
+HTML = ["<p>a</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "x\r\n\r\n\r\n\r\ny", "é日本", "<p>a</p>", "z" * 300000, "\r\n\r\n", "ends so\r\n", "\r\nbegins so", "\r", "\r\n\r", "\n\r\n\r\n\r\n\r", "lone\nlines\rof all\r\nkinds", "\r\n\r\r\n\r\n" * 30000, "big " * 3_000_000]
 
 
 def test_warc(spark):
@@ -385,16 +416,45 @@ def test_warc(spark):
     assert warc.read_archive(spark, none).count() == 0
 
 
+def test_warc_headers(spark):
+    """Names of records are unique, revisits name their response, and blocks are HTTP responses."""
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, "http://a/3", "y")], "page_id long, url string, html string")
+    _, path = warc.archive(pages)
+    raw = path.removesuffix("dedup") + "raw"
+    records = []
+    for folder in (raw, path):
+        lines = spark.read.option("lineSep", "\r\n\r\n").text(folder).collect()
+        records += list(warc.parse(r.value.encode() for r in lines))
+    names = [h["WARC-Record-ID"] for h, _ in records]
+    assert len(set(names)) == len(names) == 6
+    (revisit, block), = [(h, b) for h, b in records if h["WARC-Type"] == "revisit"]
+    response = next(h for h, _ in records[3:] if h["WARC-Record-ID"] == revisit["WARC-Refers-To"])
+    assert block == b"" and revisit["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://a/1" and "WARC-Refers-To-Date" in revisit
+    assert all(b.startswith(b"HTTP/1.1 200 OK\r\n") for h, b in records if h["WARC-Type"] == "response")
+
+
+def test_warc_stream_of_any_size():
+    """Parsing holds about one record, not the archive."""
+    import tracemalloc
+
+    one = b"WARC/1.1\r\nContent-Length: 1000000\r\n\r\n" + b"z" * 1000000
+    tracemalloc.start()
+    n = sum(len(b) for _, b in warc.parse(p for _ in range(300) for p in one.split(b"\r\n\r\n")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300_000_000 and peak < 20_000_000
+
+
 def test_warc_least_bytes(spark):
-    headers = spark.createDataFrame([(1, 3, "A"), (2, 3, "A"), (3, 9, "B"), (4, 9, "B")], "page_id long, octets long, digest string")
+    headers = spark.createDataFrame([(1, "u", 3, "A"), (2, "u", 3, "A"), (3, "u", 9, "B"), (4, "u", 9, "B")], "page_id long, url string, octets long, digest string")
     got = {r.page_id: (r.kind, r.refers) for r in warc.resolve(headers, least_bytes=5).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
 
 
 def test_warc_damage_is_found():
     good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [(s, e) for _, s, e in warc.parse(good)] == [(31, 34)]
-    with pytest.raises(ValueError):
-        list(warc.parse(good[:-2] + b"xx"))
-    with pytest.raises(ValueError):
-        list(warc.parse(b"junk\r\n\r\n"))
+    pieces = lambda x: x.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")
+    assert list(warc.parse(pieces(good))) == [({"Content-Length": "3"}, b"abc")]
+    for bad in (good.replace(b"abc", b"abcd"), good.replace(b"abc", b"ab"), b"junk\r\n\r\n", good + b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(pieces(bad)))
