@@ -1,12 +1,13 @@
 """Embedding near-duplicates by product quantisation.
 
-Unit vectors are assigned to coarse inverted lists; an entry keeps its residual as subspace codes and
-the length of what the codes miss.  A query probes every list that can hold a vector within the radius
-(by the distance to the boundary between lists), looks up distances in its table of subspace distances,
-discards entries whose looked-up distance less their coding error is beyond the radius, and ranks the
-rest by exact cosine in double precision.  Both prunings are bounds, so no link is lost.
-
-Codebooks are fitted on at most ``SAMPLE`` vectors, those of least hash of their content; every vector
+Unit vectors are assigned to coarse inverted lists, in two levels; an entry keeps its residual as subspace
+codes and the length of what the codes miss.  A query probes every list that can hold a vector within the
+radius (by the distance to the boundary between lists, on both levels), looks up distances in its table
+of subspace distances, discards entries whose looked-up distance less their coding error is beyond the
+radius, and ranks the rest by exact cosine in double precision.  Both prunings are bounds, so no link is
+lost.
+
+Codebooks are fitted on about ``SAMPLE`` vectors at most, those whose content hash is small; every vector
 is indexed.  Equal vectors are one entry.
 """
 
@@ -21,14 +22,22 @@ from .common import Scratch, arrow_map, components
 from .ngram_join import groups
 
 COSINE = 0.98
-#: Vectors on which the codebooks are fitted at most.
+#: Vectors on which the codebooks are fitted at most, about.
 SAMPLE = 16384
 SUBSPACES = 8
 CODES = 64
 #: Vectors of one list that a tile block holds, and lists for how many vectors.
 BLOCK = 2048
 PER_LIST = 4096
-MAX_LISTS = 1024
+#: Sample vectors that a list is fitted on at least: so there are at most ``SAMPLE / LIST_SAMPLE`` lists.
+LIST_SAMPLE = 8
+#: Slack of the bounds, for rounding.
+SLACK = 1e-6
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of both, from their products."""
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -36,11 +45,10 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     k = max(1, min(k, len(x)))
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
-        n = np.bincount(near, minlength=k)
-        s = np.zeros_like(c)
-        np.add.at(s, near, x)
-        c[n > 0] = s[n > 0] / n[n > 0, None]
+        near = squared(x, c).argmin(1)
+        order = np.argsort(near, kind="stable")
+        some, first = np.unique(near[order], return_index=True)
+        c[some] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
     return c
 
 
@@ -53,32 +61,57 @@ def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Codebook:
+    """Coarse centres in two levels, ``lists`` of them in all, and the codes of their residuals.
+
+    A vector belongs to its nearest top centre, and to the nearest of that one's own centres; the lists of
+    top ``t`` are ``first[t] .. first[t + 1] - 1``.
+    """
+
     def __init__(self, sample: np.ndarray, lists: int):
         dim = sample.shape[1]
-        self.coarse = k_means(sample, lists)
+        self.tops = k_means(sample, int(np.ceil(np.sqrt(lists))))
+        home = squared(sample, self.tops).argmin(1)
+        own = [sample[home == t] for t in range(len(self.tops))]
+        subs = [k_means(x, round(lists * len(x) / len(sample))) if len(x) else top[None] for x, top in zip(own, self.tops, strict=True)]
+        self.coarse = np.concatenate(subs)
+        self.first = np.concatenate(([0], np.cumsum([len(c) for c in subs])))
         cut = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         self.spans = list(zip(cut[:-1], cut[1:], strict=True))
         residual = sample - self.coarse[self.near(sample)]
         self.books = [k_means(residual[:, a:b], CODES) for a, b in self.spans]
-        gap = self.coarse[:, None] - self.coarse[None]
-        self.gaps = np.sqrt((gap**2).sum(2))
 
-    def away(self, x: np.ndarray) -> np.ndarray:
-        """Squared distances to the coarse centres."""
-        return np.maximum((x * x).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T, 0)
+    def of_top(self, t: int) -> np.ndarray:
+        return self.coarse[self.first[t] : self.first[t + 1]]
 
     def near(self, x: np.ndarray) -> np.ndarray:
-        return self.away(x).argmin(1)
-
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists may hold a vector within ``radius``: it must lie on their side of the boundary."""
-        d = self.away(x)
+        top = squared(x, self.tops).argmin(1)
+        out = np.zeros(len(x), np.int64)
+        for t in np.unique(top):
+            at = np.flatnonzero(top == t)
+            out[at] = self.first[t] + squared(x[at], self.of_top(t)).argmin(1)
+        return out
+
+    @staticmethod
+    def reached(x: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
+        """Whose cells may hold a vector within ``radius``: it must lie on their side of the boundary."""
+        d = squared(x, centres)
         own = d.argmin(1)
-        gap = self.gaps[own]
-        ok = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gap + 1e-9
+        gap = np.sqrt(squared(centres, centres))[own]
+        ok = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gap + SLACK
         ok[np.arange(len(x)), own] = True
         return ok
 
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and the lists that may hold a vector within ``radius``."""
+        tops = self.reached(x, self.tops, radius)
+        rows, lists = [], []
+        for t in np.flatnonzero(tops.any(0)):
+            at = np.flatnonzero(tops[:, t])
+            row, one = np.nonzero(self.reached(x[at], self.of_top(t), radius))
+            rows.append(at[row])
+            lists.append(self.first[t] + one)
+        return np.concatenate(rows), np.concatenate(lists)
+
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and the length of what they miss."""
         r = x - self.coarse[lists]
@@ -96,17 +129,19 @@ class Codebook:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``id, label, v (array of double), dim, ok`` per row."""
-    v = F.col(vector_col).cast("array<double>")
+    """``id, label, v, ok`` per row; single precision stays as it is, all else is double."""
+    v = F.col(vector_col)
+    if dict(vectors.dtypes)[vector_col] != "array<float>":
+        v = v.cast("array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    flat = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)) > 0
+    flat = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x).cast("double")) > 0
     fine = v.isNotNull() & F.col(label_col).isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.coalesce(flat, F.lit(False))
     return vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("ok"))
 
 
 def index_rows(units: DataFrame, book, cosine: float) -> DataFrame:
     """Per vector its entry ``(list, role 0)`` with codes and error, and its probes ``(list, role 1)``."""
-    kind = dict(units.dtypes)["label"]
+    kind = dict(units.dtypes)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     def make():
@@ -118,7 +153,7 @@ def index_rows(units: DataFrame, book, cosine: float) -> DataFrame:
                 x, _ = unit_rows(part.column("v"))
                 own = b.near(x)
                 codes, miss = b.encode(x, own)
-                row, lists = np.nonzero(b.probes(x, radius))
+                row, lists = b.probes(x, radius)
                 n = len(x)
                 pick = pa.array(np.concatenate((np.arange(n), row)))
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +164,7 @@ def index_rows(units: DataFrame, book, cosine: float) -> DataFrame:
 
         return step
 
-    return arrow_map(units.select("label", "gid", "copies", "v"), make, f"label {kind}, gid long, list int, role int, copies long, v array<double>, codes binary, miss double")
+    return arrow_map(units.select("label", "gid", "copies", "v"), make, f"label {kind['label']}, gid long, list int, role int, copies long, v {kind['v']}, codes binary, miss double")
 
 
 def tile_links(tiles: DataFrame, book, cosine: float) -> DataFrame:
@@ -141,7 +176,7 @@ def tile_links(tiles: DataFrame, book, cosine: float) -> DataFrame:
 
     def run(batches):
         code = book.value
-        for t in groups(batches, ("tile", "list", "qi", "qj")):
+        for t in groups(batches, ("tile", "tile2", "list", "qi", "qj")):
             role = t.column("role").to_numpy()
             gid, copies = t.column("gid").to_numpy(), t.column("copies").to_numpy()
             e, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
@@ -206,23 +241,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sc = spark.sparkContext
     scratch = Scratch(spark, "embed")
     rows = usable(vectors, id_col, vector_col, label_col)
-    # equal vectors of a label are one entry; entries are told apart by a hash of label and content
-    rows = rows.select("id", "label", "v", "ok", F.when(F.col("ok"), F.xxhash64("label", F.size("v"), "v")).alias("gid"))
-    units = rows.where("ok").groupBy("label", "gid").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    # equal vectors of a label are one entry; entries are told apart by two hashes of label and content
+    content = ("label", F.size("v"), "v")
+    rows = rows.select("id", "label", "v", "ok", *(F.when(F.col("ok"), F.xxhash64(*content, *salt)).alias(h) for h, salt in (("h1", ()), ("h2", (F.lit("second"),)))))
+    units = rows.where("ok").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     units = scratch.save(units.withColumn("dim", F.size("v")), "units")
+    # an entry is named by its first hash, or, where others have the same, by both
+    shared = scratch.save(units.groupBy(F.col("h1").alias("shared")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared"), "shared")
+    named = units.withColumn("gid", F.col("h1"))
+    if not shared.isEmpty():
+        named = units.join(shared, F.col("h1") == F.col("shared"), "left").withColumn("gid", F.when(F.col("shared").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("shared")
+    units = named
     found = []
     for dim, total in units.groupBy("dim").count().orderBy("dim").collect():  # one row per dimension
         own = units.where(F.col("dim") == dim)
-        sample = own.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).collect()
-        sample, _ = unit_rows(pa.array([r["v"] for r in sample], pa.list_(pa.float64())))
-        book = sc.broadcast(Codebook(sample, int(np.clip(total // PER_LIST, 1, MAX_LISTS))))
+        share = min(1.0, SAMPLE / total)
+        sample = own.select("v", F.xxhash64("v").alias("h"))
+        if share < 1:  # content hashes are even, so this is about SAMPLE vectors, picked where they are read
+            sample = sample.where(F.col("h") < int((2 * share - 1) * 2.0**63))
+        sample = sample.toArrow().combine_chunks().sort_by("h")
+        x = unit_rows(sample.column("v").combine_chunks())[0].astype(np.float32)
+        book = sc.broadcast(Codebook(x, int(np.clip(total // PER_LIST, 1, max(1, len(x) // LIST_SAMPLE)))))
         indexed = scratch.save(index_rows(own, book, cosine), f"indexed-{dim}")
         # blocks of entries meet blocks of queries, list by list
         cell = indexed.groupBy("label", "list").agg(F.ceil(F.sum(1 - F.col("role")) / BLOCK).cast("int").alias("ne"), F.ceil(F.sum("role") / BLOCK).cast("int").alias("nq"))
         entries = indexed.where("role = 0").join(cell, ["label", "list"]).withColumns({"qi": F.pmod("gid", "ne").cast("int"), "qj": F.explode(F.sequence(F.lit(0), F.greatest("nq", F.lit(1)) - 1))})
         queries = indexed.where("role = 1").join(cell.where("ne > 0"), ["label", "list"]).withColumns({"qj": F.pmod("gid", "nq").cast("int"), "qi": F.explode(F.sequence(F.lit(0), F.col("ne") - 1))})
-        tiles = entries.unionByName(queries).withColumn("tile", F.xxhash64("label")).drop("label", "ne", "nq")
-        key = ("tile", "list", "qi", "qj")
+        tiles = entries.unionByName(queries).withColumns({"tile": F.xxhash64("label"), "tile2": F.xxhash64("label", F.lit("second"))}).drop("label", "ne", "nq")
+        key = ("tile", "tile2", "list", "qi", "qj")
         found.append(tile_links(tiles.repartition(*key).sortWithinPartitions(*key), book, cosine))
     if not found:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -232,13 +278,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = scratch.save(links, "links")
     counts = links.where("b is null").groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
     roots = scratch.save(components(scratch, links.where("b is not null").select("a", "b")), "roots")
-    of_unit = units.select("gid", "copies", "least").join(counts, "gid", "left").join(roots, F.col("gid") == F.col("node"), "left")
-    of_unit = of_unit.select("gid", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "gid").alias("root"))
+    of_unit = units.select("h1", "h2", "gid", "copies", "least").join(counts, "gid", "left").join(roots, F.col("gid") == F.col("node"), "left")
+    of_unit = of_unit.select("h1", "h2", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "gid").alias("root"))
     least = of_unit.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_unit = scratch.save(of_unit.join(least, "root").select("gid", "n_links", "component_id"), "classes")
+    of_unit = scratch.save(of_unit.join(least, "root").select("h1", "h2", "n_links", "component_id"), "classes")
     # one vector may hold a third of all rows: plain exchanges on both sides, split at run time
-    out = rows.select("id", "gid").join(of_unit, "gid", "left")
-    component = F.when(F.col("gid").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    out = rows.select("id", "h1", "h2").join(of_unit, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -278,6 +278,40 @@ def test_embeddings(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and sum(n.values()) > 50
 
 
+def test_embedding_names_that_collide(spark, monkeypatch):
+    """First hashes from a tiny range: entries that share one are told apart by the second."""
+    plain = F.xxhash64
+    monkeypatch.setattr(embed_dedup.F, "xxhash64", lambda *c: plain(*c) if len(c) != 3 else F.pmod(plain(*c), F.lit(9)))
+    table = [t for t in vectors(np.random.default_rng(0)) if t[0] is not None]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    monkeypatch.setattr(embed_dedup.F, "xxhash64", plain)
+    assert got == {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+
+
+def test_codebook_of_many_lists():
+    """A thousand lists of wide vectors fit a small driver, and both levels keep their bounds."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(16384, 512)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    book = embed_dedup.Codebook(x, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 900 <= len(book.coarse) <= 1100 and peak < 1 << 30
+    # every vector within the radius lies in a probed list
+    q = x[:200].astype(float)
+    e = q + r.normal(size=q.shape) * 0.006
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    radius = float(np.linalg.norm(q - e, axis=1).max())
+    row, lists = book.probes(q, radius)
+    probed = set(zip(row.tolist(), lists.tolist(), strict=True))
+    assert radius < 0.2 and all((i, int(home)) in probed for i, home in enumerate(book.near(e)))
+    assert all((i, int(home)) in probed for i, home in enumerate(book.near(q)))
+
+
 def test_embedding_recall(spark):
     from ..conftest import SMALL
 
