@@ -32,8 +32,9 @@ NUM, DEN = 75, 100
 #: Documents of a bucket, and shingles of a component, that one tile block holds.
 BUCKET_DOCS = 1 << 11
 TILE_SHINGLES = 1 << 21
-#: Up to so many documents, by the counts of all shingles, a shingle's sets are counted by one task; beyond, by many.
+#: Up to so many documents, by the counts of all shingles, a shingle's sets are counted together; beyond, in parts.
 HOT_DOCS = 1 << 14
+HOT_PARTS = 64
 MAX_BITS = 1 << 15
 FLUSH_ROWS = 1 << 16
 
@@ -369,17 +370,21 @@ def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: np.nda
     """Edges ``a, b`` between set ids: a spanning forest of all links between different sets."""
     spark = docs.sparkSession
     posts = named(postings(docs, spark.sparkContext.broadcast(counts), k, split_names))  # 4 MB, whatever the input
+    # rows of a shingle meet once; those of one that very many sets share, in parts
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    posts = posts.withColumn("salt", salt).repartition("h", "salt")
     # a set whose copies several tasks read counts once; else its own copies would make buckets, all of one gid
-    posts = posts.groupBy("h", "sid").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
+    posts = posts.groupBy("h", "salt", "sid").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
+    names, part = ("size", "x", "y"), Window.partitionBy("h", "salt")
     members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("sid")), F.bit_xor(F.xxhash64("sid", F.lit(7))))
-    whole = Window.partitionBy("h")
-    cool = posts.where("not hot").select("sid", "n", *(m.over(whole).alias(x) for m, x in zip(members, ("size", "x", "y"), strict=True)))
-    # a shingle that very many sets share: its members are combined before the shuffle, and its rows meet
-    # the result in plain exchanges, which are split at run time
+    posts = posts.select("h", "salt", "sid", "n", "hot", *(m.over(part).alias(x) for m, x in zip(members, names, strict=True))).where("size > 1 or hot")
+    posts = scratch.save(posts, "members")
     hot = posts.where("hot")
-    hot = hot.join(hot.groupBy("h").agg(*(m.alias(x) for m, x in zip(members, ("size", "x", "y"), strict=True))), "h").select("sid", "n", "size", "x", "y")
-    posts = cool.unionByName(hot).where("size > 1").groupBy(F.xxhash64("size", "x", "y").alias("gid"), "sid").agg(F.first("n").alias("n"))
-    posts = scratch.save(posts, "posts")
+    whole = hot.select("h", "salt", *names).distinct().groupBy("h").agg(F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    hot = hot.drop(*names).join(whole, "h").select("sid", "n", *names)
+    posts = posts.where("not hot").select("sid", "n", *names).unionByName(hot).where("size > 1")
+    posts = scratch.save(posts.groupBy(F.xxhash64(*names).alias("gid"), "sid").agg(F.first("n").alias("n")), "posts")
+    scratch.drop("members")
     # a large bucket, by the members it has, is dealt in blocks of its size bands, which meet pairwise
     large = posts.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("int").alias("blocks")).where("blocks > 1")
     meets = _banded(posts.join(large, "gid", "left").fillna(1, ["blocks"]), "sid")
