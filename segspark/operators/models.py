@@ -17,35 +17,40 @@ from .vectors import Plda
 
 
 def calibrate(scores: DataFrame, column: str = "s", rounds: int = 20) -> dict[str, float]:
-    """Two-Gaussian calibration over a whole column: one aggregation a round, two numbers a partition.
+    """Two-Gaussian calibration over a whole column: one aggregation a round, a few numbers a partition.
 
-    Returns threshold, weights, means and variance, and under ``e_`` those of the last expectation step.
+    Returns threshold, weights, means and variance, and under ``e_`` slope and offset of the log odds in
+    the last expectation step.  Null scores are left out.  Scores that do not vary have their common
+    value as threshold and both means, variance 0 and no slope; without scores all that is 0.
     """
-    s = scores.select(F.col(column).cast("double").alias("s")).persist()
+    s = scores.select(F.col(column).cast("double").alias("s")).where("s is not null").persist()
     try:
-        mean, std, var = s.agg(F.avg("s"), F.stddev_pop("s"), F.var_pop("s")).first()
-        w, m = [0.5, 0.5], [mean - std, mean + std]
+        count, mean, var = s.agg(F.count("s"), F.avg("s"), F.var_pop("s")).first()
+        if not count or var <= K.TINY * mean**2:
+            level = mean if count else 0.0
+            return {"threshold": level, "w0": 0.5, "w1": 0.5, "m0": level, "m1": level, "var": 0.0, "e_slope": 0.0, "e_offset": 0.0}
+        std = math.sqrt(var)
+        line, x = K.Boundary(2 / std, -2 * mean / std), F.col("s")
+        masses = (0.5 * count, 0.5 * (mean - std) * count, 0.0), (0.5 * count, 0.5 * (mean + std) * count, 0.0)
         for _ in range(rounds):
-            before = {"e_w0": w[0], "e_w1": w[1], "e_m0": m[0], "e_m1": m[1], "e_var": var}
-            odds = math.log(w[1]) - math.log(w[0])
-            x = F.col("s")
-            r = 1 / (1 + F.exp(-(F.lit(odds) - 0.5 * ((x - m[1]) ** 2 - (x - m[0]) ** 2) / var)))
-            parts = s.agg(*(F.sum(e) for g in (1 - r, r) for e in (g, g * x, g * x * x))).first()
-            n = [parts[0], parts[3]]
-            m = [parts[1] / n[0], parts[4] / n[1]]
-            w = [n[0] / sum(n), n[1] / sum(n)]
-            var = sum(w[k] * (parts[3 * k + 2] / n[k] - m[k] ** 2) for k in (0, 1))
-            a = [math.log(w[k] ** 2 / var) - m[k] ** 2 / var for k in (0, 1)]
-            threshold = -0.5 * (a[0] - a[1]) / (m[0] / var - m[1] / var)
+            used = line
+            upper = 1 / (1 + F.exp(-(F.lit(line.slope) * x + line.offset)))
+            sums = s.agg(*(F.sum(g * w) for g in (1 - upper, upper) for w in (F.lit(1.0), x, x * x))).first()
+            better = K.Boundary.of(sums[:3], sums[3:])
+            if better is None:
+                break
+            masses, line = (tuple(sums[:3]), tuple(sums[3:])), better
     finally:
         s.unpersist()
-    return before | {"threshold": threshold, "w0": w[0], "w1": w[1], "m0": m[0], "m1": m[1], "var": var}
+    means = [c[1] / c[0] for c in masses]
+    spread = (means[1] - means[0]) / line.slope
+    return {"threshold": line.threshold, "w0": masses[0][0] / count, "w1": masses[1][0] / count, "m0": means[0], "m1": means[1], "var": spread, "e_slope": used.slope, "e_offset": used.offset}
 
 
 def calibrated_ratio(x, fit: dict[str, float]):
     """Log-likelihood ratio of a score under the last expectation step, greater mean over lesser."""
-    ll = [math.log(fit[f"e_w{k}"]) - 0.5 * math.log(fit["e_var"]) - 0.5 * (x - fit[f"e_m{k}"]) ** 2 / fit["e_var"] for k in (0, 1)]
-    return ll[1] - ll[0] if fit["m1"] >= fit["m0"] else ll[0] - ll[1]
+    odds = x * fit["e_slope"] + fit["e_offset"]
+    return odds if fit["m1"] >= fit["m0"] else -odds
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +72,7 @@ def cluster(df: DataFrame, threshold: float, calibrated: bool = False, rec: str
         x = np.stack(pdf.v.to_list())
         x = x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-32)
         sim = x @ x.T
-        least = threshold + (K.two_gaussians(sim.ravel())[0] if calibrated and len(x) > 1 else 0.0)
+        least = threshold + (K.calibration(sim)[0] if calibrated and len(x) > 1 else 0.0)
         return pd.DataFrame({"rec": pdf.rec, "idx": pdf.idx, "label": K.average_linkage(sim, least)})
 
     return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, label bigint")
@@ -93,14 +98,11 @@ def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf)
         x = np.stack(pdf.v.to_list())
-        if seed is None:
-            start = K.soft_start(np.unique(pdf.label.to_numpy(), return_inverse=True)[1], smoothing)
-            gamma, pi, trace, _, _ = K.vb_hmm(x, phi, loop, fa, fb, start.shape[1], start, rounds, epsilon)
-        else:
-            gamma, pi, trace, _, _ = K.vb_hmm(x, phi, loop, fa, fb, speakers, None, rounds, epsilon, seed=seed)
-        order = np.argsort(-gamma, axis=1, kind="stable")
-        second = order[:, 1].tolist() if gamma.shape[1] > 1 else [None] * len(x)
-        return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "gamma": list(gamma), "pi": [pi] * len(x), "objective": trace[-1][0], "rounds": len(trace), "label": order[:, 0], "second": pd.array(second, "Int64")})
+        start = K.soft_start(np.unique(pdf.label.to_numpy(), return_inverse=True)[1], smoothing) if seed is None else None
+        got = K.vb_hmm(x, phi, start, speakers if start is None else start.shape[1], loop, fa, fb, rounds, epsilon, seed=seed or 0)
+        order = np.argsort(-got.gamma, axis=1, kind="stable")
+        second = order[:, 1].tolist() if order.shape[1] > 1 else [None] * len(x)
+        return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "gamma": list(got.gamma), "pi": [got.weights] * len(x), "objective": got.bounds[-1], "rounds": len(got.bounds), "label": order[:, 0], "second": pd.array(second, "Int64")})
 
     return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, gamma array<double>, pi array<double>, objective double, rounds bigint, label bigint, second bigint")
 
@@ -147,8 +149,6 @@ def frame_errors(df: DataFrame, expected: bool = True, entropy: bool = False, re
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot_table(index="ref", columns="k", values="cost", fill_value=0.0)
         frames = pdf[pdf.k == pdf.k.min()].n.sum()
-        c = m.to_numpy()
-        least = c[K.assignment(c)].sum()
-        return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "error": [least / frames if entropy else (frames + least) / frames]})
+        return pd.DataFrame({"rec": [pdf.rec.iloc[0]], "error": [K.table_error(m.to_numpy(), int(frames), entropy)]})
 
     return cells.groupBy("rec").applyInPandas(solve, f"rec {dict(cells.dtypes)['rec']}, error double")
