@@ -1,12 +1,16 @@
 """Segmentation quality: interval error rate, and frame-based Jaccard, B-cubed, tau and entropy scores.
 
-Interval metrics cut a recording's time at every boundary into atoms.  Segments find their first and
-last atom by equi-joins on the boundary times and cover the atoms between by arithmetic, so there is no
-range join; the optimal speaker map works on summed overlaps.
+All of them start from one sweep over a recording's boundaries in order of time, which adds up how long
+(or for how many frames) each combination of reference and system speakers is active.  The state of the
+sweep is who speaks now, so neither segments nor frames are expanded, and what leaves it is a row per
+combination; the metrics are small aggregations of these rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +21,71 @@ from .kernels import assignment
 PROTOCOLS = {"forgiving": (0.25, True), "fair": (0.25, False), "full": (0.0, False)}
 
 
-def _covered(seg: DataFrame, atoms: DataFrame, *keep: str) -> DataFrame:
-    """``rec, atom, keep``: the atoms that each segment covers."""
-    lo = atoms.select("rec", F.col("t").alias("start"), F.col("atom").alias("a"))
-    hi = atoms.select("rec", F.col("t").alias("end"), F.col("atom").alias("b"))
-    got = seg.where("end > start").join(lo, ["rec", "start"]).join(hi, ["rec", "end"])
-    return got.select("rec", F.explode(F.sequence("a", F.col("b") - 1)).alias("atom"), *keep).distinct()
+def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step: float | int | None = None) -> DataFrame:
+    """``rec, refs, hyps, d``: time in which exactly these speakers are active, outside all collars.
+
+    Boundaries of equal time are added before the sort; a recording's boundaries pass through one task
+    as a stream.  Segments without length count for nothing but their collar.  With ``step``, ``d`` is the
+    number of frames whose middle lies in that time, from frame 0 to the last one in which anybody speaks.
+    """
+    cols = ["rec", "start", "end", "spk"]
+    sides = [x.select(*cols, F.lit(k).alias("side")) for k, x in enumerate((ref, hyp))]
+    edges = [x.where("end > start").select("rec", "side", "spk", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("by")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("by")))).alias("e")) for x in sides]
+    if collar:
+        near = sides[0].select("rec", F.lit(2).alias("side"), "spk", F.explode(F.array("start", "end")).alias("b")).select("rec", "side", F.lit(None).cast(dict(ref.dtypes)["spk"]).alias("spk"), F.explode(F.array(F.struct((F.col("b") - collar).alias("t"), F.lit(1).alias("by")), F.struct((F.col("b") + collar).alias("t"), F.lit(-1).alias("by")))).alias("e"))
+        edges.append(near)
+    rows = edges[0].unionByName(edges[1])
+    for more in edges[2:]:
+        rows = rows.unionByName(more)
+    rows = rows.groupBy("rec", F.col("e.t").alias("t"), "side", "spk").agg(F.sum("e.by").cast("int").alias("by"))
+    kind = dict(rows.dtypes)
+    value = "bigint" if step is not None else kind["t"]
+
+    def frame(t) -> int:
+        return max(math.ceil((t - step / 2) / step), 0)
+
+    def sweep(batches):
+        rec, last, near, silence, size = None, None, 0, 0, 0
+        counts, active, found = (Counter(), Counter()), [(), ()], Counter()
+
+        def close():
+            got = [(rec, list(a), list(b), n) for (a, b), n in found.items()]
+            found.clear()
+            return pd.DataFrame(got, columns=["rec", "refs", "hyps", "d"])
+
+        for pdf in batches:
+            for own, t, side, spk, by in zip(pdf.rec, pdf.t.tolist(), pdf.side.tolist(), pdf.spk, pdf.by.tolist(), strict=True):
+                if last is None or own != rec:
+                    if last is not None:
+                        yield close()
+                    rec, near, silence = own, 0, frame(t) if step is not None else 0
+                    counts, active, last = (Counter(), Counter()), [(), ()], t
+                if t != last:
+                    here = (active[0], active[1])
+                    if step is not None:
+                        size = frame(t) - frame(last)
+                        if here == ((), ()):
+                            silence += size
+                        elif size:
+                            found[here] += size
+                            found[(), ()] += silence
+                            silence = 0
+                    elif not near:
+                        found[here] += t - last
+                    last = t
+                if side == 2:
+                    near += by
+                    continue
+                before = counts[side][spk]
+                counts[side][spk] = before + by
+                if (before > 0) != (before + by > 0):
+                    active[side] = tuple(sorted(k for k, n in counts[side].items() if n > 0))
+        if last is not None:
+            yield close()
+
+    ordered = rows.repartition("rec").sortWithinPartitions("rec", "t").select("rec", "t", "side", "spk", "by")
+    got = ordered.mapInPandas(sweep, f"rec {kind['rec']}, refs array<{kind['spk']}>, hyps array<{kind['spk']}>, d {value}")
+    return got.where("d > 0")
 
 
 def speaker_map(overlap: DataFrame, least: bool = False, value: str = "w") -> DataFrame:
@@ -44,32 +107,19 @@ def speaker_map(overlap: DataFrame, least: bool = False, value: str = "w") -> Da
 def interval_error(ref: DataFrame, hyp: DataFrame, collar: float | int = 0.25, skip_overlap: bool = False) -> DataFrame:
     """``rec, scored, miss, false_alarm, confusion, error`` from ``rec, start, end, spk`` of both sides.
 
-    Atoms within ``collar`` of a reference boundary are not scored, nor, with ``skip_overlap``, those with
-    two reference speakers.  Times may be integers (exact) or seconds.  A recording without scored speech
-    has a null error.
+    Time within ``collar`` of a reference boundary is not scored, nor, with ``skip_overlap``, time with two
+    reference speakers.  Times may be integers (exact) or seconds.  A recording without scored speech has
+    a null error.
     """
-    cols = ["rec", "start", "end", "spk"]
-    ref, hyp = ref.select(*cols), hyp.select(*cols)
-    edges = ref.select("rec", F.explode(F.array("start", "end")).alias("t")).distinct()
-    near = edges.select("rec", (F.col("t") - collar).alias("start"), (F.col("t") + collar).alias("end"))
-    times = edges.union(hyp.select("rec", F.explode(F.array("start", "end")).alias("t")))
-    if collar:
-        times = times.union(near.select("rec", F.explode(F.array("start", "end")).alias("t")))
-    w = Window.partitionBy("rec").orderBy("t")
-    atoms = times.distinct().select("rec", "t", F.row_number().over(w).alias("atom"), (F.lead("t").over(w) - F.col("t")).alias("d"))
-    spans = atoms.where("d is not null").select("rec", "atom", "d")
-    r = _covered(ref, atoms, "spk").select("rec", "atom", F.col("spk").alias("ref"))
-    h = _covered(hyp, atoms, "spk").select("rec", "atom", F.col("spk").alias("hyp"))
-    if collar:
-        spans = spans.join(_covered(near, atoms), ["rec", "atom"], "left_anti")
-    counts = r.groupBy("rec", "atom").agg(F.count(F.lit(1)).alias("n_ref"))
+    cells = combinations(ref, hyp, collar)
     if skip_overlap:
-        spans = spans.join(counts.where("n_ref > 1"), ["rec", "atom"], "left_anti")
-    both = r.join(h, ["rec", "atom"]).join(spans, ["rec", "atom"])
+        cells = cells.where(F.size("refs") < 2)
+    both = cells.select("rec", F.explode("refs").alias("ref"), "hyps", "d").select("rec", "ref", F.explode("hyps").alias("hyp"), "d")
     links = speaker_map(both.groupBy("rec", "ref", "hyp").agg(F.sum("d").cast("double").alias("w")))
-    right = both.join(links, ["rec", "ref", "hyp"]).groupBy("rec", "atom").agg(F.count(F.lit(1)).alias("n_right"))
-    rows = spans.join(counts, ["rec", "atom"], "left").join(h.groupBy("rec", "atom").agg(F.count(F.lit(1)).alias("n_hyp")), ["rec", "atom"], "left").join(right, ["rec", "atom"], "left").fillna(0, ["n_ref", "n_hyp", "n_right"])
-    d, nr, nh = F.col("d"), F.col("n_ref"), F.col("n_hyp")
+    links = links.groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("ref", "hyp"))).alias("links"))  # a pair a speaker
+    right = F.size(F.filter("refs", lambda r: F.coalesce(F.array_contains("hyps", F.element_at("links", r)), F.lit(False))))
+    rows = cells.join(links, "rec", "left").select("rec", "d", F.size("refs").alias("nr"), F.size("hyps").alias("nh"), F.when(F.col("links").isNull(), 0).otherwise(right).alias("n_right"))
+    d, nr, nh = F.col("d"), F.col("nr"), F.col("nh")
     out = rows.groupBy("rec").agg(
         F.sum(d * nr).alias("scored"),
         F.sum(d * F.greatest(nr - nh, F.lit(0))).alias("miss"),
@@ -79,19 +129,13 @@ def interval_error(ref: DataFrame, hyp: DataFrame, collar: float | int = 0.25, s
     return out.withColumn("error", F.try_divide((F.col("miss") + F.col("false_alarm") + F.col("confusion")).cast("double"), F.col("scored").cast("double")))
 
 
-def frames_of(seg: DataFrame, step: float | int) -> DataFrame:
-    """``rec, frame, spk``: frames whose middle a segment covers."""
-    lo, hi = F.ceil((F.col("start") - step / 2) / step), F.ceil((F.col("end") - step / 2) / step) - 1
-    rows = seg.select("rec", "spk", F.greatest(lo, F.lit(0)).cast("bigint").alias("lo"), hi.cast("bigint").alias("hi")).where("lo <= hi")
-    return rows.select("rec", F.explode(F.sequence("lo", "hi")).alias("frame"), "spk").distinct()
-
-
 def jaccard_error(ref: DataFrame, hyp: DataFrame, step: float | int = 0.01) -> DataFrame:
     """``rec, jer``: mean over reference speakers of one less the Jaccard index under the best map."""
-    r, h = frames_of(ref, step).withColumnRenamed("spk", "ref"), frames_of(hyp, step).withColumnRenamed("spk", "hyp")
-    nr = r.groupBy("rec", "ref").agg(F.count(F.lit(1)).alias("nr"))
-    nh = h.groupBy("rec", "hyp").agg(F.count(F.lit(1)).alias("nh"))
-    o = r.join(h, ["rec", "frame"]).groupBy("rec", "ref", "hyp").agg(F.count(F.lit(1)).alias("o"))
+    cells = combinations(ref, hyp, step=step)
+    r = cells.select("rec", F.explode("refs").alias("ref"), "hyps", "d")
+    nr = r.groupBy("rec", "ref").agg(F.sum("d").alias("nr"))
+    nh = cells.select("rec", F.explode("hyps").alias("hyp"), "d").groupBy("rec", "hyp").agg(F.sum("d").alias("nh"))
+    o = r.select("rec", "ref", F.explode("hyps").alias("hyp"), "d").groupBy("rec", "ref", "hyp").agg(F.sum("d").alias("o"))
     cost = o.join(nr, ["rec", "ref"]).join(nh, ["rec", "hyp"]).withColumn("w", 1 - F.col("o") / (F.col("nr") + F.col("nh") - F.col("o")))
     best = speaker_map(cost.select("rec", "ref", "hyp", "w"), least=True).join(cost.select("rec", "ref", "hyp", "w"), ["rec", "ref", "hyp"])
     return nr.join(best, ["rec", "ref"], "left").groupBy("rec").agg(F.avg(F.coalesce("w", F.lit(1.0))).alias("jer"))
@@ -102,12 +146,10 @@ def contingency(ref: DataFrame, hyp: DataFrame, step: float | int = 0.01) -> Dat
 
     Frames run from 0 to the last one in which anybody speaks.
     """
-    r, h = frames_of(ref, step), frames_of(hyp, step)
-    size = r.unionByName(h).groupBy("rec").agg((F.max("frame") + 1).alias("size"))
-    spine = size.select("rec", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)).alias("frame"))
-    cls = lambda x, name: x.groupBy("rec", "frame").agg(F.concat_ws("+", F.sort_array(F.collect_set("spk"))).alias(name))
-    rows = spine.join(cls(r, "a"), ["rec", "frame"], "left").join(cls(h, "b"), ["rec", "frame"], "left").fillna("", ["a", "b"])
-    return rows.groupBy("rec", "size", "a", "b").agg(F.count(F.lit(1)).alias("n")).select("rec", "a", "b", (F.col("n") / F.col("size")).alias("p"))
+    cells = combinations(ref, hyp, step=step)
+    name = lambda c: F.concat_ws("+", F.transform(c, lambda x: x.cast("string")))
+    rows = cells.groupBy("rec", name("refs").alias("a"), name("hyps").alias("b")).agg(F.sum("d").alias("n"))
+    return rows.select("rec", "a", "b", (F.col("n") / F.sum("n").over(Window.partitionBy("rec"))).alias("p"))
 
 
 def _margins(table: DataFrame) -> DataFrame:
