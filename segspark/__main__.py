@@ -30,7 +30,10 @@ def parser() -> argparse.ArgumentParser:
         e.add_argument(f"--{name}", required=True)
     e.add_argument("--model", default="pooling", choices=sorted(models.REGISTRY))
     e.add_argument("--weights", default="")
-    e.add_argument("--backend", default=None, choices=["pytorch", "onnx"], help="short for --model torch or onnx")
+    e.add_argument("--backend", default=None, choices=["pytorch", "onnx"], help="short for --model torch (torch_state with --network) or onnx")
+    e.add_argument("--network", default="", help="package.module:Class whose state --weights holds")
+    e.add_argument("--ndim", type=int, default=64, help="dimensions of a feature vector, for --network")
+    e.add_argument("--embed-dim", type=int, default=256, help="dimensions of an embedding, for --network")
     e.add_argument("--seg-len", type=int, default=144)
     e.add_argument("--seg-jump", type=int, default=24)
     e.add_argument("--samplerate", type=int, default=16000, choices=[8000, 16000])
@@ -38,8 +41,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("out-rttm-dir", "xvec-ark-file", "segments-file", "xvec-transform", "plda-file"):
         c.add_argument(f"--{name}", required=True)
     c.add_argument("--init", default="AHC+VB", help="AHC, AHC+VB or random_<speakers>")
-    for name, kind, value in (("threshold", float, -0.015), ("lda-dim", int, 128), ("Fa", float, 0.4), ("Fb", float, 17.0), ("loopP", float, 0.9), ("init-smoothing", float, 5.0)):
+    for name, kind, value in (("threshold", float, -0.015), ("lda-dim", int, 128), ("Fa", float, 0.4), ("Fb", float, 17.0), ("loopP", float, 0.9), ("init-smoothing", float, 5.0), ("target-energy", float, 1.0)):
         c.add_argument(f"--{name}", type=kind, default=value)
+    # the published command takes --target-energy and does not use it; it steers dense PLDA scores only
     c.add_argument("--output-2nd", type=flag, default=False)
     return p
 
@@ -48,8 +52,9 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
     wanted = text.read_list(spark, a.in_file_list)
     audio = wav.read_wav(spark, f"{a.in_wav_dir}/*.wav").join(wanted, "rec", "left_semi")
     vad = text.read_vad(spark, f"{a.in_lab_dir}/*.lab").join(wanted, "rec", "left_semi")
-    model = {"pytorch": "torch", "onnx": "onnx"}.get(a.backend, a.model)
-    rows = D.extract(audio, vad, a.samplerate, a.seg_len, a.seg_jump, model, a.weights).persist()
+    model = {"pytorch": "torch_state" if a.network else "torch", "onnx": "onnx"}.get(a.backend, a.model)
+    weights = models.state_path(a.weights, a.network, a.ndim, a.embed_dim) if model == "torch_state" else a.weights
+    rows = D.extract(audio, vad, a.samplerate, a.seg_len, a.seg_jump, model, weights).persist()
     text.write_lines(rows.repartitionByRange("rec", "idx").sortWithinPartitions("rec", "idx"), text.timing_line(F.col("key"), F.col("rec"), F.col("start"), F.col("end")), a.out_seg_fn)
     kaldi.archives(rows).write.mode("overwrite").parquet(a.out_ark_fn)
 

@@ -20,6 +20,21 @@ def filterbank_matrix(table: DataFrame, bins: int, channels: int) -> np.ndarray:
     return out
 
 
+def emphasised(frames: np.ndarray, preemphasis: float | None, zero_mean: bool) -> np.ndarray:
+    """Frames less their mean, if ``zero_mean``, then pre-emphasised; the first sample is its own predecessor."""
+    x = np.asarray(frames, float)
+    if zero_mean:
+        x = x - x.mean(1, keepdims=True)
+    return x if preemphasis is None else x - preemphasis * np.concatenate((x[:, :1], x[:, :-1]), 1)
+
+
+def log_channels(frames: np.ndarray, bank: np.ndarray, power: float = 2.0) -> np.ndarray:
+    """Logs of the channels' energies of windowed frames, at least 0."""
+    f = np.fft.rfft(frames, 2 * (len(bank) - 1))
+    p = f.real**2 + f.imag**2
+    return np.log(np.maximum(1.0, (p if power == 2 else p ** (0.5 * power)) @ bank))
+
+
 def dither(df: DataFrame, level: float = 8.0, seed: int = 3) -> DataFrame:
     """Adds uniform noise in ``[-level, level)`` to ``rec, n, x``: from the recording's own seeded stream."""
 
@@ -38,7 +53,8 @@ def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np
     energy, from before windowing if ``raw_energy``.
     """
     size = len(window)
-    nfft = 2 ** math.ceil(math.log2(size))
+    if len(bank) != 2 ** math.ceil(math.log2(size)) // 2 + 1:
+        raise ValueError("the filterbank has a row per bin of the transform, whose length is the next power of two")
     kind = dict(signal.dtypes)["rec"]
     frames = framing(signal.select("rec", "n", "x"), size, size - overlap)
     frames = frames.groupBy("rec", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("samples"))
@@ -47,19 +63,11 @@ def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf.samples.to_list()).astype(float)
-            if zero_mean:
-                x = x - x.mean(1, keepdims=True)
-            e = np.log((x * x).sum(1)) if energy and raw_energy else None
-            if preemphasis is not None:
-                x = x - preemphasis * np.concatenate((x[:, :1], x[:, :-1]), 1)
-            x = x * window
-            if energy and not raw_energy:
-                e = np.log((x * x).sum(1))
-            f = np.fft.rfft(x, nfft)
-            p = f.real**2 + f.imag**2
-            p = p if power == 2 else p ** (0.5 * power)
-            out = np.log(np.maximum(1.0, p @ bank))
+            raw = emphasised(np.stack(pdf.samples.to_list()), None, zero_mean)
+            x = emphasised(raw, preemphasis, False) * window
+            loud = raw if raw_energy else x
+            e = np.log((loud * loud).sum(1)) if energy else None
+            out = log_channels(x, bank, power)
             yield pd.DataFrame({"rec": pdf.rec, "frame": pdf.frame, "feat": list(out), "energy": e if e is not None else np.zeros(len(out))})
 
     got = frames.mapInPandas(features, f"rec {kind}, frame bigint, feat array<double>, energy double")

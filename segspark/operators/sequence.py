@@ -58,27 +58,33 @@ def pcm_scale(x: Column) -> Column:
 def floating_norm(features: DataFrame, left: int = 150, right: int = 149, variance: bool = False) -> DataFrame:
     """Mean (and variance) normalisation over a window that keeps its size at both ends.
 
-    Prefix sums per ``rec, d`` are joined at the window's two ends: linear in the number of frames
-    whatever the window.  With ``variance`` a second pass divides the centred values by their root mean
-    square over the same window.
+    A window's sum is the difference of two running sums: of rows ahead and behind, or near the ends of the
+    sums at the first and last full window.  Everything is a window over ``rec, d`` in order of ``frame``,
+    so one exchange and one sort serve both passes, and the cost does not depend on the window's size.
+    Values are centred as a whole first, which keeps the running sums small.  With ``variance`` a second
+    pass divides the centred values by their root mean square over the same window.  Frames are 0, 1, ...
     """
-    key = ["rec", "d"]
-
-    def centred(f: DataFrame, squares: bool) -> DataFrame:
-        upto = Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-        value = F.col("x") * F.col("x") if squares else F.col("x")
-        sums = f.withColumn("upto", F.sum(value).over(upto))
-        size = f.groupBy(*key).agg((F.max("frame") + 1).alias("size"))
-        rows = f.join(size, key).withColumn("w", F.least("size", F.lit(left + right + 1)))
-        rows = rows.withColumn("ws", F.greatest(F.least(F.col("frame") - left, F.col("size") - F.col("w")), F.lit(0)))
-        lo = sums.select(*key, (F.col("frame") + 1).alias("ws"), F.col("upto").alias("below"))
-        hi = sums.select(*key, (F.col("frame") + 1).alias("we"), F.col("upto").alias("above"))
-        rows = rows.withColumn("we", F.col("ws") + F.col("w")).join(lo, [*key, "ws"], "left").join(hi, [*key, "we"])
-        mean = (F.col("above") - F.coalesce("below", F.lit(0.0))) / F.col("w")
-        return rows.select("rec", "frame", "d", (F.col("x") / F.sqrt(mean) if squares else F.col("x") - mean).alias("x"))
-
-    out = centred(features, False)
-    return centred(out, True) if variance else out
+    whole = Window.partitionBy("rec", "d")
+    ordered = whole.orderBy("frame")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    frame, full = F.col("frame"), left + right + 1
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = features.select("rec", "frame", "d", (F.col("x") - F.avg("x").over(every)).alias("x"), (F.max("frame").over(every) + 1).alias("size"))
+    rows = rows.withColumn("w", F.least("size", F.lit(full)))
+
+    def windowed(f: DataFrame, value: Column) -> DataFrame:
+        f = f.withColumn("upto", F.sum(value).over(upto))
+        at = lambda place: F.max(F.when(frame == place, F.col("upto"))).over(every)
+        f = f.select("*", F.lead("upto", right).over(ordered).alias("ahead"), F.lag("upto", left + 1).over(ordered).alias("behind"), at(F.col("w") - 1).alias("head"), at(F.col("size") - F.col("w") - 1).alias("tail"), at(F.col("size") - 1).alias("all"))
+        start = F.least(frame - left, F.col("size") - F.col("w"))
+        low = F.when(start <= 0, 0.0).when(start == F.col("size") - F.col("w"), F.col("tail")).otherwise(F.col("behind"))
+        high = F.when(start <= 0, F.col("head")).when(start == F.col("size") - F.col("w"), F.col("all")).otherwise(F.col("ahead"))
+        return f.withColumn("mean", (high - low) / F.col("w")).drop("upto", "ahead", "behind", "head", "tail", "all")
+
+    rows = windowed(rows, F.col("x")).withColumn("x", F.col("x") - F.col("mean"))
+    if variance:
+        rows = windowed(rows, F.col("x") * F.col("x")).withColumn("x", F.col("x") / F.sqrt("mean"))
+    return rows.select("rec", "frame", "d", "x")
 
 
 def mel(x: Column) -> Column:

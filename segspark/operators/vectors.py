@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from segspark.functions import arrays as A
 
+from .kernels import plda_ratio
+
 
 @dataclass(frozen=True)
 class Transform:
@@ -62,19 +63,11 @@ def plda_length_norm(v: Column, psi: Sequence[float]) -> Column:
     return A.let(v, lambda u: A.let(F.sqrt(F.lit(float(len(psi))) / energy(u)), lambda k: A.scaled(u, k)))
 
 
-def pairs(df: DataFrame, rec: str = "rec", idx: str = "idx", vector: str = "v", upper: bool = False) -> DataFrame:
-    """All ordered pairs of a recording (or those with ``i < j``): an equi-join on the recording."""
-    a = df.select(F.col(rec).alias("rec"), F.col(idx).alias("i"), F.col(vector).alias("vi"))
-    b = df.select(F.col(rec).alias("rec"), F.col(idx).alias("j"), F.col(vector).alias("vj"))
-    both = a.join(b, "rec")
-    return both.where("i < j") if upper else both
-
+def blocked_pairs(df: DataFrame, product: Callable[[np.ndarray, np.ndarray], np.ndarray], score: str, rec: str, idx: str, vector: str, block: int) -> DataFrame:
+    """``rec, i, j, score``: ``product`` of every pair of a recording's vectors, both triangles and the diagonal.
 
-def cosine_pairs(df: DataFrame, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = 512) -> DataFrame:
-    """``rec, i, j, s``: cosine of every pair of a recording, both triangles and the diagonal.
-
-    Blocked: a recording's rows are dealt into blocks of ``block``, block pairs are tasks of their own,
-    and each is one matrix product; no task sees more than two blocks however long the recording.
+    A recording's rows are dealt into blocks of ``block``, block pairs are tasks of their own, and each is
+    one call with two matrices; no task sees more than two blocks however long the recording.
     """
     rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), A.as_doubles(vector).alias("v"))
     n = rows.groupBy("rec").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -82,25 +75,29 @@ def cosine_pairs(df: DataFrame, rec: str = "rec", idx: str = "idx", vector: str
     tiles = rows.withColumn("t", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.when(x == F.col("own"), F.array(F.struct(F.col("own").alias("i"), x.alias("j"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("own").alias("i"), x.alias("j"), F.lit(0).alias("side")), F.struct(x.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))))))))
     kind = dict(rows.dtypes)
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        x, y = np.stack(a.v.to_list()), np.stack(b.v.to_list())
-        x = x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-32)
-        y = y / (np.sqrt((y * y).sum(1, keepdims=True)) + 1e-32)
-        s = x @ y.T
-        return pd.DataFrame({"rec": pdf.rec.iloc[0], "i": np.repeat(a.idx.to_numpy(), len(b)), "j": np.tile(b.idx.to_numpy(), len(a)), "s": s.ravel()})
+        s = product(np.stack(a.v.to_list()), np.stack(b.v.to_list()))
+        return pd.DataFrame({"rec": pdf.rec.iloc[0], "i": np.repeat(a.idx.to_numpy(), len(b)), "j": np.tile(b.idx.to_numpy(), len(a)), score: s.ravel()})
 
     flat = tiles.select("rec", "idx", "v", F.col("t.i").alias("bi"), F.col("t.j").alias("bj"), F.col("t.side").alias("side"))
-    return flat.groupBy("rec", "bi", "bj").applyInPandas(product, f"rec {kind['rec']}, i {kind['idx']}, j {kind['idx']}, s double")
+    return flat.groupBy("rec", "bi", "bj").applyInPandas(tile, f"rec {kind['rec']}, i {kind['idx']}, j {kind['idx']}, {score} double")
+
+
+def cosine_pairs(df: DataFrame, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = 512) -> DataFrame:
+    """``rec, i, j, s``: cosine of every pair of a recording, in blocks."""
+
+    def cosines(x, y):
+        x, y = (m / (np.sqrt((m * m).sum(1, keepdims=True)) + 1e-32) for m in (x, y))
+        return x @ y.T
+
+    return blocked_pairs(df, cosines, "s", rec, idx, vector, block)
 
 
-def plda_scores(e: Column, t: Column, across: Sequence[float]) -> Column:
-    """Log-likelihood ratio that two projected vectors share a class, given across-class variances."""
-    gamma = [-0.25 * (1 / (1 + 2 * a) + 1 - 2 / (1 + a)) for a in across]
-    lam = [-0.5 * (1 / (1 + 2 * a) - 1) for a in across]
-    k = -0.5 * (sum(math.log(1 + 2 * a) for a in across) - 2 * sum(math.log(1 + a) for a in across))
-    square = lambda v: A.dot(F.transform(v, lambda x: x * x), A.constant(gamma))
-    return A.dot(F.zip_with(e, A.constant(lam), lambda x, y: x * y), t) + square(e) + square(t) + F.lit(k)
+def plda_pairs(df: DataFrame, across: Sequence[float], rec: str = "rec", idx: str = "idx", vector: str = "v", block: int = 512) -> DataFrame:
+    """``rec, i, j, llr``: log-likelihood ratio that two projected vectors share a class, in blocks."""
+    variances = np.asarray(across, float)
+    return blocked_pairs(df, lambda e, t: plda_ratio(e, t, variances), "llr", rec, idx, vector, block)
 
 
 def elements(df: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -111,13 +108,26 @@ def elements(df: DataFrame, vector: str, *keys: str) -> DataFrame:
 def covariance(df: DataFrame, rec: str = "rec", vector: str = "xvec") -> DataFrame:
     """``rec, i, j, c``: population covariance of a recording's vectors.
 
-    Sums of products are formed row by row and added before the shuffle, so only ``D * D`` sums a
-    partition and recording move, never pairs of rows.
+    Every batch of rows gives, per recording in it, one product of centred vectors with its mean and
+    count; these are added by the rule for joined samples.  So ``D * D`` values a batch and recording
+    move, not a vector.
     """
-    v = F.col("v")
-    rows = df.select(F.col(rec).alias("rec"), A.as_doubles(vector).alias("v"))
-    long = rows.select("rec", "v", F.posexplode("v").alias("i", "x")).select("rec", "i", "x", F.posexplode(v).alias("j", "y"))
-    return long.groupBy("rec", "i", "j").agg(F.covar_pop("x", "y").alias("c"))
+    rows = df.select(F.col(rec).alias("rec"), A.as_doubles(vector).alias("v")).where("v is not null")
+    kind = dict(rows.dtypes)["rec"]
+
+    def products(batches):
+        for pdf in batches:
+            for key, own in pdf.groupby("rec", dropna=False, sort=False):
+                x = np.stack(own.v.to_list()).astype(float)
+                mean = x.mean(0)
+                x = x - mean
+                yield pd.DataFrame({"rec": [key] * len(mean), "i": np.arange(len(mean), dtype=np.int32), "n": len(x), "mi": mean, "m": [mean] * len(mean), "p": list(x.T @ x)})
+
+    parts = rows.mapInPandas(products, f"rec {kind}, i int, n bigint, mi double, m array<double>, p array<double>")
+    long = parts.select("rec", "i", "n", "mi", F.posexplode(F.arrays_zip("m", "p")).alias("j", "z")).select("rec", "i", "j", "n", "mi", F.col("z.m").alias("mj"), F.col("z.p").alias("p"))
+    n = F.sum("n")
+    between = F.sum(F.col("n") * F.col("mi") * F.col("mj")) - F.sum(F.col("n") * F.col("mi")) * F.sum(F.col("n") * F.col("mj")) / n
+    return long.groupBy("rec", "i", "j").agg(((F.sum("p") + between) / n).alias("c"))
 
 
 def pca_dimension(energies: DataFrame, target: float, rec: str = "rec", energy: str = "energy") -> DataFrame:

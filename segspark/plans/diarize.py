@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from segspark.operators import kernels as K
 from segspark.operators import models, segments, vectors
 from segspark.operators.embedding import embed_windows
-from segspark.operators.fbank import filterbank_matrix
+from segspark.operators.fbank import emphasised, filterbank_matrix, log_channels
 from segspark.operators.sequence import mel_filterbank
 from segspark.sources import text
 
@@ -43,11 +43,9 @@ def segment_features(x: np.ndarray, rate: int, bank: np.ndarray) -> np.ndarray:
     x = np.concatenate((x[:pre][::-1], x, x[len(x) - min(post, len(x)) :][::-1]))
     if len(x) < size:
         return np.zeros((0, bank.shape[1]), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::shift].astype(float)
-    frames = frames - 0.97 * np.concatenate((frames[:, :1], frames[:, :-1]), 1)
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::shift]
     window = (0.5 - 0.5 * np.cos(np.linspace(0, 2 * np.pi, size))) ** 0.85
-    f = np.fft.rfft(frames * window, 2 * (bank.shape[0] - 1))
-    return floating_mean(np.log(np.maximum(1.0, (f.real**2 + f.imag**2) @ bank))).astype(np.float32)
+    return floating_mean(log_channels(emphasised(frames, 0.97, zero_mean=True) * window, bank)).astype(np.float32)
 
 
 def audio_features(audio: DataFrame, vad: DataFrame, dither: float = 8.0, seed: int = 3) -> DataFrame:
@@ -125,14 +123,14 @@ def diarize(xvectors: DataFrame, transform: vectors.Transform, plda: vectors.Pld
         labels, second = np.zeros(len(x), int), [None] * len(x)
         if c.init.startswith("AHC"):
             sim = x @ x.T
-            least = K.two_gaussians(sim.ravel())[0] + c.threshold if len(x) > 1 else 0.0
+            least = K.calibration(sim)[0] + c.threshold if len(x) > 1 else 0.0
             labels = K.average_linkage(sim, least)
             start = K.soft_start(np.unique(labels, return_inverse=True)[1], c.smoothing)
         else:
             start = K.dirichlet_start(len(x), int(c.init.split("_")[1]))
         if c.init != "AHC":
             y = ((x - mu) @ tr.T)[:, : c.lda_dim]
-            gamma, *_ = K.vb_hmm(y, psi[: c.lda_dim], c.loop, c.fa, c.fb, start.shape[1], start, c.rounds, c.epsilon)
+            gamma = K.vb_hmm(y, psi[: c.lda_dim], start, start.shape[1], c.loop, c.fa, c.fb, c.rounds, c.epsilon).gamma
             order = np.argsort(-gamma, axis=1, kind="stable")
             labels = order[:, 0]
             if gamma.shape[1] > 1:

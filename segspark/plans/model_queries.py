@@ -12,7 +12,7 @@ from segspark.operators import vectors as V
 
 from . import tables as T
 from .segment_queries import registry
-from .vector_queries import ACROSS, MODEL, PLDA_SQL, P, projected
+from .vector_queries import ACROSS, LDA_SQL, MODEL, PLDA_SQL, K, P, less_sql, mat_sql, projected, transformed
 
 QUERIES, ORACLES, query = registry()
 
@@ -128,15 +128,41 @@ def vb_hmm_k(spark, sf_dir):
     return got.select("rec", "idx", F.posexplode("gamma").alias("k", "g"), F.round("objective", 4).alias("objective")).withColumn("g", F.round("g", 5))
 
 
-@query()
+ROUNDS, EPSILON = 4, 0.5
+
+
+def stopped_sql(rounds: int, epsilon: float) -> str:
+    """CTE ``st (rec, n, elbo)``: the round in which each recording stops, and all rounds' responsibilities ``ga``."""
+    bounds = " UNION ALL ".join(f"SELECT rec, {n} AS n, elbo FROM e{n}" for n in range(1, rounds + 1))
+    gammas = " UNION ALL ".join(f"SELECT rec, t, {n} AS n, g FROM g{n}" for n in range(1, rounds + 1))
+    return f"""ea AS ({bounds}), ga AS ({gammas}),
+sg AS (SELECT rec, n, elbo, n = {rounds} OR elbo - lag(elbo) OVER (PARTITION BY rec ORDER BY n) < {epsilon}::DOUBLE AS stops FROM ea),
+st AS (SELECT rec, min(n) AS n, arg_min(elbo, n) AS elbo FROM sg WHERE stops GROUP BY rec)"""
+
+
+@query(f"""WITH RECURSIVE {PLDA_SQL}, {vb_sql(ROUNDS)}, {stopped_sql(ROUNDS, EPSILON)},
+o AS (SELECT rec, idx, n, elbo, list_sort(list_transform(range(1, {STATES + 1}), lambda k: (-ga.g[k], k))) AS o FROM ga JOIN st USING (rec, n) JOIN x USING (rec, t))
+SELECT rec, idx, o[1][2] - 1 AS label, o[2][2] - 1 AS second, n::BIGINT AS rounds, round(elbo, 4) AS objective FROM o""")
 def vb_hmm(spark, sf_dir):
-    got = _vb(spark, sf_dir, 40, 1e-6)
-    return got.select("rec", "idx", "label", "second", F.round("objective", 4).alias("objective"))
+    """Labels when the objective stops rising; the threshold is coarse, so that recordings stop in different rounds."""
+    got = _vb(spark, sf_dir, ROUNDS, EPSILON)
+    return got.select("rec", "idx", "label", "second", "rounds", F.round("objective", 4).alias("objective"))
+
+
+_PSI = [float(p) for p in MODEL.psi]
+_DG = [-0.25 * (1 / (1 + 2 * a) + 1 - 2 / (1 + a)) for a in _PSI]
+_DL = [-0.5 * (1 / (1 + 2 * a) - 1) for a in _PSI]
+_DC = -0.5 * sum(math.log(1 + 2 * a) - 2 * math.log(1 + a) for a in _PSI)
 
 
-@query()
+@query(f"""WITH {LDA_SQL}, z5 AS (SELECT rec, idx, {less_sql('v', MODEL.mu)} AS v FROM ld), pr AS (SELECT rec, idx, {mat_sql(MODEL.tr, 'v')} AS v FROM z5),
+e AS (SELECT rec, idx, v, list_sum(list_transform(range(1, {K + 1}), lambda i: v[i] * v[i] / ({T.doubles(_PSI)}[i] + 1))) AS q FROM pr),
+n AS (SELECT rec, idx, list_transform(v, lambda x: x * sqrt({K} / q)) AS v FROM e),
+s AS (SELECT rec, idx, v, list_sum(list_transform(range(1, {K + 1}), lambda i: v[i] * v[i] * {T.doubles(_DG)}[i])) AS g FROM n)
+SELECT a.rec, a.idx AS i, b.idx AS j, round(list_sum(list_transform(range(1, {K + 1}), lambda k: a.v[k] * b.v[k] * {T.doubles(_DL)}[k])) + a.g + b.g + {_DC!r}::DOUBLE, 4) AS llr FROM s a JOIN s b USING (rec)""")
 def plda_dense(spark, sf_dir):
-    got = M.plda_dense_pairs(V.elements(T.vectors(spark, sf_dir), "xvec", "rec", "idx").groupBy("rec", "idx").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]), 1, 16).alias("xvec")), MODEL, 0.5)
+    """Target energy 1, the published default: all components stay, and the scores are those of the model itself."""
+    got = M.plda_dense_pairs(transformed(spark, sf_dir).withColumnRenamed("v", "xvec"), MODEL, 1.0)
     return got.withColumn("llr", F.round("llr", 4))
 
 

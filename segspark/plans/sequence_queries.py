@@ -41,22 +41,26 @@ def mirror_pad(spark, sf_dir):
 
 
 CMVN = f"""{T.SIGNAL},
-f0 AS (SELECT rec, n AS frame, x, least(size, 300) AS w, greatest(least(n - 150, size - least(size, 300)), 0) AS ws FROM sg JOIN sz USING (rec)),
-p0 AS (SELECT rec, frame, sum(x) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c FROM f0),
-c1 AS (SELECT f0.rec, f0.frame, f0.w, f0.ws, f0.x - (hi.c - coalesce(lo.c, 0)) / f0.w AS x FROM f0
+f0 AS MATERIALIZED (SELECT rec, n AS frame, x, least(size, 300) AS w, greatest(least(n - 150, size - least(size, 300)), 0) AS ws FROM sg JOIN sz USING (rec)),
+p0 AS MATERIALIZED (SELECT rec, frame, sum(x) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c FROM f0),
+c1 AS MATERIALIZED (SELECT f0.rec, f0.frame, f0.w, f0.ws, f0.x - (hi.c - coalesce(lo.c, 0)) / f0.w AS x FROM f0
   JOIN p0 hi ON hi.rec = f0.rec AND hi.frame = f0.ws + f0.w - 1 LEFT JOIN p0 lo ON lo.rec = f0.rec AND lo.frame = f0.ws - 1)"""
 
 
+#: Means of decimals over 2**n rows end in a 5; shifted, none of them is a tie of rounding.
+OFF_TIES = 1.3e-9
+
+
 def _features(spark, sf_dir):
     return T.signal(spark, sf_dir).select("rec", F.col("n").alias("frame"), F.lit(0).alias("d"), "x")
 
 
-@query(f"WITH {CMVN} SELECT rec, frame, round(x, 9) AS x FROM c1")
+@query(f"WITH {CMVN} SELECT rec, frame, round(x + {OFF_TIES!r}::DOUBLE, 8) AS x FROM c1")
 def cmvn_mean(spark, sf_dir):
-    return Q.floating_norm(_features(spark, sf_dir)).select("rec", "frame", F.round("x", 9).alias("x"))
+    return Q.floating_norm(_features(spark, sf_dir)).select("rec", "frame", F.round(F.col("x") + OFF_TIES, 8).alias("x"))
 
 
-@query(f"""WITH {CMVN}, p1 AS (SELECT rec, frame, sum(x * x) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c FROM c1)
+@query(f"""WITH {CMVN}, p1 AS MATERIALIZED (SELECT rec, frame, sum(x * x) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c FROM c1)
 SELECT c1.rec, c1.frame, round(c1.x / sqrt((hi.c - coalesce(lo.c, 0)) / c1.w), 6) AS x FROM c1
 JOIN p1 hi ON hi.rec = c1.rec AND hi.frame = c1.ws + c1.w - 1 LEFT JOIN p1 lo ON lo.rec = c1.rec AND lo.frame = c1.ws - 1""")
 def cmvn_meanvar(spark, sf_dir):
@@ -106,12 +110,27 @@ def mel_fbank(spark, sf_dir):
     return Q.mel_filterbank(spark, 512, 16000, 64, 20.0, 7600.0, htk_bug=False).withColumn("w", F.round("w", 6))
 
 
-@query(f"""WITH {T.SIGNAL}, {FRAMES.replace('x FROM sg JOIN', 'trunc(x * 32768)::DOUBLE AS x FROM sg JOIN')}, {bank_sql(16, 16000, 4, 20.0, 7600.0)},
-pe AS (SELECT rec, frame, k, (x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY rec, frame ORDER BY k), x)) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 15)) AS x FROM fm),
+def fbank_sql(zero_mean: bool) -> str:
+    centred = "x - avg(x) OVER (PARTITION BY rec, frame)" if zero_mean else "x"
+    return f"""WITH {T.SIGNAL}, {FRAMES.replace('x FROM sg JOIN', 'trunc(x * 32768)::DOUBLE AS x FROM sg JOIN')}, {bank_sql(16, 16000, 4, 20.0, 7600.0)},
+zm AS (SELECT rec, frame, k, {centred} AS x FROM fm),
+pe AS (SELECT rec, frame, k, (x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY rec, frame ORDER BY k), x)) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 15)) AS x FROM zm),
 ft AS (SELECT rec, frame, b AS bin, pow(sum(x * cos(2 * pi() * k * b / 16)), 2) + pow(sum(x * sin(2 * pi() * k * b / 16)), 2) AS p FROM pe, (SELECT unnest(range(0, 9)) AS b) GROUP BY rec, frame, b)
-SELECT rec, frame, chan, round(ln(greatest(1, sum(p * w))), 5) AS v FROM ft JOIN bk USING (bin) GROUP BY rec, frame, chan""")
-def fbank(spark, sf_dir):
+SELECT rec, frame, chan, round(ln(greatest(1, sum(p * w))), 5) AS v FROM ft JOIN bk USING (bin) GROUP BY rec, frame, chan"""
+
+
+def _fbank(spark, sf_dir, zero_mean):
     pcm = T.signal(spark, sf_dir).withColumn("x", Q.pcm_scale(F.col("x")).cast("double"))
     bank = B.filterbank_matrix(Q.mel_filterbank(spark, 16, 16000, 4, 20.0, 7600.0, htk_bug=False), 9, 4)
-    out = B.log_filterbank(pcm, np.hamming(WINDOW), WINDOW - SHIFT, bank)
+    out = B.log_filterbank(pcm, np.hamming(WINDOW), WINDOW - SHIFT, bank, zero_mean=zero_mean)
     return out.select("rec", "frame", F.posexplode("feat").alias("chan", "v")).withColumn("v", F.round("v", 5))
+
+
+@query(fbank_sql(False))
+def fbank(spark, sf_dir):
+    return _fbank(spark, sf_dir, False)
+
+
+@query(fbank_sql(True))
+def fbank_zero_mean(spark, sf_dir):
+    return _fbank(spark, sf_dir, True)

@@ -109,8 +109,7 @@ _C = -0.5 * (sum(math.log(1 + 2 * a) for a in ACROSS) - 2 * sum(math.log(1 + a)
 @query(f"""WITH {PLDA_SQL}, s AS (SELECT rec, idx, v, list_sum(list_transform(range(1, {P + 1}), lambda i: v[i] * v[i] * {T.doubles(_G)}[i])) AS g FROM pr)
 SELECT a.rec, a.idx AS i, b.idx AS j, round(list_sum(list_transform(range(1, {P + 1}), lambda k: a.v[k] * b.v[k] * {T.doubles(_L)}[k])) + a.g + b.g + {_C!r}::DOUBLE, 6) AS llr FROM s a JOIN s b USING (rec)""")
 def plda_score(spark, sf_dir):
-    both = V.pairs(projected(spark, sf_dir))
-    return both.select("rec", "i", "j", F.round(V.plda_scores(F.col("vi"), F.col("vj"), ACROSS), 6).alias("llr"))
+    return V.plda_pairs(projected(spark, sf_dir), ACROSS).withColumn("llr", F.round("llr", 6))
 
 
 COV_SQL = f"{T.VECTORS}, lg AS (SELECT rec, idx, generate_subscripts(v, 1) - 1 AS d, unnest(v) AS x FROM em)"

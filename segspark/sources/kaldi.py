@@ -10,6 +10,7 @@ from typing import BinaryIO
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class FormatError(ValueError):
@@ -170,7 +171,11 @@ def archive_bytes(items) -> bytes:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``rec, idx, key, xvec`` from archives; ``rec`` is the key before its last underscore."""
+    """``rec, idx, key, xvec`` from archives; ``rec`` is the key before its last underscore.
+
+    ``path`` holds raw archive files, or Parquet rows with an archive in ``content``, as ``archives`` makes
+    them.
+    """
 
     def parse(batches):
         for pdf in batches:
@@ -178,7 +183,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(k.rpartition("_")[0], i, k, v.astype(float)) for i, (k, v) in enumerate(vectors_in(io.BytesIO(content)))]
                 yield pd.DataFrame(rows, columns=["rec", "idx", "key", "xvec"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "rec string, idx bigint, key string, xvec array<double>")
+    raw = spark.read.format("binaryFile").load(path)
+    packed = not raw.where(F.col("path").endswith(".parquet")).select("path").isEmpty()
+    files = spark.read.parquet(path) if packed else raw
+    return files.select("content").mapInPandas(parse, "rec string, idx bigint, key string, xvec array<double>")
 
 
 def matrix_rows(spark: SparkSession, path: str, key: str, position: int) -> DataFrame:

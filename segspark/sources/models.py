@@ -7,7 +7,9 @@ import json
 import zipfile
 from collections.abc import Callable
 from functools import cache
+from importlib import import_module
 from typing import Any
+from urllib.parse import parse_qsl, urlencode
 
 import numpy as np
 
@@ -58,12 +60,7 @@ def onnx(path: str):
     return embed
 
 
-@register("torch")
-def torch(path: str):
-    """A whole saved module; only where torch is installed."""
-    import torch as t
-
-    model = t.load(path, map_location="cpu", weights_only=False)
+def _torch_embed(t, model):
     model.eval()
 
     def embed(x: np.ndarray) -> np.ndarray:
@@ -73,6 +70,35 @@ def torch(path: str):
     return embed
 
 
+@register("torch")
+def torch(path: str):
+    """A whole saved module; only where torch is installed."""
+    import torch as t
+
+    return _torch_embed(t, t.load(path, map_location="cpu", weights_only=False))
+
+
+def state_path(weights: str, network: str, feat_dim: int = 64, embed_dim: int = 256) -> str:
+    """The path of ``torch_state`` for a network ``package.module:Class`` and a file of its weights."""
+    return f"{weights}?{urlencode({'network': network, 'feat_dim': feat_dim, 'embed_dim': embed_dim})}"
+
+
+@register("torch_state")
+def torch_state(path: str):
+    """A network class, imported by name, with weights from a checkpoint's ``state_dict``; see ``state_path``.
+
+    Weights that the network does not have, or that the checkpoint lacks, are passed over.
+    """
+    import torch as t
+
+    weights, _, options = path.partition("?")
+    options = dict(parse_qsl(options))
+    module, _, name = options["network"].partition(":")
+    network = getattr(import_module(module), name)(feat_dim=int(options["feat_dim"]), embed_dim=int(options["embed_dim"]))
+    network.load_state_dict(t.load(weights, map_location="cpu")["state_dict"], strict=False)
+    return _torch_embed(t, network)
+
+
 @cache
 def load(name: str, path: str = "") -> Callable[[np.ndarray], np.ndarray]:
     if name not in REGISTRY:
@@ -87,10 +113,23 @@ def assemble(parts: dict[str, bytes]) -> dict[str, bytes]:
         return {n: z.read(n) for n in z.namelist()}
 
 
+#: Fixed value: how an HDF5 file begins.
+HDF5 = b"\x89HDF\r\n\x1a\n"
+
+
 def read_transform(path: str) -> dict[str, Any]:
-    """Centring and projection ``mean1, lda, mean2`` from JSON."""
-    with open(path) as fd:
-        got = json.load(fd)
+    """Centring and projection ``mean1, lda, mean2`` from JSON, or from HDF5 where ``h5py`` is installed."""
+    with open(path, "rb") as fd:
+        raw = fd.read()
+    if raw.startswith(HDF5):
+        try:
+            import h5py
+        except ModuleNotFoundError as gone:
+            raise ValueError(f"{path} is HDF5: install h5py, or write its datasets mean1, lda and mean2 as JSON lists") from gone
+        with h5py.File(path, "r") as f:
+            got = {k: np.asarray(f[k], float).tolist() for k in f if k in ("mean1", "lda", "mean2")}
+    else:
+        got = json.loads(raw)
     missing = {"mean1", "lda", "mean2"} - got.keys()
     if missing:
         raise ValueError(f"transform lacks {sorted(missing)}")

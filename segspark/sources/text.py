@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def _fields(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """Lines as whitespace-separated fields, with the file's stem and the line's place in the file.
+    """Lines as whitespace-separated fields, with the file's stem and a number that orders a file's lines.
 
-    Files are read whole, one row each, so that line numbers are those of the file.
+    Files are read split by split.  A line's number is the byte at which its split begins plus its place
+    in the split: unique and rising within a file, as a line has at least a byte.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    split = Window.partitionBy("file", "block")
+    lines = lines.withColumn("line", F.col("block") + F.col("at") - F.min("at").over(split))
     value = F.trim(F.regexp_replace("value", r"#.*$" if not whole else r"$^", ""))
-    return lines.select("stem", "line", value.alias("value")).where("value <> ''").select("stem", "line", F.split("value", r"\s+").alias("f"))
+    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    return lines.select(stem.alias("stem"), "line", value.alias("value")).where("value <> ''").select("stem", "line", F.split("value", r"\s+").alias("f"))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

@@ -29,18 +29,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", c
     return events.groupBy(F.session_window(column, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, "w.start", "w.end", "n")
 
 
-def online_hmm(events: DataFrame, transition: list[list[float]], initial: list[float], key: str = "rec", order: str = "idx", vector: str = "ll") -> DataFrame:
+def online_hmm(events: DataFrame, transition: list[list[float]], initial: list[float], key: str = "rec", order: str = "idx", vector: str = "ll", time: str = "ts", idle: float = 3600.0) -> DataFrame:
     """``rec, idx, state, evidence``: the HMM's forward filter, one vector of log probabilities per key as state.
 
-    Rows of one micro-batch are put in order; a row that comes later than its successors is filtered
-    where it arrives.
+    ``time`` is the watermarked event time (see ``timed``).  A key that the watermark finds idle for
+    ``idle`` seconds is forgotten, and begins anew should it return; so state is bounded by the keys that
+    are active.  Rows of one micro-batch are put in order; a row that comes later than its successors, but
+    within the watermark, is filtered where it arrives.
     """
     tr, ip = np.log(np.array(transition) + LOG_FLOOR), np.log(np.array(initial) + LOG_FLOOR)
     kind = dict(events.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = np.array(state.get[0]) if state.exists else None
-        total = state.get[1] if state.exists else 0.0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, total, latest = (np.array(state.get[0]), state.get[1], state.get[2]) if state.exists else (None, 0.0, 0)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
         for i, ll in zip(rows[order], rows[vector], strict=True):
@@ -48,7 +52,10 @@ def online_hmm(events: DataFrame, transition: list[list[float]], initial: list[f
             norm = float(lse(now, 0))
             now, total = now - norm, total + norm
             out.append((k[0], i, int(now.argmax()), total))
-        state.update((now.tolist(), total))
+        latest = max(latest, int(rows[time].max().timestamp() * 1000))
+        state.update((now.tolist(), total, latest))
+        # never at or before the watermark, which a late row may be
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(idle * 1000))
         yield pd.DataFrame(out, columns=["rec", "idx", "state", "evidence"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"rec {kind[key]}, idx {kind[order]}, state int, evidence double", "f array<double>, total double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"rec {kind[key]}, idx {kind[order]}, state int, evidence double", "f array<double>, total double, latest long", "append", GroupStateTimeout.EventTimeTimeout)

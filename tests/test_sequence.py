@@ -94,6 +94,56 @@ def test_array_functions(spark):
     assert (s.a, s.b) == (1, 2) and np.allclose(s.s, e / e.sum()) and np.isclose(s.l, np.log(e.sum()))
 
 
+def test_segment_features_are_the_operators(spark):
+    """The audio path against the operator form with mean removal and floating normalisation."""
+    r = np.random.default_rng(1)
+    x = np.cumsum(r.normal(size=9000)) * 5 + 300  # a drifting signal
+    bank = fbank.filterbank_matrix(Q.mel_filterbank(spark, 512, 16000, D.CHANNELS, D.LOW, D.HIGH[16000], htk_bug=False), 257, D.CHANNELS)
+    got = D.segment_features(x, 16000, bank)
+    window = (0.5 - 0.5 * np.cos(np.linspace(0, 2 * np.pi, 400))) ** 0.85
+    padded = Q.mirror_pad(table(spark, x), 120, 200).select("rec", "n", "x")
+    feats = fbank.log_filterbank(padded, window, 240, bank, zero_mean=True)
+    rows = Q.floating_norm(feats.select("rec", "frame", F.posexplode("feat").alias("d", "x"))).collect()
+    want = np.zeros((max(q.frame for q in rows) + 1, D.CHANNELS))
+    for q in rows:
+        want[q.frame, q.d] = q.x
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-4)
+    assert not np.allclose(fbank.emphasised(x[None, :400], 0.97, True), fbank.emphasised(x[None, :400], 0.97, False))
+
+
+def test_calibrate_of_degenerate_scores(spark):
+    def fit(values):
+        return models.calibrate(spark.createDataFrame([(v,) for v in values], "s double"))
+
+    assert fit([])["threshold"] == 0 and fit([None])["threshold"] == 0
+    same = fit([0.25] * 5)
+    assert same["threshold"] == same["m0"] == same["m1"] == 0.25 and same["var"] == 0 and models.calibrated_ratio(3.0, same) == 0
+    s = np.random.default_rng(4).normal(size=300) ** 3 + 2
+    assert np.isclose(fit(s.tolist())["threshold"], K.calibration(s)[0])
+
+
+def test_clusters_of_equal_vectors(spark):
+    df = spark.createDataFrame([("r", i, [1.0, 2.0, 2.0]) for i in range(4)], "rec string, idx long, xvec array<double>")
+    assert {q.label for q in models.cluster(df, -0.015, calibrated=True).collect()} == {0}
+
+
+def test_covariance_by_batches(spark):
+    x = np.random.default_rng(3).normal(size=(60, 4)) + 1000
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "rec int, xvec array<double>").repartition(7)
+    got = {(q.rec, q.i, q.j): q.c for q in vectors.covariance(df).collect()}
+    for rec in (0, 1):
+        want = np.cov(x[rec::2].T, bias=True)
+        assert all(np.isclose(got[rec, i, j], want[i, j], atol=1e-8) for i in range(4) for j in range(4))
+
+
+def test_plda_blocks(spark):
+    x, across = np.random.default_rng(0).normal(size=(13, 3)), [2.0, 1.0, 0.5]
+    df = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(x)], "rec string, idx long, v array<double>")
+    got = {(q.i, q.j): q.llr for q in vectors.plda_pairs(df, across, block=4).collect()}
+    want = K.plda_ratio(x, x, np.array(across))
+    assert len(got) == 169 and all(np.isclose(s, want[i, j]) for (i, j), s in got.items())
+
+
 def test_cosine_blocks(spark):
     x = np.random.default_rng(0).normal(size=(23, 5))
     df = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(x)], "rec string, idx long, xvec array<double>")
@@ -239,11 +289,9 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "m.lab").write_text("0.0 5.0 sp\n")
     (tmp_path / "list").write_text("m\n")
     main(["extract", "--in-file-list", f"{tmp_path}/list", "--in-lab-dir", str(tmp_path), "--in-wav-dir", str(tmp_path), "--out-ark-fn", f"{tmp_path}/ark", "--out-seg-fn", f"{tmp_path}/seg"])
-    content = spark.read.parquet(f"{tmp_path}/ark").first().content
-    (tmp_path / "x.ark").write_bytes(bytes(content))
     (tmp_path / "plda").write_bytes(plda_bytes([0.0] * 16, np.eye(16).tolist(), [1.0] * 16))
     (tmp_path / "t.json").write_text(json.dumps({"mean1": [0.0] * 16, "mean2": [0.0] * 16, "lda": np.eye(16).tolist()}))
-    main(["cluster", "--out-rttm-dir", f"{tmp_path}/rttm", "--xvec-ark-file", f"{tmp_path}/x.ark", "--segments-file", f"{tmp_path}/seg", "--xvec-transform", f"{tmp_path}/t.json", "--plda-file", f"{tmp_path}/plda", "--lda-dim", "8", "--output-2nd", "no"])
+    main(["cluster", "--out-rttm-dir", f"{tmp_path}/rttm", "--xvec-ark-file", f"{tmp_path}/ark", "--target-energy", "1.0", "--segments-file", f"{tmp_path}/seg", "--xvec-transform", f"{tmp_path}/t.json", "--plda-file", f"{tmp_path}/plda", "--lda-dim", "8", "--output-2nd", "no"])
     assert spark.read.text(f"{tmp_path}/rttm").count() > 0
     with pytest.raises(SystemExit):
         parser().parse_args(["cluster", "--output-2nd", "maybe"])
@@ -283,7 +331,45 @@ def test_online_hmm(spark, tmp_path):
     r = np.random.default_rng(0)
     ll = r.normal(size=(12, 3))
     tr, ip = np.eye(3) * 0.8 + 0.2 / 3, np.ones(3) / 3
-    df = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(ll)], "rec string, idx long, ll array<double>")
-    got = streamed(spark, tmp_path, df, lambda s: ST.online_hmm(s, tr.tolist(), ip.tolist()), "hmm").orderBy("idx").collect()
+    df = spark.createDataFrame([("r", i, v.tolist(), f"2024-01-01 00:00:{i:02d}") for i, v in enumerate(ll)], "rec string, idx long, ll array<double>, t string").selectExpr("rec", "idx", "ll", "to_timestamp(t) AS ts")
+    got = streamed(spark, tmp_path, df, lambda s: ST.online_hmm(ST.timed(s), tr.tolist(), ip.tolist()), "hmm").orderBy("idx").collect()
     _, total, fw, _ = K.forward_backward(ll, tr, ip)
     assert [q.state for q in got] == fw.argmax(1).tolist() and np.isclose(got[-1].evidence, total)
+
+
+def test_idle_keys_and_late_rows(spark, tmp_path):
+    """State of a key leaves when the watermark passes its idle time; a row behind the watermark is left out."""
+    path = str(tmp_path / "in")
+    schema = "rec string, idx long, ll array<double>, ts timestamp"
+
+    def feed(rec, i, hour):
+        spark.createDataFrame([(rec, i, [0.0, 1.0], hour)], "rec string, idx long, ll array<double>, h int").selectExpr("rec", "idx", "ll", "timestamp_seconds(h * 3600L) AS ts").write.mode("append").parquet(path)
+
+    feed("a", 0, 100)
+    stream = ST.timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), late="1 minute")
+    tr = [[0.9, 0.1], [0.1, 0.9]]
+    run = ST.online_hmm(stream, tr, [0.5, 0.5], idle=1800.0).writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for rec, i, hour in (("b", 1, 105), ("b", 2, 106), ("a", 3, 107), ("late", 4, 101)):
+            run.processAllAvailable()
+            feed(rec, i, hour)
+        run.processAllAvailable()
+        rows = {q.idx: q for q in spark.sql("SELECT * FROM idle").collect()}
+        assert np.isclose(rows[3].evidence, rows[0].evidence)  # "a" began anew
+        kept = run.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert kept <= 2
+    finally:
+        run.stop()
+    path2 = str(tmp_path / "counts")
+    spark.createDataFrame([(1, 10)], "event_id long, h int").selectExpr("event_id", "timestamp_seconds(h * 3600L) AS ts", "'x' AS event_type").write.parquet(path2)
+    counts = ST.window_counts(ST.timed(spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(path2), late="1 minute"))
+    run = counts.writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    try:
+        for h in (10, 2, 20, 30):  # the row of hour 2 is late
+            run.processAllAvailable()
+            spark.createDataFrame([(h, h)], "event_id long, h int").selectExpr("event_id", "timestamp_seconds(h * 3600L) AS ts", "'x' AS event_type").write.mode("append").parquet(path2)
+        run.processAllAvailable()
+        got = {int(q.start.timestamp()) // 3600: q.n for q in spark.sql("SELECT * FROM late").collect()}
+        assert got.get(10) == 2 and 2 not in got
+    finally:
+        run.stop()
