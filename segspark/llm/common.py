@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from segspark.ship import ensure
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -21,27 +25,49 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local["):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        sc.setCheckpointDir(named)
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+            sc.setCheckpointDir(_own_dirs[sc.applicationId])
+        named = _own_dirs[sc.applicationId]
     return named.rstrip("/")
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def swept() -> Iterator[None]:
+    """Deletes, at the end of the block, the intermediate tables of all operators that began in it.
+
+    For a caller that has written what the operators returned; nothing may read their tables any more.
+    """
+    made: list[Scratch] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for scratch in made:
+            scratch.drop("")
+
+
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet to the shared folder.
 
     Writing cuts lineage durably: a lost executor costs only the running stage.  ``drop`` removes a
-    table that nothing reads any more; the tables that the returned DataFrame reads stay.
+    table that nothing reads any more; the tables that the returned DataFrame reads stay (see ``swept``).
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        for made in _open:
+            made.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))

@@ -170,8 +170,9 @@ class Scorer:
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], top: int = PROFILE) -> DataFrame:
     """``docs (id, held_out, text)`` to ``id, held_out, lang_pred, score``.
 
-    ``score`` is 1 less the distance as a share of the greatest possible one.  A text without a letter,
-    or null, is ``und`` with score 0, as is every text when nothing was learned.
+    ``score`` is 1 less the distance as a share of the greatest possible one.  Of languages at equal
+    distance the first by code point is predicted.  A text without a letter, or null, is ``und`` with
+    score 0, as is every text when nothing was learned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Scorer(model, top))  # top rows a language
 
@@ -210,7 +211,9 @@ LEAST_SCORE = 0.05
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = PROFILE, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that are in some learned language, with their columns.
 
-    Rejected: no letter at all, or a profile that is out of place almost everywhere in every language.
+    Rejected: no letter at all (null and empty texts among them), or a score below ``least``, a profile that
+    is out of place almost everywhere in every language; so are all rows when nothing was learned.  Repeated
+    rows all stay or all go; a null id or label does not matter.  An empty table gives no rows.
     """
     _, model = learned(docs, id_col, text_col, lang_col, top)
     sent = docs.sparkSession.sparkContext.broadcast(Scorer(model, top))  # top rows a language

@@ -22,26 +22,40 @@ LIMIT = 3
 CELL_ROWS = 1 << 10
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: int = 0) -> DataFrame:
+def running(scratch: Scratch, rows: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """``rows`` with exclusive running sums of columns in a total order, by ranges: no task sees all rows.
+
+    Rows are dealt by range and written with the number of their range; every range sums its own, and the
+    totals of the ranges, a row each, are summed before them.
+    """
+    dealt = scratch.save(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    whole = dealt.groupBy("range").agg(*(F.sum(c).alias(new) for new, c in sums.items())).select("range", *(ahead(new, before).alias(f"{new}_range") for new in sums))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = dealt.join(whole, "range")
+    return got.select(*rows.columns, *((ahead(c, inside) + F.col(f"{new}_range")).alias(new) for new, c in sums.items()))
+
+
+def source_targets(scratch: Scratch, sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: int = 0) -> DataFrame:
     """A row per source: ``nil, src, source_size, target, step, shift``.
 
     Sources by code point, null last, take the weights in turn.  The targets share all sizes by
     weight; one that would pass ``limit`` times its source's size stops there and the rest is shared
     again: with sources by limit per weight, the first whose share of what is left fits sets the level.
-    Works on one row per source.
+    All sums are of whole numbers, so their order does not matter.
     """
-    per = sizes.groupBy("nil", "src").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("nil", "src").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    per = running(scratch, per, ["nil", "src"], {"place": "one"}, "by_name")
     turn = F.array(*(F.lit(float(w)) for w in weights))
-    by_name = Window.orderBy("nil", "src")
-    per = per.withColumn("w", F.element_at(turn, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
+    per = per.withColumn("w", F.element_at(turn, (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("cap", limit * F.col("source_size").cast("double")).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", "nil", "src").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    left = F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    heft = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / heft)
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"])
-    per = per.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))))
+    per = running(scratch, per, ["ratio", "nil", "src"], {"caps": "cap", "ws": "w"}, "by_ratio")
+    size, weight = per.agg(F.sum(F.col("source_size").cast("double")), F.sum("w")).first()
+    per = per.withColumn("level", (F.lit(size or 0.0) - F.col("caps")) / (F.lit(weight or 0.0) - F.col("ws")))
+    fits = per.where("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("m")).first()["m"]
+    level = F.lit(fits["level"] if fits else None).cast("double")
+    per = per.withColumn("target", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))))
     step = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * GRAIN), F.lit(limit * GRAIN).cast("long"))).otherwise(F.lit(0).cast("long"))
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("nil").cast("int").cast("string"), F.col("src"))), 1, 7), 16, 10).cast("long")
     return per.select("nil", "src", "source_size", "target", step.alias("step"), shift.alias("shift"))
@@ -56,7 +70,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, print
     name = F.coalesce(F.col("id").cast("string"), F.col("spread"))
     sizes = sizes.withColumn("deal", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")).drop("spread")
     sizes = scratch.save(sizes, "sizes")
-    targets = source_targets(sizes, weights, limit, seed)
+    targets = source_targets(scratch, sizes, weights, limit, seed)
     # number of documents of each source and size, where they start, and how many cells they need
     steps = sizes.groupBy("nil", "src", "size").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("nil", "src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,13 +28,6 @@ def test_words_match_patterns():
         assert len(set(w.hashes().tolist())) == len({bytes(w.data[a:b]) for a, b in zip(w.starts, w.ends, strict=True)})
 
 
-def profile_slow(texts, top):
-    n = Counter()
-    for t in texts:
-        n.update(grams_slow(t))
-    return n
-
-
 def grams_slow(t):
     out = Counter()
     for word in re.findall(r"[^\W\d_]+", t.lower()):
@@ -80,6 +73,71 @@ def test_out_of_place_matches_slow():
     assert best[:3] == ["en", "de", "und"] and best[4] == "fr"
 
 
+def packed(gram):
+    """A gram as the module numbers it."""
+    out = 0
+    for c in gram:
+        n = langid.MARK if c == "_" else (ord(c) & 0xFFFF) ^ (ord(c) >> 16 << 9)
+        out = out << 16 | n
+    return out
+
+
+def identify_slow(table, top):
+    """Profiles, ranks and distances by dictionaries: ``(held_out, language, score)`` per row."""
+    import struct
+
+    import xxhash
+
+    mixed = lambda g: int(textkit.mix(np.array([g], np.uint64))[0])
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    counts, held = defaultdict(Counter), [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in table]
+    for r, h in zip(table, held, strict=True):
+        if not h and r[1] is not None and r[2] is not None:
+            counts[r[2]].update(grams_slow(r[1]))
+    tie = lambda g: signed(xxhash.xxh64(struct.pack("<q", packed(g)), seed=42).intdigest())
+    profile = {}
+    for lang, c in counts.items():
+        profile[lang] = {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], tie(g), packed(g)))[:top])}
+    out = []
+    for r, h in zip(table, held, strict=True):
+        c = grams_slow(r[1] or "")
+        own = sorted(c, key=lambda g: (-c[g], mixed(packed(g))))[:top]
+        if not own or not profile:
+            out.append((h, "und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(own)) for lang, p in profile.items()}
+        best = min(sorted(away), key=away.get)
+        out.append((h, best, 1 - away[best] / (top * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("top", [langid.PROFILE, 12])
+def test_language_matches_slow(spark, top):
+    """The whole query, learning included; two languages with equal profiles tie, and the first is predicted."""
+    table = [(i, r[1], r[2]) for i, r in enumerate(cases.rows()) if len(r[1] or "") < 20000]
+    table += [(1000 + i, t, lang) for i, (t, lang) in enumerate([("der hund und die katze", "de"), ("le chat noir", "fr"), ("twin words twin", "xa"), ("twin words twin", "xb"), ("twin words twin", "xa"), ("twin words twin", "xb")] * 6)]
+    for twin in ("xa", "xb"):
+        rows = [t for t in table if t[2] == twin and zlib.crc32(str(t[0]).encode()) % 4 != 2]
+        table = [t for t in table if t not in rows] + rows[:3]
+    table.append((None, "no id at all", "en"))
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    got = Counter((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, top=top).collect())
+    want = Counter((str(t[0]), h, lang, round(s, 9)) for t, (h, lang, s) in zip(table, identify_slow(table, top), strict=True))
+    assert got == want and any(k[2] == "xa" for k in want) and not any(k[2] == "xb" for k in want)
+
+
+def test_language_limit(spark):
+    """What the limit rejects: scores below it, and only these."""
+    docs = cases.frame(spark)
+    scores = sorted({round(r.score, 12) for r in langid.identify(docs).collect() if r.lang_pred != "und"})
+    least = scores[len(scores) // 2]
+    want = sum(r.lang_pred != "und" and r.score >= least for r in langid.identify(docs).collect())
+    assert langid.accepted(docs, least=least).count() == want < docs.count()
+    foreign = docs.limit(0).unionByName(spark.createDataFrame([(1, "ж ъ љ")], "doc_id long, text string"), allowMissingColumns=True)
+    assert langid.accepted(docs.unionByName(foreign)).where("text = 'ж ъ љ'").count() == 0
+    assert langid.accepted(docs.limit(0)).count() == 0
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -205,6 +263,20 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_running_sums_by_range(spark):
+    import random
+
+    from segspark.llm.common import Scratch
+
+    values = [(i, float(random.Random(i).randrange(9))) for i in range(500)]
+    rows = spark.createDataFrame(values, "k long, v double").repartition(6)
+    got = {r.k: r.s for r in mixing.running(Scratch(spark, "t"), rows, ["k"], {"s": "v"}, "t").collect()}
+    assert got == {k: sum(v for _, v in values[:k]) for k, _ in values}
+    many = spark.createDataFrame([(i, "a b c", f"source{i % 150:03d}") for i in range(600)], "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(many).collect()}
+    assert all(np.isclose(t, 1800 * (1 + i % 3) / 300) for i, (s, t) in enumerate(sorted(target.items())))
+
+
 def test_mixing_cells(spark):
     """Ranks are gapless whatever the cell size, so each source meets its target."""
     docs = spark.createDataFrame([(i, "a b c d", "s" if i % 3 else "t") for i in range(300)], "doc_id long, text string, source string")
