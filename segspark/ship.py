@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ensure(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if sc.applicationId in _shipped or not root.is_dir():
         return
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="segspark-")), "segspark.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="segspark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "segspark.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
