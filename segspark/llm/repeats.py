@@ -1,13 +1,14 @@
-"""Repeated passages: shared machinery of the two passage operators.
+"""Repeated windows of words: machinery of the substring operator.
 
-Both remove every word that lies in a stretch of ``length`` words which also starts anywhere else, and
-both find those stretches in two steps:
+Every word that lies in a window of ``length`` words which also starts anywhere else is removed; these
+windows are found in two steps:
 
-* anchors: short stretches whose position follows from a rule, so that a repeated stretch always
-  contains an anchor that occurs elsewhere.  Anchors are dealt by hash into buckets, as packed arrays;
-  a bucket is sorted and equal neighbours are kept.
-* extension: each kept anchor is extended left and right to every stretch of full length around it;
-  these are compared by 96-bit hashes in the same packed way.
+* anchors: short stretches whose position follows from a rule, so that a repeated window always contains
+  an anchor that occurs elsewhere.  Anchors are dealt by hash into buckets, as packed arrays; a bucket is
+  sorted and equal neighbours are kept.
+* extension: each kept anchor is extended left and right to every window of full length around it; these
+  are compared by 96-bit hashes in the same packed way, and windows that follow each other make up the
+  maximal repeats.
 
 What occurs twice within one task's batch is settled there and sent on once, so a passage that a third
 of all documents share adds a few entries per batch.  Bucket numbers grow with the input, and a bucket
