@@ -107,18 +107,44 @@ def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1
     return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, gamma array<double>, pi array<double>, objective double, rounds bigint, label bigint, second bigint")
 
 
-def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll") -> DataFrame:
-    """``rec, idx, forward, backward, posterior, total`` from log output probabilities per state."""
-    rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"))
+def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll", chunk: int = 4096) -> DataFrame:
+    """``rec, idx, forward, backward, posterior, total`` from log output probabilities per state.
+
+    ``idx`` are whole numbers in order of time.  A recording is cut every ``chunk`` of them: each piece gives
+    the log probabilities of passing through it from any state to any, these small matrices are chained
+    per recording, and each piece runs again between what comes before and after it.  So no task sees more
+    than a piece, however long the recording, but for a matrix a piece.
+    """
+    rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"), F.floor(F.col(idx) / chunk).cast("long").alias("part"))
     kind = dict(rows.dtypes)
-    tr, ip = np.array(transition, float), np.array(initial, float)
+    lt, li = np.log(np.array(transition, float) + K.LOG_FLOOR), np.log(np.array(initial, float) + K.LOG_FLOOR)
+
+    def passage(pdf: pd.DataFrame) -> pd.DataFrame:
+        ll = np.stack(_sorted(pdf).v.to_list())
+        through, begun = (K.forward_from(ll, first, lt)[-1] for first in (lt, li))
+        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "part": pdf.part.iloc[:1], "through": [through.ravel()], "begun": [begun]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        through = [m.reshape(len(li), -1) for m in pdf.through]
+        ahead = [pdf.begun.iloc[0]]
+        for m in through[1:]:
+            ahead.append(K.lse(ahead[-1][:, None] + m, 0))
+        behind = [np.zeros(len(li))]
+        for m in through[:0:-1]:
+            behind.append(K.lse(m + behind[-1][None, :], 1))
+        enter = [li, *(K.lse(f[:, None] + lt, 0) for f in ahead[:-1])]
+        return pd.DataFrame({"rec": pdf.rec, "part": pdf.part, "enter": enter, "leave": behind[::-1], "total": float(K.lse(ahead[-1], 0))})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf)
-        post, whole, fw, bw = K.forward_backward(np.stack(pdf.v.to_list()), tr, ip)
-        return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "forward": list(fw), "backward": list(bw), "posterior": list(post), "total": whole})
+        ll, whole = np.stack(pdf.v.to_list()), pdf.total.iloc[0]
+        fw, bw = K.forward_from(ll, pdf.enter.iloc[0], lt), K.backward_from(ll, pdf.leave.iloc[0], lt)
+        return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "forward": list(fw), "backward": list(bw), "posterior": list(np.exp(fw + bw - whole)), "total": whole})
 
-    return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
+    pieces = rows.groupBy("rec", "part").applyInPandas(passage, f"rec {kind['rec']}, part long, through array<double>, begun array<double>")
+    ends = pieces.groupBy("rec").applyInPandas(chain, f"rec {kind['rec']}, part long, enter array<double>, leave array<double>, total double")
+    return rows.join(ends, ["rec", "part"]).groupBy("rec", "part").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
 
 
 def plda_dense_pairs(df: DataFrame, plda: Plda, target: float = 0.1, dims: int | None = None, rec: str = "rec", idx: str = "idx", vector: str = "xvec") -> DataFrame:

@@ -337,6 +337,19 @@ def test_online_hmm(spark, tmp_path):
     assert [q.state for q in got] == fw.argmax(1).tolist() and np.isclose(got[-1].evidence, total)
 
 
+def test_hmm_in_pieces(spark):
+    """A recording cut into pieces gives what it gives in one."""
+    r = np.random.default_rng(2)
+    ll, tr, ip = r.normal(size=(53, 3)) * 3, r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(3))
+    df = spark.createDataFrame([(rec, i, v.tolist()) for rec, n in (("a", 53), ("b", 7), ("c", 1)) for i, v in enumerate(ll[:n])], "rec string, idx long, ll array<double>").repartition(5)
+    rows = models.hmm(df, tr.tolist(), ip.tolist(), chunk=10).collect()
+    for rec, n in (("a", 53), ("b", 7), ("c", 1)):
+        post, total, fw, bw = K.forward_backward(ll[:n], tr, ip)
+        own = sorted((q for q in rows if q.rec == rec), key=lambda q: q.idx)
+        assert len(own) == n and np.allclose([q.posterior for q in own], post) and np.isclose(own[0].total, total)
+        assert np.allclose([q.forward for q in own], fw) and np.allclose([q.backward for q in own], bw)
+
+
 def test_idle_keys_and_late_rows(spark, tmp_path):
     """State of a key leaves when the watermark passes its idle time; a row behind the watermark is left out."""
     path = str(tmp_path / "in")
