@@ -297,8 +297,92 @@ def test_command_line(spark, tmp_path):
         parser().parse_args(["cluster", "--output-2nd", "maybe"])
 
 
-def test_onnx_backend_is_registered():
-    assert {"pooling", "onnx", "torch"} <= M.REGISTRY.keys()
+def message(*fields):
+    """A protocol-buffer message of ``(number, value)`` fields: whole numbers, bytes or text."""
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            raw = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(raw)) + raw
+    return out
+
+
+def mean_model():
+    """A model file that takes the mean over frames of ``(1, 3, frames)``."""
+
+    def tensor(name, *dims):
+        shape = message(*((1, message((2, d) if isinstance(d, str) else (1, d))) for d in dims))
+        return message((1, name), (2, message((1, message((1, 1), (2, shape))))))
+
+    axes = message((1, "axes"), (8, 2), (20, 7))
+    keep = message((1, "keepdims"), (3, 0), (20, 2))
+    node = message((1, "x"), (2, "y"), (4, "ReduceMean"), (5, axes), (5, keep))
+    graph = message((1, node), (2, "g"), (11, tensor("x", 1, 3, "frames")), (12, tensor("y", 1, 3)))
+    return message((1, 8), (7, graph), (8, message((1, ""), (2, 13))))
+
+
+def test_onnx_model(tmp_path):
+    assert {"pooling", "onnx", "torch", "torch_state"} <= M.REGISTRY.keys()
+    (tmp_path / "mean.onnx").write_bytes(mean_model())
+    x = np.random.default_rng(0).normal(size=(4, 7, 3))
+    assert np.allclose(M.load("onnx", f"{tmp_path}/mean.onnx")(x), x.mean(1), atol=1e-6)
+
+
+def test_network_class_by_name(monkeypatch):
+    """A stand-in for the library: the class is imported by name, built with its sizes and given its state."""
+    import contextlib
+    import sys
+    import types
+
+    class Network:
+        def __init__(self, feat_dim, embed_dim):
+            self.sizes, self.ready = (feat_dim, embed_dim), False
+
+        def load_state_dict(self, state, strict):
+            assert not strict
+            self.scale = state["scale"]
+
+        def eval(self):
+            self.ready = True
+
+        def __call__(self, x):
+            assert self.ready and self.sizes == (3, 5)
+            return types.SimpleNamespace(numpy=lambda: x.mean(2) * self.scale)
+
+    class Tensor(np.ndarray):
+        def transpose(self, a, b):
+            return np.swapaxes(self, a, b)
+
+    fake = types.ModuleType("torch")
+    fake.load = lambda path, **kw: {"state_dict": {"scale": 2.0}} if path == "weights.pth" else None
+    fake.no_grad, fake.from_numpy = contextlib.nullcontext, lambda x: x.view(Tensor)
+    nets = types.ModuleType("some_networks")
+    nets.Network = Network
+    monkeypatch.setitem(sys.modules, "torch", fake)
+    monkeypatch.setitem(sys.modules, "some_networks", nets)
+    x = np.random.default_rng(0).normal(size=(4, 7, 3)).astype(np.float32)
+    embed = M.torch_state(M.state_path("weights.pth", "some_networks:Network", 3, 5))
+    assert np.allclose(embed(x), x.mean(1) * 2, atol=1e-6)
+
+
+def test_transform_files(tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"mean1": [1], "lda": [[1]], "mean2": [0]}))
+    assert M.read_transform(f"{tmp_path}/t.json")["mean1"] == [1]
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError, match="lacks"):
+        M.read_transform(f"{tmp_path}/bad.json")
+    (tmp_path / "t.h5").write_bytes(M.HDF5 + b"rest")
+    with pytest.raises((ValueError, OSError)):
+        M.read_transform(f"{tmp_path}/t.h5")
 
 
 def test_embeddings_with_nan_are_dropped(spark):
