@@ -385,6 +385,19 @@ def test_transform_files(tmp_path):
         M.read_transform(f"{tmp_path}/t.h5")
 
 
+def test_windows_across_blocks(spark):
+    """Every window gets exactly its frames, wherever blocks end."""
+    x = np.random.default_rng(0).normal(size=(70, 2))
+    feats = spark.createDataFrame([("r", 0, i, v.tolist()) for i, v in enumerate(x)], "rec string, segnum int, frame long, feat array<double>").repartition(4)
+    spans = [(a, min(a + n, 70)) for a in range(0, 70) for n in (1, 4, 5)] + [(69, 80), (90, 95)]
+    w = spark.createDataFrame([("r", 0, a, b, f"{a}-{b}-{i}") for i, (a, b) in enumerate(spans)], "rec string, segnum int, first long, last long, key string")
+    got = {q.key: q.xvec for q in embedding.embed_windows(feats, w, path="4").collect()}
+    embed = M.pooling("4")
+    assert len(got) == len(spans) - 1
+    for i, (a, b) in enumerate(spans[:-1]):
+        assert np.allclose(got[f"{a}-{b}-{i}"], embed(x[None, a:b])[0])
+
+
 def test_embeddings_with_nan_are_dropped(spark):
     feats = spark.createDataFrame([("r", 0, i, [float("nan") if i == 3 else 1.0 * i, 2.0]) for i in range(6)], "rec string, segnum int, frame long, feat array<double>")
     w = spark.createDataFrame([("r", 0, 0, 3, "a"), ("r", 0, 2, 5, "b")], "rec string, segnum int, first long, last long, key string")
