@@ -6,14 +6,16 @@ alone, so two copies of a stretch keep the same suffixes.
 
 * Suffixes whose first ``ANCHOR`` words stand nowhere else cannot have a neighbour that begins alike;
   they are dropped by counting.
-* The others become rows of the words ahead, the words behind (nearest first) and their place, and are
-  sorted over the whole corpus by these words: a sparse suffix array, range-partitioned by true order.
-  Neighbours are compared word by word, ahead and behind.  What two neighbours share gives the stretches
-  that they prove to be repeats of each other.
-* A suffix shares most words ahead with one of its neighbours, so no stretch can be a repeat that would
-  need more.  What is within that reach but not proven by a neighbour (its partner stands further off, as
-  the words behind are not what is sorted by) is settled by counting 128-bit hashes of just these
-  stretches; the same goes for the first and last suffix of a partition.
+* The others become rows of the words ahead, the words behind (nearest first) and their place.  Those that
+  begin alike are dealt to one partition, by a hash of these first words, and sorted by all their words: a
+  sparse suffix array whose runs never cross a partition.  It is sorted once by the words behind, which
+  gives how far a suffix can match anything to the left, and once by the words ahead.
+* Neighbours are compared word by word, ahead and behind.  What two neighbours share gives the stretches
+  that they prove to be repeats of each other.  A suffix shares most words with one of its neighbours in
+  either order, so no stretch can be a repeat that would need more.  What is within that reach but not proven
+  by a neighbour (its partner stands further off) is settled by counting 128-bit hashes of just these stretches.
+* Suffixes of one beginning that very many places share are dealt in parts; what is not proven within a
+  part is settled by counting as well.
 
 A stretch of full length is removed if it is proven either way.
 """
@@ -36,6 +38,8 @@ LENGTH = 50
 ANCHOR = 16
 #: A longer word stands in the array as its digest.
 LONG_WORD = 64
+#: Suffixes of one beginning that one part holds.
+PART_ROWS = 1 << 14
 #: Rows, and bytes of words, that are compared or sent on at once.
 CHUNK = 4096
 CHUNK_BYTES = 8 << 20
@@ -93,10 +97,13 @@ def suffix_starts(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return arrow_map(docs, make, f"h long, id {dict(docs.dtypes)['id']}, key long, p int")
 
 
+SUFFIX = ["h", "part", "ahead", "behind", "near", "far", "id", "key", "p"]
+
+
 def suffix_rows(bodies: DataFrame, length: int, anchor: int) -> DataFrame:
-    """``ahead, behind, near, far, id, key, p`` of the suffixes ``at`` of ``id, key, text``.
+    """``h, part, ahead, behind, near, far, id, key, p`` of the suffixes ``at (p, parts)`` of ``id, key, text``.
 
-    The stretches that a suffix stands for start ``near`` to ``far`` words before it; ``ahead`` and
+    ``h`` is a hash of the beginning, ``part`` is -1 unless it is dealt in parts.  The stretches that a suffix stands for start ``near`` to ``far`` words before it; ``ahead`` and
     ``behind`` reach as far as these need, every word followed by a space.
     """
     width = length - anchor + 1
@@ -104,13 +111,14 @@ def suffix_rows(bodies: DataFrame, length: int, anchor: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
+            keys = batch.column("key").to_pylist()
             rows: list[tuple] = []
             held = 0
 
             def flush():
-                columns = list(zip(*rows, strict=True))
-                own = pa.array(columns[4])
-                return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), batch.column("id").take(own), batch.column("key").take(own), pa.array(columns[5], pa.int32())], ["ahead", "behind", "near", "far", "id", "key", "p"])
+                h, part, ahead, behind, near, far, own, p = zip(*rows, strict=True)
+                own = pa.array(own)
+                return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(part, pa.int32()), pa.array(ahead, pa.binary()), pa.array(behind, pa.binary()), pa.array(near, pa.int32()), pa.array(far, pa.int32()), batch.column("id").take(own), batch.column("key").take(own), pa.array(p, pa.int32())], SUFFIX)
 
             for i, j in slices(offsets):
                 w = words(data, offsets, i, j, NOT_SPACE, False)
@@ -118,10 +126,13 @@ def suffix_rows(bodies: DataFrame, length: int, anchor: int) -> DataFrame:
                 least = least_grams(grams, w.first, length, anchor)
                 for d in range(i, j):
                     first, n = int(w.first[d - i]), int(w.first[d - i + 1] - w.first[d - i])
-                    at = np.sort(batch.column("at")[d].values.to_numpy())
-                    at = at[at <= n - anchor]
+                    marks = batch.column("at")[d].values
+                    at, parts = marks.field("p").to_numpy(), marks.field("parts").to_numpy()
+                    parts, at = parts[at <= n - anchor], at[at <= n - anchor]
                     if n < length or not len(at):
                         continue
+                    place_hash = mix(at.astype(np.uint64) ^ np.uint64(keys[d] & (1 << 64) - 1))
+                    part = np.where(parts > 1, (place_hash % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), -1)
                     # which of the stretches around each suffix have it as their minimiser: a run of them
                     back = at[:, None] - np.arange(width)
                     own = (back >= 0) & (least[first + np.maximum(back, 0)] == grams[first + at][:, None])
@@ -131,10 +142,11 @@ def suffix_rows(bodies: DataFrame, length: int, anchor: int) -> DataFrame:
                     size = np.array([len(x) + 1 for x in tokens])
                     place = np.concatenate(([0], np.cumsum(size)))
                     text, turned = b" ".join(tokens) + b" ", b" ".join(tokens[::-1]) + b" "
-                    for p, lo, hi in zip(at[some].tolist(), near[some].tolist(), far[some].tolist(), strict=True):
+                    hashes = mix(grams[first + at]).view(np.int64)
+                    for p, lo, hi, h, one in zip(at[some].tolist(), near[some].tolist(), far[some].tolist(), hashes[some].tolist(), part[some].tolist(), strict=True):
                         ahead = text[place[p] : place[min(n, p + length - lo)]]
                         behind = turned[place[n] - place[p] : place[n] - place[p - hi]]
-                        rows.append((ahead, behind, lo, hi, d, p))
+                        rows.append((h, one, ahead, behind, lo, hi, d, p))
                         held += len(ahead) + len(behind)
                     if held >= CHUNK_BYTES:
                         yield flush()
@@ -144,7 +156,7 @@ def suffix_rows(bodies: DataFrame, length: int, anchor: int) -> DataFrame:
 
         return step
 
-    return arrow_map(bodies, make, f"ahead binary, behind binary, near int, far int, id {dict(bodies.dtypes)['id']}, key long, p int")
+    return arrow_map(bodies, make, f"h long, part int, ahead binary, behind binary, near int, far int, id {dict(bodies.dtypes)['id']}, key long, p int")
 
 
 def shared_words(column: pa.Array) -> np.ndarray:
@@ -168,6 +180,52 @@ def window_hash(ahead: bytes, behind: bytes, back: int, length: int) -> tuple[in
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def chunks(batches):
+    """``(rows, begins, ends)``: chunks of a sorted partition.
+
+    A chunk's first and last row only lend their words, as the next chunk repeats the last two rows,
+    unless the partition begins or ends there.
+    """
+    held: pa.Table | None = None
+    begins = True
+    for batch in batches:
+        for a in range(0, batch.num_rows, CHUNK):
+            part = pa.Table.from_batches([batch.slice(a, CHUNK)])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > 2:
+                yield held, begins, False
+                begins, held = False, held.slice(held.num_rows - 2)
+    if held is not None:
+        yield held, begins, True
+
+
+def own_rows(n: int, begins: bool, ends: bool) -> np.ndarray:
+    now = np.ones(n, bool)
+    now[0], now[-1] = begins, ends
+    return now
+
+
+def between(t: pa.Table, column: str) -> np.ndarray:
+    """Words shared with the neighbour before (entry ``i``) and after (entry ``i + 1``), 0 where another beginning stands."""
+    out = np.zeros(t.num_rows + 1, np.int64)
+    h = t.column("h").to_numpy()
+    out[1:-1] = np.where(h[1:] == h[:-1], shared_words(t.column(column).combine_chunks()), 0)
+    return out
+
+
+def with_left(ordered: DataFrame, length: int) -> DataFrame:
+    """Suffixes sorted by the words behind, with ``left``: how many of these any other suffix of the run may share."""
+
+    def run(batches):
+        for t, begins, ends in chunks(batches):
+            shared = between(t, "behind")
+            left = np.where(t.column("part").to_numpy() < 0, np.maximum(shared[:-1], shared[1:]), length).astype(np.int32)
+            yield from t.append_column("left", pa.array(left)).filter(pa.array(own_rows(t.num_rows, begins, ends))).combine_chunks().to_batches()
+
+    kind = dict(ordered.dtypes)["id"]
+    return ordered.mapInArrow(run, f"h long, part int, ahead binary, behind binary, near int, far int, id {kind}, key long, p int, left int")
+
+
 def compared(ordered: DataFrame, length: int, anchor: int) -> DataFrame:
     """Neighbours of the sorted suffixes compared: ``id, key, start, stop, w1, w2``.
 
@@ -176,60 +234,40 @@ def compared(ordered: DataFrame, length: int, anchor: int) -> DataFrame:
     """
     back = np.arange(length - anchor + 1)
 
-    def judged(t: pa.Table, begins: bool, ends: bool):
-        """Rows of a chunk, whose first and last rows only lend their words unless the partition begins or ends there."""
-        n = t.num_rows
-        near, far, p = (t.column(c).to_numpy() for c in ("near", "far", "p"))
-        r, l = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        r[1:n], l[1:n] = (shared_words(t.column(c).combine_chunks()) for c in ("ahead", "behind"))
-        reach = np.maximum(r[:-1], r[1:])
-        # beyond the partition anything may stand
-        if begins:
-            reach[0] = length
-        if ends:
-            reach[-1] = length
-        own = (back >= near[:, None]) & (back <= far[:, None])
-        proven_by = lambda r, l: own & (back >= (length - r)[:, None]) & (back <= l[:, None])
-        by_last, by_next = proven_by(r[:-1], l[:-1]), proven_by(r[1:], l[1:])
-        proven = by_last | by_next
-        unsure = own & (back >= (length - reach)[:, None]) & ~proven
-        # runs of suffixes that begin alike: where nothing is unsure, nothing needs to be counted; the
-        # first and the last run may go on outside
-        run = np.cumsum(r[:-1] < anchor)
-        run -= run[0]
-        needed = np.bincount(run, unsure.any(1), int(run[-1]) + 1) > 0
-        needed[[0, -1]] = True
-        now = np.ones(n, bool)
-        now[0], now[-1] = begins, ends
-        counted = (unsure | by_next & ~by_last) & (needed[run] & now)[:, None]
-        # proven stretches as runs of starts
-        edge = np.diff(np.pad(proven & now[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, lo = np.nonzero(edge == 1)
-        hi = np.nonzero(edge == -1)[1] - 1
-        who, far_back = np.nonzero(counted)
-        ahead, behind = t.column("ahead"), t.column("behind")
-        hashes = [window_hash(ahead[i].as_py(), behind[i].as_py(), o, length) for i, o in zip(who.tolist(), far_back.tolist(), strict=True)]
-        take = pa.array(np.concatenate((row, who)))
-        start = np.concatenate((p[row] - hi, p[who] - far_back)).astype(np.int32)
-        stop = np.concatenate((p[row] - lo, p[who] - far_back)).astype(np.int32)
-        none = [None] * len(row)
-        if len(take):
+    def run(batches):
+        for t, begins, ends in chunks(batches):
+            near, far, p, part, left, h = (t.column(c).to_numpy() for c in ("near", "far", "p", "part", "left", "h"))
+            r, l = between(t, "ahead"), between(t, "behind")
+            reach = np.where(part < 0, np.maximum(r[:-1], r[1:]), length)
+            own = (back >= near[:, None]) & (back <= far[:, None])
+            proven_by = lambda r, l: own & (back >= (length - r)[:, None]) & (back <= l[:, None])
+            by_last, by_next = proven_by(r[:-1], l[:-1]), proven_by(r[1:], l[1:])
+            proven = by_last | by_next
+            unsure = own & (back >= (length - reach)[:, None]) & (back <= left[:, None]) & ~proven
+            # runs of suffixes that begin alike: where nothing is unsure, nothing needs to be counted;
+            # the first and last may go on in another chunk, parts of a beginning in another partition
+            run_ = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
+            needed = np.bincount(run_, unsure.any(1) | (part >= 0)) > 0
+            needed[0] |= not begins
+            needed[-1] |= not ends
+            now = own_rows(t.num_rows, begins, ends)
+            counted = (unsure | by_next & ~by_last) & (needed[run_] & now)[:, None]
+            # proven stretches as runs of starts
+            edge = np.diff(np.pad(proven & now[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, lo = np.nonzero(edge == 1)
+            hi = np.nonzero(edge == -1)[1] - 1
+            who, far_back = np.nonzero(counted)
+            ahead, behind = t.column("ahead"), t.column("behind")
+            hashes = [window_hash(ahead[i].as_py(), behind[i].as_py(), o, length) for i, o in zip(who.tolist(), far_back.tolist(), strict=True)]
+            take = pa.array(np.concatenate((row, who)))
+            if not len(take):
+                continue
+            start = np.concatenate((p[row] - hi, p[who] - far_back)).astype(np.int32)
+            stop = np.concatenate((p[row] - lo, p[who] - far_back)).astype(np.int32)
+            none = [None] * len(row)
             got = pa.Table.from_arrays([t.column("id").take(take), t.column("key").take(take), pa.array(start), pa.array(stop), pa.array([*none, *(a for a, _ in hashes)], pa.int64()), pa.array([*none, *(b for _, b in hashes)], pa.int64())], ["id", "key", "start", "stop", "w1", "w2"])
             yield from got.combine_chunks().to_batches()
 
-    def run(batches):
-        held: pa.Table | None = None  # the last two rows seen: one judged, one to be judged
-        begins = True
-        for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                part = pa.Table.from_batches([batch.slice(a, CHUNK)])
-                held = part if held is None else pa.concat_tables([held, part])
-                if held.num_rows > 2:
-                    yield from judged(held, begins, False)
-                    begins, held = False, held.slice(held.num_rows - 2)
-        if held is not None:
-            yield from judged(held, begins, True)
-
     return ordered.mapInArrow(run, f"id {dict(ordered.dtypes)['id']}, key long, start int, stop int, w1 long, w2 long")
 
 
@@ -266,8 +304,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     starts = scratch.save(suffix_starts(rows, length, anchor), "starts")
-    alike = starts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = starts.join(alike.hint("shuffle_hash"), "h", "left_semi").groupBy("id", "key").agg(F.collect_set("p").alias("at"))
+    alike = starts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hits = starts.join(alike.hint("shuffle_hash"), "h").groupBy("id", "key").agg(F.collect_set(F.struct("p", "parts")).alias("at"))
     hits = scratch.save(hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}), "hits")
     scratch.drop("starts")
     wanted = np.ones(sketch.CELLS, bool) if with_text else sketch.key_filter(hits, "hit_key")
@@ -275,8 +313,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = staged.where("text is not null").select("id", "key", "text")
     match = same("id", "hit_id") & (F.col("key") == F.col("hit_key"))
     suffixes = suffix_rows(maybe.join(hits.hint("shuffle_hash"), match).select("id", "key", "text", "at"), length, anchor)
-    order = ["ahead", "behind", "key", "p"]
-    judged = scratch.save(compared(suffixes.repartitionByRange(*order).sortWithinPartitions(*order), length, anchor), "compared")
+    run = ["h", "part"]
+    suffixes = with_left(suffixes.repartition(*run).sortWithinPartitions(*run, "behind"), length)
+    judged = scratch.save(compared(suffixes.sortWithinPartitions(*run, "ahead", "behind", "key", "p"), length, anchor), "compared")
     # a place counts once however many suffixes stand for it
     open_ = judged.where("w1 is not null").select("id", "key", "start", "w1", "w2").distinct()
     again = open_.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")

@@ -181,10 +181,11 @@ def test_substrings(spark, monkeypatch, batch):
     assert removed(substring_dedup.substring_dedup(cases.frame(spark)).collect()) == covered(cases.rows(), 35)
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
-def test_suffixes(spark, monkeypatch, chunk):
-    """Whole partitions compared at once, and three suffixes at a time."""
+@pytest.mark.parametrize("chunk,part", [(4096, 1 << 14), (3, 1 << 14), (4096, 4), (3, 2)])
+def test_suffixes(spark, monkeypatch, chunk, part):
+    """Whole partitions compared at once, and three suffixes at a time; beginnings whole, and in parts."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "PART_ROWS", part)
     assert removed(suffix_dedup.suffix_dedup(cases.frame(spark)).collect()) == covered(cases.rows(), 50)
 
 
