@@ -53,7 +53,7 @@ def source_targets(scratch: Scratch, sizes: DataFrame, weights=WEIGHTS, limit: i
     per = running(scratch, per, ["ratio", "nil", "src"], {"caps": "cap", "ws": "w"}, "by_ratio")
     size, weight = per.agg(F.sum(F.col("source_size").cast("double")), F.sum("w")).first()
     per = per.withColumn("level", (F.lit(size or 0.0) - F.col("caps")) / (F.lit(weight or 0.0) - F.col("ws")))
-    fits = per.where("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("m")).first()["m"]
+    fits = per.where("level <= ratio").agg(F.min(F.struct("ratio", "nil", "src", "level")).alias("m")).first()["m"]
     level = F.lit(fits["level"] if fits else None).cast("double")
     per = per.withColumn("target", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))))
     step = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * GRAIN), F.lit(limit * GRAIN).cast("long"))).otherwise(F.lit(0).cast("long"))
@@ -133,7 +133,7 @@ s AS (SELECT nil, src, sum(size)::BIGINT AS source_size, ((row_number() OVER (OR
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio FROM s),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
       FROM r WINDOW b AS (ORDER BY ratio, nil, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio),
+f AS (SELECT arg_min(level, (ratio, nil, src)) AS level FROM l WHERE level <= ratio),
 t AS (SELECT nil, src, source_size, least(cap, coalesce(f.level * w, cap)) AS target,
              ('0x' || md5('0:' || nil || src)[1:7])::BIGINT AS shift
       FROM l, f),
