@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, pieces, prefix_trie, substring_dedup, suffix_dedup, warc
+from . import embed_dedup, exact_dedup, hard_negatives, html_text, langid, license_scan, mixing, ngram_join, pieces, prefix_trie, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_embed_dedup": embed_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_hard_negatives": hard_negatives.query,
     "op12_prefix_trie": prefix_trie.query,
+    "op13_html_text": html_text.query,
 }
 
 ORACLES = {
@@ -27,5 +29,7 @@ ORACLES = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_embed_dedup": embed_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_html_text": html_text.ORACLE,
 }
