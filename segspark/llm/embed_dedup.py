@@ -7,7 +7,7 @@ of subspace distances, discards entries whose looked-up distance less their codi
 radius, and ranks the rest by exact cosine in double precision.  Both prunings are bounds, so no link is
 lost.
 
-Codebooks are fitted on about ``SAMPLE`` vectors at most, those whose content hash is small; every vector
+Codebooks are fitted, in double precision, on about ``SAMPLE`` vectors at most, those whose content hash is small; every vector
 is indexed.  Equal vectors are one entry.
 """
 
@@ -52,6 +52,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def between(c: np.ndarray) -> np.ndarray:
+    """Distances of all rows from each other, from their differences: near rows keep theirs."""
+    return np.stack([np.sqrt(((c - one) ** 2).sum(1)) for one in c])
+
+
 def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of unit length, and the rows scaled by a power of two so that squares neither vanish nor overflow."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -75,6 +80,7 @@ class Codebook:
         subs = [k_means(x, round(lists * len(x) / len(sample))) if len(x) else top[None] for x, top in zip(own, self.tops, strict=True)]
         self.coarse = np.concatenate(subs)
         self.first = np.concatenate(([0], np.cumsum([len(c) for c in subs])))
+        self.top_gaps, self.gaps = between(self.tops), [between(c) for c in subs]
         cut = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         self.spans = list(zip(cut[:-1], cut[1:], strict=True))
         residual = sample - self.coarse[self.near(sample)]
@@ -92,22 +98,21 @@ class Codebook:
         return out
 
     @staticmethod
-    def reached(x: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
+    def reached(x: np.ndarray, centres: np.ndarray, gaps: np.ndarray, radius: float) -> np.ndarray:
         """Whose cells may hold a vector within ``radius``: it must lie on their side of the boundary."""
         d = squared(x, centres)
         own = d.argmin(1)
-        gap = np.sqrt(squared(centres, centres))[own]
-        ok = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gap + SLACK
+        ok = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gaps[own] + SLACK
         ok[np.arange(len(x)), own] = True
         return ok
 
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``x`` and the lists that may hold a vector within ``radius``."""
-        tops = self.reached(x, self.tops, radius)
+        tops = self.reached(x, self.tops, self.top_gaps, radius)
         rows, lists = [], []
         for t in np.flatnonzero(tops.any(0)):
             at = np.flatnonzero(tops[:, t])
-            row, one = np.nonzero(self.reached(x[at], self.of_top(t), radius))
+            row, one = np.nonzero(self.reached(x[at], self.of_top(t), self.gaps[t], radius))
             rows.append(at[row])
             lists.append(self.first[t] + one)
         return np.concatenate(rows), np.concatenate(lists)
@@ -229,13 +234,14 @@ def tile_links(tiles: DataFrame, book, cosine: float) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample_rows: int = SAMPLE) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row per row of ``vectors``.
 
     Links need equal non-null labels, equal dimension and a cosine of at least ``cosine``.  Null, zero and
     non-finite vectors link with nothing and stay.  Repeated rows and equal vectors link with each other;
     ``kept`` holds for every row with the component's least id.  A null id has no say in that minimum.
-    Extra columns are ignored; an empty table gives no rows.
+    Extra columns are ignored; an empty table gives no rows.  The codebooks are fitted on about
+    ``sample_rows`` vectors at most.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -255,12 +261,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = []
     for dim, total in units.groupBy("dim").count().orderBy("dim").collect():  # one row per dimension
         own = units.where(F.col("dim") == dim)
-        share = min(1.0, SAMPLE / total)
+        share = min(1.0, sample_rows / total)
         sample = own.select("v", F.xxhash64("v").alias("h"))
         if share < 1:  # content hashes are even, so this is about SAMPLE vectors, picked where they are read
             sample = sample.where(F.col("h") < int((2 * share - 1) * 2.0**63))
         sample = sample.toArrow().combine_chunks().sort_by("h")
-        x = unit_rows(sample.column("v").combine_chunks())[0].astype(np.float32)
+        x = unit_rows(sample.column("v").combine_chunks())[0]
         book = sc.broadcast(Codebook(x, int(np.clip(total // PER_LIST, 1, max(1, len(x) // LIST_SAMPLE)))))
         indexed = scratch.save(index_rows(own, book, cosine), f"indexed-{dim}")
         # blocks of entries meet blocks of queries, list by list

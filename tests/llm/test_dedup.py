@@ -175,6 +175,15 @@ def removed(rows):
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows)
 
 
+def test_substring_names_that_collide(spark, monkeypatch):
+    """Row names from a tiny range: rows that share one are told apart by the second hash."""
+    plain = F.xxhash64
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: F.pmod(plain(*c), F.lit(5)) if len(c) == 2 else plain(*c))
+    got = removed(substring_dedup.substring_dedup(cases.frame(spark)).collect())
+    monkeypatch.setattr(repeats.F, "xxhash64", plain)
+    assert got == covered(cases.rows(), 35)
+
+
 @pytest.mark.parametrize("batch", [1 << 20, 500])
 def test_substrings(spark, monkeypatch, batch):
     monkeypatch.setattr(repeats, "BATCH", batch)
@@ -290,6 +299,26 @@ def test_embedding_names_that_collide(spark, monkeypatch):
     assert got == {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
 
 
+def test_embedding_tight_groups(spark, monkeypatch):
+    """A crowd whose centres lie closer than single precision can tell, and satellites near its edge."""
+    monkeypatch.setattr(embed_dedup, "PER_LIST", 16)
+    r = np.random.default_rng(4)
+    dim = 24
+    base = r.normal(size=dim)
+    base /= np.linalg.norm(base)
+    crowd = base + r.normal(size=(1500, dim)) * 3e-5
+    off = r.normal(size=(40, dim))
+    off -= np.outer(off @ base, base)
+    satellites = base + 0.15 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate((crowd, satellites, r.normal(size=(300, dim))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {row.vec_id: (row.n_links, row.component_id) for row in embed_dedup.near_duplicates(df, sample_rows=600).collect()}
+    near = x @ x.T >= 0.98
+    comp = cases.components(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(near) if a < b and (a < 1 or b >= 1500 or a >= 1500)])
+    assert got == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(len(x))}
+
+
 def test_codebook_of_many_lists():
     """A thousand lists of wide vectors fit a small driver, and both levels keep their bounds."""
     import tracemalloc
