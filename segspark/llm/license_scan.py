@@ -7,8 +7,8 @@ threshold share of its distinct words.  The words of all templates are ordered b
 in the whole corpus, rarest first; then
 
 * prefix: such a block contains one of the template's first ``n - need + 1`` words;
-* length: it has at least ``need`` words;
-* position: from the template's first word that it contains on, ``need`` words are left.
+* length: it has at least ``need`` distinct words of the vocabulary;
+* position: from the first word in this order that both contain, ``need`` words are left in both.
 
 Only blocks that pass are compared, so the scan finds every block that meets the threshold.
 """
@@ -106,29 +106,39 @@ def frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> np.ndarray
 
 
 class Templates:
-    """The templates of one class as vocabulary numbers, rarest word first, and their prefix index."""
+    """The templates of one class as ranks of their words, rarest first, and their prefix index by rank."""
 
     def __init__(self, templates, step: int, vocab: np.ndarray, counts: np.ndarray, threshold: float):
         self.labels, self.step, self.block = [x for x, _ in templates], step, 2 * step
-        rank = np.lexsort((np.arange(len(vocab)), counts)).argsort()
+        self.rank = np.lexsort((np.arange(len(vocab)), counts)).argsort()
         self.words, self.need = [], []
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (_, text) in enumerate(templates):
-            own = np.unique(np.searchsorted(vocab, word_hashes(text)))
-            own = own[np.argsort(rank[own])].tolist()
+            own = np.unique(self.rank[np.searchsorted(vocab, word_hashes(text))]).tolist()
             need = need_of(len(own), threshold)
             self.words.append(own)
             self.need.append(need)
-            for place, code in enumerate(own[: len(own) - need + 1]):
-                self.index.setdefault(code, []).append((t, place))
-        self.prefix = np.zeros(len(vocab), bool)
-        self.prefix[list(self.index)] = True
+            for place, r in enumerate(own[: len(own) - need + 1]):
+                self.index.setdefault(r, []).append((t, place))
+        ranked = np.zeros(len(vocab), bool)
+        ranked[list(self.index)] = True
+        self.prefix = ranked[self.rank]
+
+    def open_for(self, held: np.ndarray, met: list[int]) -> list[int]:
+        """Templates that a block of the ranks ``held`` may contain, given which of them, ``met``, are in the index."""
+        first: dict[int, int] = {}
+        for r in met:  # rarest first, so this is the first word that both contain
+            for t, place in self.index[r]:
+                if t not in first:
+                    first[t] = min(len(self.words[t]) - place, len(held) - int(np.searchsorted(held, r)))
+        return [t for t, left in first.items() if left >= self.need[t]]
 
     def join(self, at: np.ndarray, code: np.ndarray, n: int) -> dict[int, tuple[float, list[int]]]:
         """Templates found among a text's ``n`` words, given its vocabulary words: best share and first words of blocks."""
         found: dict[int, tuple[float, list[int]]] = {}
         last = max(0, -(-(n - self.step) // self.step) - 1)
         near = self.prefix[code]
+        code, least = self.rank[code], min(self.need)
         # which blocks hold which words of the index, once each
         p, c = at[near] // self.step, code[near]
         pairs = np.unique(np.stack((np.concatenate((np.maximum(p - 1, 0), np.minimum(p, last))), np.concatenate((c, c)))), axis=1)
@@ -136,13 +146,16 @@ class Templates:
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             start = int(pairs[0, lo]) * self.step
             size = min(n - start, self.block)
-            open_ = {t for c in pairs[1, lo:hi].tolist() for t, place in self.index[c] if size >= self.need[t] and len(self.words[t]) - place >= self.need[t]}
+            a, b = np.searchsorted(at, (start, start + size))
+            if b - a < least:
+                continue
+            held = np.unique(code[a:b])
+            open_ = self.open_for(held, pairs[1, lo:hi].tolist())
             if not open_:
                 continue
-            a, b = np.searchsorted(at, (start, start + size))
-            held = set(code[a:b].tolist())
+            own = set(held.tolist())
             for t in open_:
-                share = len(held.intersection(self.words[t]))
+                share = len(own.intersection(self.words[t]))
                 if share >= self.need[t]:
                     best, blocks = found.get(t, (0.0, []))
                     found[t] = (max(best, share / len(self.words[t])), [*blocks, start])

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -194,6 +195,25 @@ def scan_slow(t, templates=license_scan.TEMPLATES):
     return (len(ws), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(found)), 1.0 if base else share)
 
 
+def test_license_filters():
+    """Each filter rejects blocks that the others let pass, and none rejects a block that meets the threshold."""
+    import random
+
+    r = random.Random(3)
+    vocab = license_scan.vocabulary((("t", " ".join(f"w{i}" for i in range(40))),))
+    texts = tuple((f"t{k}", " ".join(f"w{i}" for i in r.sample(range(40), 12))) for k in range(3))
+    join = license_scan.Templates(texts, 32, vocab, np.arange(len(vocab)), 0.75)
+    rejected = 0
+    for _ in range(4000):
+        held = np.array(sorted(r.sample(range(40), r.randrange(9, 24))))
+        met = [x for x in held.tolist() if x in join.index]
+        opened = set(join.open_for(held, met))
+        touched = {t for x in met for t, _ in join.index[x]}
+        rejected += len(touched - opened)
+        assert {t for t in range(3) if len(set(held.tolist()) & set(join.words[t])) >= join.need[t]} <= opened
+    assert rejected > 100
+
+
 def test_license_scan(spark):
     texts = LICENSED + [r[1] for r in cases.rows()]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, n_words int")
@@ -488,6 +508,18 @@ def test_warc(spark):
     assert warc.read_archive(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("kind,ids", [("string", ["a", "b:>", " é%", None, "10", "9"]), ("decimal(20,2)", [Decimal("-1.50"), Decimal("2.00"), Decimal("10.00"), None, Decimal("3.25"), Decimal("4.00")])])
+def test_warc_ids_of_other_types(spark, kind, ids):
+    """Ids come back as they were, and the least of their type answers for equal payloads."""
+    bodies = ["same", "same", "same", "other", "x", "x"]
+    df = spark.createDataFrame([(i, "http://e.org/", b) for i, b in zip(ids, bodies, strict=True)], f"page_id {kind}, url string, html string").repartition(3)
+    _, path = warc.archive(df)
+    rows = warc.read_archive(spark, path, id_type=kind).collect()
+    first = {b: min(i for i, x in zip(ids, bodies, strict=True) if x == b and i is not None) for b in ("same", "x")}
+    want = [(str(i), "response" if first.get(b, i) == i else "revisit", str(None if first.get(b, i) == i else first[b])) for i, b in zip(ids, bodies, strict=True)]
+    assert sorted((str(r.page_id), r.kind, str(r.refers)) for r in rows) == sorted(want)
+
+
 def test_warc_headers(spark):
     """Names of records are unique, revisits name their response, and blocks are HTTP responses."""
     pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, "http://a/3", "y")], "page_id long, url string, html string")
