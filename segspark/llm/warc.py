@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def _header(lines: list[tuple[str, Column]]) -> Column:
 
 def _urn(page: Column, digest: Column, stage: str) -> Column:
     """A record's name: page, payload and, as every archive has records of its own, the archive's stage."""
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), digest, F.lit(f":{stage}>"))
+    return F.concat(F.lit("<urn:page:"), F.url_encode(page.cast("string")), F.lit(":"), digest, F.lit(f":{stage}>"))
 
 
 def _clean(url: Column) -> Column:
@@ -117,25 +118,25 @@ def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("an archive ends within a record")
 
 
-READ = "page_id long, url string, kind string, digest string, octets long, refers long, refers_url string, payload string, mark long"
+READ = "page_id string, url string, kind string, digest string, octets long, refers string, refers_url string, payload string, mark long"
 FIELDS = tuple(x.split()[0] for x in READ.split(", "))
 ROWS = 512
 ROW_BYTES = 8 << 20
 
 
-def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bool = True) -> DataFrame:
+def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bool = True, id_type: str = "bigint") -> DataFrame:
     """Records of the archives under ``path``, each payload checked against its stated digest.
 
     ``octets`` is the full payload's size, also for a revisit; ``mark`` is the digest's first 64 bits.
     With a broadcast ``shared`` (which cells hold a mark) only records in those cells are read, or, if not
-    ``among``, only the others.
+    ``among``, only the others.  Ids stand in the record names as escaped texts, and are read as ``id_type``.
     """
 
-    def number(urn: str | None):
-        m = re.match(r"<urn:page:(-?\d+)[:>]", urn or "")
-        return int(m[1]) if m else None
+    def named(urn: str | None):
+        m = re.match(r"<urn:page:([^:>]*):", urn or "")
+        return unquote_plus(m[1]) if m else None
 
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(FIELDS))
@@ -154,7 +155,7 @@ def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bo
             body = block if revisit else block[block.index(END) + 4 :]
             if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                 raise ValueError(f"payload of {head.get('WARC-Record-ID')} does not have its digest")
-            rows.append((number(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", len(body))), number(head.get("WARC-Refers-To")), head.get("WARC-Refers-To-Target-URI"), body.decode("utf-8") if payloads else None, mark))
+            rows.append((named(head.get("WARC-Record-ID")), head.get("WARC-Target-URI"), head["WARC-Type"], digest, int(head.get("X-Payload-Length", len(body))), named(head.get("WARC-Refers-To")), head.get("WARC-Refers-To-Target-URI"), body.decode("utf-8") if payloads else None, mark))
             held += len(body) if payloads else 0
             if len(rows) == ROWS or held > ROW_BYTES:
                 yield batch_of(rows)
@@ -165,7 +166,7 @@ def read_archive(spark, path: str, payloads: bool = True, shared=None, among: bo
     ensure(spark)
     # a compressed file is never split, so every record is whole within a task
     pieces = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").schema("value string").text(path)
-    return pieces.mapInArrow(run, READ)
+    return pieces.mapInArrow(run, READ).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers")})
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -204,7 +205,7 @@ def final_records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, "block").alias("value"))
 
 
-def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarray) -> DataFrame:
+def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarray, id_type: str = "bigint") -> DataFrame:
     """Records of the deduplicated archives from those under ``path``.
 
     Payloads whose digest nobody shares are responses as they come; only the others meet their decision
@@ -212,8 +213,8 @@ def deduplicated_records(spark, path: str, decided: DataFrame, shared: np.ndarra
     """
     cells = spark.sparkContext.broadcast(shared)
     kept = ["page_id", "url", "payload", "octets", "digest", "kind", "refers", "refers_url"]
-    alone = read_archive(spark, path, True, cells, False).select(*kept)
-    body = read_archive(spark, path, True, cells).select(F.col("page_id").alias("pid"), F.col("digest").alias("sum"), "url", "payload")
+    alone = read_archive(spark, path, True, cells, False, id_type).select(*kept)
+    body = read_archive(spark, path, True, cells, id_type=id_type).select(F.col("page_id").alias("pid"), F.col("digest").alias("sum"), "url", "payload")
     both = body.join(decided.hint("shuffle_hash"), same("pid", "page_id") & (F.col("sum") == F.col("digest")))
     return final_records(alone.unionByName(both.select(*kept)))
 
@@ -223,16 +224,17 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
     Null payloads are empty; a null url leaves out its header line; null ids count as greater than any
     other when responses are chosen, and repeated rows with the response's id are responses too.  Extra
-    columns are ignored; an empty table gives no rows.  A damaged archive raises.
+    columns are ignored; an empty table gives no rows.  A damaged archive raises.  Ids may be of any type that
+    Spark casts to text and back; they are compared as that type.
     """
     spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
+    scratch, id_type = Scratch(spark, "warc"), dict(pages.dtypes)[id_col]
     write_archive(response_records(pages, id_col, url_col, body_col), scratch.path("raw"))
-    headers = scratch.save(read_archive(spark, scratch.path("raw"), False).select("page_id", "url", "octets", "digest", "mark"), "headers")
+    headers = scratch.save(read_archive(spark, scratch.path("raw"), False, id_type=id_type).select("page_id", "url", "octets", "digest", "mark"), "headers")
     decided = scratch.save(resolve(headers, least_bytes), "decided")
     once = decided.dropDuplicates(["page_id", "digest"])
     twice = headers.groupBy("digest").agg(F.first("mark").alias("mark"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    write_archive(deduplicated_records(spark, scratch.path("raw"), once, sketch.key_filter(twice, "mark")), scratch.path("dedup"))
+    write_archive(deduplicated_records(spark, scratch.path("raw"), once, sketch.key_filter(twice, "mark"), id_type), scratch.path("dedup"))
     return decided, scratch.path("dedup")
 
 
@@ -251,6 +253,7 @@ FROM d JOIN b USING (h) WINDOW w AS (PARTITION BY h, n)
 
 def query(spark, sf_dir: str) -> DataFrame:
     """From the deduplicated archives, read back: every column is what the archive says."""
-    _, path = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    out = read_archive(spark, path, False)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    _, path = archive(pages)
+    out = read_archive(spark, path, False, id_type=dict(pages.dtypes)["page_id"])
     return out.select("page_id", F.col("octets").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
