@@ -307,13 +307,19 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str, wit
 
     ``spans`` are the removed stretches as flat ``start, end`` word numbers.  With ``with_text`` the kept
     words are returned as well.  Rows are told apart by a hash of id and text, so rows that share an id
-    are judged each on its own text.
+    are judged each on its own text; rows whose hashes collide are named anew by a second hash.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, tag)
     text = F.coalesce(F.col(text_col), F.lit(""))
     bits = bucket_bits(docs, text)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text, F.col(id_col), F.lit("second")).alias("key2"), text.alias("text"))
+    names = rows.groupBy("key").agg((F.min("key2") != F.max("key2")).alias("many")).where("many").select(F.col("key").alias("shared"))
+    names = scratch.save(names, "names")
+    if names.isEmpty():
+        rows = rows.drop("key2")
+    else:
+        rows = rows.join(names, F.col("key") == F.col("shared"), "left").select("id", F.when(F.col("shared").isNull(), F.col("key")).otherwise(F.col("key2")).alias("key"), "text")
     hits = scratch.save(by_key(kept_anchors(anchor_rows(rows, rule, bits), bits)), "anchors")
     wanted = np.ones(sketch.CELLS, bool) if with_text else sketch.key_filter(hits, "key")
     staged = scratch.save(split(rows, spark.sparkContext.broadcast(wanted)), "staged")  # 1 MB
