@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segspark.functions import arrays as A
+from segspark.scratch import Tables
+
 from . import kernels as K
+from . import linkage
 from .vectors import Plda
 
 
@@ -57,12 +61,13 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("idx", kind="stable")
 
 
-def cluster(df: DataFrame, threshold: float, calibrated: bool = False, rec: str = "rec", idx: str = "idx", vector: str = "xvec") -> DataFrame:
+def cluster(df: DataFrame, threshold: float, calibrated: bool = False, rec: str = "rec", idx: str = "idx", vector: str = "xvec", limit: int = linkage.LIMIT, block: int = linkage.BLOCK) -> DataFrame:
     """``rec, idx, label``: average-linkage clusters of a recording by cosine similarity.
 
     Clusters merge while their mean similarity is at least ``threshold`` (plus the recording's own
     two-Gaussian threshold if ``calibrated``).  A label is the place of the cluster's first row; one row
-    alone has label 0.  A recording is fitted in memory, as is its similarity matrix.
+    alone has label 0.  A recording of up to ``limit`` rows is one task with a matrix; a longer one is merged
+    in rounds over blocks of ``block`` rows, see ``linkage``.
     """
     rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"))
     kind = dict(rows.dtypes)
@@ -75,7 +80,21 @@ def cluster(df: DataFrame, threshold: float, calibrated: bool = False, rec: str
         least = threshold + (K.calibration(sim)[0] if calibrated and len(x) > 1 else 0.0)
         return pd.DataFrame({"rec": pdf.rec, "idx": pdf.idx, "label": K.average_linkage(sim, least)})
 
-    return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, label bigint")
+    schema = f"rec {kind['rec']}, idx {kind['idx']}, label bigint"
+    sizes = rows.groupBy("rec").agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= limit:
+        return rows.groupBy("rec").applyInPandas(fit, schema)
+    tables = Tables(df.sparkSession, "linkage")
+    long = sizes.where(F.col("size") > limit).select("rec")
+    short = rows.join(long, "rec", "left_anti").groupBy("rec").applyInPandas(fit, schema)
+    unit = A.let(F.col("v"), lambda v: A.let(A.norm(v) + F.lit(1e-32), lambda n: F.transform(v, lambda x: x / n)))
+    placed = tables.save(linkage.numbered(tables, rows.join(long, "rec", "left_semi").withColumn("v", unit), "rec", "idx"), "placed")
+    least = F.lit(float(threshold))
+    ready = placed.withColumn("least", least)
+    if calibrated:
+        ready = placed.join(linkage.long_thresholds(tables, placed, block=block), "rec").withColumn("least", F.col("threshold") + least).drop("threshold")
+    labels = linkage.long_linkage(tables, ready.select("rec", "place", "v", "least"), limit, block)
+    return short.unionByName(placed.select("rec", "idx", "place").join(labels, ["rec", "place"]).select("rec", "idx", "label"))
 
 
 def soft_labels(label, classes: int, smoothing: float = 5.0):
