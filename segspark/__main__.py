@@ -36,7 +36,6 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--embed-dim", type=int, default=256, help="dimensions of an embedding, for --network")
     e.add_argument("--seg-len", type=int, default=144)
     e.add_argument("--seg-jump", type=int, default=24)
-    e.add_argument("--samplerate", type=int, default=16000, choices=[8000, 16000])
     c = sub.add_parser("cluster")
     for name in ("out-rttm-dir", "xvec-ark-file", "segments-file", "xvec-transform", "plda-file"):
         c.add_argument(f"--{name}", required=True)
@@ -50,11 +49,11 @@ def parser() -> argparse.ArgumentParser:
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> None:
     wanted = text.read_list(spark, a.in_file_list)
-    audio = wav.read_wav(spark, f"{a.in_wav_dir}/*.wav").join(wanted, "rec", "left_semi")
+    audio = wav.read_chunks(spark, f"{a.in_wav_dir}/*.wav").join(wanted, "rec", "left_semi")
     vad = text.read_vad(spark, f"{a.in_lab_dir}/*.lab").join(wanted, "rec", "left_semi")
     model = {"pytorch": "torch_state" if a.network else "torch", "onnx": "onnx"}.get(a.backend, a.model)
     weights = models.state_path(a.weights, a.network, a.ndim, a.embed_dim) if model == "torch_state" else a.weights
-    rows = D.extract(audio, vad, a.samplerate, a.seg_len, a.seg_jump, model, weights).persist()
+    rows = D.extract(audio, vad, a.seg_len, a.seg_jump, model, weights).persist()
     text.write_lines(rows.repartitionByRange("rec", "idx").sortWithinPartitions("rec", "idx"), text.timing_line(F.col("key"), F.col("rec"), F.col("start"), F.col("end")), a.out_seg_fn)
     kaldi.archives(rows).write.mode("overwrite").parquet(a.out_ark_fn)
 

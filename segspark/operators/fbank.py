@@ -1,4 +1,4 @@
-"""Log filterbank features of whole signals: Arrow batches of frames, one FFT and one product a batch."""
+"""Log filterbank features: frames are slices of a signal's chunks, one FFT and one product a strip of frames."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import framing
+from .sequence import CHUNK, chunked, energy_norm, frame_starts
+
+#: Frames that are transformed at once.
+STRIP = 300
 
 
 def filterbank_matrix(table: DataFrame, bins: int, channels: int) -> np.ndarray:
@@ -35,6 +39,39 @@ def log_channels(frames: np.ndarray, bank: np.ndarray, power: float = 2.0) -> np
     return np.log(np.maximum(1.0, (p if power == 2 else p ** (0.5 * power)) @ bank))
 
 
+def strip_channels(frames: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    """``log_channels`` of a strip of at most ``STRIP`` frames, always as a product of the same shape.
+
+    So a frame at one place of a strip has the same channels to the last bit, however many follow it.
+    """
+    whole = np.zeros((STRIP, frames.shape[1]))
+    whole[: len(frames)] = frames
+    return log_channels(whole, bank)[: len(frames)]
+
+
+class Noise:
+    """Uniform noise in [-1, 1) of one seeded stream, from any place on.
+
+    The generator's state is kept every ``SPACING`` draws (2.5 kB each), so a place is reached by fewer
+    draws than that; the kept states come from one pass up to the last place that is needed.
+    """
+
+    SPACING = 1 << 20
+
+    def __init__(self, seed: int, upto: int):
+        stream = np.random.RandomState(seed)
+        self.states = [stream.get_state()]
+        for _ in range(upto // self.SPACING):
+            stream.random_sample(self.SPACING)
+            self.states.append(stream.get_state())
+
+    def take(self, first: int, n: int) -> np.ndarray:
+        stream = np.random.RandomState(0)
+        stream.set_state(self.states[first // self.SPACING])
+        stream.random_sample(first % self.SPACING)
+        return stream.random_sample(n) * 2 - 1
+
+
 def dither(df: DataFrame, level: float = 8.0, seed: int = 3) -> DataFrame:
     """Adds uniform noise in ``[-level, level)`` to ``rec, n, x``: from the recording's own seeded stream."""
 
@@ -46,7 +83,7 @@ def dither(df: DataFrame, level: float = 8.0, seed: int = 3) -> DataFrame:
     return df.select("rec", "n", "x").groupBy("rec").applyInPandas(noisy, f"rec {dict(df.dtypes)['rec']}, n {dict(df.dtypes)['n']}, x double")
 
 
-def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np.ndarray, power: float = 2.0, preemphasis: float | None = 0.97, zero_mean: bool = False, energy: str | None = None, raw_energy: bool = True, normalise_energy: bool = True, scale: float = 0.1, silence_db: float = 50.0) -> DataFrame:
+def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np.ndarray, power: float = 2.0, preemphasis: float | None = 0.97, zero_mean: bool = False, energy: str | None = None, raw_energy: bool = True, normalise_energy: bool = True, scale: float = 0.1, silence_db: float = 50.0, chunk: int = CHUNK) -> DataFrame:
     """``rec, frame, feat``: logs of filterbank outputs, at least 0, of frames every ``len(window) - overlap``.
 
     ``power`` 2 is the power spectrum, 1 the magnitude.  ``energy`` ``first`` or ``last`` adds the log
@@ -55,27 +92,31 @@ def log_filterbank(signal: DataFrame, window: np.ndarray, overlap: int, bank: np
     size = len(window)
     if len(bank) != 2 ** math.ceil(math.log2(size)) // 2 + 1:
         raise ValueError("the filterbank has a row per bin of the transform, whose length is the next power of two")
-    kind = dict(signal.dtypes)["rec"]
-    frames = framing(signal.select("rec", "n", "x"), size, size - overlap)
-    frames = frames.groupBy("rec", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("samples"))
+    kind, shift, chunk = dict(signal.dtypes)["rec"], size - overlap, max(chunk, 4 * (size - 1))
 
     def features(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            raw = emphasised(np.stack(pdf.samples.to_list()), None, zero_mean)
-            x = emphasised(raw, preemphasis, False) * window
-            loud = raw if raw_energy else x
-            e = np.log((loud * loud).sum(1)) if energy else None
-            out = log_channels(x, bank, power)
-            yield pd.DataFrame({"rec": pdf.rec, "frame": pdf.frame, "feat": list(out), "energy": e if e is not None else np.zeros(len(out))})
-
-    got = frames.mapInPandas(features, f"rec {kind}, frame bigint, feat array<double>, energy double")
+        for batch in batches:
+            for rec, first, x in zip(*(batch.column(c) for c in ("rec", "first", "x")), strict=True):
+                x, first = x.values.to_numpy(zero_copy_only=False), first.as_py()
+                starts = frame_starts(first, len(x), size, shift, chunk)
+                if not len(starts):
+                    continue
+                views = np.lib.stride_tricks.sliding_window_view(x, size)[starts.start : starts[-1] + 1 : shift]
+                for at in range(0, len(views), STRIP):
+                    raw = emphasised(views[at : at + STRIP], None, zero_mean)
+                    cut = emphasised(raw, preemphasis, False) * window
+                    loud = raw if raw_energy else cut
+                    e = np.log((loud * loud).sum(1)) if energy else np.zeros(len(cut))
+                    out = log_channels(cut, bank, power)
+                    n = len(out)
+                    feat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+                    number = (first + starts.start) // shift + at + np.arange(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * n, rec.type), pa.array(number), feat, pa.array(e)], ["rec", "frame", "feat", "energy"])
+
+    got = chunked(signal.select("rec", "n", "x"), size - 1, chunk).mapInArrow(features, f"rec {kind}, frame bigint, feat array<double>, energy double")
     if not energy:
         return got.select("rec", "frame", "feat")
     if normalise_energy:
-        from .sequence import energy_norm
-
         got = energy_norm(got, scale, silence_db)
     one = F.array("energy")
     return got.select("rec", "frame", (F.concat(one, "feat") if energy == "first" else F.concat("feat", one)).alias("feat"))

@@ -89,20 +89,21 @@ def frame_labels(df: DataFrame, rec: str = "rec", label: str = "label", length:
     return spine.join(filled, [rec, "frame"], "left")
 
 
-def embedding_windows(vad: DataFrame, rec: str = "rec", segnum: str = "segnum", start: str = "start", end: str = "end", rate: int = 16000, size: int = 144, jump: int = 24) -> DataFrame:
+def embedding_windows(vad: DataFrame, rec: str = "rec", segnum: str = "segnum", start: str = "start", end: str = "end", rate: int | str = 16000, size: int = 144, jump: int = 24) -> DataFrame:
     """Sliding windows of ``size`` frames every ``jump`` over voice segments, and each segment's tail.
 
     Returns ``rec, segnum, first, last, key, start, end``; frames are 10 ms, times in seconds to
-    three decimals.  Segments of at most 10 ms are skipped; a tail needs ten frames.
+    three decimals.  Segments of at most 10 ms are skipped; a tail needs ten frames.  ``rate`` is a number
+    or, where recordings differ, a column of ``vad``.
     """
-    if rate not in (8000, 16000):
+    if rate not in (8000, 16000) and not isinstance(rate, str):
         raise ValueError(f"sampling rate must be 8000 or 16000, not {rate}")
-    window, overlap = rate // 40, rate * 3 // 200
-    shift = window - overlap
-    s, e = (F.expr(f"cast({c} * {rate} as bigint)") for c in (start, end))
-    seg = vad.select(F.col(rec).alias("rec"), F.col(segnum).alias("segnum"), s.alias("s"), e.alias("e")).withColumn("n", F.col("e") - F.col("s"))
-    seg = seg.where(F.col("n") > 0.01 * rate)
-    frames = F.floor((F.col("n") + overlap // 2 + window // 2 - window) / shift) + 1
+    hertz = F.col(rate).cast("bigint") if isinstance(rate, str) else F.lit(rate).cast("bigint")
+    seg = vad.select(F.col(rec).alias("rec"), F.col(segnum).alias("segnum"), F.col(start).alias("from"), F.col(end).alias("to"), hertz.alias("rate"))
+    s, e = ((F.col(c) * F.col("rate")).cast("bigint") for c in ("from", "to"))
+    seg = seg.select("rec", "segnum", "rate", s.alias("s"), e.alias("e")).withColumn("n", F.col("e") - F.col("s"))
+    seg = seg.where(F.col("n") > 0.01 * F.col("rate"))
+    frames = F.expr("floor((n + (rate * 3 div 200) div 2 + (rate div 40) div 2 - rate div 40) / (rate div 40 - rate * 3 div 200)) + 1")
     seg = seg.withColumn("frames", frames.cast("bigint"))
     full = F.when(F.col("frames") > size, F.ceil((F.col("frames") - size) / jump)).otherwise(0).cast("bigint")
     seg = seg.withColumn("full", full)
@@ -112,7 +113,7 @@ def embedding_windows(vad: DataFrame, rec: str = "rec", segnum: str = "segnum",
     w = w.withColumn("last", F.when(F.col("tail"), F.col("frames")).otherwise(F.col("first") + size))
     w = w.where(~F.col("tail") | (F.col("last") - F.col("first") >= 10))
     # whole milliseconds in integers, halves up; a frame is ten of them
-    millis = lambda samples: F.expr(f"({samples} * 1000 + {rate // 2}) div {rate}")
+    millis = lambda samples: F.expr(f"({samples} * 1000 + rate div 2) div rate")
     began = (millis("s") + F.col("first") * 10) / 1000.0
     ended = F.when(F.col("tail"), millis("e") / 1000.0).otherwise((millis("s") + (F.col("first") + size) * 10) / 1000.0)
     key = F.format_string("%s_%04d-%08d-%08d", F.col("rec").cast("string"), "segnum", "first", "last")

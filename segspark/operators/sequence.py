@@ -1,31 +1,83 @@
 """Signal and frame-sequence operators on long tables.
 
-A signal is ``rec, n, x`` with ``n`` from 0; a feature table is ``rec, frame, d, x``.  Framing, padding
-and windows are arithmetic on positions, so they need no ordered window and no collected arrays.
+A signal is ``rec, n, x`` with ``n`` from 0; a feature table is ``rec, frame, d, x``.  A chunked signal is
+``rec, first, x``: arrays of consecutive samples that reach a halo into the next chunk, so frames are slices.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Samples of a chunk without its halo.
+CHUNK = 1 << 16
+
 
 def lengths(signal: DataFrame, *keys: str) -> DataFrame:
     return signal.groupBy(*(keys or ("rec",))).agg((F.max("n") + 1).alias("size"))
 
 
-def framing(signal: DataFrame, window: int, shift: int = 1) -> DataFrame:
+def chunked(signal: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
+    """``rec, first, x``: samples ``first .. first + size + halo - 1`` of ``rec, n, x``, fewer at a signal's end.
+
+    ``first`` are the multiples of ``size``.  Only a halo's samples are sent twice, and a task holds one
+    chunk, however long the signal.  A signal with a gap raises; null samples stay null.
+    """
+    size = max(size, 4 * halo)
+    own = F.floor(F.col("n") / size).cast("bigint")
+    shared = (F.pmod("n", F.lit(size)) < halo) & (F.col("n") >= size)
+    rows = signal.select("rec", F.col("n").cast("bigint").alias("n"), F.col("x").cast("double").alias("x"), F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))).alias("chunk"))
+    rows = rows.repartition("rec", "chunk").sortWithinPartitions("rec", "chunk", "n")
+
+    def gather(batches):
+        held: list[pa.RecordBatch] = []
+
+        def closed():
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table.column("n").to_numpy()
+            if n[-1] - n[0] != len(n) - 1 or (n[1:] <= n[:-1]).any() or n[0] % size:
+                raise ValueError(f"the samples of {table.column('rec')[0]} are not numbered 0, 1, 2, ...")
+            x = table.column("x").chunk(0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([table.column("rec").chunk(0).slice(0, 1), pa.array(n[:1]), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x)], ["rec", "first", "x"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("rec").dictionary_encode().indices.fill_null(-1).to_numpy()
+            chunk = batch.column("chunk").to_numpy()
+            edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and (held[0].column("chunk")[0] != batch.column("chunk")[a] or held[0].column("rec")[0] != batch.column("rec")[a]):
+                    yield closed()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield closed()
+
+    return rows.mapInArrow(gather, f"rec {dict(signal.dtypes)['rec']}, first bigint, x array<double>")
+
+
+def frame_starts(first: int, samples: int, window: int, shift: int, size: int) -> range:
+    """Places in a chunk where its own frames start: those that start in the chunk and end in its samples."""
+    begin = -first % shift
+    return range(begin, min(size, samples - window + 1), shift)
+
+
+def framing(signal: DataFrame, window: int, shift: int = 1, size: int = CHUNK) -> DataFrame:
     """``rec, frame, k, x``: frames of ``window`` samples every ``shift``; the rest is dropped.
 
-    A sample knows the frames that hold it, so this is one explode and one join with the lengths.
+    Frames are slices of the signal's chunks: a frame belongs to the chunk in which it starts.
     """
-    lo = F.greatest(F.lit(0), F.ceil((F.col("n") - (window - 1)) / shift)).cast("bigint")
-    hi = F.least(F.floor(F.col("n") / shift), F.floor((F.col("size") - window) / shift)).cast("bigint")
-    rows = signal.join(lengths(signal), "rec").withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
-    rows = rows.select("rec", "n", "x", F.explode(F.sequence("lo", "hi")).alias("frame"))
-    return rows.select("rec", "frame", (F.col("n") - F.col("frame") * shift).cast("int").alias("k"), "x")
+    size = max(size, 4 * (window - 1))
+    last = F.least(F.lit(size - 1), F.size("x") - window)
+    begin = F.pmod(-F.col("first"), F.lit(shift)).cast("int")
+    rows = chunked(signal, window - 1, size).where(last >= begin).select("rec", "first", "x", F.explode(F.sequence(begin, last, F.lit(shift))).alias("at"))
+    rows = rows.select("rec", ((F.col("first") + F.col("at")) / shift).cast("bigint").alias("frame"), F.slice("x", F.col("at") + 1, F.lit(window)).alias("x"))
+    return rows.select("rec", "frame", F.posexplode("x").alias("k", "x"))
 
 
 def mirror_pad(signal: DataFrame, left: int, right: int) -> DataFrame:

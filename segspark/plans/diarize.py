@@ -6,15 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.operators import kernels as K
 from segspark.operators import models, segments, vectors
 from segspark.operators.embedding import embed_windows
-from segspark.operators.fbank import emphasised, filterbank_matrix, log_channels
+from segspark.operators.fbank import STRIP, Noise, emphasised, filterbank_matrix, strip_channels
 from segspark.operators.sequence import mel_filterbank
 from segspark.sources import text
+from segspark.sources.wav import CHUNK
 
 #: Channels, lowest frequency, and highest per sampling rate.
 CHANNELS, LOW, HIGH = 64, 20.0, {8000: 3700.0, 16000: 7600.0}
@@ -22,62 +24,125 @@ CHANNELS, LOW, HIGH = 64, 20.0, {8000: 3700.0, 16000: 7600.0}
 LEFT, RIGHT = 150, 149
 
 
+#: Frames of a segment that one task gives, a multiple of the floating mean's width.
+UNIT = 20 * (LEFT + RIGHT + 1)
+
+
+def window_means(x: np.ndarray, first: int, total: int, begin: int, end: int, left: int, right: int) -> np.ndarray:
+    """Means around rows ``begin .. end - 1`` of ``total``, given the rows ``x`` from ``first`` on.
+
+    A window keeps its size at both ends.  Its sum is the rest of one block of that size and the head of the
+    next, blocks counted from row 0, so it is the same to the last bit whichever rows around are given;
+    ``first`` is the start of a block.
+    """
+    size = min(total, left + right + 1)
+    start = np.clip(np.arange(begin, end) - left, 0, total - size) - first
+    blocks = np.zeros((-(-len(x) // size), size, x.shape[1]))
+    blocks.reshape(-1, x.shape[1])[: len(x)] = x
+    head = np.cumsum(blocks, 1).reshape(-1, x.shape[1])
+    rest = np.cumsum(blocks[:, ::-1], 1)[:, ::-1].reshape(-1, x.shape[1])
+    whole = (start % size == 0)[:, None]
+    return (rest[start] + np.where(whole, 0.0, head[start + size - 1])) / size
+
+
 def floating_mean(x: np.ndarray, left: int = LEFT, right: int = RIGHT, variance: bool = False) -> np.ndarray:
     """Rows less the mean of a window that keeps its size at both ends (and over its root mean square)."""
     n = len(x)
-    size = min(n, left + right + 1)
-    begin = np.clip(np.arange(n) - left, 0, n - size)
-
-    def mean(v):
-        total = np.concatenate((np.zeros((1, v.shape[1])), np.cumsum(v, 0)))
-        return (total[begin + size] - total[begin]) / size
+    x = x - window_means(x, 0, n, 0, n, left, right)
+    return x / np.sqrt(window_means(x * x, 0, n, 0, n, left, right)) if variance else x
 
-    x = x - mean(x)
-    return x / np.sqrt(mean(x * x)) if variance else x
 
+def segment_features(x: np.ndarray, at: int, s: int, e: int, rate: int, bank: np.ndarray, begin: int, end: int, total: int) -> np.ndarray:
+    """Normalised log filterbank features of frames ``begin .. end - 1`` of ``total`` of the voice segment ``s .. e - 1``.
 
-def segment_features(x: np.ndarray, rate: int, bank: np.ndarray) -> np.ndarray:
-    """Normalised log filterbank features of one voice segment, mirrored at both ends."""
+    The segment is mirrored at both ends.  ``x`` are samples from ``at`` on that hold what the frames and
+    the floating mean around them need; ``begin`` is a multiple of ``UNIT``'s blocks.
+    """
     size, overlap = rate // 40, rate * 3 // 200
-    shift, pre, post = size - overlap, overlap // 2, size // 2
-    x = np.concatenate((x[:pre][::-1], x, x[len(x) - min(post, len(x)) :][::-1]))
-    if len(x) < size:
-        return np.zeros((0, bank.shape[1]), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::shift]
+    shift, n = size - overlap, e - s
+    pre, width = min(overlap // 2, n), LEFT + RIGHT + 1
+    low, high = max(0, begin - width), min(total, end + width)
+    p = np.arange(low * shift, (high - 1) * shift + size)
+    place = np.where(p < pre, pre - 1 - p, np.where(p < pre + n, p - pre, 2 * n - 1 + pre - p))
+    frames = np.lib.stride_tricks.sliding_window_view(x[s - at + place], size)[::shift]
     window = (0.5 - 0.5 * np.cos(np.linspace(0, 2 * np.pi, size))) ** 0.85
-    return floating_mean(log_channels(emphasised(frames, 0.97, zero_mean=True) * window, bank)).astype(np.float32)
+    logs = np.concatenate([strip_channels(emphasised(frames[i : i + STRIP], 0.97, zero_mean=True) * window, bank) for i in range(0, len(frames), STRIP)])
+    return (logs[begin - low : end - low] - window_means(logs, low, total, begin, end, LEFT, RIGHT)).astype(np.float32)
+
 
+def in_chunks(audio: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``rec, samplerate, total, first, x`` of whole recordings ``rec, samplerate, x``; chunks stay as they are."""
+    if "first" in audio.columns:
+        return audio
+    rows = audio.select("rec", "samplerate", F.size("x").cast("bigint").alias("total"), "x", F.explode(F.sequence(F.lit(0), F.greatest(F.size("x") - 1, F.lit(0)), F.lit(chunk))).alias("first"))
+    return rows.select("rec", "samplerate", "total", F.col("first").cast("bigint").alias("first"), F.slice("x", F.col("first") + 1, F.lit(chunk)).alias("x"))
 
-def audio_features(audio: DataFrame, vad: DataFrame, dither: float = 8.0, seed: int = 3) -> DataFrame:
-    """``rec, segnum, frame, feat`` of the voice segments ``rec, segnum, start, end`` of ``rec, samplerate, x``.
 
-    A recording is one row: dithering follows its own seeded stream.  Segments are cut in the JVM before
-    they go to Python; those of at most 10 ms are left out first.
+def rates_of(chunks: DataFrame) -> DataFrame:
+    """``rec, samplerate, total`` of chunked recordings."""
+    return chunks.where("first = 0").select("rec", "samplerate", "total")
+
+
+def feature_units(vad: DataFrame, rates: DataFrame, unit: int) -> DataFrame:
+    """``rec, segnum, rate, s, e, frames, a, b, low, high``: frames ``a .. b - 1`` of a segment, and the samples they need."""
+    rows = vad.join(rates, "rec").withColumns({"rate": F.col("samplerate").cast("bigint"), "s": F.expr("cast(start * samplerate as bigint)"), "e": F.least(F.expr("cast(end * samplerate as bigint)"), "total")})
+    rows = rows.withColumn("n", F.col("e") - F.col("s")).where(F.col("n") > 0.01 * F.col("rate"))
+    rows = rows.withColumns({"size": F.expr("rate div 40"), "overlap": F.expr("rate * 3 div 200")}).withColumn("shift", F.col("size") - F.col("overlap"))
+    padded = F.expr("least(overlap div 2, n) + n + least(size div 2, n)")
+    rows = rows.withColumn("frames", ((padded - F.col("size")) / F.col("shift")).cast("bigint") + 1).where(padded >= F.col("size"))
+    rows = rows.withColumn("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1, F.lit(unit).cast("bigint")))).withColumn("b", F.least(F.col("a") + unit, F.col("frames")))
+    width = LEFT + RIGHT + 1
+    low = F.greatest(F.col("s"), F.col("s") + (F.col("a") - width) * F.col("shift") - 2 * F.col("size"))
+    high = F.least(F.col("e"), F.col("s") + (F.col("b") + width) * F.col("shift") + 2 * F.col("size"))
+    return rows.select("rec", "segnum", "rate", "s", "e", "frames", "a", "b", low.alias("low"), high.alias("high"))
+
+
+def audio_features(audio: DataFrame, vad: DataFrame, dither: float = 8.0, seed: int = 3, unit: int = UNIT, chunk: int = CHUNK) -> DataFrame:
+    """``rec, segnum, frame, feat`` of the voice segments ``rec, segnum, start, end``.
+
+    ``audio`` holds whole recordings ``rec, samplerate, x``, or their chunks of ``chunk`` samples as
+    ``wav.read_chunks`` gives them.  A task makes up to ``unit`` frames from the chunks that hold their samples
+    and those of the floating mean around them; dither is that of the recording's own seeded stream, taken
+    up where the samples begin.  So segments and recordings may have any length, and the features do not
+    depend on how they are cut.  Segments of at most 10 ms are left out.
     """
+    if unit % (LEFT + RIGHT + 1):
+        raise ValueError("a unit is a multiple of the floating mean's width")
     spark = audio.sparkSession
+    chunks = in_chunks(audio, chunk)
+    units = feature_units(vad, rates_of(chunks), unit)
+    last = units.agg(F.max("high")).first()[0] or 0
+    noise = spark.sparkContext.broadcast(Noise(seed, last))  # 2.5 kB a minute of the longest recording
     banks = {r: filterbank_matrix(mel_filterbank(spark, 512 if r == 16000 else 256, r, CHANNELS, LOW, HIGH[r], htk_bug=False), (512 if r == 16000 else 256) // 2 + 1, CHANNELS) for r in HIGH}
 
-    def noisy(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"rec": pdf.rec, "samplerate": pdf.samplerate, "x": [np.trunc(np.asarray(x) * 32768) + dither * (np.random.RandomState(seed).rand(len(x)) * 2 - 1) for x in pdf.x]})
-
-    rows = audio.mapInPandas(noisy, f"rec {dict(audio.dtypes)['rec']}, samplerate int, x array<double>").join(vad, "rec")
-    s, e = F.expr("cast(start * samplerate as bigint)"), F.expr("cast(end * samplerate as bigint)")
-    cut = rows.where(e - s > 0.01 * F.col("samplerate")).select("rec", "segnum", "samplerate", F.slice("x", (s + 1).cast("int"), (e - s).cast("int")).alias("x"))
-
-    def features(batches):
-        for pdf in batches:
-            for rec, num, rate, x in pdf.itertuples(index=False):
-                f = segment_features(np.asarray(x, float), rate, banks[rate])
-                yield pd.DataFrame({"rec": rec, "segnum": num, "frame": range(len(f)), "feat": [r.astype(float) for r in f]})
+    wanted = units.withColumn("at", F.explode(F.sequence(F.expr(f"low div {chunk}"), F.expr(f"(high - 1) div {chunk}"))))
+    pieces = wanted.join(chunks.select("rec", "first", "x", F.expr(f"first div {chunk}").alias("at")), ["rec", "at"])
+    begin, end = F.greatest("low", "first"), F.least("high", F.col("first") + F.size("x"))
+    cut = pieces.withColumn("x", F.slice("x", (begin - F.col("first") + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))).drop("at")
+
+    def features(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first").combine_chunks()
+        one = {c: table.column(c)[0].as_py() for c in ("rate", "s", "e", "frames", "a", "b", "low", "high")}
+        x = table.column("x").chunk(0).flatten().to_numpy()
+        if len(x) != one["high"] - one["low"]:
+            raise ValueError(f"samples of {table.column('rec')[0]} are missing")
+        x = np.trunc(x * 32768) + dither * noise.value.take(one["low"], len(x))
+        f = segment_features(x, one["low"], one["s"], one["e"], one["rate"], banks[one["rate"]], one["a"], one["b"], one["frames"]).astype(float)
+        first = pa.array(np.zeros(len(f), np.int64))
+        feat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))
+        return pa.table({"rec": table.column("rec").take(first), "segnum": table.column("segnum").take(first), "frame": pa.array(np.arange(one["a"], one["b"])), "feat": feat})
 
     kind = dict(cut.dtypes)
-    return cut.mapInPandas(features, f"rec {kind['rec']}, segnum {kind['segnum']}, frame bigint, feat array<double>")
+    return cut.groupBy("rec", "segnum", "a").applyInArrow(features, f"rec {kind['rec']}, segnum {kind['segnum']}, frame bigint, feat array<double>")
 
 
-def extract(audio: DataFrame, vad: DataFrame, rate: int = 16000, size: int = 144, jump: int = 24, model: str = "pooling", path: str = "") -> DataFrame:
-    """``rec, idx, key, start, end, xvec``: embeddings of all windows, in order of time."""
-    windows = segments.embedding_windows(vad, rate=rate, size=size, jump=jump)
+def extract(audio: DataFrame, vad: DataFrame, size: int = 144, jump: int = 24, model: str = "pooling", path: str = "") -> DataFrame:
+    """``rec, idx, key, start, end, xvec``: embeddings of all windows, in order of time.
+
+    Windows are cut by the rate of each recording.
+    """
+    rates = rates_of(in_chunks(audio)).select("rec", "samplerate")
+    windows = segments.embedding_windows(vad.join(rates, "rec"), rate="samplerate", size=size, jump=jump)
     found = embed_windows(audio_features(audio, vad), windows, model, path)
     rows = windows.join(found.select("rec", "key", "xvec"), ["rec", "key"])
     return rows.select("rec", ((F.col("segnum").cast("bigint") * 100000000) + F.col("first")).alias("idx"), "key", "start", "end", "xvec")
