@@ -3,7 +3,8 @@
 All of them start from one sweep over a recording's boundaries in order of time, which adds up how long
 (or for how many frames) each combination of reference and system speakers is active.  The state of the
 sweep is who speaks now, so neither segments nor frames are expanded, and what leaves it is a row per
-combination; the metrics are small aggregations of these rows.
+combination; the metrics are small aggregations of these rows.  A recording is swept by ranges of time, each
+of which is told who is open where it begins.
 """
 
 from __future__ import annotations
@@ -11,23 +12,23 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segspark.scratch import Tables
+
 from .kernels import assignment
 
 #: Collar in seconds and whether overlapped reference speech is left out.
 PROTOCOLS = {"forgiving": (0.25, True), "fair": (0.25, False), "full": (0.0, False)}
+#: Side of a row that only says where the next range begins.
+END = 9
 
 
-def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step: float | int | None = None) -> DataFrame:
-    """``rec, refs, hyps, d``: time in which exactly these speakers are active, outside all collars.
-
-    Boundaries of equal time are added before the sort; a recording's boundaries pass through one task
-    as a stream.  Segments without length count for nothing but their collar.  With ``step``, ``d`` is the
-    number of frames whose middle lies in that time, from frame 0 to the last one in which anybody speaks.
-    """
+def boundaries(ref: DataFrame, hyp: DataFrame, collar: float | int) -> DataFrame:
+    """``rec, t, side, spk, by``: by how much a speaker's open segments (side 2: collars) change at a time."""
     cols = ["rec", "start", "end", "spk"]
     sides = [x.select(*cols, F.lit(k).alias("side")) for k, x in enumerate((ref, hyp))]
     edges = [x.where("end > start").select("rec", "side", "spk", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("by")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("by")))).alias("e")) for x in sides]
@@ -37,7 +38,49 @@ def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step:
     rows = edges[0].unionByName(edges[1])
     for more in edges[2:]:
         rows = rows.unionByName(more)
-    rows = rows.groupBy("rec", F.col("e.t").alias("t"), "side", "spk").agg(F.sum("e.by").cast("int").alias("by"))
+    return rows.groupBy("rec", F.col("e.t").alias("t"), "side", "spk").agg(F.sum("e.by").cast("int").alias("by"))
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """What ranges of ``rows (rec, range, t, side, spk, by)`` need from the others of their recording, as rows.
+
+    Rows without time open what is open where the range begins; a row of side ``END`` has the time at which
+    the next range begins.  Only recordings in more than one range have any, and of these only net changes by
+    range and speaker come together.
+    """
+    kind = dict(rows.dtypes)
+    own = Window.partitionBy("rec")
+    spans = rows.groupBy("rec", "range").agg(F.min("t").alias("t")).withColumn("n", F.count(F.lit(1)).over(own)).where("n > 1")
+    stops = spans.withColumn("t", F.lead("t").over(own.orderBy("range"))).where("t is not null")
+    stops = stops.select("rec", "range", "t", F.lit(END).alias("side"), F.lit(None).cast(kind["spk"]).alias("spk"), F.lit(0).alias("by"))
+    net = rows.groupBy("rec", "range", "side", "spk").agg(F.sum("by").cast("int").alias("by")).join(spans.select("rec", "range"), ["rec", "range"])
+
+    def opened(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts, out = Counter(), []
+        for at, of in pdf.sort_values("range").groupby("range", sort=False):
+            out += [(pdf.rec.iloc[0], at, side, spk, n) for (side, spk), n in counts.items() if n]
+            for side, spk, by in zip(of.side.tolist(), of.spk, of.by.tolist(), strict=True):
+                counts[side, spk] += by
+        return pd.DataFrame(out, columns=["rec", "range", "side", "spk", "by"])
+
+    opens = net.groupBy("rec").applyInPandas(opened, f"rec {kind['rec']}, range int, side int, spk {kind['spk']}, by int")
+    return stops.unionByName(opens.withColumn("t", F.lit(None).cast(kind["t"])))
+
+
+def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step: float | int | None = None, ranges: int | None = None) -> DataFrame:
+    """``rec, refs, hyps, d``: time in which exactly these speakers are active, outside all collars.
+
+    Boundaries of equal time are added first; then they are dealt by ranges of recording and time
+    (``ranges`` of them, else as many as Spark has shuffle partitions), so a long recording is many tasks, each of
+    which begins with the speakers that are open by then.  Segments without length count for nothing but their
+    collar.  With ``step``, ``d`` is the number of frames whose middle lies in that time, from frame 0 to the
+    last one in which anybody speaks.  The result is a written table, so that the sweep runs once however
+    often it is used.
+    """
+    tables = Tables(ref.sparkSession, "combinations")
+    rows = boundaries(ref, hyp, collar)
+    cut = rows.repartitionByRange(ranges, "rec", "t") if ranges else rows.repartitionByRange("rec", "t")
+    rows = tables.save(cut.withColumn("range", F.spark_partition_id()), "ranges")
     kind = dict(rows.dtypes)
     value = "bigint" if step is not None else kind["t"]
 
@@ -45,47 +88,55 @@ def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step:
         return max(math.ceil((t - step / 2) / step), 0)
 
     def sweep(batches):
-        rec, last, near, silence, size = None, None, 0, 0, 0
+        key, last, near, top = None, None, 0, 0
         counts, active, found = (Counter(), Counter()), [(), ()], Counter()
 
         def close():
-            got = [(rec, list(a), list(b), n) for (a, b), n in found.items()]
+            got = [(key[0], list(a), list(b), n, top) for (a, b), n in found.items()]
             found.clear()
-            return pd.DataFrame(got, columns=["rec", "refs", "hyps", "d"])
+            return pd.DataFrame(got, columns=["rec", "refs", "hyps", "d", "top"])
 
         for pdf in batches:
-            for own, t, side, spk, by in zip(pdf.rec, pdf.t.tolist(), pdf.side.tolist(), pdf.spk, pdf.by.tolist(), strict=True):
-                if last is None or own != rec:
-                    if last is not None:
+            for rec, at, void, t, side, spk, by in zip(pdf.rec, pdf.range.tolist(), pdf.void.tolist(), pdf.t.tolist(), pdf.side.tolist(), pdf.spk, pdf.by.tolist(), strict=True):
+                if key is None or (rec, at) != key:
+                    if found:
                         yield close()
-                    rec, near, silence = own, 0, frame(t) if step is not None else 0
-                    counts, active, last = (Counter(), Counter()), [(), ()], t
-                if t != last:
-                    here = (active[0], active[1])
-                    if step is not None:
-                        size = frame(t) - frame(last)
-                        if here == ((), ()):
-                            silence += size
-                        elif size:
-                            found[here] += size
-                            found[(), ()] += silence
-                            silence = 0
-                    elif not near:
-                        found[here] += t - last
+                    key, last, near, top = (rec, at), None, 0, 0
+                    counts, active = (Counter(), Counter()), [(), ()]
+                if not void and t != last:
+                    if last is not None:
+                        here = (active[0], active[1])
+                        if step is None:
+                            if not near:
+                                found[here] += t - last
+                        elif here != ((), ()):
+                            size = frame(t) - frame(last)
+                            if size:
+                                found[here] += size
+                                top = frame(t)
                     last = t
                 if side == 2:
                     near += by
-                    continue
-                before = counts[side][spk]
-                counts[side][spk] = before + by
-                if (before > 0) != (before + by > 0):
-                    active[side] = tuple(sorted(k for k, n in counts[side].items() if n > 0))
-        if last is not None:
+                elif side != END:
+                    before = counts[side][spk]
+                    counts[side][spk] = before + by
+                    if (before > 0) != (before + by > 0):
+                        active[side] = tuple(sorted(k for k, n in counts[side].items() if n > 0))
+        if found:
             yield close()
 
-    ordered = rows.repartition("rec").sortWithinPartitions("rec", "t").select("rec", "t", "side", "spk", "by")
-    got = ordered.mapInPandas(sweep, f"rec {kind['rec']}, refs array<{kind['spk']}>, hyps array<{kind['spk']}>, d {value}")
-    return got.where("d > 0")
+    # a missing time is told by a flag: whole numbers would become fractions in pandas
+    void = F.col("t").isNull()
+    rows = rows.unionByName(carried(rows)).withColumns({"void": void, "t": F.coalesce("t", F.lit(0).cast(kind["t"]))})
+    ordered = rows.repartition("rec", "range").sortWithinPartitions("rec", "range", F.desc("void"), "t", "side").select("rec", "range", "void", "t", "side", "spk", "by")
+    got = ordered.mapInPandas(sweep, f"rec {kind['rec']}, refs array<{kind['spk']}>, hyps array<{kind['spk']}>, d {value}, top bigint")
+    got = got.groupBy("rec", "refs", "hyps").agg(F.sum("d").cast(value).alias("d"), F.max("top").alias("top")).where("d > 0")
+    got = tables.save(got, "cells")
+    if step is None:
+        return got.drop("top")
+    none = F.array().cast(f"array<{kind['spk']}>")
+    silence = got.groupBy("rec").agg((F.max("top") - F.sum("d")).alias("d")).where("d > 0").select("rec", none.alias("refs"), none.alias("hyps"), "d")
+    return got.drop("top").unionByName(silence)
 
 
 def speaker_map(overlap: DataFrame, least: bool = False, value: str = "w") -> DataFrame:
@@ -95,13 +146,31 @@ def speaker_map(overlap: DataFrame, least: bool = False, value: str = "w") -> Da
     """
     kind = dict(overlap.dtypes)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="ref", columns="hyp", values=value, fill_value=1.0 if least else 0.0)
-        c = m.to_numpy(float)
-        r, h = assignment(c if least else -c)
-        return pd.DataFrame({"rec": pdf.rec.iloc[0], "ref": m.index[r], "hyp": m.columns[h]})
+    def solved(rec, rows):
+        refs, hyps = ({k: i for i, k in enumerate(sorted({r[c] for r in rows}))} for c in (0, 1))
+        c = np.full((len(refs), len(hyps)), 1.0 if least else 0.0)
+        for ref, hyp, w in rows:
+            c[refs[ref], hyps[hyp]] = w
+        pairs = zip(*assignment(c if least else -c), strict=True)
+        names = list(refs), list(hyps)
+        return [(rec, names[0][i], names[1][j]) for i, j in pairs]
+
+    def solve(batches):
+        rec, held = None, []
+        for pdf in batches:
+            out = []
+            for own, *row in zip(pdf.rec, pdf.ref, pdf.hyp, pdf[value].tolist(), strict=True):
+                if held and own != rec:
+                    out += solved(rec, held)
+                    held = []
+                rec = own
+                held.append(row)
+            yield pd.DataFrame(out, columns=["rec", "ref", "hyp"])
+        if held:
+            yield pd.DataFrame(solved(rec, held), columns=["rec", "ref", "hyp"])
 
-    return overlap.groupBy("rec").applyInPandas(solve, f"rec {kind['rec']}, ref {kind['ref']}, hyp {kind['hyp']}")
+    ordered = overlap.select("rec", "ref", "hyp", value).repartition("rec").sortWithinPartitions("rec")
+    return ordered.mapInPandas(solve, f"rec {kind['rec']}, ref {kind['ref']}, hyp {kind['hyp']}")
 
 
 def interval_error(ref: DataFrame, hyp: DataFrame, collar: float | int = 0.25, skip_overlap: bool = False) -> DataFrame:
@@ -142,13 +211,12 @@ def jaccard_error(ref: DataFrame, hyp: DataFrame, step: float | int = 0.01) -> D
 
 
 def contingency(ref: DataFrame, hyp: DataFrame, step: float | int = 0.01) -> DataFrame:
-    """``rec, a, b, p``: shares of frames by reference class and system class, a class being a set of speakers.
+    """``rec, a, b, p``: shares of frames by reference class and system class, a class being an array of speakers in order.
 
     Frames run from 0 to the last one in which anybody speaks.
     """
     cells = combinations(ref, hyp, step=step)
-    name = lambda c: F.concat_ws("+", F.transform(c, lambda x: x.cast("string")))
-    rows = cells.groupBy("rec", name("refs").alias("a"), name("hyps").alias("b")).agg(F.sum("d").alias("n"))
+    rows = cells.select("rec", F.col("refs").alias("a"), F.col("hyps").alias("b"), F.col("d").alias("n"))
     return rows.select("rec", "a", "b", (F.col("n") / F.sum("n").over(Window.partitionBy("rec"))).alias("p"))
 
 
