@@ -23,6 +23,8 @@ from .kernels import assignment
 
 #: Collar in seconds and whether overlapped reference speech is left out.
 PROTOCOLS = {"forgiving": (0.25, True), "fair": (0.25, False), "full": (0.0, False)}
+#: Segments from which on a recording is swept by ranges, and how many.
+LONG, RANGES = 1 << 16, 64
 #: Side of a row that only says where the next range begins.
 END = 9
 
@@ -67,20 +69,26 @@ def carried(rows: DataFrame) -> DataFrame:
     return stops.unionByName(opens.withColumn("t", F.lit(None).cast(kind["t"])))
 
 
-def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step: float | int | None = None, ranges: int | None = None) -> DataFrame:
+def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step: float | int | None = None, ranges: int = RANGES, long: int = LONG) -> DataFrame:
     """``rec, refs, hyps, d``: time in which exactly these speakers are active, outside all collars.
 
-    Boundaries of equal time are added first; then they are dealt by ranges of recording and time
-    (``ranges`` of them, else as many as Spark has shuffle partitions), so a long recording is many tasks, each of
-    which begins with the speakers that are open by then.  Segments without length count for nothing but their
+    Boundaries of equal time are added first.  A recording of more than ``long`` segments is cut into up to
+    ``ranges`` ranges of time by quantiles of its boundaries: each is a task that begins with the speakers that are
+    open by then.  Segments without length count for nothing but their
     collar.  With ``step``, ``d`` is the number of frames whose middle lies in that time, from frame 0 to the
     last one in which anybody speaks.  The result is a written table, so that the sweep runs once however
     often it is used.
     """
     tables = Tables(ref.sparkSession, "combinations")
     rows = boundaries(ref, hyp, collar)
-    cut = rows.repartitionByRange(ranges, "rec", "t") if ranges else rows.repartitionByRange("rec", "t")
-    rows = tables.save(cut.withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ref.select("rec").unionByName(hyp.select("rec")).groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    parted = (sizes.agg(F.max("n")).first()[0] or 0) > long
+    if parted:
+        cuts = rows.join(sizes.where(F.col("n") > long).select("rec"), "rec", "left_semi").groupBy("rec").agg(F.percentile_approx("t", [k / ranges for k in range(1, ranges)]).alias("cuts"))
+        rows = rows.join(cuts, "rec", "left").withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("t"))), F.lit(0))).drop("cuts")
+        rows = tables.save(rows.withColumn("range", F.greatest("range", F.lit(0))), "ranges")
+    else:
+        rows = rows.withColumn("range", F.lit(0))
     kind = dict(rows.dtypes)
     value = "bigint" if step is not None else kind["t"]
 
@@ -127,7 +135,7 @@ def combinations(ref: DataFrame, hyp: DataFrame, collar: float | int = 0, step:
 
     # a missing time is told by a flag: whole numbers would become fractions in pandas
     void = F.col("t").isNull()
-    rows = rows.unionByName(carried(rows)).withColumns({"void": void, "t": F.coalesce("t", F.lit(0).cast(kind["t"]))})
+    rows = (rows.unionByName(carried(rows)) if parted else rows).withColumns({"void": void, "t": F.coalesce("t", F.lit(0).cast(kind["t"]))})
     ordered = rows.repartition("rec", "range").sortWithinPartitions("rec", "range", F.desc("void"), "t", "side").select("rec", "range", "void", "t", "side", "spk", "by")
     got = ordered.mapInPandas(sweep, f"rec {kind['rec']}, refs array<{kind['spk']}>, hyps array<{kind['spk']}>, d {value}, top bigint")
     got = got.groupBy("rec", "refs", "hyps").agg(F.sum("d").cast(value).alias("d"), F.max("top").alias("top")).where("d > 0")
