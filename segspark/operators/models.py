@@ -9,17 +9,21 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.functions import arrays as A
 from segspark.scratch import Tables
 
 from . import kernels as K
-from . import linkage
+from . import linkage, longchain
 from .vectors import Plda
 
 
+#: Rows up to which a recording's variational fit is one task.
+VB_LIMIT = 1 << 14
+
+
 def calibrate(scores: DataFrame, column: str = "s", rounds: int = 20) -> dict[str, float]:
     """Two-Gaussian calibration over a whole column: one aggregation a round, a few numbers a partition.
 
@@ -104,11 +108,13 @@ def soft_labels(label, classes: int, smoothing: float = 5.0):
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == label, F.lit(high)).otherwise(F.lit(low)))
 
 
-def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1.0, fb: float = 1.0, rounds: int = 10, epsilon: float = 1e-4, smoothing: float = 5.0, rec: str = "rec", idx: str = "idx", vector: str = "v", label: str = "label", seed: int | None = None, speakers: int = 10) -> DataFrame:
+def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1.0, fb: float = 1.0, rounds: int = 10, epsilon: float = 1e-4, smoothing: float = 5.0, rec: str = "rec", idx: str = "idx", vector: str = "v", label: str = "label", seed: int | None = None, speakers: int = 10, limit: int = VB_LIMIT) -> DataFrame:
     """``rec, idx, gamma, pi, objective, rounds, label, second``: variational HMM per recording.
 
     Starts from softened labels; with ``seed`` from random responsibilities of ``speakers`` instead.
-    Labels are columns of ``gamma``, ties to the lower one; ``second`` is null for one speaker.
+    Labels are columns of ``gamma``, ties to the lower one; ``second`` is null for one speaker.  A recording of up
+    to ``limit`` rows is one task; a longer one is fitted in pieces, see ``longchain``, which with a seed draw
+    their starts each on its own.
     """
     init = F.col(label) if seed is None else F.lit(0)
     rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"), init.cast("bigint").alias("label"))
@@ -123,7 +129,22 @@ def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1
         second = order[:, 1].tolist() if order.shape[1] > 1 else [None] * len(x)
         return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "gamma": list(got.gamma), "pi": [got.weights] * len(x), "objective": got.bounds[-1], "rounds": len(got.bounds), "label": order[:, 0], "second": pd.array(second, "Int64")})
 
-    return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, gamma array<double>, pi array<double>, objective double, rounds bigint, label bigint, second bigint")
+    schema = f"rec {kind['rec']}, idx {kind['idx']}, gamma array<double>, pi array<double>, objective double, rounds bigint, label bigint, second bigint"
+    sizes = rows.groupBy("rec").agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= limit:
+        return rows.groupBy("rec").applyInPandas(fit, schema)
+    long = sizes.where(F.col("size") > limit).select("rec")
+    short = rows.join(long, "rec", "left_anti").groupBy("rec").applyInPandas(fit, schema)
+    placed = linkage.numbered(Tables(df.sparkSession, "vb-rows"), rows.join(long, "rec", "left_semi"), "rec", "idx")
+    if seed is None:
+        names = placed.select("rec", "label").distinct()
+        of_rec = Window.partitionBy("rec")
+        names = names.select("rec", "label", (F.row_number().over(of_rec.orderBy("label")) - 1).cast("bigint").alias("code"), F.count(F.lit(1)).over(of_rec).alias("speakers"))
+        placed = placed.join(names, ["rec", "label"])
+    else:
+        placed = placed.withColumns({"code": F.lit(0).cast("bigint"), "speakers": F.lit(speakers).cast("bigint")})
+    fitted = longchain.long_vb(placed.select("rec", "idx", "place", "v", "code", "speakers"), phi, loop, fa, fb, rounds, epsilon, smoothing, seed)
+    return short.unionByName(fitted)
 
 
 def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll", chunk: int = 4096) -> DataFrame:

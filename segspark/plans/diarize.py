@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.operators import kernels as K
-from segspark.operators import models, segments, vectors
+from segspark.operators import linkage, models, segments, vectors
 from segspark.operators.embedding import embed_windows
 from segspark.operators.fbank import STRIP, Noise, emphasised, filterbank_matrix, strip_channels
 from segspark.operators.sequence import mel_filterbank
+from segspark.scratch import Tables
 from segspark.sources import text
 from segspark.sources.wav import CHUNK
 
@@ -169,10 +170,11 @@ class Settings:
             raise ValueError(f"unknown initialisation {self.init!r}")
 
 
-def diarize(xvectors: DataFrame, transform: vectors.Transform, plda: vectors.Plda, settings: Settings = Settings()) -> DataFrame:
+def diarize(xvectors: DataFrame, transform: vectors.Transform, plda: vectors.Plda, settings: Settings = Settings(), limit: int = linkage.LIMIT) -> DataFrame:
     """``rec, idx, key, label, second`` of ``rec, idx, key, xvec``: clusters per recording.
 
-    One grouped kernel per recording holds the whole chain, so vectors cross to Python once.
+    A recording of up to ``limit`` vectors is one grouped kernel that holds the whole chain, so vectors cross to
+    Python once; longer ones go through the operators, each of which parts a recording.
     """
     model, c = plda.diagonalised(), settings
     mean1, lda, mean2 = np.array(transform.mean1), np.array(transform.lda), np.array(transform.mean2)
@@ -202,7 +204,34 @@ def diarize(xvectors: DataFrame, transform: vectors.Transform, plda: vectors.Pld
                 second = order[:, 1].tolist()
         return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "key": pdf.key.to_numpy(), "label": labels, "second": pd.array(second, "Int64")})
 
-    return xvectors.select("rec", "idx", "key", "xvec").groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, key string, label bigint, second bigint")
+    rows = xvectors.select("rec", "idx", "key", "xvec")
+    schema = f"rec {kind['rec']}, idx {kind['idx']}, key string, label bigint, second bigint"
+    sizes = rows.groupBy("rec").agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= limit:
+        return rows.groupBy("rec").applyInPandas(fit, schema)
+    long = sizes.where(F.col("size") > limit).select("rec")
+    short = rows.join(long, "rec", "left_anti").groupBy("rec").applyInPandas(fit, schema)
+
+    def transformed(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = unit(unit(np.stack(pdf.xvec.to_list()) - mean1) @ lda - mean2)
+                yield pd.DataFrame({"rec": pdf.rec, "idx": pdf.idx, "key": pdf.key, "xvec": list(x), "v": list(((x - mu) @ tr.T)[:, : c.lda_dim])})
+
+    ready = rows.join(long, "rec", "left_semi").mapInPandas(transformed, f"rec {kind['rec']}, idx {kind['idx']}, key string, xvec array<double>, v array<double>")
+    ready = Tables(xvectors.sparkSession, "diarize").save(ready, "transformed")
+    if c.init.startswith("AHC"):
+        labels = models.cluster(ready, c.threshold, calibrated=True, limit=limit)
+    else:
+        labels = ready.select("rec", "idx", F.lit(0).cast("bigint").alias("label"))
+    labelled = ready.join(labels, ["rec", "idx"])
+    if c.init == "AHC":
+        found = labelled.select("rec", "idx", "key", "label", F.lit(None).cast("bigint").alias("second"))
+    else:
+        start = {} if c.init.startswith("AHC") else {"seed": 0, "speakers": int(c.init.split("_")[1])}
+        got = models.vb_cluster(labelled, psi[: c.lda_dim].tolist(), c.loop, c.fa, c.fb, c.rounds, c.epsilon, c.smoothing, limit=min(limit, models.VB_LIMIT), **start)
+        found = ready.select("rec", "idx", "key").join(got.select("rec", "idx", "label", "second"), ["rec", "idx"])
+    return short.unionByName(found)
 
 
 def speaker_segments(labels: DataFrame, timings: DataFrame, second: bool = False) -> DataFrame:
