@@ -55,7 +55,7 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
     weights = models.state_path(a.weights, a.network, a.ndim, a.embed_dim) if model == "torch_state" else a.weights
     rows = D.extract(audio, vad, a.seg_len, a.seg_jump, model, weights).persist()
     text.write_lines(rows.repartitionByRange("rec", "idx").sortWithinPartitions("rec", "idx"), text.timing_line(F.col("key"), F.col("rec"), F.col("start"), F.col("end")), a.out_seg_fn)
-    kaldi.archives(rows).write.mode("overwrite").parquet(a.out_ark_fn)
+    kaldi.write_archive(rows, a.out_ark_fn)
 
 
 def cluster(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -5,12 +5,21 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from segspark.ship import ensure
+
+from .files import Staged, Written, file_system, listed
 
 
 class FormatError(ValueError):
@@ -146,9 +155,12 @@ def vectors_in(fd: BinaryIO) -> Iterator[tuple[str, np.ndarray]]:
             yield key, np.array(sum(_text_numbers(rest), []))
 
 
-def matrix_at(data: bytes, key: str, position: int) -> np.ndarray:
-    """The matrix whose content begins at ``position``, after a check of the key in front of it."""
-    fd = io.BytesIO(data)
+def matrix_at(data: bytes | BinaryIO, key: str, position: int) -> np.ndarray:
+    """The matrix whose content begins at ``position``, after a check of the key in front of it.
+
+    Of a file only these bytes are read.
+    """
+    fd = io.BytesIO(data) if isinstance(data, bytes) else data
     fd.seek(position - len(key.encode()) - 1)
     if (found := read_key(fd)) != key:
         raise FormatError(f"key {key!r} expected, {found!r} found")
@@ -170,12 +182,90 @@ def archive_bytes(items) -> bytes:
     return out.getvalue()
 
 
+class ArkWriter(Staged):
+    def __init__(self, path, overwrite):
+        super().__init__(path, (".ark", ".scp"), overwrite)
+
+    def write(self, iterator):
+        """One archive and its index; index lines are ``key <target file>:<first byte of the content>``."""
+        system, folder = self.task_folder()
+        stem = f"part-{TaskContext.get().partitionId():05d}"
+        at, some = 0, False
+        with system.open_output_stream(f"{folder}/{stem}.ark") as ark, system.open_output_stream(f"{folder}/{stem}.scp") as scp:
+            for row in iterator:
+                raw = io.BytesIO()
+                write_vector(raw, row.key, np.asarray(row.xvec, np.float32))
+                ark.write(raw.getvalue())
+                scp.write(f"{row.key} {self.path}/{stem}.ark:{at + len(row.key.encode()) + 1}\n".encode())
+                at, some = at + len(raw.getvalue()), True
+        return Written([(f"{folder}/{stem}{x}", f"{stem}{x}") for x in (".ark", ".scp")] if some else [])
+
+
+@dataclass
+class ArkFile(InputPartition):
+    """One archive file and its place among the files."""
+
+    path: str
+    number: int
+
+
+class ArkReader(DataSourceReader):
+    #: Vectors of a batch.
+    BATCH = 4096
+
+    def __init__(self, path):
+        self.path = path
+
+    def partitions(self):
+        return [ArkFile(path, i) for i, (path, _) in enumerate(x for x in listed(self.path) if not x[0].endswith((".scp", ".crc")))]
+
+    def read(self, partition):
+        """The vectors of a file as a stream; ``idx`` rises along the file and from file to file."""
+        system, _ = file_system(self.path)
+        with io.BufferedReader(system.open_input_stream(partition.path), 1 << 20) as fd:
+            found = enumerate(vectors_in(fd))
+            while some := list(islice(found, self.BATCH)):
+                sizes = np.cumsum([0] + [len(v) for _, (_, v) in some]).astype(np.int32)
+                flat = np.concatenate([v.astype(float) for _, (_, v) in some])
+                keys = [k for _, (k, _) in some]
+                yield pa.RecordBatch.from_arrays([pa.array([k.rpartition("_")[0] for k in keys]), pa.array([(partition.number << 40) + i for i, _ in some]), pa.array(keys), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["rec", "idx", "key", "xvec"])
+
+
+class Ark(DataSource):
+    """``format("ark")``: vector archives.
+
+    Reads ``rec, idx, key, xvec`` of a file, folder or pattern, a task a file; writes ``key, xvec`` as single
+    precision, an archive ``part-*.ark`` and its index ``part-*.scp`` a partition.
+    """
+
+    @classmethod
+    def name(cls):
+        return "ark"
+
+    def schema(self):
+        return "rec string, idx bigint, key string, xvec array<double>"
+
+    def reader(self, schema):
+        return ArkReader(self.options["path"])
+
+    def writer(self, schema, overwrite):
+        return ArkWriter(self.options["path"], overwrite)
+
+
+def _ready(spark: SparkSession) -> None:
+    ensure(spark)
+    spark.dataSource.register(Ark)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``rec, idx, key, xvec`` from archives; ``rec`` is the key before its last underscore.
 
     ``path`` holds raw archive files, or Parquet rows with an archive in ``content``, as ``archives`` makes
     them.
     """
+    _ready(spark)
+    if not listed(path, ".parquet"):
+        return spark.read.format("ark").option("path", path).load()
 
     def parse(batches):
         for pdf in batches:
@@ -183,22 +273,64 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(k.rpartition("_")[0], i, k, v.astype(float)) for i, (k, v) in enumerate(vectors_in(io.BytesIO(content)))]
                 yield pd.DataFrame(rows, columns=["rec", "idx", "key", "xvec"])
 
-    raw = spark.read.format("binaryFile").load(path)
-    packed = not raw.where(F.col("path").endswith(".parquet")).select("path").isEmpty()
-    files = spark.read.parquet(path) if packed else raw
-    return files.select("content").mapInPandas(parse, "rec string, idx bigint, key string, xvec array<double>")
+    return spark.read.parquet(path).select("content").mapInPandas(parse, "rec string, idx bigint, key string, xvec array<double>")
 
 
-def matrix_rows(spark: SparkSession, path: str, key: str, position: int) -> DataFrame:
-    """``row, x`` of one matrix of an archive, by byte position."""
+def write_archive(df: DataFrame, path: str, rec: str = "rec", order: str = "idx", key: str = "key", vector: str = "xvec", mode: str = "overwrite") -> None:
+    """Archives and indexes in ``path``, in order of recording and ``order`` within and across the parts."""
+    _ready(df.sparkSession)
+    rows = df.repartitionByRange(rec, order).sortWithinPartitions(rec, order).select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("xvec"))
+    rows.write.format("ark").mode(mode).option("path", path).save()
 
-    def parse(batches):
-        for pdf in batches:
-            for content in pdf.content:
-                m = matrix_at(content, key, position)
-                yield pd.DataFrame({"row": range(len(m)), "x": [r.astype(float) for r in m]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row bigint, x array<double>")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``key, file, position`` from index files; ``position`` is the content's first byte."""
+    parts = F.split(F.trim("value"), r"\s+", 2)
+    place = F.get(parts, F.lit(1))
+    return spark.read.text(path, pathGlobFilter="*.scp").where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("key"), F.regexp_extract(place, r"^(.*):(\d+)$", 1).alias("file"), F.regexp_extract(place, r"^(.*):(\d+)$", 2).cast("bigint").alias("position"))
+
+
+def _by_position(index: DataFrame, read, schema: str) -> DataFrame:
+    """``read(file, key, position)`` of every row of an index, files in order, each opened once in a row."""
+
+    def run(batches):
+        system, now, fd = None, None, None
+        try:
+            for pdf in batches:
+                out = []
+                for key, file, position in zip(pdf.key, pdf.file, pdf.position.tolist(), strict=True):
+                    if file != now:
+                        if fd:
+                            fd.close()
+                        system, inner = file_system(file)
+                        now, fd = file, io.BufferedReader(system.open_input_file(inner), 1 << 16)
+                    out += read(fd, key, position)
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        finally:
+            if fd:
+                fd.close()
+
+    ordered = index.select("key", "file", "position").repartitionByRange("file", "position").sortWithinPartitions("file", "position")
+    return ordered.mapInPandas(run, schema)
+
+
+def vectors_at(index: DataFrame) -> DataFrame:
+    """``rec, key, xvec`` of the rows of an index; filter the index first, and only those bytes are read."""
+
+    def read(fd, key, position):
+        fd.seek(position)
+        if _take(fd, 2) != b"\0B":
+            raise FormatError("only binary vectors can be read by position")
+        return [(key.rpartition("_")[0], key, read_vector(fd).astype(float))]
+
+    return _by_position(index, read, "rec string, key string, xvec array<double>")
+
+
+def matrix_rows(spark: SparkSession, path: str, key: str, position: int) -> DataFrame:
+    """``row, x`` of one matrix of an archive, by byte position; the rest of the file is not read."""
+    ensure(spark)
+    index = spark.createDataFrame([(key, path, position)], "key string, file string, position bigint")
+    return _by_position(index, lambda fd, key, position: [(i, r.astype(float)) for i, r in enumerate(matrix_at(fd, key, position))], "row bigint, x array<double>")
 
 
 def archives(df: DataFrame, rec: str = "rec", order: str = "idx", key: str = "key", vector: str = "xvec") -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segspark.ship import ensure
+
+from .files import NamedLines
+
 
 def _fields(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Lines as whitespace-separated fields, with the file's stem and a number that orders a file's lines.
@@ -75,8 +79,18 @@ def write_lines(df: DataFrame, value: Column, path: str, rec: str | None = None,
         df.select(value.alias("value")).write.mode(mode).text(path)
 
 
+def write_named(rows: DataFrame, path: str, suffix: str = "", mode: str = "overwrite") -> None:
+    """Lines ``name, at, value`` as one file ``<path>/<name><suffix>`` per name, in order of ``at``.
+
+    Files appear when all are written, a rerun replaces them, and a failed run leaves none.
+    """
+    ensure(rows.sparkSession)
+    rows.sparkSession.dataSource.register(NamedLines)
+    ordered = rows.repartition("name").sortWithinPartitions("name", "at", "value").select(F.col("name").cast("string").alias("name"), "value")
+    ordered.write.format("named_lines").mode(mode).option("path", path).option("suffix", suffix).save()
+
+
 def write_rttm(df: DataFrame, path: str, rec: str = "rec", start: str = "start", end: str = "end", label: str = "label", mode: str = "overwrite") -> None:
-    """One folder per recording, lines in order of time; numeric labels are written from 1."""
+    """``<path>/<rec>.rttm`` for each recording, lines in order of time; numeric labels are written from 1."""
     line = rttm_line(F.col(rec), F.col(start), F.col(end) - F.col(start), F.col(label) + 1)
-    rows = df.select(F.col(rec).alias("__rec"), F.col(start).alias("__s"), line.alias("value"))
-    rows.repartition("__rec").sortWithinPartitions("__rec", "__s").select("__rec", "value").withColumnRenamed("__rec", "rec").write.mode(mode).partitionBy("rec").text(path)
+    write_named(df.select(F.col(rec).alias("name"), F.col(start).alias("at"), line.alias("value")), path, ".rttm", mode)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import io
 import re
 import struct
@@ -17,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from segspark.ship import ensure
 
+from .files import file_system, listed
+
 #: Samples of a chunk, and bytes of a read partition.
 CHUNK, SPLIT = 1 << 16, 32 << 20
 RATES = (8000, 16000)
@@ -112,29 +113,6 @@ class Ranges(InputPartition):
     ranges: list
 
 
-def file_system(path: str):
-    """File system and inner path of a path or URI."""
-    from pyarrow import fs
-
-    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-    return fs.LocalFileSystem(), path
-
-
-def listed(path: str) -> list[tuple[str, int]]:
-    """Files and sizes of a file, a folder, or a pattern in the last part of the path."""
-    from pyarrow import fs
-
-    folder, _, last = path.rstrip("/").rpartition("/")
-    system, inner = file_system(folder + "/" if re.search(r"[*?\[]", last) else path)
-    if re.search(r"[*?\[]", last):
-        found = [i for i in system.get_file_info(fs.FileSelector(inner.rstrip("/") or "/")) if fnmatch.fnmatch(i.base_name, last)]
-    else:
-        one = system.get_file_info(inner)
-        found = [one] if one.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner))
-    return sorted((i.path, i.size) for i in found if i.type == fs.FileType.File)
-
-
 class WavReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chunk, self.split = options["path"], int(options.get("chunk", CHUNK)), int(options.get("split", SPLIT))
