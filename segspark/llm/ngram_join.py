@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose word-shingle sets reach a Jaccard threshold, exactly.
 
-Candidates: shingles take a global order, rarest first (by fixed-size counts over the whole corpus; the
-order steers cost, never results).  Two sets that reach the threshold share a shingle in their
+Candidates: shingles take a global order, rarest first (by fixed-size counts over the whole corpus, less
+what a count holds of unrelated shingles; the order steers cost, never results).  Two sets that reach the threshold share a shingle in their
 prefixes, so documents meet in buckets by prefix shingle; buckets with equal members are one.
 
 Tiles: in a bucket, documents of compatible sizes are compared by hashed bitmaps whose width follows
@@ -32,9 +32,8 @@ NUM, DEN = 75, 100
 #: Documents of a bucket, and shingles of a component, that one tile block holds.
 BUCKET_DOCS = 1 << 11
 TILE_SHINGLES = 1 << 21
-#: Up to so many documents, by the counts of all shingles, a shingle's sets are counted together; beyond, in parts.
+#: So many documents of a shingle, by the counts of all shingles, are counted together; of more, in parts of about so many.
 HOT_DOCS = 1 << 14
-HOT_PARTS = 64
 MAX_BITS = 1 << 15
 FLUSH_ROWS = 1 << 16
 
@@ -117,13 +116,27 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return arrow_map(docs, make, f"id {kind}, print long, sid long, sid2 long, n long, bits binary, slice int, blob binary")
 
 
+def standing_out(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """What each count has beyond the median of all, and what chance may add to that.
+
+    Counts have a fixed number, so in a large corpus each holds many unrelated shingles; their median is that
+    background (0 where most are empty), and a frequent shingle stands out of it at any size.
+    """
+    background = int(np.median(counts))
+    return counts - np.minimum(counts, background).astype(counts.dtype), 6 * background**0.5
+
+
 def postings(docs: DataFrame, counts, k: int = SHINGLE, both: bool = False) -> DataFrame:
-    """``h, sid[, sid2], n, hot`` for every prefix shingle of every distinct set that a task sees."""
+    """``h, sid[, sid2], n, parts`` for every prefix shingle of every distinct set that a task sees.
+
+    ``counts`` is a broadcast of ``standing_out``; ``parts`` is how many parts a shingle's rows are dealt in.
+    """
+    limit = HOT_DOCS
 
     def make():
         seen: set[tuple[int, int]] = set()
-        rank = counts.value
-        names = ["h", "sid", *(["sid2"] if both else []), "n", "hot"]
+        rank, chance = counts.value
+        names = ["h", "sid", *(["sid2"] if both else []), "n", "parts"]
 
         def step(batch: pa.RecordBatch):
             data, offsets = buffers(batch.column("text"))
@@ -142,13 +155,13 @@ def postings(docs: DataFrame, counts, k: int = SHINGLE, both: bool = False) -> D
                 if hs:
                     reps = [len(x) for x in hs]
                     h = np.concatenate(hs)
-                    columns = [h.view(np.int64), *(np.repeat(np.array(x, np.int64), reps) for x in ((sids, seconds, ns) if both else (sids, ns))), rank[sketch.cells(h)] > HOT_DOCS]
+                    columns = [h.view(np.int64), *(np.repeat(np.array(x, np.int64), reps) for x in ((sids, seconds, ns) if both else (sids, ns))), np.ceil(np.maximum(rank[sketch.cells(h)] - chance, 1) / limit).astype(np.int32)]
                     for a in range(0, len(h), FLUSH_ROWS):
                         yield pa.RecordBatch.from_arrays([pa.array(x[a : a + FLUSH_ROWS]) for x in columns], names)
 
         return step
 
-    return arrow_map(docs.select("text"), make, f"h long, sid long, {'sid2 long, ' if both else ''}n long, hot boolean")
+    return arrow_map(docs.select("text"), make, f"h long, sid long, {'sid2 long, ' if both else ''}n long, parts int")
 
 
 def shingle_arrays(docs: DataFrame, wanted, k: int = SHINGLE) -> DataFrame:
@@ -366,15 +379,15 @@ def _banded(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("size_band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")).withColumn("own", F.pmod(F.xxhash64(name), "blocks").cast("int"))
 
 
-def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: np.ndarray, named, split_names: bool, k: int = SHINGLE) -> DataFrame:
+def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: tuple[np.ndarray, float], named, split_names: bool, k: int = SHINGLE) -> DataFrame:
     """Edges ``a, b`` between set ids: a spanning forest of all links between different sets."""
     spark = docs.sparkSession
     posts = named(postings(docs, spark.sparkContext.broadcast(counts), k, split_names))  # 4 MB, whatever the input
     # rows of a shingle meet once; those of one that very many sets share, in parts
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    salt = F.pmod(F.xxhash64("sid"), "parts").cast("int")
     posts = posts.withColumn("salt", salt).repartition("h", "salt")
     # a set whose copies several tasks read counts once; else its own copies would make buckets, all of one gid
-    posts = posts.groupBy("h", "salt", "sid").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
+    posts = posts.groupBy("h", "salt", "sid").agg(F.first("n").alias("n"), (F.first("parts") > 1).alias("hot"))
     names, part = ("size", "x", "y"), Window.partitionBy("h", "salt")
     members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("sid")), F.bit_xor(F.xxhash64("sid", F.lit(7))))
     posts = posts.select("h", "salt", "sid", "n", "hot", *(m.over(part).alias(x) for m, x in zip(members, names, strict=True))).where("size > 1 or hot")
@@ -420,7 +433,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int, scratch: Scratc
     """
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
     signed = scratch.save(signatures(docs, k), "signed")
-    counts = sketch.merged(signed.where("slice is not null"))
+    counts = standing_out(sketch.merged(signed.where("slice is not null")))
     rows = signed.where("slice is null").select("id", "print", "sid", "sid2", "n", "bits")
     full = rows.where("n > 0")
     # names that different sets share: rare at any size, and then made anew from both hashes

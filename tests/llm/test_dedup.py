@@ -157,6 +157,25 @@ def test_near_hot_shingles(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_truth(cases.rows())
 
 
+def test_near_shingles_of_a_vast_corpus(spark, monkeypatch):
+    """Every count far above the limit, as in a corpus of very many shingles: none is hot for that, no lone set is kept."""
+    merged, save, lone = ngram_join.sketch.merged, Scratch.save, []
+
+    def spy(self, df, name):
+        out = save(self, df, name)
+        if name == "members":
+            lone.append((out.count(), out.where("size = 1").count(), out.where("hot").count()))
+        return out
+
+    want = ngram_join.near_duplicates(cases.frame(spark)).collect()
+    monkeypatch.setattr(Scratch, "save", spy)
+    ngram_join.near_duplicates(cases.frame(spark)).collect()
+    monkeypatch.setattr(ngram_join.sketch, "merged", lambda rows: merged(rows) + np.uint32(10**9))
+    got = ngram_join.near_duplicates(cases.frame(spark)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and lone[0] == lone[1] and lone[0][0] > 0 and lone[0][1:] == (0, 0)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_truth(cases.rows())
+
+
 def covered(table, length):
     where = defaultdict(list)
     docs = [(r[1] or "").encode().split() for r in table]
