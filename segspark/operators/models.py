@@ -17,7 +17,7 @@ from segspark.scratch import Tables
 
 from . import kernels as K
 from . import linkage, longchain
-from .vectors import Plda
+from .vectors import Plda, blocked_pairs, covariance
 
 
 #: Rows up to which a recording's variational fit is one task.
@@ -187,18 +187,34 @@ def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec:
     return rows.join(ends, ["rec", "part"]).groupBy("rec", "part").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
 
 
-def plda_dense_pairs(df: DataFrame, plda: Plda, target: float = 0.1, dims: int | None = None, rec: str = "rec", idx: str = "idx", vector: str = "xvec") -> DataFrame:
-    """``rec, i, j, llr``: PLDA scores of all pairs after the recording's own principal components."""
+def plda_dense_pairs(df: DataFrame, plda: Plda, target: float = 0.1, dims: int | None = None, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = 512) -> DataFrame:
+    """``rec, i, j, llr``: PLDA scores of all pairs after the recording's own principal components.
+
+    Two steps: a model per recording from its covariance, which batches of rows add up to (a group is
+    ``D * D`` numbers), then factors of each vector under its model, multiplied in blocks.  So no task holds a
+    recording.  ``target`` is the share of energy that the components may hold less two of them.
+    """
     rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"))
-    kind = dict(rows.dtypes)
+    kind, mu = dict(rows.dtypes), np.asarray(plda.mu, float)
+    size = len(mu)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        s = K.plda_dense(np.stack(pdf.v.to_list()), plda.mu, plda.tr, plda.psi, target, dims)
-        at = pdf.idx.to_numpy()
-        return pd.DataFrame({"rec": pdf.rec.iloc[0], "i": np.repeat(at, len(at)), "j": np.tile(at, len(at)), "llr": s.ravel()})
-
-    return rows.groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, i {kind['idx']}, j {kind['idx']}, llr double")
+        c = np.zeros((size, size))
+        c[pdf.i.to_numpy(), pdf.j.to_numpy()] = pdf.c.to_numpy()
+        model = K.DenseModel.of(c, plda.tr, plda.psi, target, dims)
+        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "projection": [model.projection.ravel()], "across": [model.across]})
+
+    def factors(batches):
+        for pdf in batches:
+            for key, own in pdf.groupby("rec", sort=False):
+                across = np.asarray(own.across.iloc[0])
+                model = K.DenseModel(np.asarray(own.projection.iloc[0]).reshape(size, -1), across)
+                left, right = K.plda_factors(model.projected(np.stack(own.v.to_list()) - mu), across)
+                yield pd.DataFrame({"rec": [key] * len(own), "idx": own.idx.to_numpy(), "v": list(np.concatenate((left, right), 1))})
+
+    models = covariance(rows, vector="v").groupBy("rec").applyInPandas(fit, f"rec {kind['rec']}, projection array<double>, across array<double>")
+    made = rows.join(models, "rec").mapInPandas(factors, f"rec {kind['rec']}, idx {kind['idx']}, v array<double>")
+    return blocked_pairs(made, lambda a, b: a[:, : a.shape[1] // 2] @ b[:, b.shape[1] // 2 :].T, "llr", "rec", "idx", "v", block)
 
 
 def frame_errors(df: DataFrame, expected: bool = True, entropy: bool = False, rec: str = "rec", ref: str = "ref", gamma: str = "gamma") -> DataFrame:

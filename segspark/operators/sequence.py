@@ -21,6 +21,23 @@ def lengths(signal: DataFrame, *keys: str) -> DataFrame:
     return signal.groupBy(*(keys or ("rec",))).agg((F.max("n") + 1).alias("size"))
 
 
+def runs_of(batches, keys: tuple[str, ...]):
+    """Runs of equal keys in batches sorted by them, each as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = np.stack([batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and any(held[0].column(k)[0] != batch.column(k)[a] for k in keys):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def chunked(signal: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
     """``rec, first, x``: samples ``first .. first + size + halo - 1`` of ``rec, n, x``, fewer at a signal's end.
 
@@ -34,29 +51,12 @@ def chunked(signal: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
     rows = rows.repartition("rec", "chunk").sortWithinPartitions("rec", "chunk", "n")
 
     def gather(batches):
-        held: list[pa.RecordBatch] = []
-
-        def closed():
-            table = pa.Table.from_batches(held).combine_chunks()
+        for table in runs_of(batches, ("rec", "chunk")):
             n = table.column("n").to_numpy()
             if n[-1] - n[0] != len(n) - 1 or (n[1:] <= n[:-1]).any() or n[0] % size:
                 raise ValueError(f"the samples of {table.column('rec')[0]} are not numbered 0, 1, 2, ...")
-            x = table.column("x").chunk(0)
-            held.clear()
-            return pa.RecordBatch.from_arrays([table.column("rec").chunk(0).slice(0, 1), pa.array(n[:1]), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x)], ["rec", "first", "x"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column("rec").dictionary_encode().indices.fill_null(-1).to_numpy()
-            chunk = batch.column("chunk").to_numpy()
-            edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and (held[0].column("chunk")[0] != batch.column("chunk")[a] or held[0].column("rec")[0] != batch.column("rec")[a]):
-                    yield closed()
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield closed()
+            x = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), table.column("x").chunk(0))
+            yield pa.RecordBatch.from_arrays([table.column("rec").chunk(0).slice(0, 1), pa.array(n[:1]), x], ["rec", "first", "x"])
 
     return rows.mapInArrow(gather, f"rec {dict(signal.dtypes)['rec']}, first bigint, x array<double>")
 
@@ -107,36 +107,67 @@ def pcm_scale(x: Column) -> Column:
     return (x * 32768).cast("bigint")
 
 
-def floating_norm(features: DataFrame, left: int = 150, right: int = 149, variance: bool = False) -> DataFrame:
+def window_means(x: np.ndarray, first: int, total: int, begin: int, end: int, left: int, right: int) -> np.ndarray:
+    """Means around rows ``begin .. end - 1`` of ``total``, given the rows ``x`` from ``first`` on.
+
+    A window keeps its size at both ends.  Its sum is the rest of one block of that size and the head of the
+    next, blocks counted from row 0, so it is the same to the last bit whichever rows around are given;
+    ``first`` is the start of a block.
+    """
+    size = min(total, left + right + 1)
+    start = np.clip(np.arange(begin, end) - left, 0, total - size) - first
+    blocks = np.zeros((-(-len(x) // size), size, x.shape[1]))
+    blocks.reshape(-1, x.shape[1])[: len(x)] = x
+    head = np.cumsum(blocks, 1).reshape(-1, x.shape[1])
+    rest = np.cumsum(blocks[:, ::-1], 1)[:, ::-1].reshape(-1, x.shape[1])
+    whole = (start % size == 0)[:, None]
+    return (rest[start] + np.where(whole, 0.0, head[start + size - 1])) / size
+
+
+def floating_norm(features: DataFrame, left: int = 150, right: int = 149, variance: bool = False, chunk: int = 1 << 14) -> DataFrame:
     """Mean (and variance) normalisation over a window that keeps its size at both ends.
 
-    A window's sum is the difference of two running sums: of rows ahead and behind, or near the ends of the
-    sums at the first and last full window.  Everything is a window over ``rec, d`` in order of ``frame``,
-    so one exchange and one sort serve both passes, and the cost does not depend on the window's size.
-    Values are centred as a whole first, which keeps the running sums small.  With ``variance`` a second
-    pass divides the centred values by their root mean square over the same window.  Frames are 0, 1, ...
+    A sequence ``rec, d`` is cut into chunks of about ``chunk`` frames that know a window's width (``variance``:
+    two) of frames on both sides, so one exchange serves both passes, a long sequence is many tasks, and the cost
+    does not depend on the window's size.  With ``variance`` a second pass divides the centred values by their
+    root mean square over the same window.  Frames are 0, 1, ...; a null value adds nothing to sums and stays null.
     """
-    whole = Window.partitionBy("rec", "d")
-    ordered = whole.orderBy("frame")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    frame, full = F.col("frame"), left + right + 1
-    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = features.select("rec", "frame", "d", (F.col("x") - F.avg("x").over(every)).alias("x"), (F.max("frame").over(every) + 1).alias("size"))
-    rows = rows.withColumn("w", F.least("size", F.lit(full)))
-
-    def windowed(f: DataFrame, value: Column) -> DataFrame:
-        f = f.withColumn("upto", F.sum(value).over(upto))
-        at = lambda place: F.max(F.when(frame == place, F.col("upto"))).over(every)
-        f = f.select("*", F.lead("upto", right).over(ordered).alias("ahead"), F.lag("upto", left + 1).over(ordered).alias("behind"), at(F.col("w") - 1).alias("head"), at(F.col("size") - F.col("w") - 1).alias("tail"), at(F.col("size") - 1).alias("all"))
-        start = F.least(frame - left, F.col("size") - F.col("w"))
-        low = F.when(start <= 0, 0.0).when(start == F.col("size") - F.col("w"), F.col("tail")).otherwise(F.col("behind"))
-        high = F.when(start <= 0, F.col("head")).when(start == F.col("size") - F.col("w"), F.col("all")).otherwise(F.col("ahead"))
-        return f.withColumn("mean", (high - low) / F.col("w")).drop("upto", "ahead", "behind", "head", "tail", "all")
-
-    rows = windowed(rows, F.col("x")).withColumn("x", F.col("x") - F.col("mean"))
-    if variance:
-        rows = windowed(rows, F.col("x") * F.col("x")).withColumn("x", F.col("x") / F.sqrt("mean"))
-    return rows.select("rec", "frame", "d", "x")
+    width = left + right + 1
+    chunk, halo = max(1, chunk // width) * width, (2 if variance else 1) * width
+    kind = dict(features.dtypes)
+    frame = F.col("frame").cast("bigint")
+    at = F.expr(f"sequence(greatest(frame - {halo}, 0) div {chunk}, (frame + {halo}) div {chunk})")
+    rows = features.select("rec", frame.alias("frame"), "d", F.col("x").cast("double").alias("x")).withColumn("chunk", F.explode(at))
+    rows = rows.repartition("rec", "d", "chunk").sortWithinPartitions("rec", "d", "chunk", "frame")
+
+    def norm(batches):
+        for table in runs_of(batches, ("rec", "d", "chunk")):
+            f, part = table.column("frame").to_numpy(), table.column("chunk")[0].as_py()
+            begin, end = part * chunk, min((part + 1) * chunk, int(f[-1]) + 1)
+            if end <= begin:  # a halo without frames of its own
+                continue
+            if f[-1] - f[0] != len(f) - 1 or (f[1:] <= f[:-1]).any():
+                raise ValueError(f"the frames of {table.column('rec')[0]} are not numbered 0, 1, 2, ...")
+            # where the halo is cut short the sequence ends; elsewhere its end is out of reach
+            first, total = int(f[0]), int(f[-1]) + 1
+            x = table.column("x").to_numpy()
+            void = np.isnan(x) if table.column("x").null_count else None
+            x = np.where(void, 0.0, x) if void is not None else x
+            x = x.reshape(-1, 1)
+            low, high = max(begin - width, 0), min(end + width, total)
+            if variance:
+                x = x[low - first : high - first] - window_means(x, first, total, low, high, left, right)
+                if void is not None:
+                    x[void[low - first : high - first]] = 0.0
+                out = x[begin - low : end - low] / np.sqrt(window_means(x * x, low, total, begin, end, left, right))
+            else:
+                out = x[begin - first : end - first] - window_means(x, first, total, begin, end, left, right)
+            own = table.slice(begin - first, end - begin)
+            mask = void[begin - first : end - first] if void is not None else None
+            yield pa.RecordBatch.from_arrays([*(own.column(c).combine_chunks() for c in ("rec", "frame", "d")), pa.array(out.ravel(), mask=mask)], ["rec", "frame", "d", "x"])
+
+    out = rows.mapInArrow(norm, f"rec {kind['rec']}, frame bigint, d {kind['d']}, x double")
+    return out.select("rec", F.col("frame").cast(kind["frame"]).alias("frame"), "d", "x")
 
 
 def mel(x: Column) -> Column:

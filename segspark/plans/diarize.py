@@ -14,7 +14,7 @@ from segspark.operators import kernels as K
 from segspark.operators import linkage, models, segments, vectors
 from segspark.operators.embedding import embed_windows
 from segspark.operators.fbank import STRIP, Noise, emphasised, filterbank_matrix, strip_channels
-from segspark.operators.sequence import mel_filterbank
+from segspark.operators.sequence import mel_filterbank, window_means
 from segspark.scratch import Tables
 from segspark.sources import text
 from segspark.sources.wav import CHUNK
@@ -29,23 +29,6 @@ LEFT, RIGHT = 150, 149
 UNIT = 20 * (LEFT + RIGHT + 1)
 
 
-def window_means(x: np.ndarray, first: int, total: int, begin: int, end: int, left: int, right: int) -> np.ndarray:
-    """Means around rows ``begin .. end - 1`` of ``total``, given the rows ``x`` from ``first`` on.
-
-    A window keeps its size at both ends.  Its sum is the rest of one block of that size and the head of the
-    next, blocks counted from row 0, so it is the same to the last bit whichever rows around are given;
-    ``first`` is the start of a block.
-    """
-    size = min(total, left + right + 1)
-    start = np.clip(np.arange(begin, end) - left, 0, total - size) - first
-    blocks = np.zeros((-(-len(x) // size), size, x.shape[1]))
-    blocks.reshape(-1, x.shape[1])[: len(x)] = x
-    head = np.cumsum(blocks, 1).reshape(-1, x.shape[1])
-    rest = np.cumsum(blocks[:, ::-1], 1)[:, ::-1].reshape(-1, x.shape[1])
-    whole = (start % size == 0)[:, None]
-    return (rest[start] + np.where(whole, 0.0, head[start + size - 1])) / size
-
-
 def floating_mean(x: np.ndarray, left: int = LEFT, right: int = RIGHT, variance: bool = False) -> np.ndarray:
     """Rows less the mean of a window that keeps its size at both ends (and over its root mean square)."""
     n = len(x)

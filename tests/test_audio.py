@@ -115,3 +115,28 @@ def test_signals_with_gaps(spark):
     null = spark.createDataFrame([(None, 0, 1.0), (None, 1, None), (None, 2, 3.0)], "rec string, n long, x double")
     assert [r.x for r in Q.chunked(null, 1).collect()] == [[1.0, None, 3.0]]
     assert Q.chunked(null.where("n > 9"), 1).count() == 0
+
+
+@pytest.mark.parametrize("variance", [False, True])
+@pytest.mark.parametrize("n,chunk", [(4, 6), (17, 6), (100, 12), (61, 1 << 14)])
+def test_floating_norm_in_chunks(spark, variance, n, chunk):
+    """A window of 6 frames; sequences over many chunks, two dimensions, a name of each kind."""
+    r = np.random.default_rng(n)
+    x = {("a", 0): r.normal(size=n), ("a", 1): r.normal(size=n) + 5, (None, 0): r.normal(size=max(1, n // 2))}
+    df = spark.createDataFrame([(rec, f, d, float(v), 1) for (rec, d), xs in x.items() for f, v in enumerate(xs)], "rec string, frame int, d int, x double, chunk int").repartition(3)
+    got = {(q.rec, q.d, q.frame): q.x for q in Q.floating_norm(df, 3, 2, variance, chunk).collect()}
+    for (rec, d), xs in x.items():
+        size = min(len(xs), 6)
+        begin = np.clip(np.arange(len(xs)) - 3, 0, len(xs) - size)
+        want = xs - np.array([xs[b : b + size].mean() for b in begin])
+        if variance:
+            want = want / np.sqrt([(want[b : b + size] ** 2).mean() for b in begin])
+        assert np.allclose([got.pop((rec, d, f)) for f in range(len(xs))], want)
+    assert not got
+
+
+def test_floating_norm_of_gaps(spark):
+    null = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 0, None), ("a", 2, 0, 5.0)], "rec string, frame long, d int, x double")
+    assert [q.x for q in Q.floating_norm(null).orderBy("frame").collect()] == [-1.0, None, 3.0]
+    with pytest.raises(Exception, match="not numbered"):
+        Q.floating_norm(null.where("frame <> 1")).collect()
