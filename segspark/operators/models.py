@@ -61,6 +61,22 @@ def calibrated_ratio(x, fit: dict[str, float]):
     return odds if fit["m1"] >= fit["m0"] else -odds
 
 
+def thresholds(df: DataFrame, rounds: int = 20, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = linkage.BLOCK) -> DataFrame:
+    """``rec, threshold``: the two-Gaussian threshold of all cosines of each recording, both triangles and the diagonal.
+
+    All recordings are fitted in one aggregation a round; a task holds two blocks of vectors, never the scores.
+    Scores that do not vary have their common value as threshold.
+    """
+    tables = Tables(df.sparkSession, "thresholds")
+    rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), _unit(F.col(vector).cast("array<double>")).alias("v"))
+    placed = tables.save(linkage.numbered(tables, rows, "rec", "idx"), "placed")
+    return linkage.long_thresholds(tables, placed, rounds, block)
+
+
+def _unit(v):
+    return A.let(v, lambda v: A.let(A.norm(v) + F.lit(1e-32), lambda n: F.transform(v, lambda x: x / n)))
+
+
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("idx", kind="stable")
 
@@ -91,8 +107,7 @@ def cluster(df: DataFrame, threshold: float, calibrated: bool = False, rec: str
     tables = Tables(df.sparkSession, "linkage")
     long = sizes.where(F.col("size") > limit).select("rec")
     short = rows.join(long, "rec", "left_anti").groupBy("rec").applyInPandas(fit, schema)
-    unit = A.let(F.col("v"), lambda v: A.let(A.norm(v) + F.lit(1e-32), lambda n: F.transform(v, lambda x: x / n)))
-    placed = tables.save(linkage.numbered(tables, rows.join(long, "rec", "left_semi").withColumn("v", unit), "rec", "idx"), "placed")
+    placed = tables.save(linkage.numbered(tables, rows.join(long, "rec", "left_semi").withColumn("v", _unit(F.col("v"))), "rec", "idx"), "placed")
     least = F.lit(float(threshold))
     ready = placed.withColumn("least", least)
     if calibrated:

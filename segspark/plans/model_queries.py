@@ -41,6 +41,18 @@ def gmm_llr(spark, sf_dir):
     return pairs.select("rec", "i", "j", F.round(M.calibrated_ratio(F.col("s"), fit), 5).alias("llr"))
 
 
+@query(f"""WITH RECURSIVE {COS_SQL},
+fit AS (SELECT 0 AS it, rec, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1, avg(s) - stddev_pop(s) AS m0, avg(s) + stddev_pop(s) AS m1, var_pop(s) AS v FROM cs GROUP BY rec
+  UNION ALL
+  SELECT it + 1, rec, n0 / (n0 + n1), n1 / (n0 + n1), s0 / n0, s1 / n1, (n0 * (q0 / n0 - pow(s0 / n0, 2)) + n1 * (q1 / n1 - pow(s1 / n1, 2))) / (n0 + n1)
+  FROM (SELECT it, rec, sum(1 - r) AS n0, sum(r) AS n1, sum((1 - r) * s) AS s0, sum(r * s) AS s1, sum((1 - r) * s * s) AS q0, sum(r * s * s) AS q1
+    FROM (SELECT it, rec, s, 1 / (1 + exp(-(ln(w1) - ln(w0) - 0.5::DOUBLE * (pow(s - m1, 2) - pow(s - m0, 2)) / v))) AS r FROM fit JOIN cs USING (rec) WHERE it < 20) GROUP BY it, rec))
+SELECT rec, round(-0.5::DOUBLE * ((ln(w0 * w0 / v) - m0 * m0 / v) - (ln(w1 * w1 / v) - m1 * m1 / v)) / (m0 / v - m1 / v), 6) AS threshold FROM fit WHERE it = 20""")
+def gmm_thresholds(spark, sf_dir):
+    """The calibration of every recording by itself."""
+    return M.thresholds(T.vectors(spark, sf_dir)).select("rec", F.round("threshold", 6).alias("threshold"))
+
+
 @query(f"""WITH RECURSIVE {COS_SQL}, mg AS (SELECT 0 AS it, rec, idx, idx AS cl FROM em
   UNION ALL
   SELECT m.it + 1, m.rec, m.idx, CASE WHEN m.cl = p.cj THEN p.ci ELSE m.cl END FROM mg m JOIN (
