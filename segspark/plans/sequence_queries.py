@@ -80,20 +80,32 @@ def energy_norm(spark, sf_dir):
     return Q.energy_norm(Q.frame_energy(Q.framing(T.signal(spark, sf_dir), WINDOW, SHIFT))).withColumn("energy", F.round("energy", 6))
 
 
-@query("SELECT f::INT AS hz, round(1127.0::DOUBLE * ln(1 + f / 700.0::DOUBLE), 6) AS mel, round((exp(f / 1127.0::DOUBLE) - 1) * 700, 6) AS inverse FROM (SELECT unnest(range(0, 8001, 10)) AS f)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS hz, round(1127.0::DOUBLE * ln(1 + l_extendedprice / 700.0::DOUBLE), 4) AS mel,
+  round((exp(1127.0::DOUBLE * ln(1 + l_extendedprice / 700.0::DOUBLE) / 1127.0::DOUBLE) - 1) * 700, 4) AS inverse FROM lineitem""")
 def mel_scale(spark, sf_dir):
-    f = F.col("id")
-    return spark.range(0, 8001, 10).select(f.cast("int").alias("hz"), F.round(Q.mel(f), 6).alias("mel"), F.round(Q.mel_inverse(f), 6).alias("inverse"))
+    """Prices as frequencies, to the warped scale and back."""
+    hz = F.col("l_extendedprice")
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", hz.alias("hz"), F.round(Q.mel(hz), 4).alias("mel"), F.round(Q.mel_inverse(Q.mel(hz)), 4).alias("inverse"))
 
 
-@query("SELECT n::INT AS n, round(pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 399), 0.85::DOUBLE), 8) AS w FROM (SELECT unnest(range(0, 400)) AS n)")
+def windowed_sql(weight: str) -> str:
+    return f"WITH {T.SIGNAL}, {FRAMES} SELECT rec, frame, k, round(x * {weight}, 8) + 0::DOUBLE AS x FROM fm"
+
+
+def _windowed(spark, sf_dir, window):
+    """Frames of the signal under a window, whose size is a parameter; a zero has no sign."""
+    frames = Q.framing(T.signal(spark, sf_dir), WINDOW, SHIFT)
+    return frames.join(F.broadcast(window), F.col("k") == F.col("n")).select("rec", "frame", "k", (F.round(F.col("x") * F.col("w"), 8) + F.lit(0.0)).alias("x"))
+
+
+@query(windowed_sql(f"pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / {WINDOW - 1}), 0.85::DOUBLE)"))
 def povey_window(spark, sf_dir):
-    return Q.povey_window(spark, 400).withColumn("w", F.round("w", 8))
+    return _windowed(spark, sf_dir, Q.povey_window(spark, WINDOW))
 
 
-@query("SELECT n::INT AS n, round(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * n / 399), 8) AS w FROM (SELECT unnest(range(0, 400)) AS n)")
+@query(windowed_sql(f"(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / {WINDOW - 1}))"))
 def hamming_window(spark, sf_dir):
-    return Q.hamming_window(spark, 400).withColumn("w", F.round("w", 8))
+    return _windowed(spark, sf_dir, Q.hamming_window(spark, WINDOW))
 
 
 def bank_sql(nfft: int, rate: int, channels: int, low: float, high: float, name: str = "bk") -> str:
@@ -105,9 +117,13 @@ def bank_sql(nfft: int, rate: int, channels: int, low: float, high: float, name:
   WHERE bin >= l.a AND bin < r.a)"""
 
 
-@query(f"WITH {bank_sql(512, 16000, 64, 20.0, 7600.0)} SELECT bin, chan, round(w, 6) AS w FROM bk")
+@query(f"WITH {T.SIGNAL}, {FRAMES}, {bank_sql(16, 16000, 4, 20.0, 7600.0)} SELECT rec, frame, chan, round(sum(x * x * w), 6) AS e FROM fm JOIN bk ON bk.bin = fm.k GROUP BY rec, frame, chan")
 def mel_fbank(spark, sf_dir):
-    return Q.mel_filterbank(spark, 512, 16000, 64, 20.0, 7600.0, htk_bug=False).withColumn("w", F.round("w", 6))
+    """The filters' sums over the squares of each frame's first samples, taken for bins."""
+    bank = Q.mel_filterbank(spark, 16, 16000, 4, 20.0, 7600.0, htk_bug=False)
+    frames = Q.framing(T.signal(spark, sf_dir), WINDOW, SHIFT)
+    sums = frames.join(F.broadcast(bank), F.col("k") == F.col("bin")).groupBy("rec", "frame", "chan").agg(F.sum(F.col("x") * F.col("x") * F.col("w")).alias("e"))
+    return sums.withColumn("e", F.round("e", 6))
 
 
 def fbank_sql(zero_mean: bool) -> str:

@@ -82,13 +82,18 @@ def plda_project(spark, sf_dir):
     return long(projected(spark, sf_dir), "v")
 
 
-@query(f"""WITH p AS (SELECT unnest(range(0, {K})) AS i, unnest({T.doubles(PLDA.psi)}) AS psi, unnest({T.doubles(PLDA.tr)}) AS tr),
-r AS (SELECT row_number() OVER (ORDER BY psi DESC, i) - 1 AS place, psi, tr FROM p)
-SELECT place::INT AS place, psi, (generate_subscripts(tr, 1) - 1)::INT AS d, round(unnest(tr), 6) AS x FROM r""")
+@query(f"""WITH {LDA_SQL}, lm AS (SELECT label, d, avg(x) AS m FROM (SELECT label, generate_subscripts(v, 1) - 1 AS d, unnest(v) AS x FROM ld) GROUP BY label, d),
+ps AS (SELECT d, var_pop(m) AS psi FROM lm GROUP BY d), p AS (SELECT unnest(range(0, {K})) AS i, unnest({T.doubles(PLDA.tr)}) AS tr),
+r AS (SELECT row_number() OVER (ORDER BY psi DESC, i) - 1 AS place, psi, tr FROM p JOIN ps ON ps.d = p.i)
+SELECT place::INT AS place, round(psi, 9) AS psi, (generate_subscripts(tr, 1) - 1)::INT AS d, round(unnest(tr), 6) AS x FROM r""")
 def plda_diag(spark, sf_dir):
-    rows = [(i, p, [float(x) for x in r]) for i, (p, r) in enumerate(zip(MODEL.psi, MODEL.tr, strict=True))]
+    """A model whose across-class variances are those of the labels' means, put in descending order."""
+    means = V.elements(transformed(spark, sf_dir), "v", "label").groupBy("label", "d").agg(F.avg("x").alias("m"))
+    psi = dict(means.groupBy("d").agg(F.var_pop("m")).collect())  # a number a dimension
+    model = V.Plda(PLDA.mu, PLDA.tr, [psi[d] for d in range(K)]).diagonalised()
+    rows = [(i, p, [float(x) for x in r]) for i, (p, r) in enumerate(zip(model.psi, model.tr, strict=True))]
     df = spark.createDataFrame(rows, "place int, psi double, tr array<double>")
-    return V.elements(df, "tr", "place", "psi").withColumn("x", F.round("x", 6))
+    return V.elements(df, "tr", "place", "psi").withColumns({"psi": F.round("psi", 9), "x": F.round("x", 6)})
 
 
 ACROSS = [float(x) for x in MODEL.psi[:P]]
