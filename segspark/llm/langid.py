@@ -170,6 +170,7 @@ class Scorer:
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], top: int = PROFILE) -> DataFrame:
     """``docs (id, held_out, text)`` to ``id, held_out, lang_pred, score``.
 
+    A text is handled whole, at some 77 bytes a character: one of 40 million characters fills a worker of 3 GB.
     ``score`` is 1 less the distance as a share of the greatest possible one.  Of languages at equal
     distance the first by code point is predicted.  A text without a letter, or null, is ``und`` with
     score 0, as is every text when nothing was learned.

@@ -365,7 +365,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts have no ids.  Every occurrence of a word is cut on its own, by the seed, the row's
     id (null: its text) and the place in the text.  Repeated rows are cut alike, unless ``copies`` numbers
     the rows that share id and text, and so is every rerun.  Extra columns are ignored; an empty table
-    gives no rows.  ``model`` must be readable on every executor.
+    gives no rows.  ``model`` must be readable on every executor.  A text is handled whole, at some 52 bytes a
+    character.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     name = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.col("text")))
