@@ -70,9 +70,10 @@ def nearest(rows: DataFrame, against: DataFrame, block: int) -> DataFrame:
         for at in range(0, len(a), STRIP):
             some = a[at : at + STRIP]
             s = x[some] @ x[b].T
-            s[c[some][:, None] == c[b]] = -np.inf
+            own = np.flatnonzero(np.isin(c[some], c[b]))
+            s[own] = np.where(c[some[own]][:, None] == c[b], -np.inf, s[own])
             top = s.max(1)
-            row, col = np.nonzero((s == top[:, None]) & np.isfinite(top)[:, None])
+            row, col = np.nonzero(s == np.where(np.isfinite(top), top, np.nan)[:, None])
             tie = mixed(c[some][row], c[b][col])
             order = np.lexsort((-tie, row))
             first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
