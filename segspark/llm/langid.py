@@ -21,7 +21,7 @@ from .textkit import U, mix
 
 PROFILE = 300
 UNKNOWN = "und"
-#: Characters handled at once; a longer text is handled alone, whole.
+#: Characters handled at once; a longer text is handled alone, in slices.
 SLICE_CHARS = 1 << 18
 MARK = 1
 FLUSH = 1 << 17
@@ -48,32 +48,69 @@ def parts(texts: list[str], limit: int = SLICE_CHARS):
         i = j
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of each text: ``(text, gram, count)``, sorted by text and gram.
-
-    A gram packs three 16-bit letters (the higher planes folded), shorter ones from the right; words are runs
-    of letters, with a mark on both sides.
-    """
-    sizes = np.array([len(t) + 2 for t in texts])
-    code = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+def gram_keys(code: np.ndarray, doc: np.ndarray, context: int = 0) -> np.ndarray:
+    """Every n-gram that ends behind the first ``context`` of these code points: text above 48 bits of gram, sorted."""
     letter = letters()[code]
     c = np.where(letter, (code & 0xFFFF) ^ (code >> 16 << 9), MARK).astype(U)
     # grams end at a letter, or at the mark after one
     last = letter.copy()
     last[1:] |= letter[:-1]
-    one = letter
+    one = letter.copy()
+    one[:context] = False
+    last[:context] = False
     two = last[1:] & (letter[1:] | letter[:-1])
     three = last[2:] & letter[1:-1]
     tag = doc.astype(U) << U(48)
     key = np.concatenate(((tag | c)[one], (tag[1:] | c[:-1] << U(16) | c[1:])[two], (tag[2:] | c[:-2] << U(32) | c[1:-1] << U(16) | c[2:])[three]))
     key.sort()
-    if not len(key):
-        none = np.zeros(0, np.int64)
-        return none, none.astype(U), none
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    count = np.diff(np.append(head, len(key)))
-    key = key[head]
+    return key
+
+
+def tally(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``key``, which is sorted unless there are counts, and how often each occurs."""
+    if count is not None:
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(key))) if count is None or not len(key) else np.add.reduceat(count, head)
+    return key[head], n
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def long_ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one long text and their counts, a slice of it at a time.
+
+    A slice brings the two characters before it, so grams across its ends are counted once; what is held
+    beside a slice is the distinct grams.
+    """
+    text = f" {text} "
+    held, rows, limit = [], 0, FLUSH * 8
+    for a in range(0, len(text), SLICE_CHARS):
+        before = min(a, 2)
+        code = code_points(text[a - before : a + SLICE_CHARS])
+        held.append(tally(gram_keys(code, np.zeros(len(code), np.int64), before)))
+        rows += len(held[-1][0])
+        if rows > limit:
+            held = [tally(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            rows = len(held[0][0])
+            limit = max(limit, 2 * rows)
+    return tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of each text: ``(text, gram, count)``, sorted by text and gram.
+
+    A gram packs three 16-bit letters (the higher planes folded), shorter ones from the right; words are runs
+    of letters, with a mark on both sides.
+    """
+    if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+        gram, count = long_ngrams(texts[0])
+        return np.zeros(len(gram), np.int64), gram, count
+    sizes = np.array([len(t) + 2 for t in texts])
+    key, count = tally(gram_keys(code_points("".join(f" {t} " for t in texts)), np.repeat(np.arange(len(texts)), sizes)))
     return (key >> U(48)).astype(np.int64), key & U(0xFFFFFFFFFFFF), count
 
 
@@ -95,9 +132,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         rows = [0]
 
         def squeeze(pieces):
-            g, n = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
-            u, at = np.unique(g, return_inverse=True)
-            return u, np.bincount(at, n).astype(np.int64)
+            return tally(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
 
         def step(batch: pa.RecordBatch):
             langs = batch.column("lang").to_pylist()
@@ -170,7 +205,7 @@ class Scorer:
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], top: int = PROFILE) -> DataFrame:
     """``docs (id, held_out, text)`` to ``id, held_out, lang_pred, score``.
 
-    A text is handled whole, at some 77 bytes a character: one of 40 million characters fills a worker of 3 GB.
+    A long text is counted in slices: beside its characters, a task holds a slice and the text's distinct n-grams.
     ``score`` is 1 less the distance as a share of the greatest possible one.  Of languages at equal
     distance the first by code point is predicted.  A text without a letter, or null, is ``und`` with
     score 0, as is every text when nothing was learned.

@@ -6,7 +6,8 @@ next.  With dropout, a candidate merge is skipped when a hash keyed by seed, doc
 place in the text and the candidate's extent falls below the rate: every occurrence is cut on its own,
 reruns agree.
 
-Segments of a batch that are equal and skip the same candidates come out alike, so each such kind is
+Where no piece holds the two characters that meet, no merge crosses: segments are cut there into units, whose
+merges are the segment's.  Units of a batch that are equal and skip the same candidates come out alike, so each such kind is
 merged once: all kinds side by side with numpy, one merge of each per round.  No
 piece reaches across a segment's ends (a space after a non-space starts one, and a character without a
 piece is one), so segments are independent.
@@ -35,11 +36,18 @@ DROPOUT = 0.1
 MARK_BITS = 22
 #: Candidates whose skips are drawn at once.
 DRAWS = 1 << 20
-#: Characters handled at once; a longer text is handled alone, whole.
+#: Characters handled at once; a longer text is handled alone, in slices.
 SLICE_CHARS = 1 << 20
-#: Segments up to these lengths are merged together; longer ones one by one.
+#: Ids decoded at once.
+DECODED = 1 << 16
+#: Characters searched at once for a place to cut a long text.
+LOOK = 1 << 12
+#: Units up to these lengths are merged together; longer ones one by one.
 WIDTHS = (4, 8, 12, 16, 24, 32)
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Factors of a candidate's start and end in its hash.
+START, END = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+WORD = (1 << 64) - 1
 
 
 def marks(h: np.ndarray) -> np.ndarray:
@@ -82,6 +90,11 @@ class Vocabulary:
             h = h * U(BASE) + (self.char_id[own[:, n]].astype(np.int64) + 2).astype(U)
             self.begins[marks(h[size > n])] = True
             self.unions[marks(h[size == n + 1])] = True
+        # marks of the character pairs that stand side by side in some union
+        ids = self.char_id[own].astype(np.int64)
+        inner = np.arange(1, self.longest) < size[:, None]
+        self.beside = np.zeros(1 << MARK_BITS, bool)
+        self.beside[marks((ids[:, :-1][inner] << 32 | ids[:, 1:][inner]).astype(U))] = True
         raw = [b""] * len(pieces)
         for p, i in normal.items():
             raw[i] = p.replace(SPACE, " ").encode()
@@ -91,6 +104,11 @@ class Vocabulary:
         self.raw_size = np.array([len(r) for r in raw])
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
+    def apart(self, chars: np.ndarray) -> np.ndarray:
+        """Whether no merge can join a character (but the first) and the one before it; some such places may be missed."""
+        both = (chars[:-1] >= 0) & (chars[1:] >= 0)
+        return ~both | ~self.beside[marks((chars[:-1].astype(np.int64) << 32 | chars[1:]).astype(U))]
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the unions, -1 where there is none."""
         key = left.astype(np.int64) << 32 | right
@@ -112,8 +130,18 @@ def skipped(key: np.ndarray, start: np.ndarray, end: np.ndarray, rate: float) ->
     """Which candidate merges of ``start .. end`` a segment with this key skips."""
     if rate <= 0:
         return np.zeros(np.broadcast(key, start, end).shape, bool)
-    h = mix(key + start.astype(U) * U(0xD6E8FEB86659FD93) + end.astype(U) * U(0xA0761D6478BD642F))
-    return h < U(min(int(rate * 2.0**64), (1 << 64) - 1))
+    h = mix(key + start.astype(U) * U(START) + end.astype(U) * U(END))
+    return h < U(min(int(rate * 2.0**64), WORD))
+
+
+def skips(key: int, start: int, end: int, rate: float) -> bool:
+    """``skipped`` of one candidate."""
+    if rate <= 0:
+        return False
+    x = (key + start * START + end * END) & WORD
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & WORD
+    return (x ^ x >> 31) < min(int(rate * 2.0**64), WORD)
 
 
 def extents(v: Vocabulary, chars: np.ndarray, src: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,17 +186,16 @@ def kinds(v: Vocabulary, chars: np.ndarray, src: np.ndarray, size: np.ndarray, c
 
 
 def merge_one(v: Vocabulary, chars: np.ndarray, key: int, rate: float) -> list[int]:
-    """One segment by a heap: the agenda as such."""
+    """One unit by a heap: the agenda as such."""
     ids, size = chars.tolist(), len(chars)
     left, right, ends = [i - 1 for i in range(size)], [i + 1 for i in range(size)], [i + 1 for i in range(size)]
     alive = [True] * size
     agenda: list = []
-    k = np.array([key], U)
 
     def offer(i):
         j = right[i]
         if j < size and (m := v.pairs.get(ids[i] << 32 | ids[j])) is not None:
-            if not skipped(k, np.array([i]), np.array([ends[j]]), rate)[0]:
+            if not skips(key, i, ends[j], rate):
                 heapq.heappush(agenda, (-v.score[m], i, ends[j], m, ends[i]))
 
     for i in range(size - 1):
@@ -255,39 +282,89 @@ def utf8_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def characters(v: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, character ids (-1: no piece) and which are spaces."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    space = code == 0x20
+    chars = v.char_id[code]
+    chars[code == ord(SPACE)] = -1
+    chars[space] = v.char_id[ord(SPACE)]
+    return code, chars, space
+
+
+def breaks(chars: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Which characters but the first begin a segment."""
+    lost = chars < 0
+    return lost[1:] | lost[:-1] | (space[1:] & ~space[:-1])
+
+
+def cut_of(v: Vocabulary, text: str, least: int) -> tuple[int, bool]:
+    """The first place of ``text`` from ``least`` on where units part, and whether segments part there."""
+    for a in range(least, len(text), LOOK):
+        _, chars, space = characters(v, text[a - 1 : a + LOOK])
+        place = np.flatnonzero(v.apart(chars) | breaks(chars, space))
+        if len(place):
+            return a + int(place[0]), bool(breaks(chars, space)[place[0]])
+    return len(text), True
+
+
 def encode_texts(v: Vocabulary, texts: list[str], own: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and where each text's begin (and the end).
 
-    Skips are keyed by the seed, a text's entry of ``own`` and a segment's place in the text.
+    Skips are keyed by the seed, a text's entry of ``own`` and a segment's place in the text.  One text
+    beyond ``SLICE_CHARS`` is encoded in slices cut between units.
+    """
+    if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+        ids, a, origin, out = None, 0, 0, []
+        while a <= len(texts[0]):
+            b, parted = cut_of(v, texts[0], a + SLICE_CHARS - 1)
+            # places count the mark in front, so a slice behind the first begins one further
+            ids, _, last = encode_slice(v, [texts[0][max(a - 1, 0) : b]], own, rate, seed, a, origin)
+            out.append(ids)
+            a, origin = b + 1, b + 1 if parted else last
+        flat = np.concatenate(out)
+        return flat, np.array([0, len(flat)])
+    ids, offsets, _ = encode_slice(v, texts, own, rate, seed)
+    return ids, offsets
+
+
+def encode_slice(v: Vocabulary, texts: list[str], own: np.ndarray, rate: float, seed: int, start: int = 0, origin: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and bounds as in ``encode_texts``, and the place of the last segment.
+
+    With ``start``, ``texts`` is one slice that begins at this place of its text, inside the segment of place
+    ``origin``; the mark in front of a text has place 0.
     """
-    code = np.frombuffer("".join(SPACE + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.array([len(t) + 1 if t else 0 for t in texts])
+    front = "" if start else SPACE
+    code, chars, space = characters(v, "".join(front + t for t in texts if t))
+    sizes = np.array([len(front) + len(t) if t else 0 for t in texts])
     begin = np.cumsum(sizes) - sizes
     full = np.flatnonzero(sizes)
     if not len(code):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    plain = code == 0x20
-    chars = v.char_id[code]
-    literal = code == ord(SPACE)
-    literal[begin[full]] = False
-    chars[literal] = -1
-    space = plain.copy()
-    space[begin[full]] = True
-    chars[space] = v.char_id[ord(SPACE)]
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), origin
+    if not start:
+        space[begin[full]] = True
+        chars[begin[full]] = v.char_id[ord(SPACE)]
     lost = chars < 0
     head = np.zeros(len(code), bool)
+    head[1:] = breaks(chars, space)
     head[begin[full]] = True
-    head |= lost
-    head[1:] |= lost[:-1] | (space[1:] & ~space[:-1])
+    segment = np.cumsum(head) - 1
+    place = np.flatnonzero(head)
+    doc = np.searchsorted(begin[full], place, "right") - 1
+    place += start - begin[full][doc]
+    if start:
+        place[0] = origin
+    # units: the same merges, as the key takes up how far into its segment a unit begins
+    head[1:] |= v.apart(chars)
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(code)))
-    doc = np.searchsorted(begin[full], at, "right") - 1
-    # key of each segment: document, place and seed
+    segment = segment[at]
+    into = at - begin[full][doc[segment]] + start - place[segment]
     inner = np.arange(len(code)) - np.repeat(at, size)
     h = np.add.reduceat((chars + 2).astype(U) * powers(BASE, int(size.max()))[inner], at)
     content = mix(h + size.astype(U))
-    place = mix((at - begin[full][doc]).astype(U))
-    key = mix(place + own[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
+    key = mix(mix(place.astype(U)) + own[full][doc].astype(U) * U(0x9FB21C651E98DF25) + U(seed % (1 << 62)))
+    key = key[segment] + into.astype(U) * U((START + END) & WORD)
     odd = lost[at]
     key, content = key[~odd], content[~odd]
     kind = content if rate <= 0 else kinds(v, chars, at[~odd], size[~odd], content, key, rate)
@@ -332,18 +409,21 @@ def encode_texts(v: Vocabulary, texts: list[str], own: np.ndarray, rate: float,
     out = pool[np.repeat(origin - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))]
     per_doc = np.zeros(len(texts), np.int64)
     per_doc[full] = np.add.reduceat(n_ids, np.searchsorted(at, begin[full]))
-    return out, np.concatenate(([0], np.cumsum(per_doc)))
+    return out, np.concatenate(([0], np.cumsum(per_doc))), int(place[-1])
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; the space that encoding puts in front is taken off."""
-    n = v.raw_size[ids]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    data = v.raw[np.repeat(v.raw_at[ids] - (ends - n), n) + np.arange(total)]
-    bounds = np.concatenate(([0], ends))[offsets]
+    upto = np.concatenate(([0], np.cumsum(v.raw_size[ids])))
+    data = np.empty(int(upto[-1]), np.uint8)
+    for a in range(0, len(ids), DECODED):
+        now = ids[a : a + DECODED]
+        n, first = v.raw_size[now], int(upto[a])
+        total = int(n.sum())
+        data[first : first + total] = v.raw[np.repeat(v.raw_at[now] - (upto[a : a + len(now)] - first), n) + np.arange(total)]
+    bounds = upto[offsets]
     full = np.diff(bounds) > 0
-    keep = np.ones(total, bool)
+    keep = np.ones(len(data), bool)
     keep[bounds[:-1][full]] = False
     return data[keep], bounds - np.concatenate(([0], np.cumsum(full)))
 
@@ -365,8 +445,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts have no ids.  Every occurrence of a word is cut on its own, by the seed, the row's
     id (null: its text) and the place in the text.  Repeated rows are cut alike, unless ``copies`` numbers
     the rows that share id and text, and so is every rerun.  Extra columns are ignored; an empty table
-    gives no rows.  ``model`` must be readable on every executor.  A text is handled whole, at some 52 bytes a
-    character.
+    gives no rows.  ``model`` must be readable on every executor.  A long text is cut in slices, so a task holds its
+    characters, its ids and one slice; only a stretch in which every two neighbours share some piece stays whole.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     name = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.col("text")))

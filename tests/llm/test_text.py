@@ -127,6 +127,34 @@ def test_language_matches_slow(spark, top):
     assert got == want and any(k[2] == "xa" for k in want) and not any(k[2] == "xb" for k in want)
 
 
+def test_language_of_long_texts_in_slices(monkeypatch):
+    """Slices of any size give the counts of the whole text, in memory that the text's own characters bound."""
+    texts = [t for t in langid.lowered([r[1] for r in cases.rows()]) if len(t) > 3] + ["añ 日本語 x𝔘y zz", "a" * 999]
+    whole = [langid.ngrams([t]) for t in texts]
+    for size in (3, 7, 1000):
+        monkeypatch.setattr(langid, "SLICE_CHARS", size)
+        monkeypatch.setattr(langid, "FLUSH", 4)
+        for t, want in zip(texts, whole, strict=True):
+            if len(t) < 3000 * size:
+                for got, x in zip(langid.ngrams([t]), want, strict=True):
+                    assert got.tolist() == x.tolist()
+    monkeypatch.undo()
+    text = "many words of one very long text " * 200_000
+    assert peak(lambda: langid.ngrams([text])) < 12 * len(text)
+
+
+def peak(work) -> int:
+    """The most bytes that were held at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
 def test_language_limit(spark):
     """What the limit rejects: scores below it, and only these."""
     docs = cases.frame(spark)
@@ -485,6 +513,35 @@ def test_pieces_match_slow(rate):
         assert ids[at[i] : at[i + 1]].tolist() == slow_pieces(proc, t, int(own[i]), rate, table), t
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_pieces_of_long_texts_in_slices(rate, monkeypatch):
+    """Slices of any size give the ids of the whole text and keep it lossless, without spaces too."""
+    v = pieces.load(pieces.MODEL)
+    texts = [t for t in TEXTS if len(t) > 6] + [r[1][:4000] for r in cases.rows() if len(r[1] or "") > 6] + ["東京都の日本語文章" * 40, "x▁▁y" * 30, "internationalisation" * 60]
+    own = np.arange(len(texts)) * 11 - 3
+    whole = [pieces.encode_texts(v, [t], own[i : i + 1], rate, 4) for i, t in enumerate(texts)]
+    for size, look in ((5, 2), (64, 16)):
+        monkeypatch.setattr(pieces, "SLICE_CHARS", size)
+        monkeypatch.setattr(pieces, "LOOK", look)
+        for i, t in enumerate(texts):
+            ids, at = pieces.encode_texts(v, [t], own[i : i + 1], rate, 4)
+            assert ids.tolist() == whole[i][0].tolist() and at.tolist() == whole[i][1].tolist(), t
+            data, bounds = pieces.decode_ids(v, ids, at)
+            assert data.tobytes().decode() == t and bounds.tolist() == [0, len(data)]
+
+
+def test_pieces_of_long_texts_in_memory():
+    v = pieces.load(pieces.MODEL)
+    text = "many words of one very long text " * 200_000
+    most = {}
+    for n in (1, 2):
+        ids, at = pieces.encode_texts(v, [text[: len(text) // 2 * n]], np.zeros(1, int), 0.1, 0)
+        most[n] = peak(lambda n=n: pieces.encode_texts(v, [text[: len(text) // 2 * n]], np.zeros(1, int), 0.1, 0))
+        assert peak(lambda ids=ids, at=at: pieces.decode_ids(v, ids, at)) < 14 * len(text)
+    # a slice's arrays, and ids and characters of the whole
+    assert most[2] - most[1] < 8 * (len(text) - len(text) // 2)
+
+
 HTML = ["<p>a</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "x\r\n\r\n\r\n\r\ny", "é日本", "<p>a</p>", "z" * 300000, "\r\n\r\n", "ends so\r\n", "\r\nbegins so", "\r", "\r\n\r", "\n\r\n\r\n\r\n\r", "lone\nlines\rof all\r\nkinds", "\r\n\r\r\n\r\n" * 30000, "big " * 3_000_000]
 
 
