@@ -6,9 +6,10 @@ prefixes, so documents meet in buckets by prefix shingle; buckets with equal mem
 
 Tiles: in a bucket, documents of compatible sizes are compared by hashed bitmaps whose width follows
 the size band; bit counts bound the overlap from above.  What passes spans candidate components.  A
-component is one tile, or, when large, tiles of size-band blocks; within a tile exact intersections of
-sorted shingle arrays decide, and a spanning forest of true links leaves it.  No list of pairs within a
-group is ever emitted, and nothing is capped.
+component is one tile, in which exact intersections of sorted shingle arrays decide, and a spanning forest of
+true links leaves it.  The sets of a large one meet in blocks, each set in one; then the best connected sets
+of what hangs together meet; and only what is still apart meets the rest in tiles of size-band blocks.  No
+list of pairs within a group is ever emitted, and nothing is capped.
 
 Equal shingle sets are one node throughout, so copies cost nothing.  A set is known by two 64-bit
 hashes: the first names it, and names that two different sets share are made anew from both.  Shingles
@@ -34,6 +35,8 @@ BUCKET_DOCS = 1 << 11
 TILE_SHINGLES = 1 << 21
 #: So many documents of a shingle, by the counts of all shingles, are counted together; of more, in parts of about so many.
 HOT_DOCS = 1 << 14
+#: Best connected sets of a connected part that stand for it, and rounds in which these meet; what is left meets in tiles.
+HUBS, MEETINGS = 16, 4
 MAX_BITS = 1 << 15
 FLUSH_ROWS = 1 << 16
 
@@ -409,15 +412,71 @@ def set_links(docs: DataFrame, scratch: Scratch, sets: DataFrame, counts: tuple[
     scratch.drop("posts")
     # exact tiles of each candidate component
     wanted = spark.sparkContext.broadcast(_wanted(groups_, sets, split_names))  # 1 MB
-    sized = groups_.join(sets.select(F.col("sid").alias("node"), "n"), "node")
-    heavy = sized.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("blocks"))
-    placed = _banded(sized.join(heavy, "root"), "node").select(F.col("node").alias("sid"), "root", _dealt("own", "blocks", "size_band").alias("t")).select("sid", "root", "t.*")
-    key = ("root", "band", "step", "i", "j")
+    sized = groups_.join(sets.select(F.col("sid").alias("node"), "n"), "node").withColumnRenamed("node", "sid")
+    heavy = sized.groupBy("root").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > TILE_SHINGLES)
+    heavy = scratch.save(heavy.select("root"), "heavy")
     arrays = named(shingle_arrays(docs, wanted, k)).select("sid", "arr")
-    tiles = arrays.join(placed, "sid").repartition(*key).sortWithinPartitions(*key)
+    links = _tiled(arrays.join(sized.join(heavy, "root", "left_anti").select("sid", "root"), "sid"), ("root",))
+    if heavy.isEmpty():  # saves a pass over the texts, no more
+        return links
+    of_large = arrays.join(sized.join(heavy, "root").select("sid", "root", "n"), "sid")
+    of_large = of_large.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("root", "n", "arr")))
+    return links.unionByName(large_links(scratch, scratch.save(of_large, "large")))
+
+
+def _tiled(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """A spanning forest of the links of each tile."""
+    tiles = rows.repartition(*key).sortWithinPartitions(*key)
     return tiles.mapInArrow(_edge_stream(key, _true_each, ("sid", "arr")), "a long, b long")
 
 
+def large_links(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """Links of ``members (sid, root, n, arr)`` that connect all sets of a ``root`` which links connect.
+
+    A root's sets are dealt in blocks by hash, so a set travels once, and meet there.  Up to ``HUBS`` sets with most
+    links stand for each connected part in the next round, dealt anew, while rounds connect anything.  Sets
+    of one part need not meet any more.  Of a root in several parts, those outside the one of most shingles are
+    the rest: they meet that part, and each other, in tiles of size-band blocks.
+    """
+    links, meet, before = None, members, None
+    for nth in range(MEETINGS):
+        blocks = meet.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
+        dealt = meet.join(blocks, "root").select("sid", "arr", "root", F.pmod(F.xxhash64("sid", F.lit(nth)), "blocks").alias("own"))
+        found = scratch.save(_tiled(dealt, ("root", "own")), f"found{nth}")
+        links = found if links is None else links.unionByName(found)
+        parts = components(scratch, links, f"part{nth}").select(F.col("node").alias("sid"), F.col("root").alias("part"))
+        known = members.select("sid", "root", "n").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+        known = scratch.save(known, f"known{nth}")
+        sizes = scratch.save(known.groupBy("root", "part").agg(F.sum("n").alias("shingles")), f"sizes{nth}")
+        main = sizes.groupBy("root").agg(F.max(F.struct("shingles", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        main = scratch.save(main.select("root", F.col("most.part").alias("main")), f"main{nth}")
+        still = sizes.count()
+        if main.isEmpty() or still == before:
+            break
+        before = still
+        degree = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
+        best = Window.partitionBy("part").orderBy(F.desc_nulls_last("degree"), "sid")
+        hubs = known.join(main, "root").join(degree, "sid", "left").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= HUBS)
+        meet = members.join(hubs.select("sid"), "sid", "left_semi")
+    if main.isEmpty():
+        return links
+    half = TILE_SHINGLES // 2
+    apart = known.join(main, "root").withColumn("far", F.col("part") != F.col("main"))
+    blocks = apart.groupBy("root", "far").agg(F.ceil(F.sum("n") / half).cast("int").alias("blocks"))
+    apart = scratch.save(_banded(apart.join(blocks, ["root", "far"]), "sid").select("sid", "root", "far", "blocks", "size_band", "own"), "apart")
+    rest, core = apart.where("far"), apart.where("not far")
+    among = rest.select("sid", "root", _dealt("own", "blocks", "size_band").alias("t")).select("sid", "root", F.lit(-1).alias("side"), "t.*")
+    # a tile of both: one block and band of the rest, one block of the part, which sends the bands that may link
+    spots = rest.select("root", F.col("size_band").alias("band"), F.col("own").alias("i")).distinct()
+    many = core.select("root", F.col("blocks").alias("core_blocks")).distinct()
+    tile = ("root", F.lit(0).alias("side"), "band", F.lit(0).alias("step"), "i", "j")
+    sent = rest.join(many, "root").select("sid", "root", F.col("size_band").alias("band"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("core_blocks") - 1)).alias("j"))
+    near = F.explode(F.array(*(F.col("size_band") + d for d in (-1, 0, 1))))
+    met = core.select("sid", "root", F.col("own").alias("j"), near.alias("band")).join(spots, ["root", "band"])
+    tiles = among.unionByName(sent.select("sid", *tile)).unionByName(met.select("sid", *tile))
+    return links.unionByName(_tiled(tiles.join(members.select("sid", "arr"), "sid"), ("root", "side", "band", "step", "i", "j")))
+
+
 def _wanted(groups_: DataFrame, sets: DataFrame, split_names: bool) -> np.ndarray:
     """Filter of the first hashes of the sets that have candidates."""
     if not split_names:

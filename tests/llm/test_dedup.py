@@ -94,6 +94,53 @@ def test_near_tiles(spark, monkeypatch, budget):
     assert ngram_join.keep_one(docs).count() == len({r.component_id for r in got})
 
 
+def arrays_of(spark, sets):
+    rows = [(i, 7, len(x), np.array(sorted(x), np.uint64).tobytes()) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "sid long, root long, n long, arr binary").repartition(3)
+
+
+@pytest.mark.parametrize(("tile", "hubs", "meetings"), [(400, 1, 1), (900, 4, 2)])
+def test_near_large_candidate_component(spark, monkeypatch, tile, hubs, meetings):
+    """One candidate component of stars, chains and sets that stand alone, some linked to one far end only."""
+    import random
+
+    for name, n in (("TILE_SHINGLES", tile), ("HUBS", hubs), ("MEETINGS", meetings)):
+        monkeypatch.setattr(ngram_join, name, n)
+    r = random.Random(8)
+    sets = []
+    for family in range(3):
+        base = list(range(1000 * family, 1000 * family + 60 + 25 * family))
+        sets += [{*r.sample(base, len(base) - r.randrange(8)), *r.sample(range(10**6, 10**7), r.randrange(6))} for _ in range(30)]
+    # a window that moves on by a few shingles links with its neighbours alone, and sizes grow over many bands
+    sets += [set(range(10**8 + 4 * i, 10**8 + 4 * i + 40 + 2 * i)) for i in range(40)]
+    sets += [set(r.sample(range(10**9, 10**10), 50)) for _ in range(15)]
+    sets = [x for i, x in enumerate(sets) if x not in sets[:i]]
+    true = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    links = {(x.a, x.b) for x in ngram_join.large_links(Scratch(spark, "test"), arrays_of(spark, sets)).collect()}
+    assert links <= set(true)
+    assert cases.components(range(len(sets)), list(links)) == cases.components(range(len(sets)), true)
+
+
+def test_near_large_group_needs_no_block_pairs(spark, monkeypatch):
+    """Different near copies of one text: a set travels once, then a few hubs; two strays meet the rest, nothing else does."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 2000)
+    sent = []
+    tiled = ngram_join._tiled
+    monkeypatch.setattr(ngram_join, "_tiled", lambda rows, key: (sent.append((key, rows.count())), tiled(rows, key))[1])
+    r = random.Random(9)
+    base = range(100)
+    copies = [{*r.sample(base, 98), 1000 + i} for i in range(400)]
+    ngram_join.large_links(Scratch(spark, "test"), arrays_of(spark, copies)).collect()
+    assert sent[0][1] == 400 and len(sent) == 2 and sent[1][1] <= 21 * ngram_join.HUBS
+    sent.clear()
+    strays = [set(range(5000 + 200 * i, 5100 + 200 * i)) for i in range(2)]
+    ngram_join.large_links(Scratch(spark, "test"), arrays_of(spark, copies + strays)).collect()
+    blocks = -(-400 * 99 // 1000)
+    assert sent[-1][0][1] == "side" and sent[-1][1] <= 400 + 2 * blocks + 2
+
+
 def test_near_copies_read_by_several_tasks(spark, monkeypatch):
     """A set is one member of its buckets however many tasks read it: unrelated texts never share one."""
     import random
