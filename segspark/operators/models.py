@@ -1,14 +1,18 @@
 """Model fits: a recording is a group, a group is one Arrow-backed kernel call.
 
-The global calibration is a loop of aggregations instead, as it covers all pairs of all recordings.
+The global calibration is a loop of aggregations instead, as it covers all pairs of all recordings; filters work on
+many recordings in one call.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +21,14 @@ from segspark.scratch import Tables
 
 from . import kernels as K
 from . import linkage, longchain
+from .linkage import matrix
 from .vectors import Plda, blocked_pairs, covariance
 
 
 #: Rows up to which a recording's variational fit is one task.
 VB_LIMIT = 1 << 14
+#: Numbers in the largest array of a step of the filters that run side by side.
+HMM_CELLS = 1 << 21
 
 
 def calibrate(scores: DataFrame, column: str = "s", rounds: int = 20) -> dict[str, float]:
@@ -162,44 +169,111 @@ def vb_cluster(df: DataFrame, phi: list[float], loop: float = 0.9, fa: float = 1
     return short.unionByName(fitted)
 
 
+def _abreast(batches, rows: int):
+    """Tables of whole groups and the places where these begin, from sorted batches with a 1 in ``place`` where a group begins.
+
+    A table has up to ``rows`` rows, more only where one group has.
+    """
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if len(held) < rows:
+                continue
+        if held is None:
+            return
+        cuts = np.flatnonzero(held.column("place").to_numpy() == 1)
+        if batch is None:
+            cuts = np.append(cuts, len(held))
+        begin = 0
+        while begin < len(cuts) - 1 and (batch is None or len(held) - cuts[begin] >= rows):
+            end = max(int(np.searchsorted(cuts, cuts[begin] + rows, "right")) - 1, begin + 1)
+            yield held.slice(cuts[begin], cuts[end] - cuts[begin]).combine_chunks(), cuts[begin:end] - cuts[begin]
+            begin = end
+        held = held.slice(cuts[begin])
+
+
 def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll", chunk: int = 4096) -> DataFrame:
     """``rec, idx, forward, backward, posterior, total`` from log output probabilities per state.
 
     ``idx`` are whole numbers in order of time.  A recording is cut every ``chunk`` of them: each piece gives
     the log probabilities of passing through it from any state to any, these small matrices are chained
-    per recording, and each piece runs again between what comes before and after it.  So no task sees more
-    than a piece, however long the recording, but for a matrix a piece.
+    per recording, and each piece runs again between what comes before and after it.  A task goes through sorted
+    pieces and works on many side by side, as many as its arrays may hold (``HMM_CELLS``); so no task holds more than
+    that or one piece, however many or long the recordings, but for a matrix a piece of a recording.
     """
     rows = df.select(F.col(rec).alias("rec"), F.col(idx).alias("idx"), F.col(vector).cast("array<double>").alias("v"), F.floor(F.col(idx) / chunk).cast("long").alias("part"))
+    rows = rows.repartition("rec", "part")
     kind = dict(rows.dtypes)
     lt, li = np.log(np.array(transition, float) + K.LOG_FLOOR), np.log(np.array(initial, float) + K.LOG_FLOOR)
-
-    def passage(pdf: pd.DataFrame) -> pd.DataFrame:
-        ll = np.stack(_sorted(pdf).v.to_list())
-        through, begun = (K.forward_from(ll, first, lt)[-1] for first in (lt, li))
-        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "part": pdf.part.iloc[:1], "through": [through.ravel()], "begun": [begun]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        through = [m.reshape(len(li), -1) for m in pdf.through]
-        ahead = [pdf.begun.iloc[0]]
-        for m in through[1:]:
-            ahead.append(K.lse(ahead[-1][:, None] + m, 0))
-        behind = [np.zeros(len(li))]
-        for m in through[:0:-1]:
-            behind.append(K.lse(m + behind[-1][None, :], 1))
-        enter = [li, *(K.lse(f[:, None] + lt, 0) for f in ahead[:-1])]
-        return pd.DataFrame({"rec": pdf.rec, "part": pdf.part, "enter": enter, "leave": behind[::-1], "total": float(K.lse(ahead[-1], 0))})
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        ll, whole = np.stack(pdf.v.to_list()), pdf.total.iloc[0]
-        fw, bw = K.forward_from(ll, pdf.enter.iloc[0], lt), K.backward_from(ll, pdf.leave.iloc[0], lt)
-        return pd.DataFrame({"rec": pdf.rec.to_numpy(), "idx": pdf.idx.to_numpy(), "forward": list(fw), "backward": list(bw), "posterior": list(np.exp(fw + bw - whole)), "total": whole})
-
-    pieces = rows.groupBy("rec", "part").applyInPandas(passage, f"rec {kind['rec']}, part long, through array<double>, begun array<double>")
-    ends = pieces.groupBy("rec").applyInPandas(chain, f"rec {kind['rec']}, part long, enter array<double>, leave array<double>, total double")
-    return rows.join(ends, ["rec", "part"]).groupBy("rec", "part").applyInPandas(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
+    n = len(li)
+    wide = max(1, HMM_CELLS // (n * n * (n + 1)))
+
+    def placed(df: DataFrame, group: list[str], order: str) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(order))).sortWithinPartitions(*group, order)
+
+    def read(column, *shape: int) -> np.ndarray:
+        """Cells of lists, a list a row, with the rows as the last axis."""
+        if column.null_count or (pc.list_value_length(column).to_numpy() != math.prod(shape)).any():
+            raise ValueError("a row must have one log probability per state")
+        return np.ascontiguousarray(np.moveaxis(matrix(column).reshape(len(column), *shape), 0, -1))
+
+    def lists(x: np.ndarray) -> pa.Array:
+        flat = x.reshape(-1, x.shape[-1]).T
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+    def laid(table: pa.Table, starts: np.ndarray):
+        """The pieces side by side, their rows' log probabilities, and the steps to their rows."""
+        side = K.Abreast.of(starts, len(table))
+        ll = side.laid(read(table.column("v"), n))
+        return side, ll[:, : len(starts)], lambda span: lt[:, :, None] + ll[:, span]
+
+    def passage(batches):
+        first = np.concatenate((lt, li[None]))[:, :, None]
+        for table, starts in _abreast(batches, wide):
+            side, head, step = laid(table, starts)
+            end = np.empty((n + 1, n, len(starts)))
+            for _, a in side.forward(first + head, step):
+                end[..., side.groups[: a.shape[-1]]] = a
+            begins = table.take(starts)
+            yield from pa.table({"rec": begins.column("rec"), "part": begins.column("part"), "through": lists(end[:n]), "begun": lists(end[n])}).to_batches()
+
+    def chain(batches):
+        for table, starts in _abreast(batches, wide):
+            side = K.Abreast.of(starts, len(table))
+            through, begun = side.laid(read(table.column("through"), n, n)), side.laid(read(table.column("begun"), n))
+            ahead, behind = np.empty_like(begun), np.empty_like(begun)
+            for span, a in side.forward(begun[:, : len(starts)], lambda span: through[:, :, span]):
+                ahead[:, span] = a
+            for span, b in side.backward(np.zeros((n, len(starts))), lambda span: through[:, :, span]):
+                behind[:, span] = b
+            ahead, behind = ahead[:, side.at], behind[:, side.at]
+            enter = np.roll(K.lse(ahead[:, None] + lt[:, :, None], 0), 1, -1)
+            enter[:, starts] = li[:, None]
+            sizes = np.diff(np.append(starts, len(table)))
+            total = np.repeat(K.lse(ahead[:, starts + sizes - 1], 0), sizes)
+            yield from pa.table({"rec": table.column("rec"), "part": table.column("part"), "enter": lists(enter), "leave": lists(behind), "total": total}).to_batches()
+
+    def fit(batches):
+        for table, starts in _abreast(batches, wide):
+            side, head, step = laid(table, starts)
+            begins = table.take(starts)
+            enter, leave = read(begins.column("enter"), n), read(begins.column("leave"), n)
+            fw, bw = np.empty((n, len(table))), np.empty((n, len(table)))
+            for span, a in side.forward(enter[:, side.groups] + head, step):
+                fw[:, span] = a
+            for span, b in side.backward(leave, step):
+                bw[:, span] = b
+            fw, bw = fw[:, side.at], bw[:, side.at]
+            whole = np.repeat(begins.column("total").to_numpy(), np.diff(np.append(starts, len(table))))
+            yield from pa.table({"rec": table.column("rec"), "idx": table.column("idx"), "forward": lists(fw), "backward": lists(bw), "posterior": lists(np.exp(fw + bw - whole)), "total": whole}).to_batches()
+
+    pieces = placed(rows, ["rec", "part"], "idx").mapInArrow(passage, f"rec {kind['rec']}, part long, through array<double>, begun array<double>")
+    ends = placed(pieces, ["rec"], "part").mapInArrow(chain, f"rec {kind['rec']}, part long, enter array<double>, leave array<double>, total double")
+    between = placed(rows.join(ends, ["rec", "part"]), ["rec", "part"], "idx")
+    between = between.withColumns({c: F.when(F.col("place") == 1, F.col(c)) for c in ("enter", "leave", "total")})  # read of a piece's first row only
+    return between.mapInArrow(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
 
 
 def plda_dense_pairs(df: DataFrame, plda: Plda, target: float = 0.1, dims: int | None = None, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = 512) -> DataFrame:
