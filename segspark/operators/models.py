@@ -29,6 +29,8 @@ from .vectors import Plda, blocked_pairs, covariance
 VB_LIMIT = 1 << 14
 #: Numbers in the largest array of a step of the filters that run side by side.
 HMM_CELLS = 1 << 21
+#: What the filters can give of every row, beside the recording's total.
+HMM_VALUES = ("forward", "backward", "posterior")
 
 
 def calibrate(scores: DataFrame, column: str = "s", rounds: int = 20) -> dict[str, float]:
@@ -194,8 +196,8 @@ def _abreast(batches, rows: int):
         held = held.slice(cuts[begin])
 
 
-def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll", chunk: int = 4096) -> DataFrame:
-    """``rec, idx, forward, backward, posterior, total`` from log output probabilities per state.
+def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec: str = "rec", idx: str = "idx", vector: str = "ll", chunk: int = 4096, values: tuple[str, ...] = HMM_VALUES) -> DataFrame:
+    """``rec, idx, forward, backward, posterior, total`` from log output probabilities per state; of the first three those in ``values``.
 
     ``idx`` are whole numbers in order of time.  A recording is cut every ``chunk`` of them: each piece gives
     the log probabilities of passing through it from any state to any, these small matrices are chained
@@ -208,6 +210,7 @@ def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec:
     kind = dict(rows.dtypes)
     lt, li = np.log(np.array(transition, float) + K.LOG_FLOOR), np.log(np.array(initial, float) + K.LOG_FLOOR)
     n = len(li)
+    values = [v for v in HMM_VALUES if v in values]
     wide = max(1, HMM_CELLS // (n * n * (n + 1)))
 
     def placed(df: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -260,20 +263,26 @@ def hmm(df: DataFrame, transition: list[list[float]], initial: list[float], rec:
             side, head, step = laid(table, starts)
             begins = table.take(starts)
             enter, leave = read(begins.column("enter"), n), read(begins.column("leave"), n)
-            fw, bw = np.empty((n, len(table))), np.empty((n, len(table)))
-            for span, a in side.forward(enter[:, side.groups] + head, step):
-                fw[:, span] = a
-            for span, b in side.backward(leave, step):
-                bw[:, span] = b
-            fw, bw = fw[:, side.at], bw[:, side.at]
             whole = np.repeat(begins.column("total").to_numpy(), np.diff(np.append(starts, len(table))))
-            yield from pa.table({"rec": table.column("rec"), "idx": table.column("idx"), "forward": lists(fw), "backward": lists(bw), "posterior": lists(np.exp(fw + bw - whole)), "total": whole}).to_batches()
+            made = {}
+            if values != ["backward"]:
+                made["forward"] = np.empty((n, len(table)))
+                for span, a in side.forward(enter[:, side.groups] + head, step):
+                    made["forward"][:, span] = a
+            if values != ["forward"]:
+                made["backward"] = np.empty((n, len(table)))
+                for span, b in side.backward(leave, step):
+                    made["backward"][:, span] = b
+            made = {v: x[:, side.at] for v, x in made.items()}
+            if "posterior" in values:
+                made["posterior"] = np.exp(made["forward"] + made["backward"] - whole)
+            yield from pa.table({"rec": table.column("rec"), "idx": table.column("idx"), **{v: lists(made[v]) for v in values}, "total": whole}).to_batches()
 
     pieces = placed(rows, ["rec", "part"], "idx").mapInArrow(passage, f"rec {kind['rec']}, part long, through array<double>, begun array<double>")
     ends = placed(pieces, ["rec"], "part").mapInArrow(chain, f"rec {kind['rec']}, part long, enter array<double>, leave array<double>, total double")
     between = placed(rows.join(ends, ["rec", "part"]), ["rec", "part"], "idx")
     between = between.withColumns({c: F.when(F.col("place") == 1, F.col(c)) for c in ("enter", "leave", "total")})  # read of a piece's first row only
-    return between.mapInArrow(fit, f"rec {kind['rec']}, idx {kind['idx']}, forward array<double>, backward array<double>, posterior array<double>, total double")
+    return between.mapInArrow(fit, f"rec {kind['rec']}, idx {kind['idx']}, {''.join(f'{v} array<double>, ' for v in values)}total double")
 
 
 def plda_dense_pairs(df: DataFrame, plda: Plda, target: float = 0.1, dims: int | None = None, rec: str = "rec", idx: str = "idx", vector: str = "xvec", block: int = 512) -> DataFrame:
