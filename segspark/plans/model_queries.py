@@ -209,11 +209,11 @@ bw AS (SELECT rec, top AS t, {T.doubles([0.0] * N)} AS b FROM hl
 tl AS (SELECT rec, {lse_sql('f')} AS total FROM fw JOIN hl USING (rec) WHERE t = top)"""
 
 
-def _hmm(spark, sf_dir, column, values=M.HMM_VALUES):
+def _hmm(spark, sf_dir, column):
     rows = T.segments(spark, sf_dir)
     ll = F.array(*(-0.5 * (F.col("value") / 50.0 - k) ** 2 for k in range(N)))
     at = F.row_number().over(Window.partitionBy("rec").orderBy("start", "idx")) - 1
-    got = M.hmm(rows.select("rec", at.cast("bigint").alias("idx"), ll.alias("ll")), TR, [1 / N] * N, values=values)
+    got = M.hmm(rows.select("rec", at.cast("bigint").alias("idx"), ll.alias("ll")), TR, [1 / N] * N, values=(column,))
     return got.select("rec", F.col("idx").alias("t"), F.posexplode(column).alias("k", "x")).withColumn("x", F.round("x", 5))
 
 
@@ -224,7 +224,7 @@ def hmm_forward(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {HMM_SQL} SELECT rec, t, (generate_subscripts(b, 1) - 1)::INT AS k, round(unnest(b), 5) AS x FROM bw")
 def hmm_backward(spark, sf_dir):
-    return _hmm(spark, sf_dir, "backward", ("backward",))
+    return _hmm(spark, sf_dir, "backward")
 
 
 @query(f"""WITH RECURSIVE {HMM_SQL}, po AS (SELECT rec, t, list_transform(range(1, {N + 1}), lambda k: exp(f[k] + b[k] - total)) AS p FROM fw JOIN bw USING (rec, t) JOIN tl USING (rec))
